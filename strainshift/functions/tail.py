@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # 97.5 % points of Student's t for 1 to 29 degrees of freedom.
 T_975 = (
@@ -78,20 +79,20 @@ def _each(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series(np.array(out, dtype=object)).astype("Float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| > |t|)."""
     return _each(lambda x, v: beta_share(v / (v + x * x), v / 2, 0.5) if v > 0 else None, t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """P(F > f)."""
     return _each(lambda x, a, b: beta_share(b / (b + a * x), b / 2, a / 2)
                  if a > 0 and b > 0 and x >= 0 else None, f, df1, df2)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_upper_1(x: pd.Series) -> pd.Series:
     """P(chi-square with one degree of freedom > x)."""
     return _each(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2)), x)

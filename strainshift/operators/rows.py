@@ -21,10 +21,14 @@ def derive_complement(df: DataFrame, total: str, part: str, out: str) -> DataFra
 
 def date_window(df: DataFrame, day: Column, periods: DataFrame, period: str,
                 before: int = 7, after: int = 6) -> DataFrame:
-    """Days from ``before`` days ahead of the first period to ``after`` past the last."""
+    """Days from ``before`` days ahead of the first period to ``after`` past the last.
+
+    ``day`` may be a date or a timestamp: it is compared as it is, so that both
+    bounds reach the scan.
+    """
     first = periods.agg(F.date_sub(F.min(period), before)).scalar()
-    last = periods.agg(F.date_add(F.max(period), after)).scalar()
-    return df.filter((day >= first) & (day <= last))
+    end = periods.agg(F.date_add(F.max(period), after + 1)).scalar()
+    return df.filter((day >= first) & (day < end))
 
 
 def threshold_filter(df: DataFrame, column: str, threshold: float, inclusive: bool = True) -> DataFrame:

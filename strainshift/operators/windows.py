@@ -59,8 +59,10 @@ def global_index(df: DataFrame, order: list[str], out: str = "repeat", ranges: i
     row count of the ranges before it. Only range counts meet in one place.
     """
     key = order[0]
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 100 * ranges)).scalar()
-    ranged = df.withColumn("_r", F.size(F.filter(F.array_distinct(cuts), lambda c: c < F.col(key))))
+    marks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = df.agg(F.percentile_approx(key, marks, 100 * ranges)).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    ranged = df.withColumn("_r", F.size(F.filter(bounds, lambda c: c < F.col(key))))
     sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_r", (F.sum("_n").over(W.orderBy("_r")) - F.col("_n")).alias("_before"))
     numbered = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_r").orderBy(*order)))

@@ -31,10 +31,29 @@ def convergence_label(code: Column) -> Column:
     return out
 
 
+def fixed_digits(x: Column, digits: int) -> Column:
+    """|x| with a fixed number of decimals, rounded on the exact binary value, halves to even.
+
+    The product with a power of ten is split into two exact parts, so that a value
+    just below a half is not taken for the half.
+    """
+    size, scale = F.abs(x), float(10 ** digits)
+    high = size.cast("float").cast("double")
+    whole = F.floor(size * scale)
+    above = (high * (2 * scale) - (2 * whole + 1)) + (size - high) * (2 * scale)
+    up = (above > 0) | ((above == 0) & (whole % 2 == 1))
+    units = (whole + F.when(up, 1).otherwise(0)).cast("long")
+    if digits == 0:
+        return units.cast("string")
+    step = F.lit(10 ** digits)
+    return F.concat(F.floor(units / step).cast("string"), F.lit("."),
+                    F.lpad((units % step).cast("string"), digits, "0"))
+
+
 def signed_label(x: Column, digits: int = 2) -> Column:
     """'+20' or '-10'; a value that equals zero gets a space for its sign."""
-    plain = F.format_string(f"% .{digits}f", x)
-    return F.when(F.abs(x) < ZERO_TOLERANCE, plain).otherwise(F.format_string(f"%+.{digits}f", x))
+    positive = F.when(F.abs(x) < ZERO_TOLERANCE, " ").otherwise("+")
+    return F.concat(F.when(x < 0, "-").otherwise(positive), fixed_digits(x, digits))
 
 
 def perturbation_label(value: Column, ref: Column) -> Column:

@@ -1 +1,576 @@
-"""Queries."""
+"""Queries of regressions, tests, search, bootstrap and summaries."""
+
+from __future__ import annotations
+
+from itertools import combinations_with_replacement
+
+from pyspark.sql import functions as F
+
+from strainshift.functions import control as C
+from strainshift.functions import labels as L
+from strainshift.operators import mixed as X
+from strainshift.operators import regression as G
+from strainshift.operators import score as S
+from strainshift.operators import summaries as M
+from strainshift.operators import windows as O
+from strainshift.operators.resample import wild_replicates
+from strainshift.operators.reshape import union_tagged
+from strainshift.operators.rows import cross_sweep
+from strainshift.plans import views as V
+from strainshift.plans.q_aggregates import OBS_SQL, candidates, expected_line, observations
+from strainshift.plans.q_joins import week_control
+from strainshift.plans.q_reshape import MAMMEN_SQL, uniform_sql
+from strainshift.plans.q_rows import REF
+from strainshift.plans.q_scalars import s_sql
+from strainshift.plans.q_windows import MODEL_DAYS_SQL, RESIDUAL_SQL, selection, selection_with_control
+from strainshift.plans.registry import query
+from strainshift.session import materialise
+
+X2 = ["x1", "x2"]
+
+
+# --- designs -----------------------------------------------------------------
+
+def design_rows(spark, sf, models):
+    panel = materialise(V.retained_panel(spark, sf))
+    return G.logit_regressors(models, panel, V.control_index(spark, sf))
+
+
+def part_models(spark, sf):
+    return V.model_params(spark, sf).select("model_id", "k", "a")
+
+
+def brand_models(spark, sf):
+    """The best converged parameters of every brand."""
+    fits = V.model_params(spark, sf).select("brand", "model_id", "value", "code", "k", "a")
+    return S.best_candidate(fits, ["brand"], "value", "model_id", F.col("code") == 0).select("brand", "k", "a")
+
+
+def part_groups(spark, sf):
+    return G.group_sums(design_rows(spark, sf, part_models(spark, sf)), ["model_id"], "region", X2, "y")
+
+
+DESIGN_TAIL_SQL = (
+    "pts AS (SELECT DISTINCT t FROM retained), st AS (SELECT region, min(t) AS t0 FROM retained GROUP BY 1)"
+    ", ptab AS (SELECT model_id, t, p1 + (t - floor(t)) * f1 AS i1, p2 + (t - floor(t)) * f2 AS i2 FROM pre JOIN pts ON day_idx = floor(t))"
+    ", design AS (SELECT e.model_id, r.region, r.t, r.y, 0.15::DOUBLE * (e.i1 - s.i1) AS x1,"
+    " -0.5::DOUBLE * (0.1::DOUBLE * (e.i2 - s.i2) + r.t - st.t0) AS x2"
+    " FROM retained r JOIN st USING (region) JOIN ptab e ON e.t = r.t JOIN ptab s ON s.t = st.t0 AND s.model_id = e.model_id)")
+DESIGN_SQL = f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL}, {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}"
+
+
+def groups_sql(source: str, by: str = "model_id", x: list[str] = X2, y: str = "y", name: str = "g") -> str:
+    cols = [*x, y]
+    parts = [f"avg({c}) AS m_{c}" for c in cols]
+    parts += [f"covar_pop({a}, {b}) * COUNT(*) AS c_{a}_{b}" for a, b in combinations_with_replacement(cols, 2)]
+    return f"{name} AS (SELECT {by}, region, COUNT(*) AS n, {', '.join(parts)} FROM {source} GROUP BY {by}, region)"
+
+
+def _t_series() -> str:
+    """97.5 % point of Student's t by its series in 1/df, exact to rounding for the df at hand."""
+    z = 1.959963984540054
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+             (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+             (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    return f"({z!r}::DOUBLE" + "".join(f" + {t!r}::DOUBLE / power(df, {i})" for i, t in enumerate(terms, 1)) + ")"
+
+
+T_SQL = _t_series()
+
+
+def ancova_sql(by: str = "model_id", g: str = "g", name: str = "ancova") -> str:
+    cols = [*X2, "y"]
+    sums = ", ".join(f"sum(c_{a}_{b}) AS c_{a}_{b}" for a, b in combinations_with_replacement(cols, 2))
+    return (
+        f"{name}_s AS (SELECT {by}, sum(n) AS n, COUNT(*) AS n_groups, {sums} FROM {g} GROUP BY {by})"
+        f", {name}_d AS (SELECT *, n - n_groups - 2 AS df, coalesce((c_x1_x1 * c_x2_x2 - c_x1_x2 * c_x1_x2) / nullif(c_x1_x1 * c_x2_x2, 0) < 1e-12, TRUE)"
+        f" AS rank_deficient FROM {name}_s)"
+        f", {name}_e AS (SELECT *, CASE WHEN NOT rank_deficient THEN c_x1_x1 * c_x2_x2 - c_x1_x2 * c_x1_x2 END AS det FROM {name}_d)"
+        f", {name}_b AS (SELECT *, (c_x2_x2 * c_x1_y - c_x1_x2 * c_x2_y) / det AS delta_beta, (c_x1_x1 * c_x2_y - c_x1_x2 * c_x1_y) / det AS delta_gamma FROM {name}_e)"
+        f", {name}_r AS (SELECT *, c_y_y - delta_beta * c_x1_y - delta_gamma * c_x2_y AS rss FROM {name}_b)"
+        f", {name} AS (SELECT *, sqrt(rss / df * c_x2_x2 / det) AS se_beta, sqrt(rss / df * c_x1_x1 / det) AS se_gamma FROM {name}_r)")
+
+
+@query("logit_regressors", f"""
+    WITH {DESIGN_SQL}
+    SELECT model_id, region, COUNT(*) AS n, round(avg(x1), 4) AS x1_mean, round(avg(x2), 4) AS x2_mean,
+           round(max(x1), 4) AS x1_last, round(min(x2), 4) AS x2_last, round(avg(x1 * y), 4) AS x1_y FROM design GROUP BY 1, 2""")
+def logit_regressors(spark, sf):
+    """Regressors of all models, summed up per model and region for the comparison."""
+    rows = design_rows(spark, sf, part_models(spark, sf))
+    return rows.groupBy("model_id", "region").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("x1"), 4).alias("x1_mean"), F.round(F.avg("x2"), 4).alias("x2_mean"),
+        F.round(F.max("x1"), 4).alias("x1_last"), F.round(F.min("x2"), 4).alias("x2_last"),
+        F.round(F.avg(F.col("x1") * F.col("y")), 4).alias("x1_y"))
+
+
+ANCOVA_COLUMNS = ["delta_beta", "delta_gamma", "se_beta", "se_gamma", "rss"]
+
+
+@query("ancova_fit", f"""
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}
+    SELECT model_id, n, n_groups, df, rank_deficient, {', '.join(f'round({c}, 5) AS {c}' for c in ANCOVA_COLUMNS)},
+           round(delta_beta - {T_SQL} * se_beta, 5) AS delta_beta_lower, round(delta_beta + {T_SQL} * se_beta, 5) AS delta_beta_upper,
+           round(delta_gamma - {T_SQL} * se_gamma, 5) AS delta_gamma_lower, round(delta_gamma + {T_SQL} * se_gamma, 5) AS delta_gamma_upper
+    FROM ancova""")
+def ancova_fit(spark, sf):
+    fits = G.ancova_fit(part_groups(spark, sf), ["model_id"])
+    return fits.withColumns({c: F.round(c, 5) for c, t in fits.dtypes if t == "double"})
+
+
+@query("ancova_effects", f"""
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()},
+    lev AS (SELECT model_id, region, m_y - delta_beta * m_x1 - delta_gamma * m_x2 AS intercept FROM g JOIN ancova USING (model_id))
+    SELECT model_id, region, round(intercept, 4) AS intercept,
+           round(intercept - first_value(intercept) OVER (PARTITION BY model_id ORDER BY region), 4) AS effect FROM lev""")
+def ancova_effects(spark, sf):
+    """Region levels of every model, and their differences to the first region by name."""
+    groups = materialise(part_groups(spark, sf))
+    levels = G.ancova_intercepts(groups, G.ancova_fit(groups, ["model_id"]), ["model_id"], "region")
+    return levels.select("model_id", "region", F.round("intercept", 4).alias("intercept"), F.round("effect", 4).alias("effect"))
+
+
+@query("rank_deficiency_guard", f"""
+    WITH {V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL.replace('params AS', 'raw AS')},
+    params AS (SELECT model_id, a, CASE WHEN code = 10 THEN 0.0 ELSE k END::DOUBLE AS k FROM raw),
+    {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}, {groups_sql('design')}, {ancova_sql()}
+    SELECT model_id, rank_deficient, delta_beta IS NULL AS no_estimate FROM ancova""")
+def rank_deficiency_guard(spark, sf):
+    """Without control both integrals are straight lines in time: such models get no estimates."""
+    k = F.when(F.col("code") == 10, 0.0).otherwise(F.col("k"))
+    models = V.model_params(spark, sf).select("model_id", k.alias("k"), "a")
+    groups = G.group_sums(design_rows(spark, sf, models), ["model_id"], "region", X2, "y")
+    return G.ancova_fit(groups, ["model_id"]).select(
+        "model_id", "rank_deficient", F.col("delta_beta").isNull().alias("no_estimate"))
+
+
+# --- random intercept ----------------------------------------------------------
+
+def centred_sql(x: list[str] = X2, by: str = "model_id", g: str = "g", name: str = "cg") -> str:
+    cols = [*x, "y"]
+    parts = [f"m_{c} - sum(n * m_{c}) OVER w / sum(n) OVER w AS d_{c}" for c in cols]
+    parts += [f"sum(c_{a}_{b}) OVER w AS w_{a}_{b}" for a, b in combinations_with_replacement(cols, 2)]
+    return (f"{name} AS (SELECT {by}, region, n, sum(n) OVER w AS n_rows, {', '.join(f'm_{c}' for c in cols)}, {', '.join(parts)}"
+            f" FROM {g} WINDOW w AS (PARTITION BY {by}))")
+
+
+def evaluate_sql(source: str, name: str, x: list[str], reml: bool, by: str = "model_id") -> str:
+    cols = [*x, "y"]
+    pairs = list(combinations_with_replacement(cols, 2))
+    sums = [f"sum(v * d_{c}) AS s_{c}" for c in cols] + [f"sum(v * d_{a} * d_{b}) AS s_{a}_{b}" for a, b in pairs]
+    sums += [f"any_value(w_{a}_{b}) AS w_{a}_{b}" for a, b in pairs]
+    full = ", ".join(f"w_{a}_{b} + s_{a}_{b} - s_{a} * s_{b} / sv AS a_{a}_{b}" for a, b in pairs)
+    if len(x) == 1:
+        (p,) = x
+        solve = f"a_{p}_{p} AS det, a_{p}_y / nullif(a_{p}_{p}, 0) AS b_{p}, a_y_y - a_{p}_y * a_{p}_y / nullif(a_{p}_{p}, 0) AS q, 1 / nullif(a_{p}_{p}, 0) AS i_{p}"
+        inner = f"{name}_2 AS (SELECT *, {solve} FROM {name}_1)"
+    else:
+        p, q = x
+        inner = (f"{name}_d AS (SELECT *, CASE WHEN (a_{p}_{p} * a_{q}_{q} - a_{p}_{q} * a_{p}_{q}) / nullif(a_{p}_{p} * a_{q}_{q}, 0) >= 1e-12"
+                 f" THEN a_{p}_{p} * a_{q}_{q} - a_{p}_{q} * a_{p}_{q} END AS det FROM {name}_1)"
+                 f", {name}_b AS (SELECT *, (a_{q}_{q} * a_{p}_y - a_{p}_{q} * a_{q}_y) / det AS b_{p}, (a_{p}_{p} * a_{q}_y - a_{p}_{q} * a_{p}_y) / det AS b_{q},"
+                 f" a_{q}_{q} / det AS i_{p}, a_{p}_{p} / det AS i_{q} FROM {name}_d)"
+                 f", {name}_2 AS (SELECT *, a_y_y - b_{p} * a_{p}_y - b_{q} * a_{q}_y AS q FROM {name}_b)")
+    free = f"(n_rows - {len(x) + 1})::DOUBLE" if reml else "n_rows::DOUBLE"
+    extra = " + ln(sv) + ln(det)" if reml else ""
+    level = "s_y / sv" + "".join(f" - b_{c} * s_{c} / sv" for c in x)
+    return (
+        f"{name}_0 AS (SELECT {by}, lam, sum(v) AS sv, sum(ln(1 + n * lam)) AS slog, any_value(n_rows) AS n_rows, COUNT(*) AS n_groups, {', '.join(sums)}"
+        f" FROM (SELECT *, n / (1 + n * lam) AS v FROM {source}) GROUP BY {by}, lam)"
+        f", {name}_1 AS (SELECT *, {full} FROM {name}_0), {inner}"
+        f", {name} AS (SELECT {by}, lam, n_rows, n_groups, {free} * ln(2 * pi() * q / {free}) + {free} + slog{extra} AS deviance, q / {free} AS sigma2,"
+        f" {level} AS level, {', '.join(f'b_{c}' for c in x)}, {', '.join(f'sqrt(q / {free} * i_{c}) AS se_{c}' for c in x)}"
+        f" FROM {name}_2 WHERE q > 0)")
+
+
+def lambda_sql(name: str, x: list[str], reml: bool, by: str = "model_id", cg: str = "cg") -> str:
+    """Coarse grid, fine grid and vertex, as the operator searches."""
+    grid = ", ".join(f"({v!r}::DOUBLE)" for v in X.COARSE)
+    return (
+        f"{name}_grid(lam) AS (VALUES {grid}), {name}_c AS (SELECT * FROM {cg}, {name}_grid), "
+        + evaluate_sql(f"{name}_c", f"{name}_ce", x, reml, by)
+        + f", {name}_l0 AS (SELECT {by}, arg_min(lam, (deviance, lam)) AS lam0 FROM {name}_ce WHERE deviance IS NOT NULL GROUP BY {by})"
+        f", {name}_f AS (SELECT {cg}.*, step, CASE WHEN lam0 > 0 THEN lam0 * power(10.0::DOUBLE, step * {X.FINE_STEP}) ELSE {X.SMALLEST!r} * (step + 10) / 20 END AS lam"
+        f" FROM {cg} JOIN {name}_l0 USING ({by}), (SELECT CAST(unnest(generate_series(-10, 10)) AS INTEGER) AS step)), "
+        + evaluate_sql(f"{name}_f", f"{name}_fe", x, reml, f"{by}, step")
+        + f", {name}_n AS (SELECT *, lag(deviance) OVER w AS dm, lead(deviance) OVER w AS dp FROM {name}_fe WINDOW w AS (PARTITION BY {by} ORDER BY step))"
+        f", {name}_v AS (SELECT *, dm - 2 * deviance + dp AS bend FROM {name}_n)"
+        f", {name}_u AS (SELECT {by}, lam, deviance, CASE WHEN bend > 0 THEN (dm - dp) / (2 * bend) ELSE 0 END AS shift,"
+        f" deviance - CASE WHEN bend > 0 THEN power(dm - dp, 2) / (8 * bend) ELSE 0 END AS low FROM {name}_v)"
+        f", {name}_r AS (SELECT {by}, arg_min({{'lam': lam, 'shift': shift, 'low': low}}, (deviance, lam)) AS r FROM {name}_u WHERE deviance IS NOT NULL GROUP BY {by})"
+        f", {name} AS (SELECT {by}, CASE WHEN lam0 > 0 THEN r.lam * power(10.0::DOUBLE, r.shift * {X.FINE_STEP})"
+        f" ELSE greatest(0, r.lam + r.shift * {X.SMALLEST!r} / 20) END AS lam, r.low AS low FROM {name}_r JOIN {name}_l0 USING ({by}))")
+
+
+def fit_sql(name: str = "fit", reml: bool = True, by: str = "model_id") -> str:
+    return (lambda_sql(f"{name}_lam", X2, reml, by) + f", {name}_src AS (SELECT cg.*, lam FROM cg JOIN {name}_lam USING ({by})), "
+            + evaluate_sql(f"{name}_src", name, X2, reml, by))
+
+
+MIXED_COLUMNS = {"b_x1": 5, "b_x2": 5, "se_x1": 5, "se_x2": 5, "sigma2": 6, "deviance": 4}
+RSS_SQL = (
+    "eff AS (SELECT cg.*, fit.lam, level, b_x1, b_x2, d_y - level - b_x1 * d_x1 - b_x2 * d_x2 AS gap FROM cg JOIN fit USING (model_id))"
+    ", rss AS (SELECT model_id, any_value(w_y_y - 2 * b_x1 * w_x1_y + b_x1 * b_x1 * w_x1_x1 - 2 * b_x2 * w_x2_y + b_x2 * b_x2 * w_x2_x2 + 2 * b_x1 * b_x2 * w_x1_x2)"
+    " + sum(n * power(gap / (1 + n * lam), 2)) AS rss FROM eff GROUP BY 1)")
+
+
+def centred(groups, by=("model_id",)):
+    return materialise(X.centred_groups(groups, list(by), X2, "y"))
+
+
+def mixed_fits(rows, by=("model_id",)):
+    """Fits with the residual sum of squares of their fitted values."""
+    by = list(by)
+    fits = materialise(X.random_intercept_fit(rows, by, X2, "y"))
+    rss = X.mixed_rss(X.group_effects(rows, fits, by, "region", X2, "y"), by, X2, "y")
+    return fits.join(rss, by)
+
+
+@query("random_intercept_fit", f"""
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {RSS_SQL}
+    SELECT model_id, n_rows, n_groups, {', '.join(f'round({c}, {d}) AS {c}' for c, d in MIXED_COLUMNS.items())},
+           round(b_x1 - 1.959963984540054 * se_x1, 5) AS b_x1_lower, round(b_x2 + 1.959963984540054 * se_x2, 5) AS b_x2_upper,
+           round(lam, 5) AS lam, round(rss, 4) AS rss FROM fit JOIN rss USING (model_id)""")
+def random_intercept_fit(spark, sf):
+    fits = mixed_fits(centred(part_groups(spark, sf)))
+    return fits.select("model_id", "n_rows", "n_groups", *[F.round(c, d).alias(c) for c, d in MIXED_COLUMNS.items()],
+                       F.round("b_x1_lower", 5).alias("b_x1_lower"), F.round("b_x2_upper", 5).alias("b_x2_upper"),
+                       F.round("lam", 5).alias("lam"), F.round("rss", 4).alias("rss"))
+
+
+@query("random_intercept_effects", f"""
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {RSS_SQL}
+    SELECT model_id, region, round(n * lam / (1 + n * lam) * gap, 5) AS effect,
+           round(m_y - d_y + level - b_x1 * (m_x1 - d_x1) - b_x2 * (m_x2 - d_x2) + n * lam / (1 + n * lam) * gap, 4) AS intercept FROM eff""")
+def random_intercept_effects(spark, sf):
+    """Predicted region effects of every model; fitted values start from ``intercept``."""
+    rows = centred(part_groups(spark, sf))
+    fits = materialise(X.random_intercept_fit(rows, ["model_id"], X2, "y"))
+    eff = X.group_effects(rows, fits, ["model_id"], "region", X2, "y")
+    return eff.select("model_id", "region", F.round("effect", 5).alias("effect"), F.round("intercept", 4).alias("intercept"))
+
+
+@query("nested_lrt", f"""
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {lambda_sql('full_ml', X2, False)},
+    {lambda_sql('only_x2', ['x2'], False)}, {lambda_sql('only_x1', ['x1'], False)},
+    both_tests AS (SELECT r.model_id, 'x1' AS dropped, greatest(r.low - f.low, 0) AS chi2 FROM only_x2 r JOIN full_ml f USING (model_id)
+    UNION ALL SELECT r.model_id, 'x2', greatest(r.low - f.low, 0) FROM only_x1 r JOIN full_ml f USING (model_id))
+    SELECT model_id, dropped, round(chi2, 4) AS chi2, CASE WHEN chi2 > 10.827566170662733 THEN 'p < 0.001 (***)' WHEN chi2 > 6.634896601021213
+           THEN '0.001 < p < 0.01 (**)' WHEN chi2 > 3.841458820694124 THEN '0.01 < p < 0.05 (*)' ELSE 'p > 0.05 ( )' END AS signif FROM both_tests""")
+def nested_lrt(spark, sf):
+    tests = X.nested_lrt(centred(part_groups(spark, sf)), ["model_id"], X2, "y")
+    return tests.select("model_id", "dropped", F.round("chi2", 4).alias("chi2"), "signif")
+
+
+# --- sweeps ----------------------------------------------------------------------
+
+DIRECT = {"kappa": C.KAPPA, "beta_w": C.BETA_W, "gamma_w": C.GAMMA_W, "sn": C.SUSCEPTIBLE}
+
+
+def sweep_models(spark, sf):
+    """Per brand: 20 direct perturbations and 19 that come from the first step.
+
+    In the propagated ones k and a stand for re-estimates under the perturbation,
+    beta_w follows R0 only, and the susceptible share is floored to a multiple of 0.05.
+    """
+    brands = brand_models(spark, sf)
+    direct = cross_sweep(brands, {n: F.lit(v) for n, v in DIRECT.items()}, {}).withColumn("kind", F.lit("direct"))
+    first = cross_sweep(brands, {n: F.lit(v) for n, v in REF.items()}, {"SN0": 1.0})
+    m = F.col("multiplier")
+    propagated = first.select(
+        "brand", (F.col("k") * F.least(m, F.lit(1.0))).alias("k"), (F.col("a") * m).alias("a"), "fixed_parm", "multiplier",
+        "kappa", F.when(F.col("fixed_parm") == "R0", F.col("R0") * C.GAMMA_W).otherwise(C.BETA_W).alias("beta_w"),
+        F.col("gamma").alias("gamma_w"), L.floor_to(F.col("SN0") * 0.83, 0.05).alias("sn"),
+        F.lit("propagated").alias("kind"))
+    both = direct.unionByName(propagated)
+    name = F.concat_ws("|", "kind", "brand", "fixed_parm", F.format_string("%.1f", "multiplier"))
+    return both.withColumn("model_id", name).select("model_id", "k", "a", *DIRECT)
+
+
+SWEEP_MODELS_SQL = (
+    V.PARAMS_SQL.replace("params AS", "raw AS") +
+    ", brands AS (SELECT brand, arg_min(model_id, (value, model_id)) AS model_id FROM raw WHERE code = 0 GROUP BY 1)"
+    ", bp AS (SELECT raw.brand, k, a FROM raw JOIN brands USING (model_id))"
+    ", mult(m, lab) AS (VALUES (0.8::DOUBLE, '0.8'), (0.9::DOUBLE, '0.9'), (1.0::DOUBLE, '1.0'), (1.1::DOUBLE, '1.1'), (1.2::DOUBLE, '1.2'))"
+    ", dn(p) AS (VALUES ('kappa'), ('beta_w'), ('gamma_w'), ('sn')), pn(p) AS (VALUES ('R0'), ('kappa'), ('gamma'), ('SN0'))"
+    ", params AS (SELECT 'direct|' || brand || '|' || p || '|' || lab AS model_id, k, a, 0.2::DOUBLE * CASE WHEN p = 'kappa' THEN m ELSE 1 END AS kappa,"
+    " 0.25::DOUBLE * CASE WHEN p = 'beta_w' THEN m ELSE 1 END AS beta_w, 0.1::DOUBLE * CASE WHEN p = 'gamma_w' THEN m ELSE 1 END AS gamma_w,"
+    " 0.75::DOUBLE * CASE WHEN p = 'sn' THEN m ELSE 1 END AS sn FROM bp, dn, mult"
+    " UNION ALL SELECT 'propagated|' || brand || '|' || p || '|' || lab, k * least(m, 1), a * m, 0.2::DOUBLE * CASE WHEN p = 'kappa' THEN m ELSE 1 END,"
+    " CASE WHEN p = 'R0' THEN 2.5::DOUBLE * m * 0.1 ELSE 0.25 END, 0.1::DOUBLE * CASE WHEN p = 'gamma' THEN m ELSE 1 END,"
+    " floor(0.9::DOUBLE * CASE WHEN p = 'SN0' THEN m ELSE 1 END * 0.83::DOUBLE / 0.05::DOUBLE) * 0.05::DOUBLE FROM bp, pn, mult WHERE NOT (p = 'SN0' AND m > 1.15))")
+SWEEP_DESIGN_SQL = (
+    f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {SWEEP_MODELS_SQL}"
+    ", f AS (SELECT params.*, day_idx, coalesce(k * pow(psi / 100, a), 0) AS c FROM params, control_idx)"
+    ", h AS (SELECT *, sqrt(power(kappa - gamma_w, 2) + 4 * kappa * (1 - c) * beta_w * sn) AS root FROM f)"
+    ", pre AS (SELECT model_id, day_idx, (1 - c) / root AS f1, 1 / root AS f2,"
+    " coalesce(sum((1 - c) / root) OVER w, 0) AS p1, coalesce(sum(1 / root) OVER w, 0) AS p2 FROM h"
+    " WINDOW w AS (PARTITION BY model_id ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+    ", pts AS (SELECT DISTINCT t FROM retained), st AS (SELECT region, min(t) AS t0 FROM retained GROUP BY 1)"
+    ", ptab AS (SELECT model_id, t, p1 + (t - floor(t)) * f1 AS i1, p2 + (t - floor(t)) * f2 AS i2 FROM pre JOIN pts ON day_idx = floor(t))"
+    ", design AS (SELECT e.model_id, r.region, r.t, r.y, kappa * sn * (e.i1 - s.i1) AS x1,"
+    " -0.5::DOUBLE * ((kappa - gamma_w) * (e.i2 - s.i2) + r.t - st.t0) AS x2"
+    " FROM retained r JOIN st USING (region) JOIN ptab e ON e.t = r.t JOIN ptab s ON s.t = st.t0 AND s.model_id = e.model_id JOIN params ON params.model_id = e.model_id)")
+
+
+@query("many_model_sweep", f"""
+    WITH {SWEEP_DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}
+    SELECT model_id, n_rows, round(b_x1, 4) AS b_x1, round(b_x2, 4) AS b_x2, round(se_x1, 4) AS se_x1, round(se_x2, 4) AS se_x2 FROM fit""")
+def many_model_sweep(spark, sf):
+    rows = design_rows(spark, sf, sweep_models(spark, sf))
+    fits = X.random_intercept_fit(centred(G.group_sums(rows, ["model_id"], "region", X2, "y")), ["model_id"], X2, "y")
+    return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in ("b_x1", "b_x2", "se_x1", "se_x2")])
+
+
+@query("random_intercept_profile_ci")
+def random_intercept_profile_ci(spark, sf):
+    """Profile-likelihood limits of both slopes for the best parameters of each brand."""
+    models = brand_models(spark, sf).withColumnRenamed("brand", "model_id")
+    rows = centred(G.group_sums(design_rows(spark, sf, models), ["model_id"], "region", X2, "y"))
+    fits = materialise(X.random_intercept_fit(rows, ["model_id"], X2, "y"))
+    parts = {x: X.profile_limits(rows, fits, ["model_id"], X2, "y", x) for x in X2}
+    return union_tagged(parts, "slope")
+
+
+@query("coord_table", f"""
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}
+    SELECT model_id, round(delta_beta, 5) AS delta_beta, round(delta_gamma, 5) AS delta_gamma,
+           round(delta_beta - {T_SQL} * se_beta, 5) AS delta_beta_lower, round(delta_gamma + {T_SQL} * se_gamma, 5) AS delta_gamma_upper,
+           round(rss, 4) AS rss FROM ancova WHERE delta_beta IS NOT NULL ORDER BY rss DESC, model_id""")
+def coord_table(spark, sf):
+    fits = G.ancova_fit(part_groups(spark, sf), ["model_id"]).dropna(subset=["delta_beta"])
+    return fits.orderBy(F.desc("rss"), "model_id").select(
+        "model_id", F.round("delta_beta", 5).alias("delta_beta"), F.round("delta_gamma", 5).alias("delta_gamma"),
+        F.round("delta_beta_lower", 5).alias("delta_beta_lower"), F.round("delta_gamma_upper", 5).alias("delta_gamma_upper"),
+        F.round("rss", 4).alias("rss"))
+
+
+# --- selection against control ------------------------------------------------------
+
+CORR_SQL = (
+    "pairs AS (SELECT region AS place, s, x FROM xs UNION ALL SELECT 'national', s, x FROM nat JOIN mc USING (period))"
+    ", c AS (SELECT place, COUNT(*) AS n, covar_pop(s, x) / nullif(sqrt(var_pop(s) * var_pop(x)), 0) AS r FROM pairs GROUP BY 1)")
+NATIONAL_SQL = (
+    "nat_p AS (SELECT period, CAST(n_variant AS DOUBLE) / n_total AS fm FROM (SELECT period, sum(n_variant) AS n_variant, sum(n_total) AS n_total FROM counts GROUP BY 1))"
+    ", nat_s AS (SELECT period, (lead(ln(fm / (1 - fm))) OVER w - lag(ln(fm / (1 - fm))) OVER w) / 2 AS s FROM nat_p"
+    " WHERE fm > 0.1 AND fm < 1 WINDOW w AS (ORDER BY period)), nat AS (SELECT * FROM nat_s WHERE s IS NOT NULL)")
+TEST_COLUMNS_SQL = """n, round(r, 6) AS r,
+    CASE WHEN n >= 4 AND abs(r) < 1 THEN round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) END AS ci_lower,
+    CASE WHEN n >= 4 AND abs(r) < 1 THEN round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) END AS ci_upper,
+    CASE WHEN n > 2 AND abs(r) < 1 THEN round(r * sqrt((n - 2) / (1 - r * r)), 6) END AS t_stat,
+    CASE WHEN n > 2 THEN n - 2 END AS df"""
+
+
+def place_pairs(spark, sf):
+    """(place, s, x): monthly central differences and the mean control, by region and in total."""
+    dim = week_control(spark, sf, "month").withColumnRenamed("psi_mean", "x")
+    cells = V.panel(spark, sf, national=True).filter((F.col("fm") > 0.1) & F.col("logit_fm").isNotNull())
+    total = O.selection_coef_diff(cells.withColumn("place", F.lit("national")), ["place"], "period", "logit_fm")
+    regional = selection(spark, sf).withColumnRenamed("region", "place")
+    return regional.unionByName(total).join(dim, "period").select("place", "s", "x")
+
+
+@query("selection_vs_control", f"""
+    WITH {RESIDUAL_SQL}, {NATIONAL_SQL}, {CORR_SQL} SELECT place, {TEST_COLUMNS_SQL} FROM c""")
+def selection_vs_control(spark, sf):
+    """Correlation of the selection coefficient with the control index, by place."""
+    tests = G.corr_test(place_pairs(spark, sf), ["place"], "x", "s")
+    return tests.withColumns({c: F.round(c, 6) for c in ("r", "ci_lower", "ci_upper", "t_stat")})
+
+
+@query("corr_test", """
+    WITH c AS (SELECT l_partkey AS place, COUNT(*) AS n, covar_pop(l_extendedprice, l_quantity)
+    / nullif(sqrt(var_pop(l_extendedprice) * var_pop(l_quantity)), 0) AS r FROM lineitem GROUP BY 1)
+    SELECT place, """ + TEST_COLUMNS_SQL + " FROM c")
+def corr_test(spark, sf):
+    """Price against quantity for each part, with Fisher limits."""
+    lines = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("place"), "l_quantity", "l_extendedprice")
+    tests = G.corr_test(lines, ["place"], "l_quantity", "l_extendedprice")
+    return tests.withColumns({c: F.round(c, 6) for c in ("r", "ci_lower", "ci_upper", "t_stat")})
+
+
+@query("nested_f_test", f"""
+    WITH {RESIDUAL_SQL}, {groups_sql('xs', "'all' AS tag", ['x'], 's').replace("GROUP BY 'all' AS tag, region", 'GROUP BY region')},
+    s AS (SELECT sum(n) AS n, COUNT(*) AS g, sum(c_s_s) AS rss1, sum(c_x_x) AS xx, sum(c_x_s) AS xy,
+        sum(c_s_s - coalesce(c_x_s * c_x_s / nullif(c_x_x, 0), 0)) AS rss3 FROM g),
+    r AS (SELECT *, rss1 - xy * xy / nullif(xx, 0) AS rss2 FROM s)
+    SELECT CAST(n AS BIGINT) AS n, g, round(rss1, 6) AS rss1, round(rss2, 6) AS rss2, round(rss3, 6) AS rss3, 1 AS df_12, CAST(n - g - 1 AS BIGINT) AS df_2,
+           g - 1 AS df_23, CAST(n - 2 * g AS BIGINT) AS df_3, round((rss1 - rss2) / nullif(rss2 / (n - g - 1), 0), 6) AS f_12,
+           round(((rss2 - rss3) / (g - 1)) / nullif(rss3 / (n - 2 * g), 0), 6) AS f_23 FROM r""")
+def nested_f_test(spark, sf):
+    groups = G.group_sums(selection_with_control(spark, sf), [], "region", ["x"], "s")
+    test = G.nested_f_test(groups, [], "x", "s")
+    return test.withColumns({c: F.round(c, 6) for c, t in test.dtypes if t == "double"})
+
+
+@query("interaction_lines", f"""
+    WITH {RESIDUAL_SQL}, g AS (SELECT region, COUNT(*) AS n, covar_pop(x, s) / nullif(var_pop(x), 0) AS b, avg(s) AS ms, avg(x) AS mx FROM xs GROUP BY 1)
+    SELECT region, n, round(b, 6) AS slope, round(ms - b * mx, 6) AS intercept FROM g""")
+def interaction_lines(spark, sf):
+    """Coefficients of the full interaction model, a line per region."""
+    groups = G.group_sums(selection_with_control(spark, sf), [], "region", ["x"], "s")
+    lines = G.slopes_by_group(groups, [], "region", "x", "s")
+    return lines.withColumns({c: F.round(c, 6) for c in ("slope", "intercept")})
+
+
+@query("national_trend", f"""
+    WITH {RESIDUAL_SQL}, {NATIONAL_SQL}
+    SELECT COUNT(*) AS n, round(regr_slope(s, x), 6) AS slope, round(regr_intercept(s, x), 6) AS intercept, round(regr_r2(s, x), 6) AS r2
+    FROM nat JOIN mc USING (period)""")
+def national_trend(spark, sf):
+    rows = place_pairs(spark, sf).filter("place = 'national'")
+    trend = G.national_trend(rows, [], "x", "s")
+    return trend.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "r2")})
+
+
+# --- search and profiles ----------------------------------------------------------------
+
+SEARCH_BOXES = {"mu": (0.5, 1.5), "eta": (-0.02, 0.02)}
+SEARCH_KEEP, SEARCH_ROUNDS = 10, 3
+
+
+def _search_sql() -> str:
+    parts, selects = [], []
+    for i in range(1, SEARCH_ROUNDS + 1):
+        if i == 1:
+            (m0, m1), (e0, e1) = SEARCH_BOXES.values()
+            parts.append(f"box1 AS (SELECT {m0}::DOUBLE AS m0, {m1}::DOUBLE AS m1, {e0}::DOUBLE AS e0, {e1}::DOUBLE AS e1)")
+        else:
+            parts.append(f"box{i} AS (SELECT min(mu) AS m0, max(mu) AS m1, min(eta) AS e0, max(eta) AS e1 FROM best{i - 1})")
+        seed = f"'1234-{i}'"
+        parts.append(f"start{i} AS (SELECT p_partkey AS candidate, m0 + (m1 - m0) * {uniform_sql(seed, 'p_partkey', repr('mu'))} AS mu,"
+                     f" e0 + (e1 - e0) * {uniform_sql(seed, 'p_partkey', repr('eta'))} AS eta FROM part, box{i})")
+        parts.append(f"score{i} AS (SELECT candidate, any_value(mu) AS mu, any_value(eta) AS eta, sum(power(value - base * (mu + eta * t), 2)"
+                     f" / greatest(base * (mu + eta * t), greatest(0.001, (SELECT min(value) FROM obs)))) AS score FROM start{i}, points GROUP BY 1)")
+        parts.append(f"best{i} AS (SELECT * FROM score{i} ORDER BY score, candidate LIMIT {SEARCH_KEEP})")
+        selects.append(f"SELECT {i} AS round, candidate, round(mu, 6) AS mu, round(eta, 6) AS eta, round(score, 4) AS score FROM best{i}")
+    return f"WITH {OBS_SQL}, {', '.join(parts)} {' UNION ALL '.join(selects)}"
+
+
+@query("candidate_search", _search_sql())
+def candidate_search(spark, sf):
+    """Three rounds over a start per part; boxes shrink to the span of the best ten."""
+    ids = V.table(spark, sf, "part").select(F.col("p_partkey").alias("candidate"))
+    best = S.candidate_search(ids, observations(spark, sf), SEARCH_BOXES, expected_line, SEARCH_KEEP, SEARCH_ROUNDS)
+    return best.select("round", "candidate", F.round("mu", 6).alias("mu"), F.round("eta", 6).alias("eta"),
+                       F.round("score", 4).alias("score"))
+
+
+PROFILE_POINTS = 100
+
+
+@query("profile_scan", f"""
+    WITH {OBS_SQL}, raw AS (SELECT p_partkey AS candidate, p_partkey % {PROFILE_POINTS} AS g, p_partkey % 3 AS code, 0.5 + p_size / 51.0::DOUBLE AS mu0,
+        (p_retailprice - 950) / 5000 AS eta0 FROM part),
+    cand AS (SELECT 'eta' AS parm, candidate, g, code, mu0 AS mu, -0.01::DOUBLE + 0.02::DOUBLE * g / {PROFILE_POINTS - 1} AS eta FROM raw
+        UNION ALL SELECT 'mu', candidate, g, code, 0.5::DOUBLE + 1.0::DOUBLE * g / {PROFILE_POINTS - 1}, eta0 FROM raw),
+    sc AS (SELECT parm, candidate, g, code, sum(power(value - base * (mu + eta * t), 2)
+        / greatest(base * (mu + eta * t), greatest(0.001, (SELECT min(value) FROM obs)))) AS score FROM cand, points GROUP BY ALL)
+    SELECT parm, g, round(min(CASE WHEN code = 0 THEN score END), 4) AS wls FROM sc GROUP BY 1, 2""")
+def profile_scan(spark, sf):
+    """Profiles of both line parameters: fixed on a grid, the other one free over the candidates."""
+    key = F.col("candidate")
+    g, last = (key % PROFILE_POINTS), PROFILE_POINTS - 1
+    rows = candidates(spark, sf).withColumns({"g": g, "code": key % 3})
+    eta = rows.withColumns({"parm": F.lit("eta"), "eta": -0.01 + 0.02 * F.col("g") / last})
+    mu = rows.withColumns({"parm": F.lit("mu"), "mu": 0.5 + 1.0 * F.col("g") / last})
+    table = eta.unionByName(mu).withColumn("candidate", F.concat_ws("|", "parm", key.cast("string")))
+    scored = S.score_candidates(table, materialise(observations(spark, sf)), expected_line)
+    return S.profile_scan(scored, "g", "score", F.col("code") == 0, ["parm"]).withColumn("wls", F.round("wls", 4))
+
+
+# --- bootstrap of the second step -----------------------------------------------------------
+
+BOOT_LAWS = {"Rademacher": "CASE WHEN u < 0.5 THEN 1.0 ELSE -1.0 END", "Mammen2": MAMMEN_SQL}
+BOOT_REPLICATES = 200
+BEST_DESIGN_SQL = (
+    f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, params AS (SELECT 1 AS model_id, {C.BEST_K}::DOUBLE AS k, {C.BEST_A}::DOUBLE AS a)"
+    f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}")
+BOOT_SQL = (
+    f"{BEST_DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}"
+    ", base AS (SELECT d.region, d.t, d.x1, d.x2, d.y, g.m_y + delta_beta * (d.x1 - g.m_x1) + delta_gamma * (d.x2 - g.m_x2) AS expected"
+    " FROM design d JOIN g USING (model_id, region) JOIN ancova USING (model_id))"
+    f", b AS (SELECT CAST(unnest(generate_series(1, {BOOT_REPLICATES})) AS INTEGER) AS replicate)"
+    f", drawn AS (SELECT *, y - expected AS residual, {uniform_sql('456', 'replicate', 'region', 'period_text')} AS u"
+    " FROM (SELECT *, CAST(CAST(floor(t) AS INTEGER) AS VARCHAR) AS period_text FROM base), b)"
+    ", ystar AS (" + " UNION ALL ".join(
+        f"SELECT '{law}|' || replicate AS model_id, region, x1, x2, expected + residual * ({sql}) AS y FROM drawn" for law, sql in BOOT_LAWS.items())
+    + f"), {groups_sql('ystar', name='bg')}, {ancova_sql(g='bg', name='boot')}")
+
+
+def bootstrap_fits(spark, sf):
+    """ANCOVA of every replicate of both laws at the best control parameters."""
+    models = V.table(spark, sf, "orders").limit(1).select(
+        F.lit(1).alias("model_id"), F.lit(C.BEST_K).alias("k"), F.lit(C.BEST_A).alias("a"))
+    design = materialise(design_rows(spark, sf, models))
+    groups = G.group_sums(design, ["model_id"], "region", X2, "y")
+    levels = G.ancova_intercepts(groups, G.ancova_fit(groups, ["model_id"]), ["model_id"], "region")
+    fitted = G.fitted_rows(design, levels, ["model_id"], "region").select(
+        "region", "x1", "x2", F.floor("t").cast("int").alias("day_idx"),
+        F.col("fitted").alias("expected"), "residual")
+    fitted = materialise(fitted)
+    parts = {law: wild_replicates(fitted, ["region", "day_idx"], BOOT_REPLICATES, law, 456).withColumnRenamed("value", "y")
+             for law in BOOT_LAWS}
+    rows = union_tagged(parts, "law")
+    return G.ancova_fit(G.group_sums(rows, ["law", "replicate"], "region", X2, "y"), ["law", "replicate"])
+
+
+@query("wild_refit", f"""
+    WITH {BOOT_SQL}
+    SELECT split_part(model_id, '|', 1) AS law, CAST(split_part(model_id, '|', 2) AS INTEGER) AS replicate,
+           CASE WHEN rank_deficient THEN 'No convergence' ELSE 'Successful completion' END AS convergence,
+           round(delta_beta, 5) AS delta_beta, round(delta_gamma, 5) AS delta_gamma, round(rss, 4) AS rss FROM boot""")
+def wild_refit(spark, sf):
+    label = F.when(F.col("rank_deficient"), "No convergence").otherwise("Successful completion")
+    return bootstrap_fits(spark, sf).select(
+        "law", "replicate", label.alias("convergence"), F.round("delta_beta", 5).alias("delta_beta"),
+        F.round("delta_gamma", 5).alias("delta_gamma"), F.round("rss", 4).alias("rss"))
+
+
+@query("bootstrap_summary", f"""
+    WITH {BOOT_SQL}, v AS (SELECT split_part(model_id, '|', 1) AS law, delta_beta, delta_gamma, {s_sql('delta_beta', 'delta_gamma')} AS s_day FROM boot),
+    long AS (SELECT law, 'delta_beta' AS param, delta_beta AS x FROM v UNION ALL SELECT law, 'delta_gamma', delta_gamma FROM v
+        UNION ALL SELECT law, 's_day', s_day FROM v UNION ALL SELECT law, 's_week', 7 * s_day FROM v)
+    SELECT law, param, COUNT(x) AS n, round(min(x), 5) AS min, round(avg(x), 5) AS mean, round(max(x), 5) AS max, round(stddev_samp(x), 5) AS sd,
+           round(quantile_cont(x, 0.025), 5) AS lower, round(quantile_cont(x, 0.25), 5) AS q1, round(quantile_cont(x, 0.5), 5) AS median,
+           round(quantile_cont(x, 0.75), 5) AS q3, round(quantile_cont(x, 0.975), 5) AS upper FROM long GROUP BY 1, 2""")
+def bootstrap_summary(spark, sf):
+    """Limits, quartiles, mean and deviation per law and parameter, with s per day and week."""
+    fits = materialise(bootstrap_fits(spark, sf))
+    s = C.selection_coef(F.col("delta_beta"), F.col("delta_gamma"))
+    wide = fits.select("law", "delta_beta", "delta_gamma", s.alias("s_day"), (7 * s).alias("s_week"))
+    long = wide.unpivot(["law"], ["delta_beta", "delta_gamma", "s_day", "s_week"], "param", "x")
+    named = {"lower": .025, "q1": .25, "median": .5, "q3": .75, "upper": .975}
+    out = M.summary_with_quantiles(long, ["law", "param"], "x", named, group_rows=BOOT_REPLICATES)
+    return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
+
+
+@query("density_table", """
+    WITH cut AS (SELECT event_type, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM events GROUP BY 1),
+    kept AS (SELECT event_type, value, lo, hi FROM events JOIN cut USING (event_type) WHERE value BETWEEN lo AND hi),
+    bw AS (SELECT event_type, COUNT(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi, 0.9 * least(stddev_samp(value),
+        (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * power(COUNT(*), -0.2::DOUBLE) AS bw FROM kept GROUP BY 1),
+    grid AS (SELECT event_type, n, bw, g, lo + g * (hi - lo) / 511 AS x FROM bw, (SELECT CAST(unnest(generate_series(0, 511)) AS INTEGER) AS g))
+    SELECT event_type, g, round(x, 6) AS x, round(bw, 6) AS bw, round(sum(exp(-power((value - x) / bw, 2) / 2)) / any_value(n * bw * sqrt(2 * pi())), 6) AS density
+    FROM grid JOIN kept USING (event_type) GROUP BY event_type, g, x, bw""")
+def density_table(spark, sf):
+    events = V.table(spark, sf, "events").select("event_type", "value")
+    out = M.density_table(events, ["event_type"], "value")
+    return out.select("event_type", "g", *[F.round(c, 6).alias(c) for c in ("x", "bw", "density")])
+
+
+@query("sensitivity_table", """
+    WITH est AS (SELECT p_brand, p_type, AVG(p_size) AS k, AVG(p_retailprice) AS a FROM part GROUP BY 1, 2),
+    long AS (SELECT p_brand, p_type, 'k' AS estim_parm, k AS estimates FROM est UNION ALL SELECT p_brand, p_type, 'a', a FROM est)
+    SELECT p_brand, p_type, estim_parm, round(estimates, 6) AS estimates, round(estimates / nullif(max(CASE WHEN p_type = 'STANDARD' THEN estimates END)
+           OVER (PARTITION BY p_brand, estim_parm), 0) - 1, 6) AS estimates_var FROM long""")
+def sensitivity_table(spark, sf):
+    """Change of each estimate against the reference variant of its brand."""
+    est = V.table(spark, sf, "part").groupBy("p_brand", "p_type").agg(
+        F.avg("p_size").alias("k"), F.avg("p_retailprice").alias("a"))
+    long = est.unpivot(["p_brand", "p_type"], ["k", "a"], "estim_parm", "estimates")
+    long = long.withColumn("is_ref", F.col("p_type") == "STANDARD")
+    out = O.relative_to_reference(long, ["p_brand", "estim_parm"], "estimates", "is_ref", "estimates_var")
+    return out.select("p_brand", "p_type", "estim_parm", F.round("estimates", 6).alias("estimates"),
+                      F.round("estimates_var", 6).alias("estimates_var"))
+

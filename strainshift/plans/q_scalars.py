@@ -233,7 +233,7 @@ def gradient_integrands(spark, sf):
 
 def gradient_rows(spark, sf, approximate=False):
     """R = 0, .01, .., 2 for three effects, as large as the brand's sizes say."""
-    brands = V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg((F.avg("p_size") / 100).alias("d"))
+    brands = V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg((F.avg("p_size") / 103.9).alias("d"))
     grid = expand_values(expand_range(brands, "i", 0, 200), "effect", [1, 2, 3]).withColumn("R", F.col("i") / 100)
     d = [F.when(F.col("effect") == e, F.col("d")).otherwise(0.0) for e in (1, 2, 3)]
     return grid.withColumn("s", C.selection_gradient(F.col("R"), 10, 10, *d, approximate=approximate))
@@ -244,7 +244,7 @@ def gradient_sql(log: str) -> str:
             f" ELSE -2 * d * (r - 1) * 10 / 100 + r * (2 * d * {log}) / 10 END")
 
 
-GRADIENT_SQL = ("brands AS (SELECT p_brand AS brand, avg(p_size) / 100 AS d FROM part GROUP BY 1), grid AS (SELECT brand, d, i,"
+GRADIENT_SQL = ("brands AS (SELECT p_brand AS brand, avg(p_size) / 103.9::DOUBLE AS d FROM part GROUP BY 1), grid AS (SELECT brand, d, i,"
                 " CAST(i AS DOUBLE) / 100 AS r, effect FROM brands, (SELECT CAST(unnest(generate_series(0, 200)) AS INTEGER) AS i),"
                 " (SELECT CAST(unnest(generate_series(1, 3)) AS INTEGER) AS effect))")
 EXACT_S = f"CASE WHEN r > 0 THEN {gradient_sql('ln(CASE WHEN r > 0 THEN r ELSE 1 END)')} END"

@@ -54,7 +54,7 @@ def segment_weights(points: DataFrame, control: DataFrame) -> DataFrame:
 
 
 def prefix_integrals(models: DataFrame, weights: DataFrame, fixed: dict | None = None) -> DataFrame:
-    """Integrals from 0 to each time point, for every model.
+    """Integrals from 0 to each time point t, for every model.
 
     The segment weights are bounded by the calendar and travel as one array. Models
     must be partitioned by ``model_id``; then neither the sum per segment nor the
@@ -62,10 +62,11 @@ def prefix_integrals(models: DataFrame, weights: DataFrame, fixed: dict | None =
     """
     rows = daily_integrands(expand_calendar(models, weights), fixed=fixed)
     segments = rows.groupBy(*models.columns, "j").agg(
-        F.sum(F.col("weight") * F.col("f1")).alias("_s1"), F.sum(F.col("weight") * F.col("f2")).alias("_s2"))
+        F.sum(F.col("weight") * F.col("f1")).alias("_s1"), F.sum(F.col("weight") * F.col("f2")).alias("_s2"),
+        F.sum("weight").alias("_s0"))
     run = W.partitionBy("model_id").orderBy("j")
-    return segments.select(*models.columns, "j", F.sum("_s1").over(run).alias("int_f1"),
-                           F.sum("_s2").over(run).alias("int_f2"))
+    return segments.select(*models.columns, "j", F.sum("_s0").over(run).alias("t"),
+                           F.sum("_s1").over(run).alias("int_f1"), F.sum("_s2").over(run).alias("int_f2"))
 
 
 def daily_prefix(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:

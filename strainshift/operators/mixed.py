@@ -24,7 +24,8 @@ FINE_STEPS = range(-10, 11)
 FINE_STEP = 0.025
 # Near zero the second grid is linear up to the smallest positive value of the first.
 SMALLEST = COARSE[1]
-CHI2_95 = 3.841458820694124
+# Collinear regressors: relative determinant below this gives no estimates.
+RANK_TOLERANCE = 1e-12
 
 
 def centred_groups(groups: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
@@ -39,6 +40,16 @@ def centred_groups(groups: DataFrame, by: list[str], x: list[str], y: str) -> Da
     return out.drop(*[c for c in groups.columns if c.startswith("c_")])
 
 
+def selection_groups(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Centred groups of (x1, z, y), with the sums of x2 = z + rho x1 derived from them."""
+    out, rho = centred_groups(groups, by, ["x1", "z"], "y"), F.col("rho")
+    return out.withColumns({
+        "m_x2": F.col("m_z") + rho * F.col("m_x1"), "d_x2": F.col("d_z") + rho * F.col("d_x1"),
+        "w_x1_x2": F.col("w_x1_z") + rho * F.col("w_x1_x1"),
+        "w_x2_x2": F.col("w_z_z") + 2 * rho * F.col("w_x1_z") + rho * rho * F.col("w_x1_x1"),
+        "w_x2_y": F.col("w_z_y") + rho * F.col("w_x1_y")})
+
+
 def _solve(s: dict[str, Column], x: list[str], y: str) -> tuple[dict[str, Column], Column, Column, dict]:
     """Slopes, Q, determinant and diagonal of the inverse for one or two regressors."""
     if len(x) == 1:
@@ -48,11 +59,11 @@ def _solve(s: dict[str, Column], x: list[str], y: str) -> tuple[dict[str, Column
         return beta, s[f"{y}_{y}"] - beta[p] * s[f"{p}_{y}"], a, {p: 1 / a}
     p, q = x
     a, b, c = s[f"{p}_{p}"], s[f"{q}_{q}"], s[f"{p}_{q}"]
-    det = F.when(F.try_divide(a * b - c * c, a * b) >= 1e-12, a * b - c * c)
+    det = F.when(F.try_divide(a * b - c * c, a * b) >= RANK_TOLERANCE, a * b - c * c)
     beta = {p: (b * s[f"{p}_{y}"] - c * s[f"{q}_{y}"]) / det,
             q: (a * s[f"{q}_{y}"] - c * s[f"{p}_{y}"]) / det}
     q_sum = s[f"{y}_{y}"] - beta[p] * s[f"{p}_{y}"] - beta[q] * s[f"{q}_{y}"]
-    return beta, q_sum, det, {p: b / det, q: a / det}
+    return beta, q_sum, det, {p: b / det, q: a / det, "cross": -c / det}
 
 
 def evaluate(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool, lam: str = "lam") -> DataFrame:
@@ -84,7 +95,7 @@ def evaluate(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool, l
     return out.select(
         *by, lam, "n_rows", "n_groups", deviance.alias("deviance"), (q / free).alias("sigma2"),
         level.alias("level"), *[f"b_{c}" for c in x],
-        *[F.sqrt(q / free * F.col(f"i_{c}")).alias(f"se_{c}") for c in x])
+        *[(q / free * F.col(f"i_{c}")).alias(f"var_{c}") for c in inverse])
 
 
 def best_lambda(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool) -> DataFrame:
@@ -112,15 +123,28 @@ def best_lambda(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool
 
 
 def random_intercept_fit(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool = True) -> DataFrame:
-    """y ~ x + (1 | group) per model at its best variance ratio, with Wald limits."""
+    """y ~ x + (1 | group) per model at its best variance ratio."""
     lam = best_lambda(rows, by, x, y, reml).select(*by, "lam")
-    out = evaluate(rows.join(lam, by), by, x, y, reml)
-    limits = {f"b_{c}_{lab}": F.col(f"b_{c}") + s * Z_975 * F.col(f"se_{c}")
-              for c in x for lab, s in (("lower", -1), ("upper", 1))}
-    return out.withColumns(limits)
+    return evaluate(rows.join(lam, by), by, x, y, reml)
 
 
-def group_effects(rows: DataFrame, fits: DataFrame, by: list[str], group: str, x: list[str], y: str) -> DataFrame:
+def selection_fit(rows: DataFrame, by: list[str], reml: bool = True) -> DataFrame:
+    """y ~ x1 + x2 + (1 | group) from ``selection_groups``: both effects with Wald limits.
+
+    The fit runs on (x1, z); the effect of x1 and its variance follow from rho.
+    """
+    fits = random_intercept_fit(rows, by, ["x1", "z"], "y", reml)
+    rho = F.col("rho")
+    fits = fits.join(rows.groupBy(*by).agg(F.first("rho").alias("rho")), by).withColumns({
+        "delta_beta": F.col("b_x1") - rho * F.col("b_z"), "delta_gamma": F.col("b_z"),
+        "se_beta": F.sqrt(F.col("var_x1") - 2 * rho * F.col("var_cross") + rho * rho * F.col("var_z")),
+        "se_gamma": F.sqrt("var_z")})
+    return fits.withColumns({
+        f"delta_{e}_{lab}": F.col(f"delta_{e}") + s * Z_975 * F.col(f"se_{e}")
+        for e in ("beta", "gamma") for lab, s in (("lower", -1), ("upper", 1))})
+
+
+def group_effects(rows: DataFrame, fits: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
     """Predicted group effects, and the level that each group's fitted rows start from."""
     gap = F.col(f"d_{y}") - F.col("level")
     base = F.col(f"m_{y}") - F.col(f"d_{y}") + F.col("level")
@@ -146,13 +170,12 @@ def mixed_rss(effects: DataFrame, by: list[str], x: list[str], y: str) -> DataFr
             .agg((F.first("_within") + F.sum(F.col("n") * left * left)).alias("rss")))
 
 
-def nested_lrt(rows: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
-    """Likelihood-ratio tests of dropping either regressor (ML deviances, 1 df)."""
-    full = best_lambda(rows, by, x, y, False).select(*by, F.col("low_deviance").alias("full"))
+def selection_lrt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Likelihood-ratio tests of dropping either effect (ML deviances, 1 df)."""
+    full = best_lambda(rows, by, ["x1", "z"], "y", False).select(*by, F.col("low_deviance").alias("full"))
     parts = None
-    for dropped in x:
-        kept = [c for c in x if c != dropped]
-        one = (best_lambda(rows, by, kept, y, False)
+    for dropped, kept in (("x1", "x2"), ("x2", "x1")):
+        one = (best_lambda(rows, by, [kept], "y", False)
                .select(*by, F.lit(dropped).alias("dropped"), F.col("low_deviance").alias("reduced")))
         parts = one if parts is None else parts.unionByName(one)
     stat = F.greatest(F.col("reduced") - F.col("full"), F.lit(0.0))
@@ -160,25 +183,23 @@ def nested_lrt(rows: DataFrame, by: list[str], x: list[str], y: str) -> DataFram
             .withColumn("signif", chi2_interval(F.col("chi2"))).drop("reduced", "full"))
 
 
-def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str], x: list[str], y: str, of: str) -> DataFrame:
-    """95 % limits of one slope by profile likelihood.
+def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str], effect: str) -> DataFrame:
+    """95 % limits of one effect ('beta' or 'gamma') by profile likelihood.
 
-    The slope is fixed on a grid around its estimate and the deviance minimised over
+    The effect is fixed on a grid around its estimate and the deviance minimised over
     everything else; the signed root of its rise is inverted between grid values.
     """
-    (other,) = [c for c in x if c != of]
-    full = best_lambda(rows, by, x, y, False).select(*by, F.col("low_deviance").alias("_full"))
+    of, other = ("x1", "x2") if effect == "beta" else ("x2", "x1")
+    full = best_lambda(rows, by, ["x1", "z"], "y", False).select(*by, F.col("low_deviance").alias("_full"))
     grid = F.explode(F.array(*[F.lit(i / 4) for i in range(-24, 25)])).alias("_g")
-    fixed = rows.join(fits.select(*by, f"b_{of}", f"se_{of}"), by).select("*", grid)
-    fixed = fixed.withColumn("_b", F.col(f"b_{of}") + F.col("_g") * F.col(f"se_{of}"))
+    fixed = rows.join(fits.select(*by, f"delta_{effect}", f"se_{effect}"), by).select("*", grid)
+    fixed = fixed.withColumn("_b", F.col(f"delta_{effect}") + F.col("_g") * F.col(f"se_{effect}"))
     b = F.col("_b")
-    pair = "_".join(c for c in x if c in (of, other))
     fixed = fixed.withColumns({
-        f"d_{y}": F.col(f"d_{y}") - b * F.col(f"d_{of}"),
-        f"w_{y}_{y}": F.col(f"w_{y}_{y}") - 2 * b * F.col(f"w_{of}_{y}") + b * b * F.col(f"w_{of}_{of}"),
-        f"w_{other}_{y}": F.col(f"w_{other}_{y}") - b * F.col(f"w_{pair}")})
-    key = [*by, "_g", "_b"]
-    low = best_lambda(fixed, key, [other], y, False).join(full, by)
+        "d_y": F.col("d_y") - b * F.col(f"d_{of}"),
+        "w_y_y": F.col("w_y_y") - 2 * b * F.col(f"w_{of}_y") + b * b * F.col(f"w_{of}_{of}"),
+        f"w_{other}_y": F.col(f"w_{other}_y") - b * F.col("w_x1_x2")})
+    low = best_lambda(fixed, [*by, "_g", "_b"], [other], "y", False).join(full, by)
     rise = F.sqrt(F.greatest(F.col("low_deviance") - F.col("_full"), F.lit(0.0)))
     # the minimum splits the falling branch from the rising one
     w = W.partitionBy(*by).orderBy("_b")
@@ -192,5 +213,5 @@ def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str], x: list[str]
         at = F.col("_bp") + (level - F.col("_zp")) / (F.col("_z") - F.col("_zp")) * (F.col("_b") - F.col("_bp"))
         return F.min(F.when(inside, at))
 
-    return low.groupBy(*by).agg(crossing(-Z_975).alias("lower"), crossing(Z_975).alias("upper")) \
-        .withColumn("ci_method", F.lit("profile"))
+    return (low.groupBy(*by).agg(crossing(-Z_975).alias("lower"), crossing(Z_975).alias("upper"))
+            .withColumn("ci_method", F.lit("profile")))

@@ -31,6 +31,10 @@ def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame) ->
     ``panel`` has region, t, y; ``control`` has day_idx, psi. The integrals run from
     the first retained time of the region. The only exchange of model rows is the
     first one, by model_id.
+
+    Both regressors follow time closely. ``z = x2 - rho x1``, with one rho per model,
+    takes that common part out while it still is exact, so that sums over (x1, z)
+    can be solved for the slopes of (x1, x2) without loss.
     """
     points = evaluation_points(panel)
     start = panel.groupBy("region").agg(F.min("t").alias("t0"))
@@ -43,23 +47,33 @@ def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame) ->
     fixed = {n: F.col(n) for n in FIXED_DEFAULTS}
     prefix = prefix_integrals(spread, segment_weights(points, control), fixed)
     curves = prefix.groupBy("model_id", "kappa", "gamma_w", "sn").agg(
-        F.sort_array(F.collect_list(F.struct("j", "int_f1", "int_f2"))).alias("_p"))
+        F.sort_array(F.collect_list(F.struct("j", "t", "int_f1", "int_f2"))).alias("_p"))
+    # over the whole period the second regressor is close to a multiple of the first
+    ratio = F.try_divide(_x2(F.col("_p")[F.size("_p") - 1]), F.nullif(_x1(F.col("_p")[F.size("_p") - 1]), F.lit(0.0)))
+    curves = curves.withColumn("rho", F.coalesce(ratio, F.lit(0.0)))
     rows = expand_by(curves, cells)
+    here, start_at = F.element_at("_p", F.col("j")), F.element_at("_p", F.col("j0"))
+    return (rows.select("model_id", "region", "t", "y", "rho",
+                        (_x1(here) - _x1(start_at)).alias("x1"), (_x2(here) - _x2(start_at)).alias("x2"))
+            .withColumn("z", F.col("x2") - F.col("rho") * F.col("x1")))
+
+
+def _x1(point: Column) -> Column:
+    return F.col("kappa") * F.col("sn") * point["int_f1"]
 
-    def between(name: str) -> Column:
-        return F.element_at("_p", F.col("j"))[name] - F.element_at("_p", F.col("j0"))[name]
 
-    elapsed = F.col("t") - F.col("t0")
-    return rows.select(
-        "model_id", "region", "t", "y",
-        (F.col("kappa") * F.col("sn") * between("int_f1")).alias("x1"),
-        (-0.5 * ((F.col("kappa") - F.col("gamma_w")) * between("int_f2") + elapsed)).alias("x2"))
+def _x2(point: Column) -> Column:
+    return -0.5 * ((F.col("kappa") - F.col("gamma_w")) * point["int_f2"] + point["t"])
 
 
-def group_sums(df: DataFrame, by: list[str], group: str, x: list[str], y: str) -> DataFrame:
-    """Size, means and centred cross-products per group (``c_a_b``, ``m_a``)."""
+def group_sums(df: DataFrame, by: list[str], group: str, x: list[str], y: str,
+               carry: list[str] = ()) -> DataFrame:
+    """Size, means and centred cross-products per group (``c_a_b``, ``m_a``).
+
+    ``carry`` names columns that are constant within a model.
+    """
     cols = [*x, y]
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in carry]]
     aggs += [F.avg(c).alias(f"m_{c}") for c in cols]
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -67,36 +81,39 @@ def group_sums(df: DataFrame, by: list[str], group: str, x: list[str], y: str) -
     return df.groupBy(*by, group).agg(*aggs)
 
 
-def pooled(groups: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
+def model_groups(design: DataFrame, by: list[str] = ("model_id",)) -> DataFrame:
+    """Group sums of a design of ``logit_regressors``."""
+    return group_sums(design, list(by), "region", ["x1", "z"], "y", carry=["rho"])
+
+
+def pooled(groups: DataFrame, by: list[str], x: list[str], y: str, carry: list[str] = ()) -> DataFrame:
     """Within-group cross-products summed over groups."""
     cols = [*x, y]
-    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups")]
+    aggs = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_groups"), *[F.first(c).alias(c) for c in carry]]
     for i, a in enumerate(cols):
         for b in cols[i:]:
             aggs.append(F.sum(f"c_{a}_{b}").alias(f"c_{a}_{b}"))
     return groups.groupBy(*by).agg(*aggs)
 
 
-def relative_determinant(a: Column, b: Column, c: Column) -> Column:
-    """Determinant of [[a, c], [c, b]] over the product of its diagonal."""
-    return F.try_divide(a * b - c * c, a * b)
-
-
-def ancova_fit(groups: DataFrame, by: list[str], x: tuple[str, str] = ("x1", "x2"), y: str = "y") -> DataFrame:
+def ancova_fit(groups: DataFrame, by: list[str]) -> DataFrame:
     """y ~ group + x1 + x2 per model: slopes, standard errors, 95 % limits, RSS.
 
-    Collinear regressors give NULL estimates and the flag ``rank_deficient``.
+    ``groups`` holds the sums of (x1, z, y) and rho. Collinear regressors give NULL
+    estimates and the flag ``rank_deficient``.
     """
-    p, q = x
-    s = pooled(groups, by, list(x), y)
-    s11, s22, s12 = F.col(f"c_{p}_{p}"), F.col(f"c_{q}_{q}"), F.col(f"c_{p}_{q}")
-    s1y, s2y, syy = F.col(f"c_{p}_{y}"), F.col(f"c_{q}_{y}"), F.col(f"c_{y}_{y}")
-    bad = F.coalesce(relative_determinant(s11, s22, s12) < RANK_TOLERANCE, F.lit(True))
-    det = F.when(~bad, s11 * s22 - s12 * s12)
-    s = (s.withColumns({"rank_deficient": bad, "_det": det, "df": F.col("n") - F.col("n_groups") - 2})
-         .withColumns({"delta_beta": (s22 * s1y - s12 * s2y) / F.col("_det"),
-                       "delta_gamma": (s11 * s2y - s12 * s1y) / F.col("_det")})
-         .withColumn("rss", syy - F.col("delta_beta") * s1y - F.col("delta_gamma") * s2y)
+    s = pooled(groups, by, ["x1", "z"], "y", carry=["rho"])
+    s11, szz, s1z = F.col("c_x1_x1"), F.col("c_z_z"), F.col("c_x1_z")
+    s1y, szy, syy, rho = F.col("c_x1_y"), F.col("c_z_y"), F.col("c_y_y"), F.col("rho")
+    s22 = szz + 2 * rho * s1z + rho * rho * s11
+    # x2 is z plus a multiple of x1, so both pairs have the same determinant
+    bad = F.coalesce(F.try_divide(s11 * szz - s1z * s1z, s11 * s22) < RANK_TOLERANCE, F.lit(True))
+    s = (s.withColumns({"rank_deficient": bad, "df": F.col("n") - F.col("n_groups") - 2,
+                        "_det": F.when(~bad, s11 * szz - s1z * s1z)})
+         .withColumns({"_b1": (szz * s1y - s1z * szy) / F.col("_det"),
+                       "delta_gamma": (s11 * szy - s1z * s1y) / F.col("_det")})
+         .withColumns({"delta_beta": F.col("_b1") - rho * F.col("delta_gamma"),
+                       "rss": syy - F.col("_b1") * s1y - F.col("delta_gamma") * szy})
          .withColumn("_var", F.when(F.col("df") > 0, F.greatest("rss", F.lit(0.0)) / F.col("df")))
          .withColumns({"se_beta": F.sqrt(F.col("_var") * s22 / F.col("_det")),
                        "se_gamma": F.sqrt(F.col("_var") * s11 / F.col("_det")),
@@ -108,11 +125,10 @@ def ancova_fit(groups: DataFrame, by: list[str], x: tuple[str, str] = ("x1", "x2
         "se_beta", "se_gamma", *limits, "rss")
 
 
-def ancova_intercepts(groups: DataFrame, fits: DataFrame, by: list[str], group: str,
-                      x: tuple[str, str] = ("x1", "x2"), y: str = "y") -> DataFrame:
+def ancova_intercepts(groups: DataFrame, fits: DataFrame, by: list[str], group: str) -> DataFrame:
     """Intercept per group, and its difference to the first group by name."""
-    level = (F.col(f"m_{y}") - F.col("delta_beta") * F.col(f"m_{x[0]}")
-             - F.col("delta_gamma") * F.col(f"m_{x[1]}"))
+    m_x2 = F.col("m_z") + F.col("rho") * F.col("m_x1")
+    level = F.col("m_y") - F.col("delta_beta") * F.col("m_x1") - F.col("delta_gamma") * m_x2
     w = W.partitionBy(*by).orderBy(group)
     return (groups.join(fits.select(*by, "delta_beta", "delta_gamma"), by)
             .withColumn("intercept", level)

@@ -26,7 +26,7 @@ from strainshift.plans.q_windows import MODEL_DAYS_SQL, RESIDUAL_SQL, selection,
 from strainshift.plans.registry import query
 from strainshift.session import materialise
 
-X2 = ["x1", "x2"]
+X1Z = ["x1", "z"]
 
 
 # --- designs -----------------------------------------------------------------
@@ -47,21 +47,23 @@ def brand_models(spark, sf):
 
 
 def part_groups(spark, sf):
-    return G.group_sums(design_rows(spark, sf, part_models(spark, sf)), ["model_id"], "region", X2, "y")
+    return G.model_groups(design_rows(spark, sf, part_models(spark, sf)))
 
 
 DESIGN_TAIL_SQL = (
     "pts AS (SELECT DISTINCT t FROM retained), st AS (SELECT region, min(t) AS t0 FROM retained GROUP BY 1)"
     ", ptab AS (SELECT model_id, t, p1 + (t - floor(t)) * f1 AS i1, p2 + (t - floor(t)) * f2 AS i2 FROM pre JOIN pts ON day_idx = floor(t))"
-    ", design AS (SELECT e.model_id, r.region, r.t, r.y, 0.15::DOUBLE * (e.i1 - s.i1) AS x1,"
+    ", rhos AS (SELECT model_id, coalesce(-0.5::DOUBLE * (0.1::DOUBLE * i2 + t) / nullif(0.15::DOUBLE * i1, 0), 0) AS rho FROM ptab WHERE t = (SELECT max(t) FROM pts))"
+    ", raw_design AS (SELECT e.model_id, r.region, r.t, r.y, 0.15::DOUBLE * (e.i1 - s.i1) AS x1,"
     " -0.5::DOUBLE * (0.1::DOUBLE * (e.i2 - s.i2) + r.t - st.t0) AS x2"
-    " FROM retained r JOIN st USING (region) JOIN ptab e ON e.t = r.t JOIN ptab s ON s.t = st.t0 AND s.model_id = e.model_id)")
+    " FROM retained r JOIN st USING (region) JOIN ptab e ON e.t = r.t JOIN ptab s ON s.t = st.t0 AND s.model_id = e.model_id)"
+    ", design AS (SELECT *, x2 - rho * x1 AS z FROM raw_design JOIN rhos USING (model_id))")
 DESIGN_SQL = f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL}, {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}"
 
 
-def groups_sql(source: str, by: str = "model_id", x: list[str] = X2, y: str = "y", name: str = "g") -> str:
+def groups_sql(source: str, by: str = "model_id", x: list[str] = X1Z, y: str = "y", name: str = "g") -> str:
     cols = [*x, y]
-    parts = [f"avg({c}) AS m_{c}" for c in cols]
+    parts = [f"avg({c}) AS m_{c}" for c in cols] + (["any_value(rho) AS rho"] if "z" in x else [])
     parts += [f"covar_pop({a}, {b}) * COUNT(*) AS c_{a}_{b}" for a, b in combinations_with_replacement(cols, 2)]
     return f"{name} AS (SELECT {by}, region, COUNT(*) AS n, {', '.join(parts)} FROM {source} GROUP BY {by}, region)"
 
@@ -79,15 +81,15 @@ T_SQL = _t_series()
 
 
 def ancova_sql(by: str = "model_id", g: str = "g", name: str = "ancova") -> str:
-    cols = [*X2, "y"]
+    cols = [*X1Z, "y"]
     sums = ", ".join(f"sum(c_{a}_{b}) AS c_{a}_{b}" for a, b in combinations_with_replacement(cols, 2))
     return (
-        f"{name}_s AS (SELECT {by}, sum(n) AS n, COUNT(*) AS n_groups, {sums} FROM {g} GROUP BY {by})"
-        f", {name}_d AS (SELECT *, n - n_groups - 2 AS df, coalesce((c_x1_x1 * c_x2_x2 - c_x1_x2 * c_x1_x2) / nullif(c_x1_x1 * c_x2_x2, 0) < 1e-12, TRUE)"
-        f" AS rank_deficient FROM {name}_s)"
-        f", {name}_e AS (SELECT *, CASE WHEN NOT rank_deficient THEN c_x1_x1 * c_x2_x2 - c_x1_x2 * c_x1_x2 END AS det FROM {name}_d)"
-        f", {name}_b AS (SELECT *, (c_x2_x2 * c_x1_y - c_x1_x2 * c_x2_y) / det AS delta_beta, (c_x1_x1 * c_x2_y - c_x1_x2 * c_x1_y) / det AS delta_gamma FROM {name}_e)"
-        f", {name}_r AS (SELECT *, c_y_y - delta_beta * c_x1_y - delta_gamma * c_x2_y AS rss FROM {name}_b)"
+        f"{name}_s AS (SELECT {by}, sum(n) AS n, COUNT(*) AS n_groups, any_value(rho) AS rho, {sums} FROM {g} GROUP BY {by})"
+        f", {name}_q AS (SELECT *, c_z_z + 2 * rho * c_x1_z + rho * rho * c_x1_x1 AS c_x2_x2, c_x1_x1 * c_z_z - c_x1_z * c_x1_z AS full_det FROM {name}_s)"
+        f", {name}_d AS (SELECT *, n - n_groups - 2 AS df, coalesce(full_det / nullif(c_x1_x1 * c_x2_x2, 0) < 1e-12, TRUE) AS rank_deficient FROM {name}_q)"
+        f", {name}_e AS (SELECT *, CASE WHEN NOT rank_deficient THEN full_det END AS det FROM {name}_d)"
+        f", {name}_b AS (SELECT *, (c_z_z * c_x1_y - c_x1_z * c_z_y) / det AS b1, (c_x1_x1 * c_z_y - c_x1_z * c_x1_y) / det AS delta_gamma FROM {name}_e)"
+        f", {name}_r AS (SELECT *, b1 - rho * delta_gamma AS delta_beta, c_y_y - b1 * c_x1_y - delta_gamma * c_z_y AS rss FROM {name}_b)"
         f", {name} AS (SELECT *, sqrt(rss / df * c_x2_x2 / det) AS se_beta, sqrt(rss / df * c_x1_x1 / det) AS se_gamma FROM {name}_r)")
 
 
@@ -120,7 +122,7 @@ def ancova_fit(spark, sf):
 
 @query("ancova_effects", f"""
     WITH {DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()},
-    lev AS (SELECT model_id, region, m_y - delta_beta * m_x1 - delta_gamma * m_x2 AS intercept FROM g JOIN ancova USING (model_id))
+    lev AS (SELECT model_id, region, m_y - delta_beta * m_x1 - delta_gamma * (m_z + g.rho * m_x1) AS intercept FROM g JOIN ancova USING (model_id))
     SELECT model_id, region, round(intercept, 4) AS intercept,
            round(intercept - first_value(intercept) OVER (PARTITION BY model_id ORDER BY region), 4) AS effect FROM lev""")
 def ancova_effects(spark, sf):
@@ -139,19 +141,21 @@ def rank_deficiency_guard(spark, sf):
     """Without control both integrals are straight lines in time: such models get no estimates."""
     k = F.when(F.col("code") == 10, 0.0).otherwise(F.col("k"))
     models = V.model_params(spark, sf).select("model_id", k.alias("k"), "a")
-    groups = G.group_sums(design_rows(spark, sf, models), ["model_id"], "region", X2, "y")
+    groups = G.model_groups(design_rows(spark, sf, models))
     return G.ancova_fit(groups, ["model_id"]).select(
         "model_id", "rank_deficient", F.col("delta_beta").isNull().alias("no_estimate"))
 
 
 # --- random intercept ----------------------------------------------------------
 
-def centred_sql(x: list[str] = X2, by: str = "model_id", g: str = "g", name: str = "cg") -> str:
-    cols = [*x, "y"]
+def centred_sql(by: str = "model_id", g: str = "g", name: str = "cg") -> str:
+    cols = [*X1Z, "y"]
     parts = [f"m_{c} - sum(n * m_{c}) OVER w / sum(n) OVER w AS d_{c}" for c in cols]
     parts += [f"sum(c_{a}_{b}) OVER w AS w_{a}_{b}" for a, b in combinations_with_replacement(cols, 2)]
-    return (f"{name} AS (SELECT {by}, region, n, sum(n) OVER w AS n_rows, {', '.join(f'm_{c}' for c in cols)}, {', '.join(parts)}"
-            f" FROM {g} WINDOW w AS (PARTITION BY {by}))")
+    return (f"{name}_0 AS (SELECT {by}, region, n, rho, sum(n) OVER w AS n_rows, {', '.join(f'm_{c}' for c in cols)}, {', '.join(parts)}"
+            f" FROM {g} WINDOW w AS (PARTITION BY {by}))"
+            f", {name} AS (SELECT *, m_z + rho * m_x1 AS m_x2, d_z + rho * d_x1 AS d_x2, w_z_y + rho * w_x1_y AS w_x2_y,"
+            f" w_z_z + 2 * rho * w_x1_z + rho * rho * w_x1_x1 AS w_x2_x2 FROM {name}_0)")
 
 
 def evaluate_sql(source: str, name: str, x: list[str], reml: bool, by: str = "model_id") -> str:
@@ -169,17 +173,18 @@ def evaluate_sql(source: str, name: str, x: list[str], reml: bool, by: str = "mo
         inner = (f"{name}_d AS (SELECT *, CASE WHEN (a_{p}_{p} * a_{q}_{q} - a_{p}_{q} * a_{p}_{q}) / nullif(a_{p}_{p} * a_{q}_{q}, 0) >= 1e-12"
                  f" THEN a_{p}_{p} * a_{q}_{q} - a_{p}_{q} * a_{p}_{q} END AS det FROM {name}_1)"
                  f", {name}_b AS (SELECT *, (a_{q}_{q} * a_{p}_y - a_{p}_{q} * a_{q}_y) / det AS b_{p}, (a_{p}_{p} * a_{q}_y - a_{p}_{q} * a_{p}_y) / det AS b_{q},"
-                 f" a_{q}_{q} / det AS i_{p}, a_{p}_{p} / det AS i_{q} FROM {name}_d)"
+                 f" a_{q}_{q} / det AS i_{p}, a_{p}_{p} / det AS i_{q}, -a_{p}_{q} / det AS i_cross FROM {name}_d)"
                  f", {name}_2 AS (SELECT *, a_y_y - b_{p} * a_{p}_y - b_{q} * a_{q}_y AS q FROM {name}_b)")
     free = f"(n_rows - {len(x) + 1})::DOUBLE" if reml else "n_rows::DOUBLE"
     extra = " + ln(sv) + ln(det)" if reml else ""
     level = "s_y / sv" + "".join(f" - b_{c} * s_{c} / sv" for c in x)
+    inverse = [*x, "cross"] if len(x) == 2 else x
     return (
         f"{name}_0 AS (SELECT {by}, lam, sum(v) AS sv, sum(ln(1 + n * lam)) AS slog, any_value(n_rows) AS n_rows, COUNT(*) AS n_groups, {', '.join(sums)}"
         f" FROM (SELECT *, n / (1 + n * lam) AS v FROM {source}) GROUP BY {by}, lam)"
         f", {name}_1 AS (SELECT *, {full} FROM {name}_0), {inner}"
         f", {name} AS (SELECT {by}, lam, n_rows, n_groups, {free} * ln(2 * pi() * q / {free}) + {free} + slog{extra} AS deviance, q / {free} AS sigma2,"
-        f" {level} AS level, {', '.join(f'b_{c}' for c in x)}, {', '.join(f'sqrt(q / {free} * i_{c}) AS se_{c}' for c in x)}"
+        f" {level} AS level, {', '.join(f'b_{c}' for c in x)}, {', '.join(f'q / {free} * i_{c} AS var_{c}' for c in inverse)}"
         f" FROM {name}_2 WHERE q > 0)")
 
 
@@ -202,63 +207,66 @@ def lambda_sql(name: str, x: list[str], reml: bool, by: str = "model_id", cg: st
         f" ELSE greatest(0, r.lam + r.shift * {X.SMALLEST!r} / 20) END AS lam, r.low AS low FROM {name}_r JOIN {name}_l0 USING ({by}))")
 
 
-def fit_sql(name: str = "fit", reml: bool = True, by: str = "model_id") -> str:
-    return (lambda_sql(f"{name}_lam", X2, reml, by) + f", {name}_src AS (SELECT cg.*, lam FROM cg JOIN {name}_lam USING ({by})), "
-            + evaluate_sql(f"{name}_src", name, X2, reml, by))
+def fit_sql(name: str = "fit", by: str = "model_id") -> str:
+    return (lambda_sql(f"{name}_lam", X1Z, True, by) + f", {name}_src AS (SELECT cg.*, lam FROM cg JOIN {name}_lam USING ({by})), "
+            + evaluate_sql(f"{name}_src", f"{name}_raw", X1Z, True, by)
+            + f", {name}_rho AS (SELECT {by}, any_value(rho) AS rho FROM cg GROUP BY 1)"
+            f", {name} AS (SELECT *, b_x1 - rho * b_z AS delta_beta, b_z AS delta_gamma, sqrt(var_z) AS se_gamma,"
+            f" sqrt(var_x1 - 2 * rho * var_cross + rho * rho * var_z) AS se_beta FROM {name}_raw JOIN {name}_rho USING ({by}))")
 
 
-MIXED_COLUMNS = {"b_x1": 5, "b_x2": 5, "se_x1": 5, "se_x2": 5, "sigma2": 6, "deviance": 4}
+MIXED_COLUMNS = {"delta_beta": 5, "delta_gamma": 5, "se_beta": 5, "se_gamma": 5, "sigma2": 6, "deviance": 4}
 RSS_SQL = (
-    "eff AS (SELECT cg.*, fit.lam, level, b_x1, b_x2, d_y - level - b_x1 * d_x1 - b_x2 * d_x2 AS gap FROM cg JOIN fit USING (model_id))"
-    ", rss AS (SELECT model_id, any_value(w_y_y - 2 * b_x1 * w_x1_y + b_x1 * b_x1 * w_x1_x1 - 2 * b_x2 * w_x2_y + b_x2 * b_x2 * w_x2_x2 + 2 * b_x1 * b_x2 * w_x1_x2)"
+    "eff AS (SELECT cg.*, fit.lam, level, b_x1, b_z, d_y - level - b_x1 * d_x1 - b_z * d_z AS gap FROM cg JOIN fit USING (model_id))"
+    ", rss AS (SELECT model_id, any_value(w_y_y - 2 * b_x1 * w_x1_y + b_x1 * b_x1 * w_x1_x1 - 2 * b_z * w_z_y + b_z * b_z * w_z_z + 2 * b_x1 * b_z * w_x1_z)"
     " + sum(n * power(gap / (1 + n * lam), 2)) AS rss FROM eff GROUP BY 1)")
 
 
 def centred(groups, by=("model_id",)):
-    return materialise(X.centred_groups(groups, list(by), X2, "y"))
+    return materialise(X.selection_groups(groups, list(by)))
 
 
 def mixed_fits(rows, by=("model_id",)):
     """Fits with the residual sum of squares of their fitted values."""
     by = list(by)
-    fits = materialise(X.random_intercept_fit(rows, by, X2, "y"))
-    rss = X.mixed_rss(X.group_effects(rows, fits, by, "region", X2, "y"), by, X2, "y")
+    fits = materialise(X.selection_fit(rows, by))
+    rss = X.mixed_rss(X.group_effects(rows, fits, by, X1Z, "y"), by, X1Z, "y")
     return fits.join(rss, by)
 
 
 @query("random_intercept_fit", f"""
     WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {RSS_SQL}
     SELECT model_id, n_rows, n_groups, {', '.join(f'round({c}, {d}) AS {c}' for c, d in MIXED_COLUMNS.items())},
-           round(b_x1 - 1.959963984540054 * se_x1, 5) AS b_x1_lower, round(b_x2 + 1.959963984540054 * se_x2, 5) AS b_x2_upper,
+           round(delta_beta - 1.959963984540054 * se_beta, 5) AS delta_beta_lower, round(delta_gamma + 1.959963984540054 * se_gamma, 5) AS delta_gamma_upper,
            round(lam, 5) AS lam, round(rss, 4) AS rss FROM fit JOIN rss USING (model_id)""")
 def random_intercept_fit(spark, sf):
     fits = mixed_fits(centred(part_groups(spark, sf)))
     return fits.select("model_id", "n_rows", "n_groups", *[F.round(c, d).alias(c) for c, d in MIXED_COLUMNS.items()],
-                       F.round("b_x1_lower", 5).alias("b_x1_lower"), F.round("b_x2_upper", 5).alias("b_x2_upper"),
+                       F.round("delta_beta_lower", 5).alias("delta_beta_lower"), F.round("delta_gamma_upper", 5).alias("delta_gamma_upper"),
                        F.round("lam", 5).alias("lam"), F.round("rss", 4).alias("rss"))
 
 
 @query("random_intercept_effects", f"""
     WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {RSS_SQL}
     SELECT model_id, region, round(n * lam / (1 + n * lam) * gap, 5) AS effect,
-           round(m_y - d_y + level - b_x1 * (m_x1 - d_x1) - b_x2 * (m_x2 - d_x2) + n * lam / (1 + n * lam) * gap, 4) AS intercept FROM eff""")
+           round(m_y - d_y + level - b_x1 * (m_x1 - d_x1) - b_z * (m_z - d_z) + n * lam / (1 + n * lam) * gap, 4) AS intercept FROM eff""")
 def random_intercept_effects(spark, sf):
     """Predicted region effects of every model; fitted values start from ``intercept``."""
     rows = centred(part_groups(spark, sf))
-    fits = materialise(X.random_intercept_fit(rows, ["model_id"], X2, "y"))
-    eff = X.group_effects(rows, fits, ["model_id"], "region", X2, "y")
+    fits = materialise(X.selection_fit(rows, ["model_id"]))
+    eff = X.group_effects(rows, fits, ["model_id"], X1Z, "y")
     return eff.select("model_id", "region", F.round("effect", 5).alias("effect"), F.round("intercept", 4).alias("intercept"))
 
 
 @query("nested_lrt", f"""
-    WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {lambda_sql('full_ml', X2, False)},
+    WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {lambda_sql('full_ml', X1Z, False)},
     {lambda_sql('only_x2', ['x2'], False)}, {lambda_sql('only_x1', ['x1'], False)},
     both_tests AS (SELECT r.model_id, 'x1' AS dropped, greatest(r.low - f.low, 0) AS chi2 FROM only_x2 r JOIN full_ml f USING (model_id)
     UNION ALL SELECT r.model_id, 'x2', greatest(r.low - f.low, 0) FROM only_x1 r JOIN full_ml f USING (model_id))
     SELECT model_id, dropped, round(chi2, 4) AS chi2, CASE WHEN chi2 > 10.827566170662733 THEN 'p < 0.001 (***)' WHEN chi2 > 6.634896601021213
            THEN '0.001 < p < 0.01 (**)' WHEN chi2 > 3.841458820694124 THEN '0.01 < p < 0.05 (*)' ELSE 'p > 0.05 ( )' END AS signif FROM both_tests""")
 def nested_lrt(spark, sf):
-    tests = X.nested_lrt(centred(part_groups(spark, sf)), ["model_id"], X2, "y")
+    tests = X.selection_lrt(centred(part_groups(spark, sf)), ["model_id"])
     return tests.select("model_id", "dropped", F.round("chi2", 4).alias("chi2"), "signif")
 
 
@@ -308,28 +316,31 @@ SWEEP_DESIGN_SQL = (
     " WINDOW w AS (PARTITION BY model_id ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
     ", pts AS (SELECT DISTINCT t FROM retained), st AS (SELECT region, min(t) AS t0 FROM retained GROUP BY 1)"
     ", ptab AS (SELECT model_id, t, p1 + (t - floor(t)) * f1 AS i1, p2 + (t - floor(t)) * f2 AS i2 FROM pre JOIN pts ON day_idx = floor(t))"
-    ", design AS (SELECT e.model_id, r.region, r.t, r.y, kappa * sn * (e.i1 - s.i1) AS x1,"
+    ", rhos AS (SELECT model_id, coalesce(-0.5::DOUBLE * ((kappa - gamma_w) * i2 + t) / nullif(kappa * sn * i1, 0), 0) AS rho"
+    " FROM ptab JOIN params USING (model_id) WHERE t = (SELECT max(t) FROM pts))"
+    ", raw_design AS (SELECT e.model_id, r.region, r.t, r.y, kappa * sn * (e.i1 - s.i1) AS x1,"
     " -0.5::DOUBLE * ((kappa - gamma_w) * (e.i2 - s.i2) + r.t - st.t0) AS x2"
-    " FROM retained r JOIN st USING (region) JOIN ptab e ON e.t = r.t JOIN ptab s ON s.t = st.t0 AND s.model_id = e.model_id JOIN params ON params.model_id = e.model_id)")
+    " FROM retained r JOIN st USING (region) JOIN ptab e ON e.t = r.t JOIN ptab s ON s.t = st.t0 AND s.model_id = e.model_id JOIN params ON params.model_id = e.model_id)"
+    ", design AS (SELECT *, x2 - rho * x1 AS z FROM raw_design JOIN rhos USING (model_id))")
 
 
 @query("many_model_sweep", f"""
     WITH {SWEEP_DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}
-    SELECT model_id, n_rows, round(b_x1, 4) AS b_x1, round(b_x2, 4) AS b_x2, round(se_x1, 4) AS se_x1, round(se_x2, 4) AS se_x2 FROM fit""")
+    SELECT model_id, n_rows, round(delta_beta, 4) AS delta_beta, round(delta_gamma, 4) AS delta_gamma, round(se_beta, 4) AS se_beta, round(se_gamma, 4) AS se_gamma FROM fit""")
 def many_model_sweep(spark, sf):
     rows = design_rows(spark, sf, sweep_models(spark, sf))
-    fits = X.random_intercept_fit(centred(G.group_sums(rows, ["model_id"], "region", X2, "y")), ["model_id"], X2, "y")
-    return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in ("b_x1", "b_x2", "se_x1", "se_x2")])
+    fits = X.selection_fit(centred(G.model_groups(rows)), ["model_id"])
+    return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in (
+        "delta_beta", "delta_gamma", "se_beta", "se_gamma")])
 
 
 @query("random_intercept_profile_ci")
 def random_intercept_profile_ci(spark, sf):
     """Profile-likelihood limits of both slopes for the best parameters of each brand."""
     models = brand_models(spark, sf).withColumnRenamed("brand", "model_id")
-    rows = centred(G.group_sums(design_rows(spark, sf, models), ["model_id"], "region", X2, "y"))
-    fits = materialise(X.random_intercept_fit(rows, ["model_id"], X2, "y"))
-    parts = {x: X.profile_limits(rows, fits, ["model_id"], X2, "y", x) for x in X2}
-    return union_tagged(parts, "slope")
+    rows = centred(G.model_groups(design_rows(spark, sf, models)))
+    fits = materialise(X.selection_fit(rows, ["model_id"]))
+    return union_tagged({e: X.profile_limits(rows, fits, ["model_id"], e) for e in ("beta", "gamma")}, "effect")
 
 
 @query("coord_table", f"""
@@ -391,9 +402,9 @@ def corr_test(spark, sf):
 
 @query("nested_f_test", f"""
     WITH {RESIDUAL_SQL}, {groups_sql('xs', "'all' AS tag", ['x'], 's').replace("GROUP BY 'all' AS tag, region", 'GROUP BY region')},
-    s AS (SELECT sum(n) AS n, COUNT(*) AS g, sum(c_s_s) AS rss1, sum(c_x_x) AS xx, sum(c_x_s) AS xy,
+    tot AS (SELECT sum(n) AS n, COUNT(*) AS g, sum(c_s_s) AS rss1, sum(c_x_x) AS xx, sum(c_x_s) AS xy,
         sum(c_s_s - coalesce(c_x_s * c_x_s / nullif(c_x_x, 0), 0)) AS rss3 FROM g),
-    r AS (SELECT *, rss1 - xy * xy / nullif(xx, 0) AS rss2 FROM s)
+    r AS (SELECT *, rss1 - xy * xy / nullif(xx, 0) AS rss2 FROM tot)
     SELECT CAST(n AS BIGINT) AS n, g, round(rss1, 6) AS rss1, round(rss2, 6) AS rss2, round(rss3, 6) AS rss3, 1 AS df_12, CAST(n - g - 1 AS BIGINT) AS df_2,
            g - 1 AS df_23, CAST(n - 2 * g AS BIGINT) AS df_3, round((rss1 - rss2) / nullif(rss2 / (n - g - 1), 0), 6) AS f_12,
            round(((rss2 - rss3) / (g - 1)) / nullif(rss3 / (n - 2 * g), 0), 6) AS f_23 FROM r""")
@@ -488,13 +499,13 @@ BEST_DESIGN_SQL = (
     f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}")
 BOOT_SQL = (
     f"{BEST_DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}"
-    ", base AS (SELECT d.region, d.t, d.x1, d.x2, d.y, g.m_y + delta_beta * (d.x1 - g.m_x1) + delta_gamma * (d.x2 - g.m_x2) AS expected"
+    ", base AS (SELECT d.region, d.t, d.x1, d.z, d.rho, d.y, g.m_y + b1 * (d.x1 - g.m_x1) + delta_gamma * (d.z - g.m_z) AS expected"
     " FROM design d JOIN g USING (model_id, region) JOIN ancova USING (model_id))"
     f", b AS (SELECT CAST(unnest(generate_series(1, {BOOT_REPLICATES})) AS INTEGER) AS replicate)"
     f", drawn AS (SELECT *, y - expected AS residual, {uniform_sql('456', 'replicate', 'region', 'period_text')} AS u"
     " FROM (SELECT *, CAST(CAST(floor(t) AS INTEGER) AS VARCHAR) AS period_text FROM base), b)"
     ", ystar AS (" + " UNION ALL ".join(
-        f"SELECT '{law}|' || replicate AS model_id, region, x1, x2, expected + residual * ({sql}) AS y FROM drawn" for law, sql in BOOT_LAWS.items())
+        f"SELECT '{law}|' || replicate AS model_id, region, rho, x1, z, expected + residual * ({sql}) AS y FROM drawn" for law, sql in BOOT_LAWS.items())
     + f"), {groups_sql('ystar', name='bg')}, {ancova_sql(g='bg', name='boot')}")
 
 
@@ -503,16 +514,16 @@ def bootstrap_fits(spark, sf):
     models = V.table(spark, sf, "orders").limit(1).select(
         F.lit(1).alias("model_id"), F.lit(C.BEST_K).alias("k"), F.lit(C.BEST_A).alias("a"))
     design = materialise(design_rows(spark, sf, models))
-    groups = G.group_sums(design, ["model_id"], "region", X2, "y")
+    groups = G.model_groups(design)
     levels = G.ancova_intercepts(groups, G.ancova_fit(groups, ["model_id"]), ["model_id"], "region")
     fitted = G.fitted_rows(design, levels, ["model_id"], "region").select(
-        "region", "x1", "x2", F.floor("t").cast("int").alias("day_idx"),
+        "region", "rho", "x1", "z", F.floor("t").cast("int").alias("day_idx"),
         F.col("fitted").alias("expected"), "residual")
     fitted = materialise(fitted)
     parts = {law: wild_replicates(fitted, ["region", "day_idx"], BOOT_REPLICATES, law, 456).withColumnRenamed("value", "y")
              for law in BOOT_LAWS}
     rows = union_tagged(parts, "law")
-    return G.ancova_fit(G.group_sums(rows, ["law", "replicate"], "region", X2, "y"), ["law", "replicate"])
+    return G.ancova_fit(G.model_groups(rows, ["law", "replicate"]), ["law", "replicate"])
 
 
 @query("wild_refit", f"""

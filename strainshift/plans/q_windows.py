@@ -68,7 +68,7 @@ def control_prefix_integral(spark, sf):
     models = (V.model_params(spark, sf).select("model_id", "k", "a")
               .repartition(task_count(spark), "model_id"))
     ints = I.prefix_integrals(models, I.segment_weights(points, V.control_index(spark, sf)))
-    return ints.join(F.broadcast(points), "j").select(
+    return ints.select(
         "model_id", "t", F.round("int_f1", 4).alias("int_f1"), F.round("int_f2", 4).alias("int_f2"))
 
 
@@ -106,7 +106,7 @@ def rolling_mean7(spark, sf):
 
 RESIDUAL_SQL = (
     f"{V.panel_sql()}, {S_SQL}, mc AS (SELECT CAST(date_trunc('month', day) AS DATE) AS period, avg(psi) AS x FROM"
-    " (SELECT CAST(l_shipdate AS DATE) AS day, 1000 * avg(l_discount) AS psi FROM lineitem GROUP BY 1) GROUP BY 1)"
+    " (SELECT CAST(l_shipdate AS DATE) AS day, round(1000 * avg(l_discount) + 0.0, 7) AS psi FROM lineitem GROUP BY 1) GROUP BY 1)"
     ", xs AS (SELECT region, period, s, x FROM diffs JOIN mc USING (period))"
     ", fit AS (SELECT region, covar_pop(s, x) / nullif(var_pop(x), 0) AS b, avg(s) AS ms, avg(x) AS mx FROM xs GROUP BY 1)"
     ", res AS (SELECT region, period, s - ms - coalesce(b, 0) * (x - mx) AS e FROM xs JOIN fit USING (region))")

@@ -65,7 +65,7 @@ def retained_panel(spark: SparkSession, sf: str, threshold: float = 0.1) -> Data
 
 def daily_control(spark: SparkSession, sf: str) -> DataFrame:
     return (table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day"))
-            .agg((1000 * F.avg("l_discount")).alias("psi")))
+            .agg(F.round(1000 * F.avg("l_discount") + 0.0, 7).alias("psi")))
 
 
 def control_index(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
@@ -118,7 +118,7 @@ def panel_sql(unit: str = "month", national: bool = False) -> str:
 RETAINED_SQL = panel_sql() + (
     ", retained AS (SELECT region, period, date_diff('day', (SELECT min(period) FROM panel), period) + 3.5::DOUBLE AS t,"
     " logit_fm AS y FROM panel WHERE fm >= 0.1 AND logit_fm IS NOT NULL)")
-CONTROL_SQL = ("control AS (SELECT CAST(l_shipdate AS DATE) AS day, 1000 * avg(l_discount) AS psi "
+CONTROL_SQL = ("control AS (SELECT CAST(l_shipdate AS DATE) AS day, round(1000 * avg(l_discount) + 0.0, 7) AS psi "
                "FROM lineitem GROUP BY 1)")
 CONTROL_INDEX_SQL = CONTROL_SQL + (
     ", bounds AS (SELECT CAST(date_trunc('month', min(o_orderdate)) AS DATE) AS lo,"

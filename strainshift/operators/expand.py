@@ -32,15 +32,17 @@ def expand_calendar(df: DataFrame, dim: DataFrame) -> DataFrame:
     return df.select("*", F.explode(as_array(dim)).alias("_d")).select(*df.columns, "_d.*")
 
 
-def expand_by(df: DataFrame, dim: DataFrame, limit: int = ARRAY_ROWS) -> DataFrame:
+def expand_by(df: DataFrame, dim: DataFrame, rows: int | None = None, limit: int = ARRAY_ROWS) -> DataFrame:
     """Expand each row of ``df`` by each row of ``dim``.
 
-    ``dim`` is counted first. Up to ``limit`` rows it is one array; beyond, it is
-    cut by a hash into as many arrays as needed and the parts are united.
+    ``dim`` is counted first, unless the caller gives its ``rows``. Up to ``limit``
+    rows it is one array; beyond, it is cut by a hash into as many arrays as needed,
+    each half full on average, and the parts are united.
     """
-    parts = -(-max(dim.count(), 1) // max(limit // 2, 1)) if limit else 1
-    if parts <= 2:
+    rows = dim.count() if rows is None else rows
+    if rows <= limit:
         return expand_calendar(df, dim)
+    parts = -(-2 * rows // limit)
     key = F.pmod(F.xxhash64(*dim.columns), F.lit(parts))
     return reduce(DataFrame.unionByName,
                   [expand_calendar(df, dim.filter(key == i)) for i in range(parts)])

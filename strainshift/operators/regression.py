@@ -51,7 +51,7 @@ def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame) ->
     # over the whole period the second regressor is close to a multiple of the first
     ratio = F.try_divide(_x2(F.col("_p")[F.size("_p") - 1]), F.nullif(_x1(F.col("_p")[F.size("_p") - 1]), F.lit(0.0)))
     curves = curves.withColumn("rho", F.coalesce(ratio, F.lit(0.0)))
-    rows = expand_by(curves, cells)
+    rows = expand_by(curves, cells, rows=panel.count())
     here, start_at = F.element_at("_p", F.col("j")), F.element_at("_p", F.col("j0"))
     return (rows.select("model_id", "region", "t", "y", "rho",
                         (_x1(here) - _x1(start_at)).alias("x1"), (_x2(here) - _x2(start_at)).alias("x2"))

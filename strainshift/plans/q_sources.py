@@ -16,14 +16,14 @@ FIT_COLUMNS = ["Repeat", "Value", "Convergence", "pE", "v", "k", "a", "omega", "
     WITH {V.EVENTS_SQL}
     SELECT series AS entity, upper(substr(series, 1, 3)) AS code, day,
            CASE WHEN n % 7 = 0 THEN NULL ELSE CAST(n AS INTEGER) END AS new_tests,
-           'tests performed' AS annotations, round(mean_value, 5) AS new_cases FROM daily""")
+           'tests performed' AS annotations, round(value7, 5) AS new_cases FROM daily""")
 def scan_tests(spark, sf):
     source = V.daily_events(spark, sf).select(
         F.col("series").alias("Entity"), F.upper(F.substring("series", 1, 3)).alias("Code"),
         F.col("day").alias("Day"),
         F.when(F.col("n") % 7 != 0, F.col("n")).cast("int").alias("new_tests_7day_smoothed"),
         F.lit("tests performed").alias("142752-annotations"),
-        F.round("mean_value", 5).alias(tables.CASES_HEADER))
+        F.round("value7", 5).alias(tables.CASES_HEADER))
     return tables.read_tests(spark, sinks.write_csv(source, scratch_path(spark, "tests")))
 
 
@@ -32,11 +32,11 @@ def scan_tests(spark, sf):
     SELECT 'overview' AS area_type, series AS area, 'K' || length(series) AS area_code, day,
            CAST(n AS INTEGER) AS new_deaths,
            CAST(sum(n) OVER (PARTITION BY series ORDER BY day) AS INTEGER) AS cum_deaths,
-           CASE WHEN n % 7 = 0 THEN NULL ELSE round(mean_value, 4) END AS average7 FROM daily""")
+           CASE WHEN n % 7 = 0 THEN NULL ELSE round(value7, 4) END AS average7 FROM daily""")
 def scan_decimal_comma(spark, sf):
     from pyspark.sql import Window as W
     cum = F.sum("n").over(W.partitionBy("series").orderBy("day"))
-    text = F.regexp_replace(F.round("mean_value", 4).cast("string"), "\\.", ",")
+    text = F.regexp_replace(F.round("value7", 4).cast("string"), "\\.", ",")
     source = V.daily_events(spark, sf).select(
         F.lit("overview").alias("areaType"), F.col("series").alias("areaName"),
         F.concat(F.lit("K"), F.length("series")).alias("areaCode"), F.col("day").alias("date"),

@@ -54,10 +54,15 @@ def panel(spark: SparkSession, sf: str, unit: str = "month", national: bool = Fa
     return with_logit(counts(spark, sf, unit, national))
 
 
+def first_period(spark: SparkSession, sf: str, unit: str = "month") -> Column:
+    """The period of the first order, read from one column."""
+    return table(spark, sf, "orders").agg(F.to_date(F.date_trunc(unit, F.min("o_orderdate")))).scalar()
+
+
 def retained_panel(spark: SparkSession, sf: str, threshold: float = 0.1) -> DataFrame:
     """Region, period, t and logit of the cells above the threshold, as the models use them."""
     all_cells = panel(spark, sf)
-    origin = all_cells.agg(F.min("period")).scalar()
+    origin = first_period(spark, sf)
     return (all_cells.withColumn("t", F.date_diff("period", origin) + F.lit(OFFSET_DAYS))
             .filter((F.col("fm") >= threshold) & F.col("logit_fm").isNotNull())
             .select("region", "period", "t", F.col("logit_fm").alias("y")))
@@ -70,18 +75,19 @@ def daily_control(spark: SparkSession, sf: str) -> DataFrame:
 
 def control_index(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     """day_idx and psi on the calendar of the panel; day 0 is its first period."""
+    first, last = F.min("o_orderdate"), F.max("o_orderdate")
     bounds = table(spark, sf, "orders").agg(
-        F.min(period_of("o_orderdate", unit)).alias("lo"),
-        F.date_add(F.max(period_of("o_orderdate", unit)), 7).alias("hi"))
+        F.to_date(F.date_trunc(unit, first)).alias("lo"),
+        F.date_add(F.to_date(F.date_trunc(unit, last)), 7).alias("hi"))
     days = bounds.select("lo", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("day"))
     return (days.join(daily_control(spark, sf), "day", "left")
             .select(F.date_diff("day", "lo").alias("day_idx"), "psi"))
 
 
 def daily_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Count and mean value per day and event type."""
+    """Count, and a seventh of the summed value, per day and event type."""
     return (table(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("series"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")))
+            .agg(F.count(F.lit(1)).alias("n"), (F.sum("value") / 7).alias("value7")))
 
 
 def model_params(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +132,7 @@ CONTROL_INDEX_SQL = CONTROL_SQL + (
     ", days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day, lo FROM bounds)"
     ", control_idx AS (SELECT date_diff('day', lo, days.day) AS day_idx, psi FROM days LEFT JOIN control USING (day))")
 EVENTS_SQL = ("daily AS (SELECT CAST(ts AS DATE) AS day, event_type AS series, COUNT(*) AS n, "
-              "avg(value) AS mean_value FROM events GROUP BY 1, 2)")
+              "sum(value) / 7 AS value7 FROM events GROUP BY 1, 2)")
 PARAMS_SQL = (
     "params AS (SELECT p_partkey AS model_id, p_brand AS brand, p_type AS kind, p_size / 51.0::DOUBLE AS k,"
     " 1 + p_partkey % 5 + (p_retailprice - 900) / 100 AS a, p_size / 5100.0::DOUBLE AS pE,"

@@ -53,20 +53,19 @@ def segment_weights(points: DataFrame, control: DataFrame) -> DataFrame:
             .groupBy("j", "psi").agg(F.sum(part).alias("weight")))
 
 
-def prefix_integrals(models: DataFrame, weights: DataFrame, fixed: dict | None = None) -> DataFrame:
-    """Integrals from 0 to each time point t, for every model.
+def prefix_integrals(models: DataFrame, weights: DataFrame, values: dict[str, Column],
+                     fixed: dict | None = None) -> DataFrame:
+    """Integrals from 0 to each time point of expressions in f1 and f2, for every model.
 
     The segment weights are bounded by the calendar and travel as one array. Models
     must be partitioned by ``model_id``; then neither the sum per segment nor the
     running sum needs another exchange.
     """
     rows = daily_integrands(expand_calendar(models, weights), fixed=fixed)
-    segments = rows.groupBy(*models.columns, "j").agg(
-        F.sum(F.col("weight") * F.col("f1")).alias("_s1"), F.sum(F.col("weight") * F.col("f2")).alias("_s2"),
-        F.sum("weight").alias("_s0"))
+    segments = rows.groupBy("model_id", "j").agg(
+        *[F.sum(F.col("weight") * v).alias(n) for n, v in values.items()])
     run = W.partitionBy("model_id").orderBy("j")
-    return segments.select(*models.columns, "j", F.sum("_s0").over(run).alias("t"),
-                           F.sum("_s1").over(run).alias("int_f1"), F.sum("_s2").over(run).alias("int_f2"))
+    return segments.select("model_id", "j", *[F.sum(n).over(run).alias(n) for n in values])
 
 
 def daily_prefix(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:

@@ -45,27 +45,21 @@ def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame) ->
     spread = (models.select("model_id", "k", "a", *[c.alias(n) for n, c in given.items()])
               .repartition(task_count(models.sparkSession), "model_id"))
     fixed = {n: F.col(n) for n in FIXED_DEFAULTS}
-    prefix = prefix_integrals(spread, segment_weights(points, control), fixed)
-    curves = prefix.groupBy("model_id", "kappa", "gamma_w", "sn").agg(
-        F.sort_array(F.collect_list(F.struct("j", "t", "int_f1", "int_f2"))).alias("_p"))
+    kappa, gap = F.col("kappa"), F.col("kappa") - F.col("gamma_w")
+    prefix = prefix_integrals(spread, segment_weights(points, control), {
+        "x1": kappa * F.col("sn") * F.col("f1"), "x2": -0.5 * (gap * F.col("f2") + 1)}, fixed)
+    curves = prefix.groupBy("model_id").agg(F.sort_array(F.collect_list(F.struct("j", "x1", "x2"))).alias("_p"))
     # over the whole period the second regressor is close to a multiple of the first
-    ratio = F.try_divide(_x2(F.col("_p")[F.size("_p") - 1]), F.nullif(_x1(F.col("_p")[F.size("_p") - 1]), F.lit(0.0)))
+    last = F.element_at("_p", -1)
+    ratio = F.try_divide(last["x2"], F.nullif(last["x1"], F.lit(0.0)))
     curves = curves.withColumn("rho", F.coalesce(ratio, F.lit(0.0)))
     rows = expand_by(curves, cells, rows=panel.count())
     here, start_at = F.element_at("_p", F.col("j")), F.element_at("_p", F.col("j0"))
     return (rows.select("model_id", "region", "t", "y", "rho",
-                        (_x1(here) - _x1(start_at)).alias("x1"), (_x2(here) - _x2(start_at)).alias("x2"))
+                        (here["x1"] - start_at["x1"]).alias("x1"), (here["x2"] - start_at["x2"]).alias("x2"))
             .withColumn("z", F.col("x2") - F.col("rho") * F.col("x1")))
 
 
-def _x1(point: Column) -> Column:
-    return F.col("kappa") * F.col("sn") * point["int_f1"]
-
-
-def _x2(point: Column) -> Column:
-    return -0.5 * ((F.col("kappa") - F.col("gamma_w")) * point["int_f2"] + point["t"])
-
-
 def group_sums(df: DataFrame, by: list[str], group: str, x: list[str], y: str,
                carry: list[str] = ()) -> DataFrame:
     """Size, means and centred cross-products per group (``c_a_b``, ``m_a``).

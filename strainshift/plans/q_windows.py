@@ -67,9 +67,9 @@ def control_prefix_integral(spark, sf):
     points = G.evaluation_points(panel)
     models = (V.model_params(spark, sf).select("model_id", "k", "a")
               .repartition(task_count(spark), "model_id"))
-    ints = I.prefix_integrals(models, I.segment_weights(points, V.control_index(spark, sf)))
-    return ints.select(
-        "model_id", "t", F.round("int_f1", 4).alias("int_f1"), F.round("int_f2", 4).alias("int_f2"))
+    ints = I.prefix_integrals(models, I.segment_weights(points, V.control_index(spark, sf)),
+                              {"t": F.lit(1.0), "int_f1": F.col("f1"), "int_f2": F.col("f2")})
+    return ints.select("model_id", "t", F.round("int_f1", 4).alias("int_f1"), F.round("int_f2", 4).alias("int_f2"))
 
 
 @query("relative_to_reference", f"""

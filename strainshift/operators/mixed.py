@@ -8,7 +8,6 @@ at the vertex of the parabola through the best three points.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +19,6 @@ from strainshift.functions.tail import Z_975
 
 # First grid: 0 and quarter decades of lambda. Second: a tenth of that step.
 COARSE = [0.0] + [10.0 ** (i / 4) for i in range(-16, 17)]
-FINE_STEPS = range(-10, 11)
 FINE_STEP = 0.025
 # Near zero the second grid is linear up to the smallest positive value of the first.
 SMALLEST = COARSE[1]
@@ -30,96 +28,86 @@ RANK_TOLERANCE = 1e-12
 
 def centred_groups(groups: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
     """Group means about the model mean, with the pooled sums of the model beside them."""
-    w = W.partitionBy(*by)
     cols = [*x, y]
-    out = groups.withColumns({
-        **{f"d_{c}": F.col(f"m_{c}") - F.sum(F.col("n") * F.col(f"m_{c}")).over(w) / F.sum("n").over(w)
-           for c in cols},
-        **{f"w_{a}_{b}": F.sum(f"c_{a}_{b}").over(w) for a, b in combinations_with_replacement(cols, 2)},
-        "n_rows": F.sum("n").over(w)})
+    w = f"OVER (PARTITION BY {', '.join(by)})" if by else "OVER ()"
+    out = _add(groups, {
+        **{f"d_{c}": f"m_{c} - sum(n * m_{c}) {w} / sum(n) {w}" for c in cols},
+        **{f"w_{a}_{b}": f"sum(c_{a}_{b}) {w}" for a, b in combinations_with_replacement(cols, 2)},
+        "n_rows": f"sum(n) {w}"})
     return out.drop(*[c for c in groups.columns if c.startswith("c_")])
 
 
 def selection_groups(groups: DataFrame, by: list[str]) -> DataFrame:
     """Centred groups of (x1, z, y), with the sums of x2 = z + rho x1 derived from them."""
-    out, rho = centred_groups(groups, by, ["x1", "z"], "y"), F.col("rho")
-    return out.withColumns({
-        "m_x2": F.col("m_z") + rho * F.col("m_x1"), "d_x2": F.col("d_z") + rho * F.col("d_x1"),
-        "w_x1_x2": F.col("w_x1_z") + rho * F.col("w_x1_x1"),
-        "w_x2_x2": F.col("w_z_z") + 2 * rho * F.col("w_x1_z") + rho * rho * F.col("w_x1_x1"),
-        "w_x2_y": F.col("w_z_y") + rho * F.col("w_x1_y")})
+    return _add(centred_groups(groups, by, ["x1", "z"], "y"), {
+        "m_x2": "m_z + rho * m_x1", "d_x2": "d_z + rho * d_x1", "w_x1_x2": "w_x1_z + rho * w_x1_x1",
+        "w_x2_x2": "w_z_z + 2 * rho * w_x1_z + rho * rho * w_x1_x1", "w_x2_y": "w_z_y + rho * w_x1_y"})
 
 
-def _solve(s: dict[str, Column], x: list[str], y: str) -> tuple[dict[str, Column], Column, Column, dict]:
-    """Slopes, Q, determinant and diagonal of the inverse for one or two regressors."""
+def _solve(x: list[str], y: str) -> list[dict[str, str]]:
+    """SQL of slopes, Q, determinant and inverse for one or two regressors, in two steps."""
     if len(x) == 1:
         (p,) = x
-        a = F.nullif(s[f"{p}_{p}"], F.lit(0.0))
-        beta = {p: s[f"{p}_{y}"] / a}
-        return beta, s[f"{y}_{y}"] - beta[p] * s[f"{p}_{y}"], a, {p: 1 / a}
+        return [{"_det": f"nullif(a_{p}_{p}, 0)"},
+                {f"b_{p}": f"a_{p}_{y} / _det", "_q": f"a_{y}_{y} - a_{p}_{y} * a_{p}_{y} / _det",
+                 f"i_{p}": "1 / _det"}]
     p, q = x
-    a, b, c = s[f"{p}_{p}"], s[f"{q}_{q}"], s[f"{p}_{q}"]
-    det = F.when(F.try_divide(a * b - c * c, a * b) >= RANK_TOLERANCE, a * b - c * c)
-    beta = {p: (b * s[f"{p}_{y}"] - c * s[f"{q}_{y}"]) / det,
-            q: (a * s[f"{q}_{y}"] - c * s[f"{p}_{y}"]) / det}
-    q_sum = s[f"{y}_{y}"] - beta[p] * s[f"{p}_{y}"] - beta[q] * s[f"{q}_{y}"]
-    return beta, q_sum, det, {p: b / det, q: a / det, "cross": -c / det}
+    s11, s22, s12 = f"a_{p}_{p}", f"a_{q}_{q}", f"a_{p}_{q}"
+    det = f"{s11} * {s22} - {s12} * {s12}"
+    return [{"_det": f"CASE WHEN try_divide({det}, {s11} * {s22}) >= {RANK_TOLERANCE} THEN {det} END"},
+            {f"b_{p}": f"({s22} * a_{p}_{y} - {s12} * a_{q}_{y}) / _det",
+             f"b_{q}": f"({s11} * a_{q}_{y} - {s12} * a_{p}_{y}) / _det",
+             f"i_{p}": f"{s22} / _det", f"i_{q}": f"{s11} / _det", "i_cross": f"-{s12} / _det"},
+            {"_q": f"a_{y}_{y} - b_{p} * a_{p}_{y} - b_{q} * a_{q}_{y}"}]
 
 
-def evaluate(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool, lam: str = "lam") -> DataFrame:
-    """Deviance and estimates for each (model, lambda) of centred group rows."""
+def _add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS {n}" for n, e in columns.items()])
+
+
+def evaluate(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool) -> DataFrame:
+    """Deviance and estimates for each (model, lambda) of centred group rows with ``lam``."""
     cols = [*x, y]
     pairs = list(combinations_with_replacement(cols, 2))
-    v = F.col("n") / (1 + F.col("n") * F.col(lam))
-    aggs = [F.sum("_v").alias("sv"), F.sum(F.ln(1 + F.col("n") * F.col(lam))).alias("slog"),
-            F.first("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_groups")]
-    aggs += [F.sum(F.col("_v") * F.col(f"d_{c}")).alias(f"s_{c}") for c in cols]
-    aggs += [F.sum(F.col("_v") * F.col(f"d_{a}") * F.col(f"d_{b}")).alias(f"s_{a}_{b}") for a, b in pairs]
-    aggs += [F.first(f"w_{a}_{b}").alias(f"w_{a}_{b}") for a, b in pairs]
-    sums = rows.withColumn("_v", v).groupBy(*by, lam).agg(*aggs)
-    sums = sums.withColumns({
-        f"a_{a}_{b}": F.col(f"w_{a}_{b}") + F.col(f"s_{a}_{b}")
-        - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("sv") for a, b in pairs})
-    beta, q_sum, det, inverse = _solve({f"{a}_{b}": F.col(f"a_{a}_{b}") for a, b in pairs}, x, y)
-    out = sums.withColumns({**{f"b_{c}": b for c, b in beta.items()}, "_q": q_sum, "_det": det,
-                            **{f"i_{c}": i for c, i in inverse.items()}})
-    n = F.col("n_rows").cast("double")
-    free = n - (len(x) + 1) if reml else n
-    q = F.when(F.col("_q") > 0, F.col("_q"))
-    deviance = free * F.ln(2 * math.pi * q / free) + free + F.col("slog")
-    if reml:
-        deviance = deviance + F.ln("sv") + F.ln("_det")
-    level = F.col(f"s_{y}") / F.col("sv")
-    for c in x:
-        level = level - F.col(f"b_{c}") * F.col(f"s_{c}") / F.col("sv")
-    return out.select(
-        *by, lam, "n_rows", "n_groups", deviance.alias("deviance"), (q / free).alias("sigma2"),
-        level.alias("level"), *[f"b_{c}" for c in x],
-        *[(q / free * F.col(f"i_{c}")).alias(f"var_{c}") for c in inverse])
+    aggs = ["sum(_v) AS sv", "sum(ln(1 + n * lam)) AS slog", "first(n_rows) AS n_rows", "count(1) AS n_groups"]
+    aggs += [f"sum(_v * d_{c}) AS s_{c}" for c in cols]
+    aggs += [f"sum(_v * d_{a} * d_{b}) AS s_{a}_{b}" for a, b in pairs]
+    aggs += [f"first(w_{a}_{b}) AS w_{a}_{b}" for a, b in pairs]
+    out = _add(rows, {"_v": "n / (1 + n * lam)"}).groupBy(*by, "lam").agg(*map(F.expr, aggs))
+    out = _add(out, {f"a_{a}_{b}": f"w_{a}_{b} + s_{a}_{b} - s_{a} * s_{b} / sv" for a, b in pairs})
+    for step in _solve(x, y):
+        out = _add(out, step)
+    free = f"(CAST(n_rows AS DOUBLE) - {len(x) + 1 if reml else 0})"
+    q = "CASE WHEN _q > 0 THEN _q END"
+    extra = " + ln(sv) + ln(_det)" if reml else ""
+    level = f"s_{y} / sv" + "".join(f" - b_{c} * s_{c} / sv" for c in x)
+    inverse = [*x, "cross"] if len(x) == 2 else x
+    return out.selectExpr(
+        *by, "lam", "n_rows", "n_groups",
+        f"{free} * ln(2 * pi() * {q} / {free}) + {free} + slog{extra} AS deviance",
+        f"{q} / {free} AS sigma2", f"{level} AS level", *[f"b_{c}" for c in x],
+        *[f"{q} / {free} * i_{c} AS var_{c}" for c in inverse])
 
 
 def best_lambda(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool) -> DataFrame:
     """Best variance ratio per model: coarse grid, fine grid, vertex."""
-    key = F.struct("deviance", "lam")
-    coarse = rows.withColumn("lam", F.explode(F.array(*[F.lit(v) for v in COARSE])))
-    first = (evaluate(coarse, by, x, y, reml).groupBy(*by)
-             .agg(F.min_by("lam", F.when(F.col("deviance").isNotNull(), key)).alias("lam0")))
-    step = F.explode(F.array(*[F.lit(i) for i in FINE_STEPS])).alias("step")
-    lam = (F.when(F.col("lam0") > 0, F.col("lam0") * F.pow(F.lit(10.0), F.col("step") * FINE_STEP))
-           .otherwise(SMALLEST * (F.col("step") + 10) / 20))
-    fine = rows.join(first, by).select("*", step).withColumn("lam", lam)
-    scored = evaluate(fine, [*by, "step"], x, y, reml)
-    w = W.partitionBy(*by).orderBy("step")
-    before, here, after = F.lag("deviance").over(w), F.col("deviance"), F.lead("deviance").over(w)
-    bend = before - 2 * here + after
-    shift = F.when(bend > 0, (before - after) / (2 * bend))
-    near = scored.withColumns({"_shift": F.coalesce(shift, F.lit(0.0)),
-                               "_low": F.coalesce(here - F.when(bend > 0, (before - after) ** 2 / (8 * bend)), here)})
-    best = near.groupBy(*by).agg(F.min_by(F.struct("lam", "_shift", "_low"),
-                                          F.when(here.isNotNull(), key)).alias("_r")).join(first, by)
-    lam_hat = (F.when(F.col("lam0") > 0, F.col("_r.lam") * F.pow(F.lit(10.0), F.col("_r._shift") * FINE_STEP))
-               .otherwise(F.greatest(F.lit(0.0), F.col("_r.lam") + F.col("_r._shift") * SMALLEST / 20)))
-    return best.select(*by, lam_hat.alias("lam"), F.col("_r._low").alias("low_deviance"))
+    key = "CASE WHEN deviance IS NOT NULL THEN struct(deviance, lam) END"
+    grid = ", ".join(f"{v!r}D" for v in COARSE)
+    coarse = rows.selectExpr("*", f"explode(array({grid})) AS lam")
+    first = evaluate(coarse, by, x, y, reml).groupBy(*by).agg(F.expr(f"min_by(lam, {key})").alias("lam0"))
+    fine = (rows.join(first, by).selectExpr("*", "explode(sequence(-10, 10)) AS step")
+            .selectExpr("*", f"CASE WHEN lam0 > 0 THEN lam0 * power(10D, step * {FINE_STEP}D)"
+                             f" ELSE {SMALLEST!r}D * (step + 10) / 20 END AS lam"))
+    order = f"OVER (PARTITION BY {', '.join(by)} ORDER BY step)"
+    near = _add(evaluate(fine, [*by, "step"], x, y, reml),
+                {"_m": f"lag(deviance) {order}", "_p": f"lead(deviance) {order}"})
+    near = _add(near, {"_bend": "_m - 2 * deviance + _p"})
+    near = _add(near, {"_shift": "CASE WHEN _bend > 0 THEN (_m - _p) / (2 * _bend) ELSE 0 END",
+                       "_low": "deviance - CASE WHEN _bend > 0 THEN power(_m - _p, 2) / (8 * _bend) ELSE 0 END"})
+    best = near.groupBy(*by).agg(F.expr(f"min_by(struct(lam, _shift, _low), {key})").alias("_r")).join(first, by)
+    return best.selectExpr(
+        *by, f"CASE WHEN lam0 > 0 THEN _r.lam * power(10D, _r._shift * {FINE_STEP}D)"
+             f" ELSE greatest(0D, _r.lam + _r._shift * {SMALLEST!r}D / 20) END AS lam", "_r._low AS low_deviance")
 
 
 def random_intercept_fit(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool = True) -> DataFrame:

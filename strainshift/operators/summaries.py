@@ -128,10 +128,10 @@ def density_table(df: DataFrame, by: list[str], value: str, alpha: float = 0.05,
     cut = exact_quantiles(df, by, value, [alpha / 2, 1 - alpha / 2], group_rows)
     x = F.col(value)
     kept = (df.join(cut, by).filter((x >= F.element_at("q", 1)) & (x <= F.element_at("q", 2)))
-            .select(*by, value))
-    quart = exact_quantiles(kept, by, value, [.25, .75], group_rows)
-    counted = kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    size = kept.groupBy(*by).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("_sd"))
+            .select(*by, x.alias("_x")))
+    quart = exact_quantiles(kept, by, "_x", [.25, .75], group_rows)
+    counted = kept.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    size = kept.groupBy(*by).agg(F.count("_x").alias("n"), F.stddev_samp("_x").alias("_sd"))
     iqr = (F.element_at("q", 2) - F.element_at("q", 1)) / 1.34
     spread = (size.join(quart, by)
               .withColumn("bw", 0.9 * F.least("_sd", iqr) * F.pow(F.col("n"), F.lit(-0.2))))
@@ -139,7 +139,7 @@ def density_table(df: DataFrame, by: list[str], value: str, alpha: float = 0.05,
              .select(*by, "n", "bw", F.element_at("q", 1).alias("_lo"), F.element_at("q", 2).alias("_hi"))
              .filter("bw > 0"))
     at = F.col("_lo") + F.col("g") * (F.col("_hi") - F.col("_lo")) / (points - 1)
-    z = (F.col(value) - F.col("x")) / F.col("bw")
+    z = (F.col("_x") - F.col("x")) / F.col("bw")
     grid = expand_range(counted.join(frame, by), "g", 0, points - 1).withColumn("x", at)
     weight = F.sum(F.col("_c") * F.exp(-z * z / 2))
     return (grid.groupBy(*by, "g", "x", "n", "bw").agg(weight.alias("_w"))

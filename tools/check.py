@@ -41,9 +41,12 @@ def table_of(names, rows):
     return [names[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name, sf):
+def compare(spark, con, name, sf, inspect=None):
+    """Run a query and its SQL; ``inspect`` may look at the query's plan first."""
     start = time.time()
     df = catalog.QUERIES[name](spark, sf)
+    if inspect:
+        inspect(df)
     rows = [tuple(r) for r in df.collect()]
     took = time.time() - start
     if name not in catalog.ORACLES:

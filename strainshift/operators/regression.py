@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from strainshift.functions import control as C
 from strainshift.functions.tail import Z_975, t_quantile_975
-from strainshift.operators.expand import expand_by
+from strainshift.operators.expand import ARRAY_ROWS, expand_by
 from strainshift.operators.integral import prefix_integrals, segment_weights
 from strainshift.operators.summaries import pearson
 from strainshift.session import task_count
 
 # Collinear regressors: relative determinant below this gives no estimates.
 RANK_TOLERANCE = 1e-12
+# A curve holds two values per period, so fewer of them fit in one array.
+CURVES_PER_ARRAY = 2_000
 
 FIXED_DEFAULTS = {"kappa": C.KAPPA, "beta_w": C.BETA_W, "gamma_w": C.GAMMA_W, "sn": C.SUSCEPTIBLE}
 
@@ -24,7 +26,8 @@ def evaluation_points(panel: DataFrame) -> DataFrame:
     return panel.select("t").distinct().withColumn("j", F.row_number().over(W.orderBy("t")))
 
 
-def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame) -> DataFrame:
+def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame,
+                     panel_rows: int = ARRAY_ROWS) -> DataFrame:
     """Both regressors for every model and every region-period.
 
     ``models`` has model_id, k, a and optionally kappa, beta_w, gamma_w and sn;
@@ -53,7 +56,10 @@ def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame) ->
     last = F.element_at("_p", -1)
     ratio = F.try_divide(last["x2"], F.nullif(last["x1"], F.lit(0.0)))
     curves = curves.withColumn("rho", F.coalesce(ratio, F.lit(0.0)))
-    rows = expand_by(curves, cells, rows=panel.count())
+    n_cells = panel.count()
+    # a panel too large for one array stays distributed and takes up the models instead
+    rows = (expand_by(curves, cells, rows=n_cells) if n_cells <= panel_rows
+            else expand_by(cells, curves, limit=CURVES_PER_ARRAY))
     here, start_at = F.element_at("_p", F.col("j")), F.element_at("_p", F.col("j0"))
     return (rows.select("model_id", "region", "t", "y", "rho",
                         (here["x1"] - start_at["x1"]).alias("x1"), (here["x2"] - start_at["x2"]).alias("x2"))

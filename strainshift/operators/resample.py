@@ -10,17 +10,17 @@ from strainshift.operators.expand import expand_range
 from strainshift.session import task_count
 
 
-def wild_replicates(residuals: DataFrame, keys: list[str], replicates: int, law: str, seed: int,
-                    spread_on: str = "replicate") -> DataFrame:
+def wild_replicates(residuals: DataFrame, keys: list[str], replicates: int, law: str, seed: int) -> DataFrame:
     """``replicates`` data sets: expected + residual x weight.
 
     The weight is a function of (seed, replicate, point key), so a lost task draws
-    the same numbers again. Replicates are expanded in place, then spread by
-    ``spread_on`` for whatever groups them next.
+    the same numbers again. Points are spread by their key and replicates expanded in
+    place: a summary per point needs no further exchange, and one per replicate is
+    combined before its exchange, so no task ever holds a whole replicate.
     """
-    out = expand_range(residuals, "replicate", 1, replicates)
+    spread = residuals.repartition(task_count(residuals.sparkSession), *keys)
+    out = expand_range(spread, "replicate", 1, replicates)
     point = [F.col(k).cast("string") for k in keys]
     weight = wild_weight(law, seed, F.col("replicate"), *point)
-    out = out.withColumn("weight", weight).withColumn(
+    return out.withColumn("weight", weight).withColumn(
         "value", F.col("expected") + F.col("residual") * F.col("weight"))
-    return out.repartition(task_count(residuals.sparkSession), spread_on)

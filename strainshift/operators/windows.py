@@ -47,26 +47,26 @@ def relative_to_reference(df: DataFrame, by: list[str], estimate: str, is_ref: s
     return df.withColumn(out, F.col(estimate) / F.nullif(ref, F.lit(0.0)) - 1)
 
 
-def repeat_index(df: DataFrame, by: list[str], order: list[str], out: str = "repeat") -> DataFrame:
-    """Number rows 1..n within a group, along an explicit key."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+def repeat_index(df: DataFrame, by: list[str], order: list[str], out: str = "repeat", ranges: int = 64) -> DataFrame:
+    """Number the rows of each group 1..n along a key, the group being the whole table if ``by`` is empty.
 
-
-def global_index(df: DataFrame, order: list[str], out: str = "repeat", ranges: int = 64) -> DataFrame:
-    """Number all rows 1..n along a unique key without sorting them in one task.
-
-    Keys are cut into ranges; each range is numbered on its own and moved by the
-    row count of the ranges before it. Only range counts meet in one place.
+    The first order column is cut into ranges; each range of a group is numbered on
+    its own and moved by the rows of the ranges before it, so that no task sorts a
+    whole group. Only range counts meet in one place.
     """
-    key = order[0]
+    key = F.col(order[0])
+    kind = df.schema[order[0]].dataType.simpleString()
+    number = key if kind not in ("date", "timestamp", "timestamp_ntz") else F.unix_seconds(key.cast("timestamp"))
     marks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.agg(F.percentile_approx(key, marks, 100 * ranges)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(number, marks, 100 * ranges)).first()[0] or []
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    ranged = df.withColumn("_r", F.size(F.filter(bounds, lambda c: c < F.col(key))))
-    sizes = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_r", (F.sum("_n").over(W.orderBy("_r")) - F.col("_n")).alias("_before"))
-    numbered = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_r").orderBy(*order)))
-    return (numbered.join(F.broadcast(before), "_r")
+    ranged = df.withColumn("_key", number)
+    ranged = ranged.withColumn("_r", F.size(F.filter(bounds, lambda c: c < F.col("_key")))).drop("_key")
+    sizes = ranged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    run = F.sum("_n").over(W.partitionBy(*by).orderBy("_r"))
+    before = sizes.select(*by, "_r", (run - F.col("_n")).alias("_before"))
+    numbered = ranged.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_r").orderBy(*order)))
+    return (numbered.join(before, [*by, "_r"])
             .withColumn(out, F.col("_k") + F.col("_before")).drop("_r", "_k", "_before"))
 
 

@@ -495,7 +495,8 @@ def profile_scan(spark, sf):
 BOOT_LAWS = {"Rademacher": "CASE WHEN u < 0.5 THEN 1.0 ELSE -1.0 END", "Mammen2": MAMMEN_SQL}
 BOOT_REPLICATES = 200
 BEST_DESIGN_SQL = (
-    f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, params AS (SELECT 1 AS model_id, {C.BEST_K}::DOUBLE AS k, {C.BEST_A}::DOUBLE AS a)"
+    f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL.replace('params AS', 'raw AS')}"
+    ", params AS (SELECT 1 AS model_id, arg_min(k, (value, model_id)) AS k, arg_min(a, (value, model_id)) AS a FROM raw WHERE code = 0)"
     f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}")
 BOOT_SQL = (
     f"{BEST_DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}"
@@ -510,9 +511,9 @@ BOOT_SQL = (
 
 
 def bootstrap_fits(spark, sf):
-    """ANCOVA of every replicate of both laws at the best control parameters."""
-    models = V.table(spark, sf, "orders").limit(1).select(
-        F.lit(1).alias("model_id"), F.lit(C.BEST_K).alias("k"), F.lit(C.BEST_A).alias("a"))
+    """ANCOVA of every replicate of both laws at the best control parameters of the table."""
+    fits = V.model_params(spark, sf).select("model_id", "value", "code", "k", "a")
+    models = S.best_candidate(fits, [], "value", "model_id", F.col("code") == 0).withColumn("model_id", F.lit(1))
     design = materialise(design_rows(spark, sf, models))
     groups = G.model_groups(design)
     levels = G.ancova_intercepts(groups, G.ancova_fit(groups, ["model_id"]), ["model_id"], "region")

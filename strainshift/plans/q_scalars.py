@@ -135,29 +135,35 @@ def reporting_rate(spark, sf):
 
 
 TRAJECTORY_SQL = (
-    "traj AS (SELECT o_custkey AS candidate, o_orderdate, o_orderkey, row_number() OVER w AS t,"
-    " sum(o_totalprice / 1000) OVER w AS s, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER w AS d,"
-    " sum(CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END) OVER w AS is_cumul, o_totalprice / 5000 AS ia"
-    " FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))")
+    "byday AS (SELECT o_custkey AS candidate, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) / 1000 AS amount,"
+    " max(o_totalprice) / 5000 AS ia, COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS dead, COUNT(*) FILTER (WHERE o_orderstatus <> 'P') AS fresh"
+    " FROM orders GROUP BY 1, 2)"
+    ", traj AS (SELECT candidate, date_diff('day', (SELECT min(day) FROM byday), day) AS t, sum(amount) OVER w AS s, ia,"
+    " sum(dead) OVER w AS d, sum(fresh) OVER w AS is_cumul, row_number() OVER w AS i FROM byday WINDOW w AS (PARTITION BY candidate ORDER BY day))")
 
 
 def trajectories(spark, sf):
-    """A trajectory per customer: t, S, IA and two cumulative states."""
+    """A trajectory per customer: t in days, S, IA and two cumulative states.
+
+    Orders are summed by day first, so no window is longer than the calendar.
+    """
     from pyspark.sql import Window as W
-    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     status = F.col("o_orderstatus")
-    return V.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("candidate"), F.row_number().over(w).alias("t"),
-        F.sum(F.col("o_totalprice") / 1000).over(w).alias("S"), (F.col("o_totalprice") / 5000).alias("IA"),
-        F.sum(F.when(status == "F", 1).otherwise(0)).over(w).alias("D"),
-        F.sum(F.when(status != "P", 1).otherwise(0)).over(w).alias("IS_cumul"))
+    daily = V.table(spark, sf, "orders").groupBy(
+        F.col("o_custkey").alias("candidate"), F.to_date("o_orderdate").alias("day")).agg(
+        (F.sum("o_totalprice") / 1000).alias("amount"), (F.max("o_totalprice") / 5000).alias("IA"),
+        F.count_if(status == "F").alias("dead"), F.count_if(status != "P").alias("fresh"))
+    origin = V.table(spark, sf, "orders").agg(F.to_date(F.min("o_orderdate"))).scalar()
+    w = W.partitionBy("candidate").orderBy("day")
+    return daily.select("candidate", F.date_diff("day", origin).alias("t"), F.sum("amount").over(w).alias("S"), "IA",
+                        F.sum("dead").over(w).alias("D"), F.sum("fresh").over(w).alias("IS_cumul"))
 
 
 @query("observables", f"""
     WITH {TRAJECTORY_SQL}, f AS (SELECT *, d - lag(d) OVER v AS dd, is_cumul - lag(is_cumul) OVER v AS ds FROM traj
         WINDOW v AS (PARTITION BY candidate ORDER BY t))
     SELECT candidate, CAST(t AS INTEGER) AS t, round((0.002::DOUBLE + 0.00003::DOUBLE * t) * s, 6) AS negative,
-           round(ds + (0.002::DOUBLE + 0.00003::DOUBLE * t) * ia, 6) AS positive, CAST(dd AS BIGINT) AS deaths FROM f WHERE t > 1""")
+           round(ds + (0.002::DOUBLE + 0.00003::DOUBLE * t) * ia, 6) AS positive, CAST(dd AS BIGINT) AS deaths FROM f WHERE i > 1""")
 def observables(spark, sf):
     """Negative tests, positive tests and deaths from a trajectory table."""
     rows = trajectories(spark, sf)
@@ -170,17 +176,18 @@ def observables(spark, sf):
 
 
 @query("initial_state", f"""
-    WITH {V.PARAMS_SQL}, d AS (SELECT avg(n) AS d1 FROM (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE event_type = 'error'
-        GROUP BY 1 ORDER BY 1 LIMIT 7)),
+    WITH {V.PARAMS_SQL}, e AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+    d AS (SELECT avg(n) AS d1 FROM e WHERE day <= (SELECT min(day) + 6 FROM e)),
     s AS (SELECT model_id, 0.9::DOUBLE * 66000000 AS "S", pE * 66000000 AS "E", d1 / alpha AS isd, p, omega FROM params, d),
     r AS (SELECT *, isd * (1 - p) / p AS isr FROM s), i AS (SELECT *, (isr + isd) * (1 - omega) / omega AS ia FROM r)
     SELECT model_id, round("S", 3) AS "S", round("E", 3) AS "E", round(ia, 3) AS "IA", round(isr, 3) AS "ISr", round(isd, 3) AS "ISd",
            round(66000000 - ("S" + "E" + ia + isr + isd), 3) AS "R" FROM i""")
 def initial_state(spark, sf):
-    """Start of every fit, with the mean of the first seven death counts as its level."""
+    """Start of every fit, with the mean daily deaths of the first week as its level."""
     deaths = (V.table(spark, sf, "events").filter("event_type = 'error'")
               .groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")))
-    level = deaths.orderBy("day").limit(7).agg(F.avg("n")).scalar()
+    week = deaths.filter(F.col("day") <= deaths.agg(F.date_add(F.min("day"), 6)).scalar())
+    level = week.agg(F.avg("n")).scalar()
     fits = V.model_params(spark, sf).withColumn("d1", level)
     state = C.initial_state(66_000_000, F.col("d1"), 0.9, F.col("pE"), F.col("alpha"), F.col("omega"), F.col("p"))
     return fits.select("model_id", *[F.round(state[c], 3).alias(c) for c in ("S", "E", "IA", "ISr", "ISd", "R")])

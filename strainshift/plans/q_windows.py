@@ -89,9 +89,9 @@ def relative_to_reference(spark, sf):
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS repeat_in_customer FROM orders""")
 def repeat_index(spark, sf):
     orders = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    numbered = O.global_index(orders, ["o_orderkey"]).withColumn("repeat", F.col("repeat").cast("long"))
-    inner = O.repeat_index(numbered, ["o_custkey"], ["o_orderdate", "o_orderkey"], "repeat_in_customer")
-    return inner.select("o_orderkey", "repeat", F.col("repeat_in_customer").cast("long").alias("repeat_in_customer"))
+    numbered = O.repeat_index(orders, [], ["o_orderkey"])
+    return O.repeat_index(numbered, ["o_custkey"], ["o_orderdate", "o_orderkey"], "repeat_in_customer").select(
+        "o_orderkey", "repeat", "repeat_in_customer")
 
 
 @query("rolling_mean7", f"""

@@ -218,6 +218,8 @@ def test_regressors_do_not_depend_on_rho_rotation(spark):
                                    "model_id long, k double, a double, kappa double, beta_w double, gamma_w double, sn double")
     got = {(r["model_id"], r["region"], r["t"]): r for r in G.logit_regressors(models, panel, control).collect()}
     assert len(got) == 10
+    large = G.logit_regressors(models, panel, control, panel_rows=2).collect()
+    assert {(r["model_id"], r["region"], r["t"]): (r["x1"], r["z"]) for r in large} == {k: (r["x1"], r["z"]) for k, r in got.items()}
     fine = 2800
     for m in models.collect():
         c = m["k"] * (psi / 100) ** m["a"]

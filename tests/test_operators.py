@@ -165,10 +165,15 @@ def test_expand_beyond_one_array_is_whole(spark):
         df.select(F.explode(E.as_array(dim, limit=10))).collect()
 
 
-def test_global_index_without_a_single_task(spark):
-    df = spark.range(0, 5000, 3).withColumnRenamed("id", "key").repartition(8)
-    got = sorted((r["key"], r["repeat"]) for r in O.global_index(df, ["key"]).collect())
-    assert [x[1] for x in got] == list(range(1, len(got) + 1))
+def test_index_of_a_hot_group(spark):
+    df = spark.range(0, 5000).selectExpr("id AS key", "IF(id % 3 = 0, 'hot', concat('g', id % 40)) AS g").repartition(8)
+    got = sorted((r["key"], r["repeat"]) for r in O.repeat_index(df, [], ["key"]).collect())
+    assert [x[1] for x in got] == list(range(1, 5001))
+    hot = sorted((r["key"], r["repeat"]) for r in O.repeat_index(df, ["g"], ["key"]).filter("g = 'hot'").collect())
+    assert [x[1] for x in hot] == list(range(1, len(hot) + 1))
+    dates = df.selectExpr("date_add(date '2020-01-01', cast(key / 7 as int)) AS day", "key")
+    back = sorted((r["day"], r["key"], r["repeat"]) for r in O.repeat_index(dates, [], ["day", "key"]).collect())
+    assert [x[2] for x in back] == list(range(1, 5001))
 
 
 def test_durbin_watson_across_groups(spark):

@@ -59,9 +59,9 @@ def repeat_index(df: DataFrame, by: list[str], order: list[str], out: str = "rep
     number = key if kind not in ("date", "timestamp", "timestamp_ntz") else F.unix_seconds(key.cast("timestamp"))
     marks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = df.agg(F.percentile_approx(number, marks, 100 * ranges)).first()[0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))])
     ranged = df.withColumn("_key", number)
-    ranged = ranged.withColumn("_r", F.size(F.filter(bounds, lambda c: c < F.col("_key")))).drop("_key")
+    place = " + ".join(["0", *[f"CAST(_key > {c!r} AS INT)" for c in sorted(set(cuts))]])
+    ranged = ranged.withColumn("_r", F.expr(place)).drop("_key")
     sizes = ranged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
     run = F.sum("_n").over(W.partitionBy(*by).orderBy("_r"))
     before = sizes.select(*by, "_r", (run - F.col("_n")).alias("_before"))

@@ -9,7 +9,7 @@ from strainshift.operators import score as S
 from strainshift.operators import summaries as M
 from strainshift.plans import views as V
 from strainshift.plans.registry import query
-from strainshift.session import materialise
+from strainshift.session import materialise, task_count
 
 # Daily counts of three event types as the three observed series; t counts days from 1.
 SERIES = {"view": "negative", "click": "positive", "error": "deaths"}
@@ -55,7 +55,8 @@ def predictions(spark, sf):
     """Expected value per candidate, day and series, as a trajectory table would give it."""
     from strainshift.operators.expand import expand_by
     obs = materialise(observations(spark, sf))
-    spread = expand_by(candidates(spark, sf), obs.select("series", "day", "t", "base"))
+    ids = candidates(spark, sf).repartition(task_count(spark), "candidate")
+    spread = expand_by(ids, obs.select("series", "day", "t", "base"))
     return obs.select("series", "day", "value"), spread.select(
         "candidate", "series", "day", expected_line().alias("expected"))
 
@@ -107,13 +108,13 @@ def bootstrap_best_start(spark, sf):
 @query("weekly_mean_blocks", f"""
     WITH {V.CONTROL_SQL}, w AS (SELECT CAST(date_trunc('week', min(o_orderdate)) AS DATE) - 7 AS lo FROM orders),
     b AS (SELECT lo, date_diff('day', lo, day) // 7 AS b, psi FROM control, w WHERE day >= lo)
-    SELECT lo + CAST(7 * b AS INTEGER) AS week, round(avg(psi) + 0.0, 6) AS block_mean FROM b GROUP BY lo, b
+    SELECT lo + CAST(7 * b AS INTEGER) AS week, round(avg(psi) + 0.0, 4) AS block_mean FROM b GROUP BY lo, b
     HAVING COUNT(psi) = 7""")
 def weekly_mean_blocks(spark, sf):
     origin = (V.table(spark, sf, "orders")
               .agg(F.date_sub(F.min(V.period_of("o_orderdate", "week")), 7)).scalar())
     return (A.block_means(V.daily_control(spark, sf), "day", "psi", origin)
-            .withColumn("block_mean", F.round(F.col("block_mean") + 0.0, 6)))
+            .withColumn("block_mean", F.round(F.col("block_mean") + 0.0, 4)))
 
 
 @query("centred_mean_scalar", """
@@ -145,9 +146,9 @@ def date_bounds(spark, sf):
 
 @query("first_crossing", f"""
     WITH {V.panel_sql('week')}
-    SELECT region, min(period) AS first_period, min(period) - 1 AS phase_end FROM panel WHERE fm > 0.6 GROUP BY 1""")
+    SELECT region, min(period) AS first_period, min(period) - 1 AS phase_end FROM panel WHERE fm > 0.35 GROUP BY 1""")
 def first_crossing(spark, sf):
-    return A.first_crossing(V.panel(spark, sf, "week"), "period", "fm", 0.6, ["region"])
+    return A.first_crossing(V.panel(spark, sf, "week"), "period", "fm", 0.35, ["region"])
 
 
 @query("distinct_regions", f"""

@@ -111,13 +111,13 @@ ANCOVA_COLUMNS = ["delta_beta", "delta_gamma", "se_beta", "se_gamma", "rss"]
 
 @query("ancova_fit", f"""
     WITH {DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}
-    SELECT model_id, n, n_groups, df, rank_deficient, {', '.join(f'round({c}, 5) AS {c}' for c in ANCOVA_COLUMNS)},
-           round(delta_beta - {T_SQL} * se_beta, 5) AS delta_beta_lower, round(delta_beta + {T_SQL} * se_beta, 5) AS delta_beta_upper,
-           round(delta_gamma - {T_SQL} * se_gamma, 5) AS delta_gamma_lower, round(delta_gamma + {T_SQL} * se_gamma, 5) AS delta_gamma_upper
+    SELECT model_id, n, n_groups, df, rank_deficient, {', '.join(f'round({c}, 4) AS {c}' for c in ANCOVA_COLUMNS)},
+           round(delta_beta - {T_SQL} * se_beta, 4) AS delta_beta_lower, round(delta_beta + {T_SQL} * se_beta, 4) AS delta_beta_upper,
+           round(delta_gamma - {T_SQL} * se_gamma, 4) AS delta_gamma_lower, round(delta_gamma + {T_SQL} * se_gamma, 4) AS delta_gamma_upper
     FROM ancova""")
 def ancova_fit(spark, sf):
     fits = G.ancova_fit(part_groups(spark, sf), ["model_id"])
-    return fits.withColumns({c: F.round(c, 5) for c, t in fits.dtypes if t == "double"})
+    return fits.withColumns({c: F.round(c, 4) for c, t in fits.dtypes if t == "double"})
 
 
 @query("ancova_effects", f"""
@@ -215,7 +215,7 @@ def fit_sql(name: str = "fit", by: str = "model_id") -> str:
             f" sqrt(var_x1 - 2 * rho * var_cross + rho * rho * var_z) AS se_beta FROM {name}_raw JOIN {name}_rho USING ({by}))")
 
 
-MIXED_COLUMNS = {"delta_beta": 5, "delta_gamma": 5, "se_beta": 5, "se_gamma": 5, "sigma2": 6, "deviance": 4}
+MIXED_COLUMNS = {"delta_beta": 4, "delta_gamma": 4, "se_beta": 4, "se_gamma": 4, "sigma2": 6, "deviance": 4}
 RSS_SQL = (
     "eff AS (SELECT cg.*, fit.lam, level, b_x1, b_z, d_y - level - b_x1 * d_x1 - b_z * d_z AS gap FROM cg JOIN fit USING (model_id))"
     ", rss AS (SELECT model_id, any_value(w_y_y - 2 * b_x1 * w_x1_y + b_x1 * b_x1 * w_x1_x1 - 2 * b_z * w_z_y + b_z * b_z * w_z_z + 2 * b_x1 * b_z * w_x1_z)"
@@ -237,12 +237,12 @@ def mixed_fits(rows, by=("model_id",)):
 @query("random_intercept_fit", f"""
     WITH {DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {RSS_SQL}
     SELECT model_id, n_rows, n_groups, {', '.join(f'round({c}, {d}) AS {c}' for c, d in MIXED_COLUMNS.items())},
-           round(delta_beta - 1.959963984540054 * se_beta, 5) AS delta_beta_lower, round(delta_gamma + 1.959963984540054 * se_gamma, 5) AS delta_gamma_upper,
+           round(delta_beta - 1.959963984540054 * se_beta, 4) AS delta_beta_lower, round(delta_gamma + 1.959963984540054 * se_gamma, 4) AS delta_gamma_upper,
            round(lam, 5) AS lam, round(rss, 4) AS rss FROM fit JOIN rss USING (model_id)""")
 def random_intercept_fit(spark, sf):
     fits = mixed_fits(centred(part_groups(spark, sf)))
     return fits.select("model_id", "n_rows", "n_groups", *[F.round(c, d).alias(c) for c, d in MIXED_COLUMNS.items()],
-                       F.round("delta_beta_lower", 5).alias("delta_beta_lower"), F.round("delta_gamma_upper", 5).alias("delta_gamma_upper"),
+                       F.round("delta_beta_lower", 4).alias("delta_beta_lower"), F.round("delta_gamma_upper", 4).alias("delta_gamma_upper"),
                        F.round("lam", 5).alias("lam"), F.round("rss", 4).alias("rss"))
 
 
@@ -345,14 +345,14 @@ def random_intercept_profile_ci(spark, sf):
 
 @query("coord_table", f"""
     WITH {DESIGN_SQL}, {groups_sql('design')}, {ancova_sql()}
-    SELECT model_id, round(delta_beta, 5) AS delta_beta, round(delta_gamma, 5) AS delta_gamma,
-           round(delta_beta - {T_SQL} * se_beta, 5) AS delta_beta_lower, round(delta_gamma + {T_SQL} * se_gamma, 5) AS delta_gamma_upper,
+    SELECT model_id, round(delta_beta, 4) AS delta_beta, round(delta_gamma, 4) AS delta_gamma,
+           round(delta_beta - {T_SQL} * se_beta, 4) AS delta_beta_lower, round(delta_gamma + {T_SQL} * se_gamma, 4) AS delta_gamma_upper,
            round(rss, 4) AS rss FROM ancova WHERE delta_beta IS NOT NULL ORDER BY rss DESC, model_id""")
 def coord_table(spark, sf):
     fits = G.ancova_fit(part_groups(spark, sf), ["model_id"]).dropna(subset=["delta_beta"])
     return fits.orderBy(F.desc("rss"), "model_id").select(
-        "model_id", F.round("delta_beta", 5).alias("delta_beta"), F.round("delta_gamma", 5).alias("delta_gamma"),
-        F.round("delta_beta_lower", 5).alias("delta_beta_lower"), F.round("delta_gamma_upper", 5).alias("delta_gamma_upper"),
+        "model_id", F.round("delta_beta", 4).alias("delta_beta"), F.round("delta_gamma", 4).alias("delta_gamma"),
+        F.round("delta_beta_lower", 4).alias("delta_beta_lower"), F.round("delta_gamma_upper", 4).alias("delta_gamma_upper"),
         F.round("rss", 4).alias("rss"))
 
 

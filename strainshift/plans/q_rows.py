@@ -50,11 +50,11 @@ def date_window_filter(spark, sf):
 
 @query("threshold_filter", f"""
     WITH {V.panel_sql()}
-    SELECT 'at least' AS mode, region, period, round(fm, 6) AS fm FROM panel WHERE fm >= 0.5
-    UNION ALL SELECT 'above', region, period, round(fm, 6) FROM panel WHERE fm > 0.5""")
+    SELECT 'at least' AS mode, region, period, round(fm, 6) AS fm FROM panel WHERE fm >= 0.35
+    UNION ALL SELECT 'above', region, period, round(fm, 6) FROM panel WHERE fm > 0.35""")
 def threshold_filter(spark, sf):
     cells = V.panel(spark, sf).select("region", "period", "fm")
-    both = [R.threshold_filter(cells, "fm", 0.5, inclusive).withColumn("mode", F.lit(mode))
+    both = [R.threshold_filter(cells, "fm", 0.35, inclusive).withColumn("mode", F.lit(mode))
             for mode, inclusive in (("at least", True), ("above", False))]
     return both[0].unionByName(both[1]).withColumn("fm", F.round("fm", 6))
 

@@ -162,14 +162,14 @@ def trajectories(spark, sf):
 @query("observables", f"""
     WITH {TRAJECTORY_SQL}, f AS (SELECT *, d - lag(d) OVER v AS dd, is_cumul - lag(is_cumul) OVER v AS ds FROM traj
         WINDOW v AS (PARTITION BY candidate ORDER BY t))
-    SELECT candidate, CAST(t AS INTEGER) AS t, round((0.002::DOUBLE + 0.00003::DOUBLE * t) * s, 6) AS negative,
-           round(ds + (0.002::DOUBLE + 0.00003::DOUBLE * t) * ia, 6) AS positive, CAST(dd AS BIGINT) AS deaths FROM f WHERE i > 1""")
+    SELECT candidate, CAST(t AS INTEGER) AS t, round((0.0021937::DOUBLE + 0.000031741::DOUBLE * t) * s, 6) AS negative,
+           round(ds + (0.0021937::DOUBLE + 0.000031741::DOUBLE * t) * ia, 6) AS positive, CAST(dd AS BIGINT) AS deaths FROM f WHERE i > 1""")
 def observables(spark, sf):
     """Negative tests, positive tests and deaths from a trajectory table."""
     rows = trajectories(spark, sf)
     flows = flow_from_cumulative(rows, ["candidate"], "t", "IS_cumul", "new_cases")
     deaths = flow_from_cumulative(rows, ["candidate"], "t", "D", "deaths").select("candidate", "t", "deaths")
-    rho = C.reporting_rate(F.col("t"), None, 0.002, 0.00003)
+    rho = C.reporting_rate(F.col("t"), None, 0.0021937, 0.000031741)
     return flows.join(deaths, ["candidate", "t"]).select(
         "candidate", "t", F.round(rho * F.col("S"), 6).alias("negative"),
         F.round(F.col("new_cases") + rho * F.col("IA"), 6).alias("positive"), "deaths")

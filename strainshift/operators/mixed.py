@@ -11,11 +11,11 @@ from __future__ import annotations
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainshift.functions.labels import chi2_interval
 from strainshift.functions.tail import Z_975
+from strainshift.session import task_count
 
 # First grid: 0 and quarter decades of lambda. Second: a tenth of that step.
 COARSE = [0.0] + [10.0 ** (i / 4) for i in range(-16, 17)]
@@ -90,7 +90,12 @@ def evaluate(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool) -
 
 
 def best_lambda(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool) -> DataFrame:
-    """Best variance ratio per model: coarse grid, fine grid, vertex."""
+    """Best variance ratio per model: coarse grid, fine grid, vertex.
+
+    Rows are spread by the model once; both grids are expanded in place, and every
+    sum, window and join after that keeps the partitioning.
+    """
+    rows = rows.repartition(task_count(rows.sparkSession), *by)
     key = "CASE WHEN deviance IS NOT NULL THEN struct(deviance, lam) END"
     grid = ", ".join(f"{v!r}D" for v in COARSE)
     coarse = rows.selectExpr("*", f"explode(array({grid})) AS lam")
@@ -113,7 +118,8 @@ def best_lambda(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool
 def random_intercept_fit(rows: DataFrame, by: list[str], x: list[str], y: str, reml: bool = True) -> DataFrame:
     """y ~ x + (1 | group) per model at its best variance ratio."""
     lam = best_lambda(rows, by, x, y, reml).select(*by, "lam")
-    return evaluate(rows.join(lam, by), by, x, y, reml)
+    spread = rows.repartition(task_count(rows.sparkSession), *by)
+    return evaluate(spread.join(lam, by), by, x, y, reml)
 
 
 def selection_fit(rows: DataFrame, by: list[str], reml: bool = True) -> DataFrame:
@@ -158,48 +164,54 @@ def mixed_rss(effects: DataFrame, by: list[str], x: list[str], y: str) -> DataFr
             .agg((F.first("_within") + F.sum(F.col("n") * left * left)).alias("rss")))
 
 
+# Columns of the model that keeps one regressor, with the other one dropped or fixed.
+KEPT = {"x1": "d_x2 AS d_kept, w_x2_x2 AS w_kept_kept, w_x2_y AS w_kept_y, d_x1 AS d_other, w_x1_x1 AS w_other_other, w_x1_y AS w_other_y",
+        "x2": "d_x1 AS d_kept, w_x1_x1 AS w_kept_kept, w_x1_y AS w_kept_y, d_x2 AS d_other, w_x2_x2 AS w_other_other, w_x2_y AS w_other_y"}
+
+
+def _reduced(rows: DataFrame, by: list[str], carry: list[str] = ()) -> DataFrame:
+    """The rows of both one-regressor models, told apart by the dropped regressor."""
+    parts = ", ".join(f"struct('{name}' AS dropped, {columns})" for name, columns in KEPT.items())
+    return rows.selectExpr(*by, "n", "n_rows", "d_y", "w_y_y", "w_x1_x2", *carry, f"inline(array({parts}))")
+
+
 def selection_lrt(rows: DataFrame, by: list[str]) -> DataFrame:
     """Likelihood-ratio tests of dropping either effect (ML deviances, 1 df)."""
     full = best_lambda(rows, by, ["x1", "z"], "y", False).select(*by, F.col("low_deviance").alias("full"))
-    parts = None
-    for dropped, kept in (("x1", "x2"), ("x2", "x1")):
-        one = (best_lambda(rows, by, [kept], "y", False)
-               .select(*by, F.lit(dropped).alias("dropped"), F.col("low_deviance").alias("reduced")))
-        parts = one if parts is None else parts.unionByName(one)
-    stat = F.greatest(F.col("reduced") - F.col("full"), F.lit(0.0))
-    return (parts.join(full, by).withColumn("chi2", stat)
-            .withColumn("signif", chi2_interval(F.col("chi2"))).drop("reduced", "full"))
+    reduced = best_lambda(_reduced(rows, by), [*by, "dropped"], ["kept"], "y", False)
+    stat = F.greatest(F.col("low_deviance") - F.col("full"), F.lit(0.0))
+    return (reduced.join(full, by).select(*by, "dropped", stat.alias("chi2"))
+            .withColumn("signif", chi2_interval(F.col("chi2"))))
 
 
-def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str], effect: str) -> DataFrame:
-    """95 % limits of one effect ('beta' or 'gamma') by profile likelihood.
+def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:
+    """95 % limits of both effects by profile likelihood.
 
-    The effect is fixed on a grid around its estimate and the deviance minimised over
+    An effect is fixed on a grid around its estimate and the deviance minimised over
     everything else; the signed root of its rise is inverted between grid values.
     """
-    of, other = ("x1", "x2") if effect == "beta" else ("x2", "x1")
     full = best_lambda(rows, by, ["x1", "z"], "y", False).select(*by, F.col("low_deviance").alias("_full"))
-    grid = F.explode(F.array(*[F.lit(i / 4) for i in range(-24, 25)])).alias("_g")
-    fixed = rows.join(fits.select(*by, f"delta_{effect}", f"se_{effect}"), by).select("*", grid)
-    fixed = fixed.withColumn("_b", F.col(f"delta_{effect}") + F.col("_g") * F.col(f"se_{effect}"))
-    b = F.col("_b")
-    fixed = fixed.withColumns({
-        "d_y": F.col("d_y") - b * F.col(f"d_{of}"),
-        "w_y_y": F.col("w_y_y") - 2 * b * F.col(f"w_{of}_y") + b * b * F.col(f"w_{of}_{of}"),
-        f"w_{other}_y": F.col(f"w_{other}_y") - b * F.col("w_x1_x2")})
-    low = best_lambda(fixed, [*by, "_g", "_b"], [other], "y", False).join(full, by)
-    rise = F.sqrt(F.greatest(F.col("low_deviance") - F.col("_full"), F.lit(0.0)))
+    known = fits.select(*by, "delta_beta", "se_beta", "delta_gamma", "se_gamma")
+    both = _reduced(rows.join(known, by), by, ["delta_beta", "se_beta", "delta_gamma", "se_gamma"])
+    both = _add(both, {"effect": "IF(dropped = 'x1', 'beta', 'gamma')",
+                       "_est": "IF(dropped = 'x1', delta_beta, delta_gamma)",
+                       "_se": "IF(dropped = 'x1', se_beta, se_gamma)",
+                       "_g": "explode(sequence(-24, 24))"})
+    fixed = _add(both, {"_b": "_est + _g / 4D * _se"}).selectExpr(
+        *by, "effect", "_g", "_b", "n", "n_rows", "d_kept", "w_kept_kept",
+        "d_y - _b * d_other AS d_y", "w_kept_y - _b * w_x1_x2 AS w_kept_y",
+        "w_y_y - 2 * _b * w_other_y + _b * _b * w_other_other AS w_y_y")
+    low = best_lambda(fixed, [*by, "effect", "_g", "_b"], ["kept"], "y", False).join(full, by)
     # the minimum splits the falling branch from the rising one
-    w = W.partitionBy(*by).orderBy("_b")
-    low = low.withColumn("_rise", rise).withColumn(
-        "_at", F.min_by("_b", F.struct("_rise", "_b")).over(W.partitionBy(*by)))
-    low = low.withColumn("_z", F.when(F.col("_b") < F.col("_at"), -F.col("_rise")).otherwise(F.col("_rise")))
-    low = low.withColumns({"_zp": F.lag("_z").over(w), "_bp": F.lag("_b").over(w)})
+    one = f"OVER (PARTITION BY {', '.join([*by, 'effect'])}"
+    low = _add(low, {"_rise": "sqrt(greatest(low_deviance - _full, 0D))"})
+    low = _add(low, {"_at": f"min_by(_b, struct(_rise, _b)) {one})"})
+    low = _add(low, {"_z": "IF(_b < _at, -_rise, _rise)"})
+    low = _add(low, {"_zp": f"lag(_z) {one} ORDER BY _b)", "_bp": f"lag(_b) {one} ORDER BY _b)"})
 
     def crossing(level: float) -> Column:
-        inside = (F.col("_zp") <= level) & (F.col("_z") > level)
-        at = F.col("_bp") + (level - F.col("_zp")) / (F.col("_z") - F.col("_zp")) * (F.col("_b") - F.col("_bp"))
-        return F.min(F.when(inside, at))
+        return F.expr(f"min(CASE WHEN _zp <= {level} AND _z > {level} "
+                      f"THEN _bp + ({level} - _zp) / (_z - _zp) * (_b - _bp) END)")
 
-    return (low.groupBy(*by).agg(crossing(-Z_975).alias("lower"), crossing(Z_975).alias("upper"))
+    return (low.groupBy(*by, "effect").agg(crossing(-Z_975).alias("lower"), crossing(Z_975).alias("upper"))
             .withColumn("ci_method", F.lit("profile")))

@@ -340,7 +340,7 @@ def random_intercept_profile_ci(spark, sf):
     models = brand_models(spark, sf).withColumnRenamed("brand", "model_id")
     rows = centred(G.model_groups(design_rows(spark, sf, models)))
     fits = materialise(X.selection_fit(rows, ["model_id"]))
-    return union_tagged({e: X.profile_limits(rows, fits, ["model_id"], e) for e in ("beta", "gamma")}, "effect")
+    return X.profile_limits(rows, fits, ["model_id"])
 
 
 @query("coord_table", f"""

@@ -132,8 +132,9 @@ def test_profile_limits_equal_brute_force(spark):
     fits = X.selection_fit(groups, ["model_id"])
     full = minimise(lambda v: dense_deviance(rows, v, False)[0])[0]
     est = fits.first()
+    limits = {r["effect"]: r for r in X.profile_limits(groups, fits, ["model_id"]).collect()}
     for effect, column, other in (("beta", 5, "x2"), ("gamma", 6, "x1")):
-        row = X.profile_limits(groups, fits, ["model_id"], effect).first()
+        row = limits[effect]
 
         def rise(b):
             off = b * np.array([r[column] for r in rows])

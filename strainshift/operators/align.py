@@ -18,9 +18,11 @@ def date_bounds(df: DataFrame, column: str, before: int = 0, after: int = 0) ->
 
 
 def calendar_align(days: DataFrame, series: DataFrame, day: str, order: str, values: list[str]) -> DataFrame:
-    """Left-align a series to a calendar: the first of several rows wins, a gap is NULL."""
-    first = series.groupBy(day).agg(
-        F.min_by(F.struct(*values), F.col(order)).alias("_v")).select(day, "_v.*")
+    """Left-align a series to a calendar: the first of several rows wins, a gap is NULL.
+
+    ``order`` is unique within a day, so that all values come from the same row.
+    """
+    first = series.groupBy(day).agg(*[F.min_by(v, order).alias(v) for v in values])
     return days.join(first, day, "left")
 
 

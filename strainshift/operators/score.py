@@ -55,16 +55,15 @@ def score_candidates(candidates: DataFrame, obs: DataFrame, expected: Callable[[
                      loss: Loss = weighted_square) -> DataFrame:
     """Score candidates whose expected values are an expression of their parameters.
 
-    Candidates are spread once by their key; the observation points are expanded in
-    place, so one narrow row per candidate is all that is ever shuffled.
+    Candidates are spread once by their key, which is unique; the observation points
+    are expanded in place, so one narrow row per candidate is all that is shuffled.
     """
     floor = divisor_floor(obs)
     spread = candidates.repartition(task_count(candidates.sparkSession), key)
     points = expand_by(spread, obs)
     losses = points.withColumn("loss", loss(F.col("value").cast("double"), expected(), floor))
-    rest = [c for c in candidates.columns if c != key]
-    return losses.groupBy(key).agg(guarded_sum("loss").alias("score"),
-                                   *[F.first(c).alias(c) for c in rest])
+    # all columns of a candidate are keys: a key of any type is hashed, a text buffer is sorted
+    return losses.groupBy(*candidates.columns).agg(guarded_sum("loss").alias("score"))
 
 
 def uniform_starts(ids: DataFrame, key: str, seed: int | str, boxes: dict[str, tuple]) -> DataFrame:

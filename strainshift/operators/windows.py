@@ -32,9 +32,8 @@ def selection_coef_diff(df: DataFrame, by: list[str], period: str, logit: str,
 
 
 def first_value(df: DataFrame, by: list[str], order: str, columns: dict[str, str]) -> DataFrame:
-    """Values of the first row of each group, under new names."""
-    pick = F.min_by(F.struct(*[F.col(c).alias(n) for c, n in columns.items()]), F.col(order))
-    return df.groupBy(*by).agg(pick.alias("_v")).select(*by, "_v.*")
+    """Values of the first row of each group along a unique order, under new names."""
+    return df.groupBy(*by).agg(*[F.min_by(c, order).alias(n) for c, n in columns.items()])
 
 
 def rolling_mean(value: str, by: list[str], order: str, before: int, after: int) -> Column:

@@ -211,16 +211,3 @@ def prevalence_total(spark, sf):
             .pivot("event_type", ["view", "signup", "click", "purchase", "error"]).count().na.fill(0))
     sick = F.col("click") + F.col("purchase") + F.col("error")
     return wide.select("day", sick.alias("prevalence"), (F.col("view") + F.col("signup") + sick).alias("total"))
-
-
-@query("final_state_share", """
-    WITH last AS (SELECT l_suppkey AS candidate, arg_max(l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS s,
-        max(CAST(l_shipdate AS DATE)) AS day FROM lineitem GROUP BY 1)
-    SELECT candidate, day, s / 50 AS share FROM last""")
-def final_state_share(spark, sf):
-    t = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    last = V.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("candidate")).agg(
-        F.max_by("l_quantity", t).alias("s"), F.max(F.to_date("l_shipdate")).alias("day"))
-    return last.select("candidate", "day", (F.col("s") / 50).alias("share"))
-
-

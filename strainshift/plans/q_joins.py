@@ -36,14 +36,15 @@ def _order_days(spark, sf):
 
 
 @query("calendar_align", f"""
-    WITH {ALIGN_DAYS_SQL}, firsts AS (SELECT CAST(l_shipdate AS DATE) AS day,
-        arg_min(l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS quantity FROM lineitem GROUP BY 1)
-    SELECT day, quantity FROM days LEFT JOIN firsts USING (day)""")
+    WITH {ALIGN_DAYS_SQL}, firsts AS (SELECT CAST(o_orderdate AS DATE) AS day, arg_min(o_totalprice, o_orderkey) AS total,
+        arg_min(o_custkey, o_orderkey) AS customer FROM orders GROUP BY 1)
+    SELECT day, total, customer FROM days LEFT JOIN firsts USING (day)""")
 def calendar_align(spark, sf):
-    lines = V.table(spark, sf, "lineitem").select(
-        _day("l_shipdate").alias("day"), F.col("l_quantity").alias("quantity"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("position"))
-    return A.calendar_align(_order_days(spark, sf), lines, "day", "position", ["quantity"])
+    """The first order of each day on the calendar of all days."""
+    orders = V.table(spark, sf, "orders").select(
+        _day("o_orderdate").alias("day"), F.col("o_totalprice").alias("total"), F.col("o_custkey").alias("customer"),
+        "o_orderkey")
+    return A.calendar_align(_order_days(spark, sf), orders, "day", "o_orderkey", ["total", "customer"])
 
 
 @query("multi_series_align", f"""

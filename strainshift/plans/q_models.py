@@ -22,7 +22,7 @@ from strainshift.plans.q_joins import week_control
 from strainshift.plans.q_reshape import MAMMEN_SQL, uniform_sql
 from strainshift.plans.q_rows import REF
 from strainshift.plans.q_scalars import s_sql
-from strainshift.plans.q_windows import MODEL_DAYS_SQL, RESIDUAL_SQL, selection, selection_with_control
+from strainshift.plans.q_windows import MODEL_DAYS_SQL, RESIDUAL_SQL, selection_with_control
 from strainshift.plans.registry import query
 from strainshift.session import materialise
 
@@ -373,12 +373,17 @@ TEST_COLUMNS_SQL = """n, round(r, 6) AS r,
 
 
 def place_pairs(spark, sf):
-    """(place, s, x): monthly central differences and the mean control, by region and in total."""
-    dim = week_control(spark, sf, "month").withColumnRenamed("psi_mean", "x")
-    cells = V.panel(spark, sf, national=True).filter((F.col("fm") > 0.1) & F.col("logit_fm").isNotNull())
-    total = O.selection_coef_diff(cells.withColumn("place", F.lit("national")), ["place"], "period", "logit_fm")
-    regional = selection(spark, sf).withColumnRenamed("region", "place")
-    return regional.unionByName(total).join(dim, "period").select("place", "s", "x")
+    """(place, s, x): monthly central differences and the mean control, by region and in total.
+
+    The counts by region are kept once; the national ones are their sums, so orders
+    are read and joined a single time.
+    """
+    cells = materialise(V.counts(spark, sf)).withColumnRenamed("region", "place")
+    total = cells.groupBy("period").agg(F.sum("n_total").alias("n_total"), F.sum("n_variant").alias("n_variant"))
+    both = V.with_logit(cells.unionByName(total.withColumn("place", F.lit("national"))))
+    kept = both.filter((F.col("fm") > 0.1) & F.col("logit_fm").isNotNull())
+    s = O.selection_coef_diff(kept, ["place"], "period", "logit_fm")
+    return s.join(week_control(spark, sf, "month").withColumnRenamed("psi_mean", "x"), "period").select("place", "s", "x")
 
 
 @query("selection_vs_control", f"""

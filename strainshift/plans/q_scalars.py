@@ -175,6 +175,17 @@ def observables(spark, sf):
         F.round(F.col("new_cases") + rho * F.col("IA"), 6).alias("positive"), "deaths")
 
 
+@query("final_state_share", f"""
+    WITH {TRAJECTORY_SQL}, last AS (SELECT candidate, max(t) AS t, arg_max(s, t) AS s, arg_max(d, t) AS d FROM traj GROUP BY 1)
+    SELECT candidate, t, round(s / 10007, 6) AS s_share, round(d / 10007.0::DOUBLE, 6) AS d_share FROM last""")
+def final_state_share(spark, sf):
+    """States of the last day of each trajectory over the population size."""
+    last = trajectories(spark, sf).groupBy("candidate").agg(
+        F.max("t").alias("t"), F.max_by("S", "t").alias("S"), F.max_by("D", "t").alias("D"))
+    return last.select("candidate", "t", F.round(F.col("S") / 10007, 6).alias("s_share"),
+                       F.round(F.col("D") / 10007, 6).alias("d_share"))
+
+
 @query("initial_state", f"""
     WITH {V.PARAMS_SQL}, e AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
     d AS (SELECT avg(n) AS d1 FROM e WHERE day <= (SELECT min(day) + 6 FROM e)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strainshift.functions.tail import T_975
 from strainshift.operators import mixed as X
 from strainshift.operators import regression as G
+from strainshift.operators.selection import fit_selection_models
 
 SIZES = {"a": 4, "b": 6, "c": 7, "d": 5, "e": 8}
 LAMBDAS = (0.0, 0.5, 3.0)
@@ -235,3 +236,31 @@ def test_regressors_do_not_depend_on_rho_rotation(spark):
             assert r["x1"] == pytest.approx(x1, rel=1e-10, abs=1e-10)
             assert r["x2"] == pytest.approx(x2, rel=1e-10, abs=1e-10)
             assert r["z"] == pytest.approx(r["x2"] - r["rho"] * r["x1"], abs=1e-12)
+
+
+@pytest.mark.parametrize("method,interval", [("lm", "wald"), ("lmer", "wald"), ("lmer", "profile")])
+def test_second_step_in_one_call(spark, method, interval):
+    rng = np.random.default_rng(6)
+    control = spark.createDataFrame([(i, float(p)) for i, p in enumerate(rng.uniform(20, 80, 100))], "day_idx int, psi double")
+    models = spark.createDataFrame([(1, 0.9, 2.0), (2, 0.5, 3.0)], "model_id long, k double, a double")
+    cells = [(g, 3.5 + 7 * i) for g in "abc" for i in range(12)]
+    shape = {(r["region"], r["t"]): r for r in G.logit_regressors(
+        models.filter("model_id = 1"), frame_of(spark, cells, [0.0] * len(cells)), control).collect()}
+    level = {"a": -2.0, "b": -1.5, "c": -2.2}
+    ys = [float(level[g] + 0.1 * shape[(g, t)]["x1"] - 0.02 * shape[(g, t)]["x2"] + rng.normal(0, 0.05)) for g, t in cells]
+    out = fit_selection_models(models, frame_of(spark, cells, ys), control, method, interval)
+    est = {r["model_id"]: r for r in out["estimates"].collect()}
+    assert est[1]["delta_beta_lower"] < 0.1 < est[1]["delta_beta_upper"]
+    assert est[1]["delta_gamma_lower"] < -0.02 < est[1]["delta_gamma_upper"]
+    rss = {r["model_id"]: r["s"] for r in out["fitted"].groupBy("model_id").agg(F.sum(F.col("residual") ** 2).alias("s")).collect()}
+    assert rss == pytest.approx({m: r["rss"] for m, r in est.items()}, rel=1e-6)
+    assert out["fitted"].count() == 2 * len(cells)
+
+
+def frame_of(spark, cells, ys):
+    return spark.createDataFrame([(g, float(t), float(y)) for (g, t), y in zip(cells, ys)], "region string, t double, y double")
+
+
+def test_second_step_refuses_other_methods(spark):
+    with pytest.raises(ValueError, match="method"):
+        fit_selection_models(None, None, None, "glm")

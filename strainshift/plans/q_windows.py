@@ -193,7 +193,7 @@ def rank_by_rss(spark, sf):
     WITH r AS ({PART_RSS_SQL}) SELECT model_id, rss FROM r
     QUALIFY row_number() OVER (ORDER BY rss DESC, model_id) > 1""")
 def drop_worst(spark, sf):
-    return O.drop_worst(part_rss(spark, sf), "rss", "model_id")
+    return O.drop_worst(materialise(part_rss(spark, sf)), "rss", "model_id")
 
 
 @query("topk_candidates", f"""

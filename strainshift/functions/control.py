@@ -27,12 +27,17 @@ def speed(c, kappa=KAPPA, beta_w=BETA_W, gamma_w=GAMMA_W, sn=SUSCEPTIBLE) -> Col
     return F.sqrt(gap * gap + 4 * kappa * (1 - _c(c)) * beta_w * sn)
 
 
+def _per_speed(x, h: Column) -> Column:
+    """x / H; a root of zero gives NaN, which no later sum can hide."""
+    return F.when(h > 0, x / h).otherwise(F.lit(float("nan")))
+
+
 def transmission_integrand(c, **fixed) -> Column:
-    return (1 - _c(c)) / speed(c, **fixed)
+    return _per_speed(1 - _c(c), speed(c, **fixed))
 
 
 def recovery_integrand(c, **fixed) -> Column:
-    return 1 / speed(c, **fixed)
+    return _per_speed(F.lit(1.0), speed(c, **fixed))
 
 
 def selection_coef(delta_beta, delta_gamma, kappa=KAPPA, beta_w=BETA_W, gamma_w=GAMMA_W,
@@ -67,18 +72,18 @@ def selection_gradient(r, mu, sigma, d1=0.0, d2=0.0, d3=0.0, approximate=False)
 
 def r0_from_beta(beta, gamma, alpha, omega, p) -> Column:
     beta, gamma, alpha, omega, p = map(_c, (beta, gamma, alpha, omega, p))
-    return beta * ((1 - omega * p) / gamma + omega * p / alpha)
+    return beta * (F.try_divide(1 - omega * p, gamma) + F.try_divide(omega * p, alpha))
 
 
 def beta_from_r0(r0, gamma, alpha, omega, p) -> Column:
     r0, gamma, alpha, omega, p = map(_c, (r0, gamma, alpha, omega, p))
-    return r0 / ((1 - omega * p) / gamma + omega * p / alpha)
+    return F.try_divide(r0, F.try_divide(1 - omega * p, gamma) + F.try_divide(omega * p, alpha))
 
 
 def corrected_r0(r0, gamma, alpha, omega, p) -> Column:
     """R0 once the lethal share of symptomatic cases is taken into account."""
     r0, gamma, alpha, omega, p = map(_c, (r0, gamma, alpha, omega, p))
-    return r0 * gamma * (alpha + omega * p * (gamma - alpha)) / (gamma * alpha)
+    return F.try_divide(r0 * gamma * (alpha + omega * p * (gamma - alpha)), gamma * alpha)
 
 
 def reporting_rate(t, rho=None, mu=None, eta=None) -> Column:
@@ -89,13 +94,16 @@ def reporting_rate(t, rho=None, mu=None, eta=None) -> Column:
 
 
 def initial_state(population, deaths, p_s, p_e, alpha, omega, p) -> dict[str, Column]:
-    """Compartments at the start, with the infected derived from a death level."""
+    """Compartments at the start, with the infected derived from a death level.
+
+    A parameter of zero that would divide gives NULL, not an error.
+    """
     population, deaths, p_s, p_e, alpha, omega, p = map(
         _c, (population, deaths, p_s, p_e, alpha, omega, p))
     s, e = p_s * population, p_e * population
-    isd = deaths / alpha
-    isr = isd * (1 - p) / p
-    ia = (isr + isd) * (1 - omega) / omega
+    isd = F.try_divide(deaths, alpha)
+    isr = F.try_divide(isd * (1 - p), p)
+    ia = F.try_divide((isr + isd) * (1 - omega), omega)
     return {"S": s, "E": e, "IA": ia, "ISr": isr, "ISd": isd,
             "R": population - (s + e + ia + isr + isd),
             "D": F.lit(0.0), "IS_cumul": F.lit(0.0)}

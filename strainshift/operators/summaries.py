@@ -25,6 +25,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     size is taken from ``group_rows`` if the caller knows it, else measured. Larger
     groups first narrow each quantile to a bracket, see ``_bracket_quantiles``.
     """
+    if not by:
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, group_rows, limit).drop("_all")
     clean = df.select(*by, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
     counted = clean.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     if group_rows is None:
@@ -125,6 +127,8 @@ def density_table(df: DataFrame, by: list[str], value: str, alpha: float = 0.05,
     """
     if not 0 <= alpha < 1:
         raise ValueError("alpha must belong to [0, 1[")
+    if not by:
+        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, alpha, points, group_rows).drop("_all")
     cut = exact_quantiles(df, by, value, [alpha / 2, 1 - alpha / 2], group_rows)
     x = F.col(value)
     kept = (df.join(cut, by).filter((x >= F.element_at("q", 1)) & (x <= F.element_at("q", 2)))

@@ -73,6 +73,13 @@ def test_initial_state_sums_to_population(spark):
     assert one(spark, shares["R"]) == pytest.approx(55)
 
 
+def test_zero_divisors_do_not_stop_a_job(spark):
+    assert math.isnan(one(spark, C.transmission_integrand(1.0, kappa=0.1, gamma_w=0.1)))
+    state = C.initial_state(1000.0, 2.0, 0.9, 0.001, 0.5, 0.2, 0.0)
+    assert one(spark, state["ISr"]) is None and one(spark, state["ISd"]) == 4
+    assert one(spark, C.r0_from_beta(0.25, 0.1, 0.0, 0.1, 0.1)) is None
+
+
 def test_r0_is_inverted_by_beta(spark):
     args = (0.1, 0.9, 0.08, 0.02)
     beta = C.beta_from_r0(2.5, *args)

@@ -139,6 +139,8 @@ def test_bracketed_quantiles_of_a_hot_group(spark):
     got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs, limit=0).collect()}
     assert got["hot"] == pytest.approx(list(np.quantile(hot, probs)), rel=1e-12)
     assert got["tied"] == pytest.approx(list(np.quantile(tied, probs)), rel=1e-12)
+    whole = M.exact_quantiles(df, [], "x", probs, limit=0).first()["q"]
+    assert whole == pytest.approx(list(np.quantile(np.concatenate([hot, tied]), probs)), rel=1e-12)
 
 
 def test_density_against_brute_force(spark):
@@ -154,6 +156,10 @@ def test_density_against_brute_force(spark):
     grid = np.linspace(lo, hi, 64)
     want = np.exp(-((kept[None, :] - grid[:, None]) / bw) ** 2 / 2).sum(1) / (len(kept) * bw * np.sqrt(2 * np.pi))
     assert [r["density"] for r in out] == pytest.approx(list(want), rel=1e-9)
+    whole = M.density_table(df, [], "x", points=64).orderBy("g").collect()
+    assert [r["density"] for r in whole] == pytest.approx(list(want), rel=1e-9)
+    with pytest.raises(ValueError):
+        M.density_table(df, [], "x", alpha=1.0)
 
 
 def test_expand_beyond_one_array_is_whole(spark):

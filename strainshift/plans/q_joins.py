@@ -9,7 +9,7 @@ from strainshift.operators import align as A
 from strainshift.operators import integral as I
 from strainshift.operators.expand import expand_range
 from strainshift.plans import views as V
-from strainshift.plans.q_rows import SWEEP_SQL, VALUE_SQL, fixed_value, swept
+from strainshift.plans.q_rows import REF, SWEEP_SQL, VALUE_SQL, fixed_value, swept
 from strainshift.plans.registry import query
 from strainshift.session import materialise
 
@@ -110,7 +110,6 @@ def composite_key_join(spark, sf):
     SELECT model_id, fixed_parm, multiplier, ref_value, round({VALUE_SQL} / ref_value - 1, 6) AS change
     FROM swept JOIN ref USING (fixed_parm)""")
 def ref_value_lookup(spark, sf):
-    from strainshift.plans.q_rows import REF
     ref = F.create_map(*[x for n, v in REF.items() for x in (F.lit(n), F.lit(v))])
     rows = swept(spark, sf).withColumn("ref_value", ref[F.col("fixed_parm")])
     return rows.select("model_id", "fixed_parm", "multiplier", "ref_value",

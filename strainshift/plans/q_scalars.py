@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainshift.functions import control as C
@@ -9,7 +10,8 @@ from strainshift.functions import labels as L
 from strainshift.functions import transforms as T
 from strainshift.functions.hashing import hash_uniform, wild_weight
 from strainshift.operators.align import day_index
-from strainshift.operators.expand import expand_range, expand_values
+from strainshift.operators.expand import expand_calendar, expand_range, expand_values
+from strainshift.operators.integral import daily_integrands
 from strainshift.operators.score import uniform_starts as draw_starts
 from strainshift.operators.windows import flow_from_cumulative
 from strainshift.plans import views as V
@@ -147,7 +149,6 @@ def trajectories(spark, sf):
 
     Orders are summed by day first, so no window is longer than the calendar.
     """
-    from pyspark.sql import Window as W
     status = F.col("o_orderstatus")
     daily = V.table(spark, sf, "orders").groupBy(
         F.col("o_custkey").alias("candidate"), F.to_date("o_orderdate").alias("day")).agg(
@@ -241,8 +242,6 @@ def selection_coef(spark, sf):
     SELECT brand, day_idx, round((1 - c) / sqrt(0.01::DOUBLE + 4 * 0.2 * (1 - c) * 0.25 * 0.75), 6) AS f1,
            round(1 / sqrt(0.01::DOUBLE + 4 * 0.2 * (1 - c) * 0.25 * 0.75), 6) AS f2 FROM f""")
 def gradient_integrands(spark, sf):
-    from strainshift.operators.expand import expand_calendar
-    from strainshift.operators.integral import daily_integrands
     brands = V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(
         (F.avg("p_size") / 51).alias("k"), (1 + F.avg("p_size") / 10).alias("a"))
     rows = daily_integrands(expand_calendar(brands, V.control_index(spark, sf)))

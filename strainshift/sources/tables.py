@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainshift.functions.transforms import CANONICAL_PARAMETERS
 from strainshift.operators.reshape import union_tagged
 
 # Headers of the input files.
@@ -85,7 +84,3 @@ def read_sweeps(spark: SparkSession, paths: dict[str, str], columns: list[str])
         df = read_params(spark, path, [*columns, name])
         parts[name] = df.withColumnRenamed(name, "fixed_parm_value")
     return union_tagged(parts, "fixed_parm")
-
-
-def known_parameters(columns: list[str]) -> list[str]:
-    return [c for c in CANONICAL_PARAMETERS if c in columns]

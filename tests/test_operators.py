@@ -25,9 +25,10 @@ def test_control_integral_of_five_days(spark):
     daily = I.daily_integrands(days.withColumns({"k": F.lit(0.999219), "a": F.lit(3.782533)}))
     span = spark.createDataFrame([(0.5, 3.5)], "lo double, hi double")
     assert I.interval_integrals(span, daily, ["f1"]).first()["f1"] == pytest.approx(6.484028489236548, abs=1e-12)
-    pre = I.daily_prefix(daily, [], ["f1"])
-    at = {r["day_idx"]: (r["p_f1"], r["f1"]) for r in pre.collect()}
-    assert (at[3][0] + 0.5 * at[3][1]) - (at[0][0] + 0.5 * at[0][1]) == pytest.approx(6.484028489236548, abs=1e-12)
+    pre = I.daily_prefix(daily.withColumn("g", F.lit(1)), ["g"], ["f1"])
+    times = spark.createDataFrame([(0, 0.5), (3, 3.5)], "day_idx int, t double")
+    at = {r["t"]: r["p"] for r in times.join(pre, "day_idx").select("t", I.integral_at("p_f1", "f1", F.col("t")).alias("p")).collect()}
+    assert at[3.5] - at[0.5] == pytest.approx(6.484028489236548, abs=1e-12)
 
 
 def test_segment_prefix_equals_interval_join(spark):

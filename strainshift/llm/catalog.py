@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing the modules fills the registry."""
 
-from strainshift.llm import q_decontaminate  # noqa: F401
+from strainshift.llm import q_decontaminate, q_secrets, q_url_trust  # noqa: F401
 from strainshift.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainshift.llm.textnorm import PIECE, ascii_words
+from strainshift.llm.textnorm import CASED_GAP, PIECE, ascii_words
 
 WIDTH = 13
 #: Bits of the anchor set, whatever the size of the benchmark; 128 KiB.
@@ -119,7 +119,7 @@ def cut_spans(docs: DataFrame, report: DataFrame, doc: str = "doc_id", text: str
     spans = report.where("n_hit > 0").select(F.col(doc).alias("hit_doc"), F.col("text_hash").alias("hit_hash"),
                                              F.col("spans").alias("hit_spans"))
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
-    shift = F.when(F.regexp_like(F.col(text), F.lit(r"\A[\x00-\x2F\x3A-\x60\x7B-\x7F]")), 1).otherwise(0)
+    shift = F.when(F.regexp_like(F.col(text), F.lit(r"\A" + CASED_GAP)), 1).otherwise(0)
     kept = F.filter(pieces, lambda p, i: ~F.exists(
         F.col("hit_spans"), lambda s: (i >= s["s"] * 2 + shift) & (i < s["e"] * 2 + shift)))
     joined = docs.join(spans, docs[doc].eqNullSafe(F.col("hit_doc"))

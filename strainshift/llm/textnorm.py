@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words: every ASCII character that is no letter or digit.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-PIECE = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: The same for text whose case is kept, and alternating words and gaps of it.
+CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+PIECE = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 
 
 def ascii_lower(text: Column) -> Column:

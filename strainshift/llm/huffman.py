@@ -89,15 +89,19 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byt
         raise ValueError("an id has no code")
     end = np.cumsum(size)
     start = end - size
-    words = np.zeros((int(end[-1]) + 31) // 32 + 1 if len(ids) else 1, np.uint64)
-    # A code of at most 32 bits touches two words; neighbours in a word add up, as their bits differ.
-    shifted = codes[ids] << (64 - (start & 31) - size).astype(np.uint64)
-    at = start >> 5
-    for part, place in ((shifted >> np.uint64(32), at), (shifted & np.uint64(0xFFFFFFFF), at + 1)):
-        if len(place):
-            head = np.flatnonzero(np.diff(place, prepend=-1))
-            words[place[head]] += np.add.reduceat(part, head)
-    return words.astype(">u4").tobytes()[:(int(end[-1]) + 7) // 8 if len(ids) else 0], start[::STRIDE]
+    if not len(ids):
+        return b"", start
+    words = np.zeros((int(end[-1]) + 63) // 64 + 1, np.uint64)
+    # Codes of one 64-bit word add up, as their bits differ; some run over into the next.
+    code, room = codes[ids], 64 - (start & 63) - size
+    over = np.flatnonzero(room < 0)
+    here = code << np.maximum(room, 0).astype(np.uint64)
+    here[over] = code[over] >> (-room[over]).astype(np.uint64)
+    at = start >> 6
+    head = np.flatnonzero(np.diff(at, prepend=-1))
+    words[at[head]] = np.add.reduceat(here, head)
+    words[at[over] + 1] += code[over] << (64 + room[over]).astype(np.uint64)
+    return words.astype(">u8").tobytes()[:(int(end[-1]) + 7) // 8], start[::STRIDE]
 
 
 def decode(data: bytes, n: int, checkpoints: np.ndarray, table) -> np.ndarray:

@@ -9,6 +9,7 @@ blocks' sizes per file reach the driver.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -17,17 +18,24 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strainshift.llm import huffman
+from strainshift.llm.wordhash import WordHasher, batches_of, mix
 from strainshift.session import shared_folder
 
 END_ID = 0
 #: A block is closed by the document that brings it to so many ids.
 BLOCK_IDS = 1 << 17
-#: Texts of about so many characters go to the tokenizer at a time.
-BATCH_CHARS = 1 << 21
+#: Texts of about so many bytes are encoded at a time.
+BATCH_BYTES = 1 << 20
 #: Words whose ids a task remembers; a few hundred bytes each at most.
 CACHE_WORDS = 400_000
+#: Bytes that are a plain gap, other white space, or may begin white space beyond ASCII.
+KINDS = np.zeros(256, np.uint8)
+GAP, ODD, ASK = 1, 2, 3
+KINDS[[32, 10]], KINDS[[9, 11, 12, 13, 28, 29, 30, 31]], KINDS[[0xC2, 0xE1, 0xE2, 0xE3]] = GAP, ODD, ASK
 DOCS, IDS = pa.list_(pa.int64()), pa.list_(pa.int64())
 
 
@@ -35,44 +43,95 @@ class WordEncoder:
     """Ids by the tokenizers library, remembered per word.
 
     A byte-level BPE with the usual splitting never joins across a space or newline that
-    has no white space beside it. So a text without two white-space characters in a row is
-    cut before each of them and its words are looked up; other texts are encoded whole.
+    has no white space beside it. So a text whose white space is all of that kind is cut
+    before each of it, and its words are looked up by a 64-bit hash; other texts are
+    encoded whole. New words are encoded many at a time, as texts; the ids that begin with
+    the space or newline tell them apart.
     """
 
     def __init__(self, path: str):
-        import re
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.odd = re.compile(r"\s\s|[^\S \n]|<\||\A\s|\s\Z").search
-        self.words: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        cut = [None if self.odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        for c in cut:
-            if c:
-                c[0] = "\0" + c[0]  # the first word has no space before it
-        new = list({w for c in cut if c for w in c if w not in words})
-        if new:
-            given = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in new]
-            words.update(zip(new, self.plain(given)))
-        whole = iter(self.plain([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(words.__getitem__, c)) for c in cut]
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.head = np.zeros(1 << 16, bool)
+        self.head[[i for token, i in self.tok.get_vocab().items() if token[0] in "\u0120\u010a"]] = True
+        self.hasher = WordHasher(fold=False)
+        self.forget()
+
+    def forget(self):
+        """Keys of words, sorted, with the place and number of their ids in one array."""
+        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2")
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Words begin with their space or newline; those that begin a text have neither."""
+        inside = [i for i, w in enumerate(words) if w[0] in " \n"]
+        first = [i for i, w in enumerate(words) if w[0] not in " \n"]
+        found = self.plain([words[i] for i in first])
+        sizes, parts = np.zeros(len(words), np.int64), [None] * len(words)
+        for i, ids in zip(first, found):
+            sizes[i], parts[i] = len(ids), ids
+        groups = [inside[i:i + 256] for i in range(0, len(inside), 256)]
+        for group, ids in zip(groups, self.plain(["".join([words[i] for i in g]) for g in groups])):
+            at = np.flatnonzero(self.head[ids])
+            if len(at) != len(group):
+                raise ValueError("the vocabulary joins words; it is not of the kind this encoder knows")
+            sizes[group] = np.diff(np.r_[at, len(ids)])
+            parts[group[0]] = ids
+        order = np.array(first + inside, np.int64)  # as the ids are put down
+        ends = np.cumsum(sizes[order]) + len(self.ids)
+        at = np.empty(len(words), np.int64)
+        at[order] = ends - sizes[order]
+        self.ids = np.concatenate([self.ids, *(parts[i] for i in order if parts[i] is not None)])
+        keys, at, sizes = np.r_[self.keys, keys], np.r_[self.at, at], np.r_[self.size, sizes]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size = keys[order], at[order], sizes[order]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """16-bit ids of each text."""
+        hashes, lengths, counts, places, buffer = self.hasher.placed_words(texts)
+        kind = KINDS[buffer]
+        gap = kind == GAP
+        odd = (kind == ODD) | (gap & np.r_[True, gap[:-1]])  # another kind, or two in a row
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(ends, np.flatnonzero(odd), "right")] = True
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(kind == ASK), "right")):
+            whole[i] |= " ".join((t := texts[i].decode()).split()) != t.replace("\n", " ")
+        # What stands before a word: nothing, a space, or a newline.
+        before = np.where(buffer[places - 1] == 10, np.uint64(2), np.uint64(1))
+        heads = np.cumsum(counts) - counts
+        before[heads[counts > 0]] = 0
+        use = np.repeat(~whole, counts)
+        keys, first, back = np.unique(mix(hashes[use] + before[use]), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_WORDS:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            first = first[new]
+            start, stop = places[use][first], places[use][first] + lengths[use][first]
+            start = start - (before[use][first] > 0)
+            raw = buffer.tobytes()
+            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start.tolist(), stop.tolist())])
+            at = np.searchsorted(self.keys, keys)
+        at, size = self.at[at][back], self.size[at][back]
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.r_[0, total][np.cumsum(np.where(whole, 0, counts))]
+        alone = iter(self.plain([texts[i].decode() for i in np.flatnonzero(whole)]))
+        return [next(alone) if w else part for w, part in zip(whole, np.split(ids, cuts[:-1]))]
 
 
 def stage_ids(docs: DataFrame, tokenizer: str, doc: str, text: str) -> DataFrame:
     """Blocks of whole documents: part, block, docs, sizes, ids (compressed 16-bit)."""
-    end = np.array([END_ID], "<u2").tobytes()
+    end = np.array([END_ID], "<u2")
 
     def run(batches):
         from pyspark import TaskContext
@@ -84,17 +143,15 @@ def stage_ids(docs: DataFrame, tokenizer: str, doc: str, text: str) -> DataFrame
         def close():
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names], DOCS),
-                pa.array([sizes], IDS), pa.array([squeeze.compress(b"".join(data))], pa.binary())],
+                pa.array([sizes], IDS), pa.array([squeeze.compress(np.concatenate(data).tobytes())], pa.binary())],
                 ["part", "block", "docs", "sizes", "ids"])
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            width = max(1, min(len(keys), BATCH_CHARS * len(keys) // max(1, texts.nbytes)))
-            for i in range(0, len(keys), width):
-                found = encoder.encode([t or "" for t in texts.slice(i, width).to_pylist()])
-                for key, ids in zip(keys[i:i + width], found):
+            keys, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for a, b in batches_of([len(t) for t in texts], BATCH_BYTES):
+                for key, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
                     names.append(key)
-                    sizes.append(len(ids) // 2 + 1)
+                    sizes.append(len(ids) + 1)
                     data += [ids, end]
                     held += sizes[-1]
                     if held >= BLOCK_IDS:
@@ -105,9 +162,9 @@ def stage_ids(docs: DataFrame, tokenizer: str, doc: str, text: str) -> DataFrame
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc", F.xxhash64("text")).sortWithinPartitions("doc", F.xxhash64("text"))
-    return rows.mapInArrow(run, "part int, block int, docs array<bigint>, sizes array<bigint>, ids binary")
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange(parts, "doc", "row").sortWithinPartitions("doc", "row")
+    return rows.select("doc", "text").mapInArrow(run, "part int, block int, docs array<bigint>, sizes array<bigint>, ids binary")
 
 
 def count_ids(staged: DataFrame) -> DataFrame:
@@ -126,7 +183,7 @@ def count_ids(staged: DataFrame) -> DataFrame:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc: str = "doc_id", text: str = "text") -> None:
     """Encode every document, END_ID after it, into path/code and path/blocks.
 
-    Ascending doc order; rows of one doc are ordered by a hash of their text, a null doc
+    Ascending doc order; rows of one doc stand as they are read, a null doc
     comes first, null text is the empty text. code: (id, bits) of the canonical code.
     blocks: part, block, docs, sizes, n, checkpoints (bit offsets), data. An empty table
     writes an empty file.
@@ -178,11 +235,11 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, per_document, schema: str) -> DataFrame:
     """Decode every block; per_document(ids, doc, start, size) makes a row from each document's ids."""
     lengths = read_code(spark, path)
-    names = [x.split()[0] for x in schema.split(",")]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         table = huffman.decode_table(lengths)
-        for batch in batches:
+        for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             rows = []
             for r in batch.to_pylist():
                 ids = huffman.decode(r["data"], r["n"], np.array(r["checkpoints"], np.int64), table)
@@ -190,8 +247,7 @@ def read_tokens(spark: SparkSession, path: str, per_document, schema: str) -> Da
                 for doc, size in zip(r["docs"], r["sizes"]):
                     rows.append(per_document(ids[at:at + size], doc, r["start"] + at, size))
                     at += size
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) if c else pa.array([], pa.int64())
-                                              for c in (zip(*rows) if rows else [()] * len(names))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
 
     blocks = spark.read.parquet(f"{path}/blocks")
     return blocks.join(block_starts(spark, path), ["part", "block"]).mapInArrow(run, schema)

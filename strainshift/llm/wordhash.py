@@ -1,6 +1,6 @@
 """Hashes of the words of many texts at once, in NumPy.
 
-Words are what stands between ASCII white space, A-Z lower-cased. A word's 64-bit hash is
+Words are what stands between ASCII white space, A-Z lower-cased if asked. A word's 64-bit hash is
 a polynomial over a fixed random value per byte, taken from one running sum over the
 buffer, then mixed.
 """
@@ -14,8 +14,9 @@ BASE = U(0x9E3779B97F4A7C15)
 STEP = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_VALUES = np.random.default_rng(2024).integers(1, 2 ** 63, 256, dtype=np.uint64) * U(2) + U(1)
-_VALUES[65:91] = _VALUES[97:123]
+_CASED = np.random.default_rng(2024).integers(1, 2 ** 63, 256, dtype=np.uint64) * U(2) + U(1)
+_FOLDED = _CASED.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,7 +28,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHasher:
     """Keeps the powers of the base; one per task."""
 
-    def __init__(self):
+    def __init__(self, fold: bool = True):
+        self.values = _FOLDED if fold else _CASED
         inverse = pow(int(BASE), -1, 1 << 64)
         with np.errstate(over="ignore"):
             self.up = np.cumprod(np.concatenate(([U(1)], np.full(2 * STEP, BASE))))
@@ -39,11 +41,15 @@ class WordHasher:
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(part) > 2 * STEP:  # one word of over a MB among them: grow the powers for it
             self.up, self.down = (np.cumprod(np.concatenate(([U(1)], np.full(len(part), p[1])))) for p in (self.up, self.down))
-        total = np.concatenate(([U(0)], np.cumsum(_VALUES[part] * self.up[:len(part)])))
+        total = np.concatenate(([U(0)], np.cumsum(self.values[part] * self.up[:len(part)])))
         return start, end, mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes and byte lengths of all words in order, and the number of words of each text."""
+        return self.placed_words(texts)[:3]
+
+    def placed_words(self, texts: list[bytes]):
+        """The same, and the words' places in the texts joined by newlines, and those."""
         buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
         hashes, lengths, places, at = [], [], [], 0
@@ -65,7 +71,7 @@ class WordHasher:
         places = np.concatenate(places) if places else np.zeros(0, np.int64)
         upto = np.searchsorted(places, ends)
         return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64),
-                np.concatenate(lengths) if lengths else np.zeros(0, np.int64), np.diff(upto, prepend=0))
+                np.concatenate(lengths) if lengths else np.zeros(0, np.int64), np.diff(upto, prepend=0), places, buffer)
 
 
 def batches_of(sizes: list[int], most: int = 1 << 22):

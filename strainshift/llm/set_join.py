@@ -12,7 +12,8 @@
     one hash among the first n - t + 1, and two among the first n - t + 2. Light sets, up to
     a size boundary, enumerate the pairs of hashes in the latter; heavy sets scan the
     inverted lists of the former, which hold every set large enough to match one. The boundary
-    is the size with the least total of subsets written and list entries scanned.
+    is the size with the least total of subsets written and list entries written and scanned.
+    Copies met in different tasks are found first, by their digest, and take no part again.
 3.  Sets that meet are connected (each key's sets to their least); these candidate
     components are verified exactly, by counting intersections from inverted lists in the task.
     A component too large for one task is cut into chunks: each chunk is verified and
@@ -49,7 +50,7 @@ U = np.uint64
 LOW = U((1 << 48) - 1)
 POSTS, MARKS, ROWS = 0, 1, 2
 PACKED = "key int, bucket int, kind int, a binary, b binary, c binary, d binary"
-SET = "row bigint, doc bigint, n bigint, rep bigint, one array<bigint>, two array<bigint>, scan bigint, m bigint, hashes binary"
+SET = "row bigint, doc bigint, n bigint, rep bigint, one array<bigint>, two array<bigint>, m bigint, hashes binary"
 
 
 def shingle_sets(hasher: WordHasher, texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -211,14 +212,14 @@ def _setter(percent: int):
             named = size >= 0
             size = size if named else ~size
             if p != r or i == j:
-                out.append((r, d if named else None, size, p, None, None, 0, 0, None))
+                out.append((r, d if named else None, size, p, None, None, 0, None))
                 continue
             least = -(-percent * size // 100)
             alone = size - (j - i)
             one = max(0, size - least + 1 - alone)
             two = max(0, size - least + min(2, least) - alone)
             out.append((r, d if named else None, size, p, h[i:i + one].view(np.int64), h[i:i + two].view(np.int64),
-                        int(np.minimum(count[i:i + one], 1 << 20).sum()), j - i, np.sort(h[i:j]).tobytes()))
+                        j - i, np.sort(h[i:j]).tobytes()))
         table = pd.DataFrame(out, columns=[x.split()[0] for x in SET.split(", ")])
         table["doc"] = table["doc"].astype("Int64")
         return table
@@ -236,12 +237,27 @@ def shared_sets(docs: DataFrame, doc: str, text: str, width: int, percent: int)
     return materialise(counted.groupBy("bucket").applyInPandas(_setter(percent), SET))
 
 
+def copies(sets: DataFrame) -> DataFrame:
+    """(row, first): sets that equal an earlier one, found in another task, and the first of them.
+
+    All hashes of such a set are shared, so its packed hashes are the set.
+    """
+    same = sets.where("m > 0 AND m = n").select("row", F.sha2("hashes", 256).alias("digest"))
+    first = same.groupBy("digest").agg(F.min("row").alias("first"))
+    return same.join(first, "digest").where("row <> first").select("row", "first")
+
+
 def size_boundary(sets: DataFrame, percent: int) -> int:
-    """The size up to which sets are light: least subsets written and entries scanned in all."""
+    """The size up to which sets are light, by cost.
+
+    A light set writes a row for each pair of its prefix hashes, a heavy one a row for each
+    hash of its shorter prefix, which is scanned once more with its list; sets below the
+    boundary that can match a heavy one are in the lists too.
+    """
     m1, m2 = F.size("one").cast("double"), F.size("two").cast("double")
     band = F.floor(F.log2("n") * 4)  # quarter octaves: a few hundred rows at most
     rows = sets.where("m > 0").groupBy(band.alias("band")).agg(
-        F.max("n").alias("top"), F.sum(m2 * (m2 - 1) / 2).alias("subsets"), F.sum(m1 + F.col("scan")).alias("entries")).orderBy("band").collect()
+        F.max("n").alias("top"), F.sum(m2 * (m2 - 1) / 2).alias("subsets"), F.sum(2 * m1).alias("entries")).orderBy("band").collect()
     best, at = None, 0
     for k in range(len(rows) + 1):
         edge = rows[k - 1]["top"] if k else 0
@@ -261,7 +277,6 @@ def candidate_edges(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     light = sets.where(F.col("n") <= boundary).select("row", F.explode(F.when(F.col("n") == 1, two).otherwise(pairs)).alias("key"))
     heavy = sets.where(F.col("n") * 100 > boundary * percent).select("row", F.explode("one").alias("key"))
     keys = light.select("row", "key", F.lit(0).alias("kind")).unionByName(heavy.select("row", "key", F.lit(1).alias("kind")))
-    keys = materialise(keys)
     least = keys.groupBy("kind", "key").agg(F.min("row").alias("v"), F.count("*").alias("n")).where("n > 1")
     return keys.join(least, ["kind", "key"]).where("row <> v").select(F.col("row").alias("u"), "v").distinct()
 
@@ -397,9 +412,12 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     own. Other columns are not read. `boundary` replaces the size that costs would choose.
     """
     sets = shared_sets(docs, doc, text, width, percent)
-    boundary = size_boundary(sets, percent) if boundary is None else boundary
-    labels = components(candidate_edges(sets, boundary, percent))
-    roots = components(verified_links(sets, labels, percent, chunk))
+    again = materialise(copies(sets))
+    firsts = sets.where("m > 0").join(again, "row", "left_anti")
+    boundary = size_boundary(firsts, percent) if boundary is None else boundary
+    labels = components(candidate_edges(firsts, boundary, percent))
+    links = verified_links(sets, labels, percent, chunk)
+    roots = components(links.unionByName(again.select(F.col("row").alias("u"), F.col("first").alias("v"))))
     rows = sets.select("doc", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left").select(
         "doc", "n", F.coalesce("root", "rep").alias("class"))
     least = rows.groupBy("class").agg(F.min("doc").alias("component"))

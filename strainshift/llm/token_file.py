@@ -30,8 +30,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Texts of about so many bytes are encoded at a time.
 BATCH_BYTES = 1 << 20
-#: Words whose ids a task remembers; a few hundred bytes each at most.
-CACHE_WORDS = 400_000
+#: Words whose ids a task remembers, at some 40 bytes each.
+CACHE_WORDS = 2_000_000
 #: Bytes that are a plain gap, other white space, or may begin white space beyond ASCII.
 KINDS = np.zeros(256, np.uint8)
 GAP, ODD, ASK = 1, 2, 3

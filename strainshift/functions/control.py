@@ -70,20 +70,20 @@ def selection_gradient(r, mu, sigma, d1=0.0, d2=0.0, d3=0.0, approximate=False)
             + power * (d1 + 2 * (d3 - d2) * growth) / mu)
 
 
-def r0_from_beta(beta, gamma, alpha, omega, p) -> Column:
-    beta, gamma, alpha, omega, p = map(_c, (beta, gamma, alpha, omega, p))
-    return beta * (F.try_divide(1 - omega * p, gamma) + F.try_divide(omega * p, alpha))
+def r0_from_beta(beta, gamma, exit_rate, omega, p) -> Column:
+    beta, gamma, exit_rate, omega, p = map(_c, (beta, gamma, exit_rate, omega, p))
+    return beta * (F.try_divide(1 - omega * p, gamma) + F.try_divide(omega * p, exit_rate))
 
 
-def beta_from_r0(r0, gamma, alpha, omega, p) -> Column:
-    r0, gamma, alpha, omega, p = map(_c, (r0, gamma, alpha, omega, p))
-    return F.try_divide(r0, F.try_divide(1 - omega * p, gamma) + F.try_divide(omega * p, alpha))
+def beta_from_r0(r0, gamma, exit_rate, omega, p) -> Column:
+    r0, gamma, exit_rate, omega, p = map(_c, (r0, gamma, exit_rate, omega, p))
+    return F.try_divide(r0, F.try_divide(1 - omega * p, gamma) + F.try_divide(omega * p, exit_rate))
 
 
-def corrected_r0(r0, gamma, alpha, omega, p) -> Column:
+def corrected_r0(r0, gamma, exit_rate, omega, p) -> Column:
     """R0 once the lethal share of symptomatic cases is taken into account."""
-    r0, gamma, alpha, omega, p = map(_c, (r0, gamma, alpha, omega, p))
-    return F.try_divide(r0 * gamma * (alpha + omega * p * (gamma - alpha)), gamma * alpha)
+    r0, gamma, exit_rate, omega, p = map(_c, (r0, gamma, exit_rate, omega, p))
+    return F.try_divide(r0 * gamma * (exit_rate + omega * p * (gamma - exit_rate)), gamma * exit_rate)
 
 
 def reporting_rate(t, rho=None, mu=None, eta=None) -> Column:
@@ -93,15 +93,15 @@ def reporting_rate(t, rho=None, mu=None, eta=None) -> Column:
     return F.coalesce(rho, mu + eta * _c(t))
 
 
-def initial_state(population, deaths, p_s, p_e, alpha, omega, p) -> dict[str, Column]:
+def initial_state(population, deaths, p_s, p_e, exit_rate, omega, p) -> dict[str, Column]:
     """Compartments at the start, with the infected derived from a death level.
 
     A parameter of zero that would divide gives NULL, not an error.
     """
-    population, deaths, p_s, p_e, alpha, omega, p = map(
-        _c, (population, deaths, p_s, p_e, alpha, omega, p))
+    population, deaths, p_s, p_e, exit_rate, omega, p = map(
+        _c, (population, deaths, p_s, p_e, exit_rate, omega, p))
     s, e = p_s * population, p_e * population
-    isd = F.try_divide(deaths, alpha)
+    isd = F.try_divide(deaths, exit_rate)
     isr = F.try_divide(isd * (1 - p), p)
     ia = F.try_divide((isr + isd) * (1 - omega), omega)
     return {"S": s, "E": e, "IA": ia, "ISr": isr, "ISd": isd,

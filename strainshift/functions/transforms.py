@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # The canonical parameter order of every fit table.
 CANONICAL_PARAMETERS = (
-    "pS", "pE", "pIA", "pISr", "pISd", "beta", "gamma", "alpha", "kappa",
+    "pS", "pE", "pIA", "pISr", "pISd", "beta", "gamma", "exit_rate", "kappa",
     "k", "a", "omega", "p", "rho", "eta", "mu",
 )
 
 # The scale on which each parameter is searched.
 LOG_PARAMETERS = ("beta", "gamma", "kappa", "a")
-LOGIT_PARAMETERS = ("pS", "alpha", "k", "omega", "rho", "eta", "mu")
+LOGIT_PARAMETERS = ("pS", "exit_rate", "k", "omega", "rho", "eta", "mu")
 INTERVAL_PARAMETERS = {
     "pE": (0.0, 0.01), "pIA": (0.0, 0.01), "pISr": (0.0, 0.01), "pISd": (0.0, 0.01),
     "p": (0.0, 0.2),

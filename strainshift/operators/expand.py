@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strainshift.session import materialise
+
 # A dimension up to this many rows travels as one array inside the plan.
 ARRAY_ROWS = 200_000
 
@@ -14,11 +16,12 @@ ARRAY_ROWS = 200_000
 def as_array(dim: DataFrame, limit: int = ARRAY_ROWS) -> Column:
     """A whole small table as one array-of-struct value, sorted by its columns.
 
-    The size is checked when the subquery runs; a larger table stops the job.
+    No more than ``limit`` + 1 rows are ever gathered; a larger table stops the job.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*dim.columns)))
+    columns, dim = dim.columns, dim.limit(limit + 1)
+    rows = F.sort_array(F.collect_list(F.struct(*columns)))
     size = F.count(F.lit(1))
-    message = F.format_string(f"%d rows do not fit in one array of {limit}", size)
+    message = F.lit(f"more rows than fit in one array of {limit}")
     return dim.agg(F.when(size <= limit, rows)
                    .otherwise(F.raise_error(message).cast(_array_type(dim)))).scalar()
 
@@ -35,17 +38,17 @@ def expand_calendar(df: DataFrame, dim: DataFrame) -> DataFrame:
 def expand_by(df: DataFrame, dim: DataFrame, rows: int | None = None, limit: int = ARRAY_ROWS) -> DataFrame:
     """Expand each row of ``df`` by each row of ``dim``.
 
-    ``dim`` is counted first, unless the caller gives its ``rows``. Up to ``limit``
-    rows it is one array; beyond, it is cut by a hash into as many arrays as needed,
-    each half full on average, and the parts are united.
+    ``dim`` is counted first, unless the caller gives its ``rows``. It is dealt out row by
+    row into as many arrays as needed, each half full, and the parts are united; up to
+    ``limit`` rows that is one array.
     """
     rows = dim.count() if rows is None else rows
     if rows <= limit:
         return expand_calendar(df, dim)
     parts = -(-2 * rows // limit)
-    key = F.pmod(F.xxhash64(*dim.columns), F.lit(parts))
+    dealt = materialise(dim.repartition(parts).withColumn("_part", F.spark_partition_id()))
     return reduce(DataFrame.unionByName,
-                  [expand_calendar(df, dim.filter(key == i)) for i in range(parts)])
+                  [expand_calendar(df, dealt.filter(F.col("_part") == i).drop("_part")) for i in range(parts)])
 
 
 def expand_values(df: DataFrame, name: str, values) -> DataFrame:

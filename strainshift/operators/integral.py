@@ -24,24 +24,35 @@ def overlap(lo: Column, hi: Column, day: Column) -> Column:
     return F.least(hi, day + 1) - F.greatest(lo, day)
 
 
-def interval_integrals(intervals: DataFrame, daily: DataFrame, values: list[str]) -> DataFrame:
+def uncontrolled(fixed: dict | None = None) -> dict[str, Column]:
+    """Both integrands on a day without control (c = 0)."""
+    none = F.lit(0.0)
+    return {"f1": C.transmission_integrand(none, **(fixed or {})), "f2": C.recovery_integrand(none, **(fixed or {}))}
+
+
+def interval_integrals(intervals: DataFrame, daily: DataFrame, values: list[str],
+                       missing: dict[str, Column] | None = None) -> DataFrame:
     """Integrals of daily values over [lo, hi], the general form.
 
     Each interval is cut into the days it touches, so that the overlap condition is
-    an equi-join on the day and never a range join.
+    an equi-join on the day and never a range join. A touched day without a value
+    makes the integral NULL, unless ``missing`` gives the value of such days.
     """
     keys = intervals.columns
     days = intervals.withColumn("day_idx", F.explode(F.sequence(
         F.floor("lo").cast("int"), F.greatest(F.ceil("hi") - 1, F.floor("lo")).cast("int"))))
     part = overlap(F.col("lo"), F.col("hi"), F.col("day_idx"))
-    return (days.join(daily, "day_idx", "left").groupBy(*keys)
-            .agg(*[F.sum(F.coalesce(F.col(v) * part, F.lit(0.0))).alias(v) for v in values]))
+    rows = days.join(daily, "day_idx", "left").withColumns(
+        {v: F.coalesce(F.col(v), (missing or {}).get(v, F.lit(None))) * part for v in values})
+    whole = F.count(F.lit(1))
+    return rows.groupBy(*keys).agg(*[F.when(F.count(v) == whole, F.sum(v)).alias(v) for v in values])
 
 
-def segment_weights(points: DataFrame, control: DataFrame) -> DataFrame:
+def segment_weights(points: DataFrame, control: DataFrame, fill: str = "zero") -> DataFrame:
     """Overlap weights (segment, psi, weight) of days with the gaps between time points.
 
-    ``points`` has the columns j = 1..m and t, the ordered evaluation times. Days of
+    A day without an index has no control under ``fill='zero'``, as in ``uncontrolled``;
+    under 'null' its weight is NULL, and so are the integrals from there on. ``points`` has the columns j = 1..m and t, the ordered evaluation times. Days of
     equal psi within one segment share a row: the integrand depends on psi only.
     """
     w = W.orderBy("j")  # one row per period of the calendar
@@ -49,8 +60,11 @@ def segment_weights(points: DataFrame, control: DataFrame) -> DataFrame:
     days = gaps.withColumn("day_idx", F.explode(F.sequence(
         F.floor("lo").cast("int"), F.greatest(F.ceil("hi") - 1, F.floor("lo")).cast("int"))))
     part = overlap(F.col("lo"), F.col("hi"), F.col("day_idx"))
-    return (days.join(control, "day_idx", "left")
-            .groupBy("j", "psi").agg(F.sum(part).alias("weight")))
+    if fill not in ("zero", "null"):
+        raise ValueError(f"fill is 'zero' or 'null', not {fill!r}")
+    rows = days.join(control, "day_idx", "left")
+    weight = F.sum(part) if fill == "zero" else F.when(F.count("psi") == F.count(F.lit(1)), F.sum(part))
+    return rows.groupBy("j", "psi").agg(weight.alias("weight"))
 
 
 def prefix_integrals(models: DataFrame, weights: DataFrame, values: dict[str, Column],
@@ -63,9 +77,9 @@ def prefix_integrals(models: DataFrame, weights: DataFrame, values: dict[str, Co
     """
     rows = daily_integrands(expand_calendar(models, weights), fixed=fixed)
     segments = rows.groupBy("model_id", "j").agg(
-        *[F.sum(F.col("weight") * v).alias(n) for n, v in values.items()])
+        *[F.sum(F.col("weight") * v).alias(n) for n, v in values.items()], (F.count("weight") < F.count(F.lit(1))).alias("_gap"))
     run = W.partitionBy("model_id").orderBy("j")
-    return segments.select("model_id", "j", *[F.sum(n).over(run).alias(n) for n in values])
+    return segments.select("model_id", "j", *[F.when(~F.max("_gap").over(run), F.sum(n).over(run)).alias(n) for n in values])
 
 
 def daily_prefix(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:

@@ -17,8 +17,8 @@ from strainshift.functions.labels import chi2_interval
 from strainshift.functions.tail import Z_975
 from strainshift.session import task_count
 
-# First grid: 0 and quarter decades of lambda. Second: a tenth of that step.
-COARSE = [0.0] + [10.0 ** (i / 4) for i in range(-16, 17)]
+# First grid: 0 and quarter decades of lambda up to 1e12, the stated bound of the ratio. Second: a tenth of that step.
+COARSE = [0.0] + [10.0 ** (i / 4) for i in range(-16, 49)]
 FINE_STEP = 0.025
 # Near zero the second grid is linear up to the smallest positive value of the first.
 SMALLEST = COARSE[1]
@@ -188,7 +188,8 @@ def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame
     """95 % limits of both effects by profile likelihood.
 
     An effect is fixed on a grid around its estimate and the deviance minimised over
-    everything else; the signed root of its rise is inverted between grid values.
+    everything else; the signed root of its rise is inverted between grid values. A
+    limit that the grid does not reach is NULL, and ``status`` says so.
     """
     full = best_lambda(rows, by, ["x1", "z"], "y", False).select(*by, F.col("low_deviance").alias("_full"))
     known = fits.select(*by, "delta_beta", "se_beta", "delta_gamma", "se_gamma")
@@ -213,5 +214,6 @@ def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame
         return F.expr(f"min(CASE WHEN _zp <= {level} AND _z > {level} "
                       f"THEN _bp + ({level} - _zp) / (_z - _zp) * (_b - _bp) END)")
 
+    open_ends = F.when(F.col("lower").isNull() | F.col("upper").isNull(), "open beyond 6 standard errors").otherwise("bracketed")
     return (low.groupBy(*by, "effect").agg(crossing(-Z_975).alias("lower"), crossing(Z_975).alias("upper"))
-            .withColumn("ci_method", F.lit("profile")))
+            .withColumns({"ci_method": F.lit("profile"), "status": open_ends}))

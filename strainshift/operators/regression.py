@@ -145,21 +145,27 @@ def fitted_rows(design: DataFrame, levels: DataFrame, by: list[str], group: str)
 
 
 def nested_f_test(groups: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """s ~ group, + x, and group * x: residual sums and both F statistics."""
+    """s ~ group, + x, and group * x: residual sums and both F statistics.
+
+    A group in which x does not vary has a level but no slope of its own.
+    """
     sxx, sxy, syy = F.col(f"c_{x}_{x}"), F.col(f"c_{x}_{y}"), F.col(f"c_{y}_{y}")
+    mean = F.col(f"m_{x}")
+    varied = sxx > RANK_TOLERANCE * (sxx + F.col("n") * mean * mean)
     s = groups.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(syy).alias("rss1"),
-        F.sum(sxx).alias("_xx"), F.sum(sxy).alias("_xy"),
-        F.sum(syy - F.coalesce(F.try_divide(sxy * sxy, F.nullif(sxx, F.lit(0.0))), F.lit(0.0))).alias("rss3"))
-    s = s.withColumn("rss2", F.col("rss1") - F.col("_xy") * F.col("_xy") / F.nullif("_xx", F.lit(0.0)))
-    n, g, r1, r2, r3 = (F.col(c) for c in ("n", "g", "rss1", "rss2", "rss3"))
-    zero = F.lit(0.0)
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.count(F.when(varied, 1)).alias("_gx"), F.sum(syy).alias("rss1"),
+        F.sum(F.when(varied, sxx)).alias("_xx"), F.sum(F.when(varied, sxy)).alias("_xy"),
+        F.sum(syy - F.when(varied, sxy * sxy / sxx).otherwise(0.0)).alias("rss3"))
+    s = s.withColumn("rss2", F.col("rss1") - F.coalesce(F.col("_xy") * F.col("_xy") / F.col("_xx"), F.lit(0.0)))
+    n, g, gx, r1, r2, r3 = (F.col(c) for c in ("n", "g", "_gx", "rss1", "rss2", "rss3"))
+    zero, none = F.lit(0.0), F.lit(0)
+    df_12 = F.when(gx > 0, 1).otherwise(0)
+    df_2, df_23, df_3 = n - g - df_12, gx - df_12, n - g - gx
     return s.select(
         *by, "n", "g", "rss1", "rss2", "rss3",
-        F.lit(1).alias("df_12"), (n - g - 1).alias("df_2"), (g - 1).alias("df_23"), (n - 2 * g).alias("df_3"),
-        F.try_divide(r1 - r2, F.nullif(r2 / F.nullif(n - g - 1, F.lit(0)), zero)).alias("f_12"),
-        F.try_divide((r2 - r3) / F.nullif(g - 1, F.lit(0)),
-                     F.nullif(r3 / F.nullif(n - 2 * g, F.lit(0)), zero)).alias("f_23"))
+        df_12.alias("df_12"), df_2.alias("df_2"), df_23.alias("df_23"), df_3.alias("df_3"),
+        F.try_divide((r1 - r2) / F.nullif(df_12, none), F.nullif(r2 / F.nullif(df_2, none), zero)).alias("f_12"),
+        F.try_divide((r2 - r3) / F.nullif(df_23, none), F.nullif(r3 / F.nullif(df_3, none), zero)).alias("f_23"))
 
 
 def slopes_by_group(groups: DataFrame, by: list[str], group: str, x: str, y: str) -> DataFrame:

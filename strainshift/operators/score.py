@@ -30,9 +30,16 @@ def divisor_floor(obs: DataFrame, value: str = "value") -> Column:
 
 
 def point_losses(obs: DataFrame, predictions: DataFrame, keys: list[str], loss: Loss = weighted_square) -> DataFrame:
-    """Loss per point for a prediction table joined to observations on their keys."""
-    return predictions.join(obs, keys).withColumn(
-        "loss", loss(F.col("value"), F.col("expected"), divisor_floor(obs)))
+    """Loss per point for a prediction table joined to observations on their keys.
+
+    ``_points`` and, with a series, ``_series_points`` carry how many points there are to
+    predict: a candidate that leaves one out has no score.
+    """
+    whole = obs.agg(F.count(F.lit(1))).scalar()
+    rows = predictions.join(obs, keys).withColumn("_points", whole)
+    if "series" in keys:
+        rows = rows.join(obs.groupBy("series").agg(F.count(F.lit(1)).alias("_series_points")), "series")
+    return rows.withColumn("loss", loss(F.col("value"), F.col("expected"), divisor_floor(obs)))
 
 
 def guarded_sum(x: str) -> Column:
@@ -41,14 +48,16 @@ def guarded_sum(x: str) -> Column:
 
 
 def wls_score(losses: DataFrame, by: list[str]) -> DataFrame:
-    return losses.groupBy(*by).agg(guarded_sum("loss").alias("score"))
+    """Sum over all points; NULL if a point is not predicted, or more than once."""
+    return losses.groupBy(*by).agg(F.when(F.count(F.lit(1)) == F.max("_points"), guarded_sum("loss")).alias("score"))
 
 
 def wls_by_series(losses: DataFrame, by: list[str], series: str = "series") -> DataFrame:
     """Score per series, and the total in the row without a series."""
     grouping = losses.groupingSets([[F.col(c) for c in (*by, series)], [F.col(c) for c in by]],
                                    *by, series)
-    return grouping.agg(guarded_sum("loss").alias("score"))
+    there = F.when(F.grouping(series) == 0, F.max("_series_points")).otherwise(F.max("_points"))
+    return grouping.agg(F.when(F.count(F.lit(1)) == there, guarded_sum("loss")).alias("score"))
 
 
 def score_candidates(candidates: DataFrame, obs: DataFrame, expected: Callable[[], Column], key: str = "candidate",

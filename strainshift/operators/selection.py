@@ -20,7 +20,7 @@ def fit_selection_models(models: DataFrame, panel: DataFrame, control: DataFrame
     where t counts days from the first day of ``control``.
     """
     if method not in ("lm", "lmer"):
-        raise ValueError("method must be either 'lm' (ANCOVA) or 'lmer' (mixed-effects model)")
+        raise ValueError(f"unknown method {method!r}: 'lm' fits a level per region, 'lmer' a random one")
     if interval not in ("wald", "profile"):
         raise ValueError("interval must be 'wald' or 'profile'")
     by = ["model_id"]

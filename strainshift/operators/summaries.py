@@ -117,19 +117,19 @@ def corr_matrix(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def density_table(df: DataFrame, by: list[str], value: str, alpha: float = 0.05, points: int = 512,
+def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05, points: int = 512,
                   group_rows: int | None = None) -> DataFrame:
-    """Gaussian kernel density on a grid between the alpha/2 quantiles.
+    """Gaussian kernel density on a grid between the tail/2 quantiles.
 
     Only values between the quantiles count. Equal values are counted before they
     meet the grid, and the grid is expanded in place, so the largest shuffle is the
     one that counts values.
     """
-    if not 0 <= alpha < 1:
-        raise ValueError("alpha must belong to [0, 1[")
+    if not 0 <= tail < 1:
+        raise ValueError(f"the share of both tails is at least 0 and below 1, not {tail}")
     if not by:
-        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, alpha, points, group_rows).drop("_all")
-    cut = exact_quantiles(df, by, value, [alpha / 2, 1 - alpha / 2], group_rows)
+        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, tail, points, group_rows).drop("_all")
+    cut = exact_quantiles(df, by, value, [tail / 2, 1 - tail / 2], group_rows)
     x = F.col(value)
     kept = (df.join(cut, by).filter((x >= F.element_at("q", 1)) & (x <= F.element_at("q", 2)))
             .select(*by, x.alias("_x")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strainshift.session import materialise, task_count
+
 
 def flow_from_cumulative(df: DataFrame, by: list[str], order: str, column: str, out: str) -> DataFrame:
     """Differences of a cumulative column; the first row of each group drops out."""
@@ -46,27 +48,23 @@ def relative_to_reference(df: DataFrame, by: list[str], estimate: str, is_ref: s
     return df.withColumn(out, F.col(estimate) / F.nullif(ref, F.lit(0.0)) - 1)
 
 
-def repeat_index(df: DataFrame, by: list[str], order: list[str], out: str = "repeat", ranges: int = 64) -> DataFrame:
+def repeat_index(df: DataFrame, by: list[str], order: list[str], out: str = "repeat") -> DataFrame:
     """Number the rows of each group 1..n along a key, the group being the whole table if ``by`` is empty.
 
-    The first order column is cut into ranges; each range of a group is numbered on
-    its own and moved by the rows of the ranges before it, so that no task sorts a
-    whole group. Only range counts meet in one place.
+    Rows are dealt out in ranges of (by, order), of any type, so that a group of any size
+    spans as many tasks as its rows need; each range is numbered on its own and moved by
+    the group's rows in the ranges before. NULL is a value of its own, before all others.
     """
-    key = F.col(order[0])
-    kind = df.schema[order[0]].dataType.simpleString()
-    number = key if kind not in ("date", "timestamp", "timestamp_ntz") else F.unix_seconds(key.cast("timestamp"))
-    marks = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.agg(F.percentile_approx(number, marks, 100 * ranges)).first()[0] or []
-    ranged = df.withColumn("_key", number)
-    place = " + ".join(["0", *[f"CAST(_key > {c!r} AS INT)" for c in sorted(set(cuts))]])
-    ranged = ranged.withColumn("_r", F.expr(place)).drop("_key")
+    dealt = df.repartitionByRange(task_count(df.sparkSession), *by, *order).withColumn("_r", F.spark_partition_id())
+    ranged = materialise(dealt)  # the ranges are drawn once
     sizes = ranged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
-    run = F.sum("_n").over(W.partitionBy(*by).orderBy("_r"))
-    before = sizes.select(*by, "_r", (run - F.col("_n")).alias("_before"))
+    run = F.sum("_n").over(W.partitionBy(*by).orderBy("_r"))  # a row per range of the group
+    before = sizes.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_r").alias("_b_r"), (run - F.col("_n")).alias("_before"))
     numbered = ranged.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_r").orderBy(*order)))
-    return (numbered.join(before, [*by, "_r"])
-            .withColumn(out, F.col("_k") + F.col("_before")).drop("_r", "_k", "_before"))
+    same = F.col("_r") == F.col("_b_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return numbered.join(before, same).withColumn(out, F.col("_k") + F.col("_before")).select(*df.columns, out)
 
 
 def top_k(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

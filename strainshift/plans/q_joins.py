@@ -142,22 +142,22 @@ def cross_ensemble(spark, sf):
     return expand_range(pairs, "psi", 0, 100).select("replicate", "psi", F.round(curve, 6).alias("c"))
 
 
-GRID = 20  # points per axis of the registered grids; the library takes any number
+GRID = 300  # points per axis
 
 
 @query("cross_param_grid", f"""
-    WITH brands AS (SELECT p_brand AS brand, max(p_size) / 142.0::DOUBLE AS reach FROM part GROUP BY 1),
+    WITH kinds AS (SELECT p_type AS kind, max(p_size) / 142.0::DOUBLE AS reach FROM part GROUP BY 1),
     g AS (SELECT CAST(unnest(generate_series(0, {GRID - 1})) AS INTEGER) AS i)
-    SELECT brand, x.i, y.i AS j, round(-reach + 2 * reach * x.i / {GRID - 1}, 6) AS delta_beta,
-           round(-reach / 2.8 + 2 * reach / 2.8 * y.i / {GRID - 1}, 6) AS delta_gamma FROM brands, g x, g y""")
+    SELECT kind, x.i, y.i AS j, round(-reach + 2 * reach * x.i / {GRID - 1}, 6) AS delta_beta,
+           round(-reach / 2.8 + 2 * reach / 2.8 * y.i / {GRID - 1}, 6) AS delta_gamma FROM kinds, g x, g y""")
 def cross_param_grid(spark, sf):
     return param_grid(spark, sf).withColumns({c: F.round(c, 6) for c in ("delta_beta", "delta_gamma")}) \
-        .select("brand", "i", "j", "delta_beta", "delta_gamma")
+        .select("kind", "i", "j", "delta_beta", "delta_gamma")
 
 
 def param_grid(spark, sf, points: int = GRID):
-    """A square grid of both effects per brand, as wide as the sizes of the brand."""
-    reach = V.table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand")).agg(
+    """A square grid of both effects per type of part, as wide as the sizes of its parts."""
+    reach = V.table(spark, sf, "part").groupBy(F.col("p_type").alias("kind")).agg(
         (F.max("p_size") / F.lit(142.0)).alias("reach"))
     grid = expand_range(expand_range(reach, "i", 0, points - 1), "j", 0, points - 1)
     r, last = F.col("reach"), points - 1
@@ -169,17 +169,18 @@ def param_grid(spark, sf, points: int = GRID):
     WITH {V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL},
     spans AS (SELECT region, period, t AS hi, min(t) OVER (PARTITION BY region) AS lo FROM retained),
     f AS (SELECT day_idx, coalesce({C.BEST_K} * pow(psi / 100, {C.BEST_A}), 0) AS c FROM control_idx),
-    h AS (SELECT day_idx, c, sqrt(0.1 * 0.1 + 4 * 0.2 * (1 - c) * 0.25 * 0.75) AS root FROM f)
-    SELECT region, period, round(coalesce(sum((1 - c) / root * (least(hi, day_idx + 1) - greatest(lo, day_idx))), 0), 5) AS f1,
-           round(coalesce(sum(1 / root * (least(hi, day_idx + 1) - greatest(lo, day_idx))), 0), 5) AS f2
-    FROM spans LEFT JOIN h ON day_idx < hi AND day_idx + 1 > lo GROUP BY 1, 2""")
+    d AS (SELECT region, period, lo, hi, unnest(generate_series(CAST(floor(lo) AS INTEGER),
+        CAST(greatest(ceil(hi) - 1, floor(lo)) AS INTEGER))) AS day_idx FROM spans),
+    h AS (SELECT d.*, coalesce(c, 0) AS c, sqrt(0.1 * 0.1 + 4 * 0.2 * (1 - coalesce(c, 0)) * 0.25 * 0.75) AS root FROM d LEFT JOIN f USING (day_idx))
+    SELECT region, period, round(sum((1 - c) / root * (least(hi, day_idx + 1) - greatest(lo, day_idx))), 5) AS f1,
+           round(sum(1 / root * (least(hi, day_idx + 1) - greatest(lo, day_idx))), 5) AS f2 FROM h GROUP BY 1, 2""")
 def control_interval_join(spark, sf):
     panel = materialise(V.retained_panel(spark, sf))
     first = panel.groupBy("region").agg(F.min("t").alias("lo"))
     spans = panel.join(first, "region").select("region", "period", "lo", F.col("t").alias("hi"))
     daily = I.daily_integrands(V.control_index(spark, sf).withColumns(
         {"k": F.lit(C.BEST_K), "a": F.lit(C.BEST_A)}))
-    return I.interval_integrals(spans, daily, ["f1", "f2"]).select(
+    return I.interval_integrals(spans, daily, ["f1", "f2"], missing=I.uncontrolled()).select(
         "region", "period", F.round("f1", 5).alias("f1"), F.round("f2", 5).alias("f2"))
 
 

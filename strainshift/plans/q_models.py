@@ -14,7 +14,6 @@ from strainshift.operators import score as S
 from strainshift.operators import summaries as M
 from strainshift.operators import windows as O
 from strainshift.operators.resample import wild_replicates
-from strainshift.operators.reshape import union_tagged
 from strainshift.operators.rows import cross_sweep
 from strainshift.plans import views as V
 from strainshift.plans.q_aggregates import OBS_SQL, candidates, expected_line, observations
@@ -408,11 +407,13 @@ def corr_test(spark, sf):
 @query("nested_f_test", f"""
     WITH {RESIDUAL_SQL}, {groups_sql('xs', "'all' AS tag", ['x'], 's').replace("GROUP BY 'all' AS tag, region", 'GROUP BY region')},
     tot AS (SELECT sum(n) AS n, COUNT(*) AS g, sum(c_s_s) AS rss1, sum(c_x_x) AS xx, sum(c_x_s) AS xy,
-        sum(c_s_s - coalesce(c_x_s * c_x_s / nullif(c_x_x, 0), 0)) AS rss3 FROM g),
-    r AS (SELECT *, rss1 - xy * xy / nullif(xx, 0) AS rss2 FROM tot)
-    SELECT CAST(n AS BIGINT) AS n, g, round(rss1, 6) AS rss1, round(rss2, 6) AS rss2, round(rss3, 6) AS rss3, 1 AS df_12, CAST(n - g - 1 AS BIGINT) AS df_2,
-           g - 1 AS df_23, CAST(n - 2 * g AS BIGINT) AS df_3, round((rss1 - rss2) / nullif(rss2 / (n - g - 1), 0), 6) AS f_12,
-           round(((rss2 - rss3) / (g - 1)) / nullif(rss3 / (n - 2 * g), 0), 6) AS f_23 FROM r""")
+        sum(c_s_s - CASE WHEN c_x_x > 0 THEN c_x_s * c_x_s / c_x_x ELSE 0 END) AS rss3 FROM g),
+    varied AS (SELECT COUNT(*) AS gx FROM (SELECT region FROM xs GROUP BY 1 HAVING COUNT(DISTINCT x) > 1)),
+    r AS (SELECT *, rss1 - CASE WHEN gx > 0 THEN xy * xy / xx ELSE 0 END AS rss2 FROM tot, varied)
+    SELECT CAST(n AS BIGINT) AS n, g, round(rss1, 6) AS rss1, round(rss2, 6) AS rss2, round(rss3, 6) AS rss3, CAST(least(gx, 1) AS INTEGER) AS df_12, CAST(n - g - least(gx, 1) AS BIGINT) AS df_2,
+           CAST(gx - least(gx, 1) AS BIGINT) AS df_23, CAST(n - g - gx AS BIGINT) AS df_3,
+           round((rss1 - rss2) / nullif(rss2 / (n - g - 1), 0), 6) AS f_12,
+           round(((rss2 - rss3) / (gx - 1)) / nullif(rss3 / (n - g - gx), 0), 6) AS f_23 FROM r""")
 def nested_f_test(spark, sf):
     groups = G.group_sums(selection_with_control(spark, sf), [], "region", ["x"], "s")
     test = G.nested_f_test(groups, [], "x", "s")
@@ -498,7 +499,7 @@ def profile_scan(spark, sf):
 # --- bootstrap of the second step -----------------------------------------------------------
 
 BOOT_LAWS = {"Rademacher": "CASE WHEN u < 0.5 THEN 1.0 ELSE -1.0 END", "Mammen2": MAMMEN_SQL}
-BOOT_REPLICATES = 200
+BOOT_REPLICATES = 1000
 BEST_DESIGN_SQL = (
     f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL.replace('params AS', 'raw AS')}"
     ", params AS (SELECT 1 AS model_id, arg_min(k, (value, model_id)) AS k, arg_min(a, (value, model_id)) AS a FROM raw WHERE code = 0)"
@@ -526,9 +527,7 @@ def bootstrap_fits(spark, sf):
         "region", "rho", "x1", "z", F.floor("t").cast("int").alias("day_idx"),
         F.col("fitted").alias("expected"), "residual")
     fitted = materialise(fitted)
-    parts = {law: wild_replicates(fitted, ["region", "day_idx"], BOOT_REPLICATES, law, 456).withColumnRenamed("value", "y")
-             for law in BOOT_LAWS}
-    rows = union_tagged(parts, "law")
+    rows = wild_replicates(fitted, ["region", "day_idx"], BOOT_REPLICATES, list(BOOT_LAWS), 456).withColumnRenamed("value", "y")
     return G.ancova_fit(G.model_groups(rows, ["law", "replicate"]), ["law", "replicate"])
 
 

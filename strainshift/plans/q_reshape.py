@@ -11,9 +11,10 @@ from strainshift.operators.summaries import ensemble_curves as envelope
 from strainshift.plans import views as V
 from strainshift.plans.q_rows import REF
 from strainshift.plans.registry import query
-from strainshift.session import materialise
+from strainshift.session import materialise, scratch_path
+from strainshift.sources import sinks
 
-REPLICATES = 200
+REPLICATES = 1000
 MAMMEN_SQL = "CASE WHEN u < (sqrt(5) + 1) / (2 * sqrt(5)) THEN (1 - sqrt(5)) / 2 ELSE (1 + sqrt(5)) / 2 END"
 
 
@@ -68,20 +69,22 @@ def ensemble_union(spark, sf):
     WITH {V.PARAMS_SQL}
     SELECT brand, code, COUNT(*) AS n, round(min(k), 6) AS k_min, round(max(a), 6) AS a_max FROM params GROUP BY 1, 2""")
 def accumulate_union(spark, sf):
-    """All rows of all tasks come from one job; nothing is appended in a loop."""
-    return V.model_params(spark, sf).groupBy("brand", "code").agg(
+    """The union of the committed batches of a run, then its summary."""
+    rows = sinks.run_batches(V.model_params(spark, sf), lambda tasks: tasks.select("model_id", "brand", "code", "k", "a"),
+                             scratch_path(spark, "accumulate"), "model_id", batches=4)
+    return rows.groupBy("brand", "code").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("k"), 6).alias("k_min"), F.round(F.max("a"), 6).alias("a_max"))
 
 
 @query("defaults_union", f"""
     WITH {V.PARAMS_SQL}
-    SELECT 'kappa' AS fixed_parm, model_id, 2.5::DOUBLE AS "R0", round(0.2 * alpha, 6) AS kappa, 0.1::DOUBLE AS gamma, 0.9::DOUBLE AS "SN0" FROM params WHERE code = 0
-    UNION ALL SELECT 'gamma', model_id, 2.5, 0.2, round(0.1 * alpha, 6), 0.9 FROM params WHERE code = 1
-    UNION ALL SELECT 'SN0', model_id, 2.5, 0.2, 0.1, round(0.9 * alpha, 6) FROM params WHERE code = 10""")
+    SELECT 'kappa' AS fixed_parm, model_id, 2.5::DOUBLE AS "R0", round(0.2 * exit_rate, 6) AS kappa, 0.1::DOUBLE AS gamma, 0.9::DOUBLE AS "SN0" FROM params WHERE code = 0
+    UNION ALL SELECT 'gamma', model_id, 2.5, 0.2, round(0.1 * exit_rate, 6), 0.9 FROM params WHERE code = 1
+    UNION ALL SELECT 'SN0', model_id, 2.5, 0.2, 0.1, round(0.9 * exit_rate, 6) FROM params WHERE code = 10""")
 def defaults_union(spark, sf):
     fits = V.model_params(spark, sf)
     parts = [fits.filter(F.col("code") == code).select(
-        F.lit(name).alias("fixed_parm"), "model_id", F.round(REF[name] * F.col("alpha"), 6).alias(name))
+        F.lit(name).alias("fixed_parm"), "model_id", F.round(REF[name] * F.col("exit_rate"), 6).alias(name))
         for name, code in (("kappa", 0), ("gamma", 1), ("SN0", 10))]
     filled = S.defaults_union([p.withColumn("R0", F.lit(REF["R0"])) for p in parts], REF)
     return filled.select("fixed_parm", "model_id", *REF)
@@ -99,7 +102,7 @@ def seed_union(spark, sf):
     return both.withColumn("k", F.round("k", 6))
 
 
-LONG = ["k", "a", "pE", "omega", "p", "alpha", "mu"]
+LONG = ["k", "a", "pE", "omega", "p", "exit_rate", "mu"]
 
 
 @query("wide_to_long", f"""
@@ -156,9 +159,9 @@ LAWS = {"Rademacher": "CASE WHEN u < 0.5 THEN 1.0 ELSE -1.0 END", "Mammen2": MAM
     f"SELECT '{law}' AS law, replicate, COUNT(*) AS n, round(sum(expected + residual * ({sql})), 4) AS total, "
     f"round(avg({sql}), 6) AS mean_weight FROM drawn GROUP BY 2" for law, sql in LAWS.items()))
 def wild_replicate_totals(spark, sf):
-    parts = {law: replicates(spark, sf, law).groupBy("replicate").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"),
-        F.round(F.avg("weight"), 6).alias("mean_weight")) for law in LAWS}
-    return S.union_tagged(parts, "law")
+    source = materialise(residuals(spark, sf).drop("value"))
+    drawn = wild_replicates(source, ["series", "day"], REPLICATES, list(LAWS), 456)
+    return drawn.groupBy("law", "replicate").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("weight"), 6).alias("mean_weight"))
 
 

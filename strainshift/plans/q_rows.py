@@ -116,12 +116,12 @@ def clamp_floor(spark, sf):
 @query("const_columns", f"""
     WITH {V.PARAMS_SQL}
     SELECT model_id, 'seed1234_' || brand AS "group", 0.25::DOUBLE AS beta,
-           round(2.5 * 0.1 * (alpha + omega * p * (0.1 - alpha)) / (0.1 * alpha), 6) AS R0 FROM params""")
+           round(2.5 * 0.1 * (exit_rate + omega * p * (0.1 - exit_rate)) / (0.1 * exit_rate), 6) AS R0 FROM params""")
 def const_columns(spark, sf):
     return V.model_params(spark, sf).select(
         "model_id", F.concat(F.lit("seed1234_"), "brand").alias("group"),
         F.round(F.lit(2.5) * 0.1, 6).alias("beta"),
-        F.round(C.corrected_r0(2.5, 0.1, F.col("alpha"), F.col("omega"), F.col("p")), 6).alias("R0"))
+        F.round(C.corrected_r0(2.5, 0.1, F.col("exit_rate"), F.col("omega"), F.col("p")), 6).alias("R0"))
 
 
 SWEEP_SQL = (
@@ -176,13 +176,13 @@ def param_override(spark, sf):
 
 @query("canonical_param_order", f"""
     WITH {V.PARAMS_SQL}
-    SELECT model_id, 'model_id,value,pE,alpha,k,a,omega,p,eta,mu' AS column_order, value,
-           round(pE, 6) AS "pE", round(alpha, 6) AS alpha, round(k, 6) AS k, round(a, 6) AS a FROM params""")
+    SELECT model_id, 'model_id,value,pE,exit_rate,k,a,omega,p,eta,mu' AS column_order, value,
+           round(pE, 6) AS "pE", round(exit_rate, 6) AS exit_rate, round(k, 6) AS k, round(a, 6) AS a FROM params""")
 def canonical_param_order(spark, sf):
-    shuffled = V.model_params(spark, sf).select("mu", "a", "model_id", "eta", "pE", "value", "p", "k", "omega", "alpha")
+    shuffled = V.model_params(spark, sf).select("mu", "a", "model_id", "eta", "pE", "value", "p", "k", "omega", "exit_rate")
     ordered = canonical_order(shuffled)
     return ordered.select("model_id", F.lit(",".join(ordered.columns)).alias("column_order"), "value",
-                          *[F.round(c, 6).alias(c) for c in ("pE", "alpha", "k", "a")])
+                          *[F.round(c, 6).alias(c) for c in ("pE", "exit_rate", "k", "a")])
 
 
 @query("cross_sweep", f"""

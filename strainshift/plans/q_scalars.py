@@ -88,10 +88,10 @@ def inv_log_ab(spark, sf):
         F.round(T.inv_log_ab(F.signum(y) * 1e6, 0.0, 0.2), 6).alias("far"))
 
 
-REAL_SQL = ("SELECT model_id, ln(a) AS a, ln(alpha / (1 - alpha)) AS alpha, ln(k / (1 - k)) AS k,"
+REAL_SQL = ("SELECT model_id, ln(a) AS a, ln(exit_rate / (1 - exit_rate)) AS exit_rate, ln(k / (1 - k)) AS k,"
             " ln(omega / (1 - omega)) AS omega, ln(eta / (1 - eta)) AS eta, ln(mu / (1 - mu)) AS mu,"
             " CASE WHEN pE > 0 AND pE < 0.01 THEN ln(pE / (0.01 - pE)) END AS pE, ln(p / (0.2 - p)) AS p FROM params")
-PARAMETERS = ["pE", "alpha", "k", "a", "omega", "p", "eta", "mu"]
+PARAMETERS = ["pE", "exit_rate", "k", "a", "omega", "p", "eta", "mu"]
 
 
 def parameter_rows(spark, sf):
@@ -190,7 +190,7 @@ def final_state_share(spark, sf):
 @query("initial_state", f"""
     WITH {V.PARAMS_SQL}, e AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
     d AS (SELECT avg(n) AS d1 FROM e WHERE day <= (SELECT min(day) + 6 FROM e)),
-    s AS (SELECT model_id, 0.9::DOUBLE * 66000000 AS "S", pE * 66000000 AS "E", d1 / alpha AS isd, p, omega FROM params, d),
+    s AS (SELECT model_id, 0.9::DOUBLE * 66000000 AS "S", pE * 66000000 AS "E", d1 / exit_rate AS isd, p, omega FROM params, d),
     r AS (SELECT *, isd * (1 - p) / p AS isr FROM s), i AS (SELECT *, (isr + isd) * (1 - omega) / omega AS ia FROM r)
     SELECT model_id, round("S", 3) AS "S", round("E", 3) AS "E", round(ia, 3) AS "IA", round(isr, 3) AS "ISr", round(isd, 3) AS "ISd",
            round(66000000 - ("S" + "E" + ia + isr + isd), 3) AS "R" FROM i""")
@@ -201,16 +201,16 @@ def initial_state(spark, sf):
     week = deaths.filter(F.col("day") <= deaths.agg(F.date_add(F.min("day"), 6)).scalar())
     level = week.agg(F.avg("n")).scalar()
     fits = V.model_params(spark, sf).withColumn("d1", level)
-    state = C.initial_state(66_000_000, F.col("d1"), 0.9, F.col("pE"), F.col("alpha"), F.col("omega"), F.col("p"))
+    state = C.initial_state(66_000_000, F.col("d1"), 0.9, F.col("pE"), F.col("exit_rate"), F.col("omega"), F.col("p"))
     return fits.select("model_id", *[F.round(state[c], 3).alias(c) for c in ("S", "E", "IA", "ISr", "ISd", "R")])
 
 
 @query("r0_formula", f"""
     WITH {V.PARAMS_SQL}
-    SELECT model_id, round(0.25 * ((1 - omega * p) / 0.1 + omega * p / alpha), 6) AS "R0",
-           round(2.5 / ((1 - omega * p) / 0.1 + omega * p / alpha), 6) AS beta, round(2.5 * 0.1, 6)::DOUBLE AS beta_approx FROM params""")
+    SELECT model_id, round(0.25 * ((1 - omega * p) / 0.1 + omega * p / exit_rate), 6) AS "R0",
+           round(2.5 / ((1 - omega * p) / 0.1 + omega * p / exit_rate), 6) AS beta, round(2.5 * 0.1, 6)::DOUBLE AS beta_approx FROM params""")
 def r0_formula(spark, sf):
-    w = (0.1, F.col("alpha"), F.col("omega"), F.col("p"))
+    w = (0.1, F.col("exit_rate"), F.col("omega"), F.col("p"))
     return V.model_params(spark, sf).select(
         "model_id", F.round(C.r0_from_beta(0.25, *w), 6).alias("R0"), F.round(C.beta_from_r0(2.5, *w), 6).alias("beta"),
         F.round(F.lit(2.5) * 0.1, 6).alias("beta_approx"))
@@ -290,13 +290,13 @@ def gradient_grid(spark, sf):
 
 
 @query("selection_grid", f"""
-    WITH brands AS (SELECT p_brand AS brand, max(p_size) / 142.0::DOUBLE AS reach FROM part GROUP BY 1),
+    WITH kinds AS (SELECT p_type AS kind, max(p_size) / 142.0::DOUBLE AS reach FROM part GROUP BY 1),
     g AS (SELECT CAST(unnest(generate_series(0, {GRID - 1})) AS INTEGER) AS i),
-    p AS (SELECT brand, x.i, y.i AS j, -reach + 2 * reach * x.i / {GRID - 1} AS db, -reach / 2.8 + 2 * reach / 2.8 * y.i / {GRID - 1} AS dg FROM brands, g x, g y)
-    SELECT brand, i, j, round({s_sql('db', 'dg')}, 6) AS s FROM p""")
+    p AS (SELECT kind, x.i, y.i AS j, -reach + 2 * reach * x.i / {GRID - 1} AS db, -reach / 2.8 + 2 * reach / 2.8 * y.i / {GRID - 1} AS dg FROM kinds, g x, g y)
+    SELECT kind, i, j, round({s_sql('db', 'dg')}, 6) AS s FROM p""")
 def selection_grid(spark, sf):
     s = C.selection_coef(F.col("delta_beta"), F.col("delta_gamma"))
-    return param_grid(spark, sf).select("brand", "i", "j", F.round(s, 6).alias("s"))
+    return param_grid(spark, sf).select("kind", "i", "j", F.round(s, 6).alias("s"))
 
 
 @query("convergence_label", f"WITH {V.PARAMS_SQL} SELECT model_id, code, {LABEL_SQL} AS convergence FROM params")
@@ -358,7 +358,7 @@ def percent_to_share(spark, sf):
 
 
 # Boxes of the starting values.
-BOXES = {"pE": (0.0, 0.01), "alpha": (0.0, 1.0), "k": (0.0, 1.0), "a": (0.0, 10.0), "omega": (0.2, 0.8),
+BOXES = {"pE": (0.0, 0.01), "exit_rate": (0.0, 1.0), "k": (0.0, 1.0), "a": (0.0, 10.0), "omega": (0.2, 0.8),
          "p": (0.0, 0.1), "eta": (0.0, 1e-4), "mu": (0.0, 0.01)}
 
 

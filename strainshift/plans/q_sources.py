@@ -10,7 +10,9 @@ from strainshift.plans.registry import query
 from strainshift.session import scratch_path
 from strainshift.sources import sinks, tables
 
-FIT_COLUMNS = ["Repeat", "Value", "Convergence", "pE", "v", "k", "a", "omega", "p", "alpha", "mu", "R0", "group"]
+# A header of parameter files, in which two parameters have other names.
+EARLY_NAMES = {"v": "exit_rate", "exit_rate": "eta"}
+FIT_COLUMNS = ["Repeat", "Value", "Convergence", "pE", "v", "k", "a", "omega", "p", "exit_rate", "mu", "R0", "group"]
 
 
 @query("scan_tests", f"""
@@ -78,23 +80,23 @@ def _fit_rows(spark, sf):
     return V.model_params(spark, sf).select(
         F.col("model_id").alias("Repeat"), F.when(ok, F.col("value")).alias("Value"),
         F.when(ok, "Successful completion").otherwise("No convergence").alias("Convergence"),
-        F.col("pE"), F.col("alpha").alias("v"), F.col("k"), F.col("a"), F.col("omega"), F.col("p"),
-        F.col("eta").alias("alpha"), F.col("mu"), F.lit(2.5).alias("R0"), F.col("brand").alias("group"))
+        F.col("pE"), F.col("exit_rate").alias("v"), F.col("k"), F.col("a"), F.col("omega"), F.col("p"),
+        F.col("eta").alias("exit_rate"), F.col("mu"), F.lit(2.5).alias("R0"), F.col("brand").alias("group"))
 
 
 @query("scan_param_table", f"""
     WITH {V.PARAMS_SQL}
     SELECT model_id AS "Repeat", CASE WHEN code = 0 THEN value END AS "Value",
            CASE WHEN code = 0 THEN 'Successful completion' ELSE 'No convergence' END AS "Convergence",
-           round(pE, 6) AS "pE", round(alpha, 6) AS alpha, round(k, 6) AS k, round(a, 6) AS a,
+           round(pE, 6) AS "pE", round(exit_rate, 6) AS exit_rate, round(k, 6) AS k, round(a, 6) AS a,
            round(omega, 6) AS omega, round(p, 6) AS p, round(1000 * eta, 6) AS eta_permille,
            round(mu, 6) AS mu, 2.5::DOUBLE AS "R0", brand AS "group" FROM params""")
 def scan_param_table(spark, sf):
     path = scratch_path(spark, "fits")
     _fit_rows(spark, sf).write.option("header", True).option("nullValue", "NA").csv(path)
-    df = tables.read_params(spark, path, FIT_COLUMNS, tables.EARLY_NAMES)
+    df = tables.read_params(spark, path, FIT_COLUMNS, EARLY_NAMES)
     return df.select("Repeat", "Value", "Convergence",
-                     *[F.round(c, 6).alias(c) for c in ("pE", "alpha", "k", "a", "omega", "p", "mu")],
+                     *[F.round(c, 6).alias(c) for c in ("pE", "exit_rate", "k", "a", "omega", "p", "mu")],
                      F.round(1000 * F.col("eta"), 6).alias("eta_permille"), "R0", "group")
 
 
@@ -134,14 +136,23 @@ def sink_table(spark, sf):
     SELECT code, COUNT(*) AS n, COUNT(DISTINCT model_id) AS n_ids, round(sum(k * 0.5), 4) AS total
     FROM params GROUP BY 1""")
 def sink_checkpoint(spark, sf):
-    """The first run is cut short after the converged models; the second does the rest."""
-    path = scratch_path(spark, "batches")
+    """The first run dies midway; the second keeps what was committed and does the rest."""
+    path, calls = scratch_path(spark, "batches"), []
 
     def work(tasks):
         return tasks.select("model_id", "code", (F.col("k") * 0.5).alias("result"))
 
+    def dies(tasks):
+        calls.append(1)
+        if len(calls) > 4:
+            raise InterruptedError
+        return work(tasks)
+
     tasks = V.model_params(spark, sf)
-    sinks.run_batch(tasks.filter("code = 0"), work, path, "model_id")
-    done = sinks.run_batch(tasks, work, path, "model_id")
+    try:
+        sinks.run_batches(tasks, dies, path, "model_id")
+    except InterruptedError:
+        pass
+    done = sinks.run_batches(tasks, work, path, "model_id")
     return done.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("model_id").alias("n_ids"),
                                     F.round(F.sum("result"), 4).alias("total"))

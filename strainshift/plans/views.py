@@ -96,7 +96,7 @@ def model_params(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
         key.alias("model_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"),
         (size / 51).alias("k"), (1 + key % 5 + (price - 900) / 100).alias("a"),
-        (size / 5100).alias("pE"), ((size + 1) / 52).alias("alpha"),
+        (size / 5100).alias("pE"), ((size + 1) / 52).alias("exit_rate"),
         (0.2 + 0.6 * size / 51).alias("omega"), (0.1 * size / 51).alias("p"),
         (size / 510000).alias("eta"), (size / 5100).alias("mu"),
         price.alias("value"), F.element_at(F.array(F.lit(0), F.lit(1), F.lit(10)),
@@ -136,6 +136,6 @@ EVENTS_SQL = ("daily AS (SELECT CAST(ts AS DATE) AS day, event_type AS series, C
 PARAMS_SQL = (
     "params AS (SELECT p_partkey AS model_id, p_brand AS brand, p_type AS kind, p_size / 51.0::DOUBLE AS k,"
     " 1 + p_partkey % 5 + (p_retailprice - 900) / 100 AS a, p_size / 5100.0::DOUBLE AS pE,"
-    " (p_size + 1) / 52.0::DOUBLE AS alpha, 0.2::DOUBLE + 0.6::DOUBLE * p_size / 51 AS omega,"
+    " (p_size + 1) / 52.0::DOUBLE AS exit_rate, 0.2::DOUBLE + 0.6::DOUBLE * p_size / 51 AS omega,"
     " 0.1::DOUBLE * p_size / 51 AS p, p_size / 510000.0::DOUBLE AS eta, p_size / 5100.0::DOUBLE AS mu,"
     " p_retailprice AS value, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 10 END AS code FROM part)")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -28,28 +30,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def finished(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Rows that earlier batches left under ``path``, none if there is no table yet."""
+def _rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table under ``path``, empty if nothing was written there yet."""
     try:
-        return spark.read.schema(like.schema).parquet(path)
-    except Exception as error:  # the only expected failure is an absent path
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return like.limit(0)
+        return spark.createDataFrame([], schema)
 
 
-def remaining(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Tasks without a result so far."""
-    return tasks.join(done.select(key).distinct(), key, "left_anti")
+def committed(spark: SparkSession, path: str, run: str) -> set[int]:
+    """Numbers of the batches of a run that are whole."""
+    marks = _rows(spark, f"{path}/commits", "run STRING, batch INT")
+    return {r["batch"] for r in marks.filter(F.col("run") == run).select("batch").distinct().collect()}
 
 
-def run_batch(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str) -> DataFrame:
-    """Work on the tasks that have no result under ``path`` and append the results.
+def run_batches(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str,
+                batches: int = 8, run: str = "1") -> DataFrame:
+    """Work on the tasks in batches and give the union of all results.
 
-    A run that died is started again with the same call and skips what is there.
+    A task's batch is a hash of its key. Every batch is written under its own number and
+    committed by a row of its own afterwards; a run that died is started again with the same
+    call, keeps what was committed and does the other batches anew. A new ``run`` id does
+    all of them again.
     """
     spark = tasks.sparkSession
-    like = work(tasks)
-    todo = remaining(tasks, finished(spark, path, like), key)
-    work(todo).write.mode("append").parquet(path)
-    return spark.read.schema(like.schema).parquet(path)
+    schema = work(tasks.limit(0)).schema
+    done = committed(spark, path, run)
+    number = F.pmod(F.xxhash64(F.lit(run), F.col(key)), F.lit(batches))
+    for batch in range(batches):
+        if batch not in done:
+            work(tasks.filter(number == batch)).write.mode("overwrite").parquet(f"{path}/{run}/{batch}")
+            mark = spark.createDataFrame([(run, batch)], "run STRING, batch INT")
+            mark.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return spark.read.schema(schema).parquet(*[f"{path}/{run}/{batch}" for batch in range(batches)])

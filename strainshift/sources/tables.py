@@ -16,14 +16,12 @@ DEATHS_SCHEMA = ("areaType STRING, areaName STRING, areaCode STRING, date DATE,
 CONTROL_SCHEMA = "Entity STRING, Code STRING, Day DATE, stringency_index DOUBLE"
 REGIONAL_SCHEMA = ("Region STRING, week STRING, `n_Confirmed S-gene` INT, `n_Confirmed SGTF` INT, "
                    "`percent_Confirmed S-gene` DOUBLE, `percent_Confirmed SGTF` DOUBLE")
-# An early parameter table holds two parameters under other names.
-EARLY_NAMES = {"v": "alpha", "alpha": "eta"}
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """A headed CSV in which empty cells and NA are NULL; another header than stated is an error."""
+    """A headed CSV in which empty cells and NA are NULL; another header or a malformed cell is an error."""
     return (spark.read.schema(schema).option("header", True).option("nullValue", "NA")
-            .option("enforceSchema", False).csv(path))
+            .option("mode", "FAILFAST").option("enforceSchema", False).csv(path))
 
 
 def read_tests(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +33,10 @@ def read_tests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decimal_comma(x: Column) -> Column:
-    """A number written with a decimal comma; anything else is NULL."""
-    return F.regexp_replace(x, ",", ".").try_cast("double")
+    """A number written with a decimal comma; an empty cell is NULL, anything else an error."""
+    number = F.regexp_replace(x, ",", ".").try_cast("double")
+    wrong = (F.trim(x) != "") & number.isNull()
+    return F.when(wrong, F.raise_error(F.concat(F.lit("no number: "), x)).cast("double")).otherwise(number)
 
 
 def read_deaths(spark: SparkSession, path: str) -> DataFrame:
@@ -54,10 +54,17 @@ def read_control(spark: SparkSession, path: str) -> DataFrame:
                       F.col("stringency_index").alias("psi"))
 
 
+def day_first(name: str) -> Column:
+    """A date as dd/MM/yyyy; an empty cell is NULL, anything else an error."""
+    date = F.try_to_date(name, "dd/MM/yyyy")
+    wrong = (F.trim(F.col(name)) != "") & date.isNull()
+    return F.when(wrong, F.raise_error(F.concat(F.lit("no date: "), F.col(name))).cast("date")).otherwise(date)
+
+
 def read_regional(spark: SparkSession, path: str) -> DataFrame:
     """Weekly counts by region, exported from the spreadsheet with day-first dates."""
     raw = read_csv(spark, path, REGIONAL_SCHEMA)
-    return raw.select(F.col("Region").alias("region"), F.try_to_date("week", "dd/MM/yyyy").alias("week"),
+    return raw.select(F.col("Region").alias("region"), day_first("week").alias("week"),
                       F.col("`n_Confirmed S-gene`").alias("n_other"), F.col("`n_Confirmed SGTF`").alias("n_variant"),
                       F.col("`percent_Confirmed S-gene`").alias("pct_other"),
                       F.col("`percent_Confirmed SGTF`").alias("pct_variant"))

@@ -264,3 +264,32 @@ def frame_of(spark, cells, ys):
 def test_second_step_refuses_other_methods(spark):
     with pytest.raises(ValueError, match="method"):
         fit_selection_models(None, None, None, "glm")
+
+
+def test_group_without_x_variance_costs_no_slope(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x), float(0.3 * x + rng.normal())) for g, n in (("a", 4), ("b", 4)) for x in rng.normal(50, 5, n)] + [("c", 50.0, 15.0)]
+    df = spark.createDataFrame(rows, "region string, x double, s double")
+    test = G.nested_f_test(G.group_sums(df, [], "region", ["x"], "s"), [], "x", "s").first()
+    assert (test["df_12"], test["df_2"], test["df_23"], test["df_3"]) == (1, 5, 1, 4)
+    names = sorted({r[0] for r in rows})
+    z = np.array([[float(r[0] == g) for g in names] for r in rows])
+    x, s = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+    def rss(m):
+        b = np.linalg.lstsq(m, s, rcond=None)[0]
+        return ((s - m @ b) ** 2).sum()
+
+    r2, r3 = rss(np.hstack([z, x[:, None]])), rss(np.hstack([z, z * x[:, None]]))
+    assert test["f_23"] == pytest.approx((r2 - r3) / (r3 / 4), rel=1e-7)
+    flat = G.nested_f_test(G.group_sums(df.withColumn("x", F.lit(2.0)), [], "region", ["x"], "s"), [], "x", "s").first()
+    assert flat["df_12"] == 0 and flat["f_12"] is None and flat["rss2"] == flat["rss1"] == flat["rss3"]
+
+
+def test_groups_far_apart_are_within_the_grid(spark):
+    rng = np.random.default_rng(1)
+    rows = [(1, f"g{g}", float(x), float(1000.0 * g + 0.5 * x + rng.normal(0, 0.01))) for g in range(6) for x in rng.normal(0, 1, 12)]
+    df = spark.createDataFrame(rows, "model_id int, region string, x1 double, y double")
+    groups = X.centred_groups(G.group_sums(df, ["model_id"], "region", ["x1"], "y"), ["model_id"], ["x1"], "y")
+    fit = X.random_intercept_fit(groups, ["model_id"], ["x1"], "y").first()
+    assert fit["lam"] > 1e8 and fit["sigma2"] == pytest.approx(1e-4, rel=0.6) and fit["b_x1"] == pytest.approx(0.5, abs=0.01)

@@ -160,7 +160,7 @@ def test_density_against_brute_force(spark):
     whole = M.density_table(df, [], "x", points=64).orderBy("g").collect()
     assert [r["density"] for r in whole] == pytest.approx(list(want), rel=1e-9)
     with pytest.raises(ValueError):
-        M.density_table(df, [], "x", alpha=1.0)
+        M.density_table(df, [], "x", tail=1.0)
 
 
 def test_expand_beyond_one_array_is_whole(spark):
@@ -168,7 +168,7 @@ def test_expand_beyond_one_array_is_whole(spark):
     dim = spark.range(1000).selectExpr("id AS d", "id * 2 AS w")
     out = E.expand_by(df, dim, limit=100)
     assert out.count() == 3000 and out.distinct().count() == 3000
-    with pytest.raises(Exception, match="do not fit"):
+    with pytest.raises(Exception, match="more rows than fit"):
         df.select(F.explode(E.as_array(dim, limit=10))).collect()
 
 
@@ -275,26 +275,102 @@ def test_read_deaths_decimal_comma(spark, tmp_path):
 
 
 def test_param_table_rename_is_simultaneous(spark, tmp_path):
-    (tmp_path / "p.csv").write_text('Repeat,Value,Convergence,v,k,alpha\n196,55012.49,Successful completion,0.978,0.999,NA\n')
-    row = tables.read_params(spark, str(tmp_path / "p.csv"), ["Repeat", "Value", "Convergence", "v", "k", "alpha"], tables.EARLY_NAMES).first()
-    assert row["alpha"] == 0.978 and row["eta"] is None and row["k"] == 0.999
+    (tmp_path / "p.csv").write_text('Repeat,Value,Convergence,v,k,exit_rate\n196,55012.49,Successful completion,0.978,0.999,NA\n')
+    row = tables.read_params(spark, str(tmp_path / "p.csv"), ["Repeat", "Value", "Convergence", "v", "k", "exit_rate"], {"v": "exit_rate", "exit_rate": "eta"}).first()
+    assert row["exit_rate"] == 0.978 and row["eta"] is None and row["k"] == 0.999
 
 
-def test_batches_resume(spark):
-    path = scratch_path(spark, "test-batches")
-    tasks = spark.range(10).withColumnRenamed("id", "task")
-    seen = []
+def test_batches_resume_after_a_death_midway(spark):
+    path, tasks, seen = scratch_path(spark, "test-batches"), spark.range(200).withColumnRenamed("id", "task"), []
 
     def work(df):
+        seen.append(1)
         return df.withColumn("result", F.col("task") * 2)
 
-    sinks.run_batch(tasks.filter("task < 4"), work, path, "task")
-    seen.append(spark.read.parquet(path).count())
-    out = sinks.run_batch(tasks, work, path, "task")
-    seen.append(out.count())
-    again = sinks.run_batch(tasks, work, path, "task")
-    seen.append(again.count())
-    assert seen == [4, 10, 10] and again.select("task").distinct().count() == 10
+    def dies(df):
+        if len(seen) > 3:
+            raise InterruptedError
+        return work(df)
+
+    with pytest.raises(InterruptedError):
+        sinks.run_batches(tasks, dies, path, "task", batches=6)
+    done = sinks.committed(spark, path, "1")
+    assert 0 < len(done) < 6
+    seen.clear()
+    out = sinks.run_batches(tasks, work, path, "task", batches=6)
+    assert len(seen) == 1 + 6 - len(done)
+    assert sorted(r["task"] for r in out.collect()) == list(range(200))
+    seen.clear()
+    assert sinks.run_batches(tasks, work, path, "task", batches=6).count() == 200 and len(seen) == 1
+    assert sinks.run_batches(tasks, work, path, "task", batches=2, run="2").count() == 200
+
+
+def test_malformed_cells_are_errors(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("Entity,Code,Day,stringency_index\na,b,2021-01-01,oops\n")
+    with pytest.raises(Exception):
+        tables.read_control(spark, str(tmp_path / "c.csv")).collect()
+    (tmp_path / "ok.csv").write_text("Entity,Code,Day,stringency_index\na,b,2021-01-01,\na,b,NA,NA\n")
+    assert [(r["day"] is None, r["psi"]) for r in tables.read_control(spark, str(tmp_path / "ok.csv")).collect()] == [(False, None), (True, None)]
+    df = spark.createDataFrame([("1,5", "31/12/2020"), ("", ""), (None, None)], "x string, d string")
+    got = df.select(tables.decimal_comma(F.col("x")).alias("x"), tables.day_first("d").alias("d")).collect()
+    assert [r["x"] for r in got] == [1.5, None, None] and str(got[0]["d"]) == "2020-12-31" and got[1]["d"] is None
+    for bad in ("notadate", "2020-12-31"):
+        with pytest.raises(Exception, match="no date"):
+            spark.createDataFrame([(bad,)], "d string").select(tables.day_first("d")).collect()
+    with pytest.raises(Exception, match="no number"):
+        spark.createDataFrame([("oops",)], "x string").select(tables.decimal_comma(F.col("x"))).collect()
+
+
+def test_index_of_null_and_text_keys(spark):
+    rows = [(None if i % 10 == 0 else f"k{i % 37}x{i}", None if i % 4 == 0 else f"g{i % 3}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, g string, i int").repartition(5)
+    whole = O.repeat_index(df, [], ["key", "i"]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[2]))
+    assert {r["i"]: r["repeat"] for r in whole} == {r[2]: k + 1 for k, r in enumerate(want)}
+    by_group = {r["i"]: r["repeat"] for r in O.repeat_index(df, ["g"], ["key", "i"]).collect()}
+    count = {}
+    for _, g, i in want:
+        count[g] = count.get(g, 0) + 1
+        assert by_group[i] == count[g]
+    ties = spark.range(1000).selectExpr("1 AS key", "id % 2 AS g")
+    assert sorted(r["repeat"] for r in O.repeat_index(ties, [], ["key"]).collect()) == list(range(1, 1001))
+
+
+def test_candidate_with_a_gap_has_no_score(spark):
+    obs = spark.createDataFrame([(1, "a", 3.0), (2, "a", 5.0), (1, "b", 1.0)], "t int, series string, value double")
+    exp = spark.createDataFrame([(1, 1, "a", 3.0), (1, 1, "b", 1.0), (2, 1, "a", 9.0), (2, 2, "a", 5.0), (2, 1, "b", 1.0),
+                                 (3, 1, "a", 3.0), (3, 1, "a", 3.0), (3, 1, "b", 1.0)], "candidate int, t int, series string, expected double")
+    losses = K.point_losses(obs, exp, ["t", "series"])
+    got = {r["candidate"]: r["score"] for r in K.wls_score(losses, ["candidate"]).collect()}
+    assert got[1] is None and got[2] == pytest.approx(4.0) and got[3] is not None
+    by = {(r["candidate"], r["series"]): r["score"] for r in K.wls_by_series(losses, ["candidate"]).collect()}
+    assert by[(1, "a")] is None and by[(1, "b")] == 0.0 and by[(1, None)] is None and by[(2, "a")] == pytest.approx(4.0)
+
+
+def test_missing_control_days_have_one_rule(spark):
+    control = spark.createDataFrame([(0, 50.0), (1, 50.0), (3, 50.0)], "day_idx int, psi double")
+    daily = I.daily_integrands(control.withColumns({"k": F.lit(0.5), "a": F.lit(1.0)}))
+    span = spark.createDataFrame([(0.0, 4.5), (0.0, 2.0)], "lo double, hi double")
+    points = spark.createDataFrame([(1, 2.0), (2, 4.5)], "j int, t double")
+    models = spark.createDataFrame([(1, 0.5, 1.0)], "model_id int, k double, a double")
+
+    def prefix(fill):
+        out = I.prefix_integrals(models, I.segment_weights(points, control, fill), {"f1": F.col("f1")})
+        return {r["j"]: r["f1"] for r in out.collect()}
+
+    zero = {r["hi"]: r["f1"] for r in I.interval_integrals(span, daily, ["f1"], missing=I.uncontrolled()).collect()}
+    assert prefix("zero") == {1: pytest.approx(zero[2.0]), 2: pytest.approx(zero[4.5])}
+    none = {r["hi"]: r["f1"] for r in I.interval_integrals(span, daily, ["f1"]).collect()}
+    assert none[4.5] is None and none[2.0] == pytest.approx(zero[2.0])
+    assert prefix("null") == {1: pytest.approx(zero[2.0]), 2: None}
+
+
+def test_laws_are_drawn_in_one_pass(spark):
+    res = spark.createDataFrame([(i, 10.0, float(i)) for i in range(5)], "t int, expected double, residual double")
+    both = {(r["law"], r["t"], r["replicate"]): r["value"] for r in wild_replicates(res, ["t"], 20, ["Rademacher", "Mammen2"], 1).collect()}
+    for law in ("Rademacher", "Mammen2"):
+        for r in wild_replicates(res, ["t"], 20, law, 1).collect():
+            assert both[(law, r["t"], r["replicate"])] == r["value"]
 
 
 def test_best_control_parameters_are_admissible():

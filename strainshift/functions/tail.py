@@ -1,15 +1,11 @@
-"""Tail probabilities for small result tables, and t quantiles as expressions."""
+"""Tail probabilities and t quantiles as column expressions."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 # 97.5 % points of Student's t for 1 to 29 degrees of freedom.
 T_975 = (
@@ -44,55 +40,86 @@ def t_quantile_975(df: Column) -> Column:
             .otherwise(series))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    c, value = 1.0, d
-    for m in range(1, 500):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            value *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
-
-
-def beta_share(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function."""
-    if not 0.0 < x < 1.0:
-        return math.nan if math.isnan(x) else float(x >= 1.0)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
-
-
-def _each(fn, *columns: pd.Series) -> pd.Series:
-    out = [None if any(pd.isna(v) for v in row) else fn(*row) for row in zip(*columns)]
-    return pd.Series(np.array(out, dtype=object)).astype("Float64")
-
-
-@pandas_udf(DoubleType())
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+def ln_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for positive z: Stirling's series eight steps up."""
+    up = z + 8
+    steps = z
+    for k in range(1, 8):
+        steps = steps * (z + k)
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, F.lit(3.0))) + 1 / (1260 * F.pow(up, F.lit(5.0))) - 1 / (1680 * F.pow(up, F.lit(7.0)))
+    return (up - 0.5) * F.ln(up) - up + 0.5 * math.log(2 * math.pi) + series - F.ln(steps)
+
+
+def _let(body, **named: Column) -> Column:
+    """body(row) with each named expression computed once, however often it is used."""
+    row = F.struct(*[c.alias(n) for n, c in named.items()])
+    return F.element_at(F.transform(F.array(row), body), 1)
+
+
+def beta_share(x: Column, a: Column, b: Column, steps: int = 240) -> Column:
+    """Regularised incomplete beta function for a, b > 0, by its continued fraction.
+
+    The fraction is taken on the side of the mean where it converges fast; a number of
+    steps of a few times the root of the larger parameter is enough there.
+    """
+    def sided(v):
+        near = v["x"] < (v["a"] + 1) / (v["a"] + v["b"] + 2)
+        share = _let(fraction, p=F.when(near, v["a"]).otherwise(v["b"]), q=F.when(near, v["b"]).otherwise(v["a"]),
+                     y=F.when(near, v["x"]).otherwise(1 - v["x"]))
+        inside = F.when(near, share).otherwise(1 - share)
+        positive = (v["a"] > 0) & (v["b"] > 0)
+        return F.when(positive & (v["x"] > 0) & (v["x"] < 1), inside).when(positive & (v["x"] >= 1), 1.0).when(positive & (v["x"] <= 0), 0.0)
+
+    def fraction(v):
+        p, q, y = v["p"], v["q"], v["y"]
+
+        def step(state, k):
+            m = F.floor((k + 1) / 2)
+            add = F.when(k % 2 == 1, m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))).otherwise(
+                -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)))
+            return _let(lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (n["h"] * n["d"] * n["c"]).alias("h")),
+                        c=1 + F.try_divide(add, state["c"]), d=F.try_divide(F.lit(1.0), 1 + add * state["d"]), h=state["h"])
+
+        first = F.try_divide(F.lit(1.0), 1 - (p + q) * y / (p + 1))
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+        value = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda state: state["h"])
+        front = ln_gamma(p + q) - ln_gamma(p) - ln_gamma(q) + p * F.ln(y) + q * F.ln(1 - y)
+        return F.exp(front) * value / p
+
+    return _let(sided, x=x, a=a, b=b)
+
+
+def t_two_sided(t, df) -> Column:
     """P(|T| > |t|)."""
-    return _each(lambda x, v: beta_share(v / (v + x * x), v / 2, 0.5) if v > 0 else None, t, df)
+    t, df = _column(t), _column(df)
+    v = F.when(df > 0, df)
+    return beta_share(v / (v + t * t), v / 2, F.lit(0.5))
 
 
-@pandas_udf(DoubleType())
-def f_upper(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+def f_upper(f, df1, df2) -> Column:
     """P(F > f)."""
-    return _each(lambda x, a, b: beta_share(b / (b + a * x), b / 2, a / 2)
-                 if a > 0 and b > 0 and x >= 0 else None, f, df1, df2)
+    f, a, b = _column(f), F.when(_column(df1) > 0, _column(df1)), F.when(_column(df2) > 0, _column(df2))
+    return F.when(f >= 0, beta_share(b / (b + a * f), b / 2, a / 2))
+
+
+def chi2_upper_1(x) -> Column:
+    """P(chi-square with one degree of freedom > x), the square of a normal."""
+    x = F.when(_given(_column(x)), F.greatest(_column(x), F.lit(0.0)))
+    return _let(lambda v: _chi2_upper_1(v["x"], v["z"]), x=x, z=F.sqrt(x / 2))
+
+
+def _chi2_upper_1(x: Column, z: Column) -> Column:
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda state, n: F.struct(
+        (state["t"] * x / (2 * n + 1)).alias("t"), (state["s"] + state["t"] * x / (2 * n + 1)).alias("s")), lambda state: state["s"])
+    small = 1 - 2 * z / math.sqrt(math.pi) * F.exp(-x / 2) * series
+    tail = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), F.lit(0.0), lambda low, n: (n / 2) / (z + low))
+    large = F.exp(-x / 2) / (math.sqrt(math.pi) * F.nullif(z + tail, F.lit(0.0)))
+    return F.when(x < 6, small).when(x >= 6, large)
+
+
+def _given(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x)
 
 
-@pandas_udf(DoubleType())
-def chi2_upper_1(x: pd.Series) -> pd.Series:
-    """P(chi-square with one degree of freedom > x)."""
-    return _each(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2)), x)
+def _column(x) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("double")

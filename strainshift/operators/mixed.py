@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strainshift.functions.labels import chi2_interval
-from strainshift.functions.tail import Z_975
+from strainshift.functions.tail import Z_975, chi2_upper_1
 from strainshift.session import task_count
 
 # First grid: 0 and quarter decades of lambda up to 1e12, the stated bound of the ratio. Second: a tenth of that step.
@@ -181,7 +181,7 @@ def selection_lrt(rows: DataFrame, by: list[str]) -> DataFrame:
     reduced = best_lambda(_reduced(rows, by), [*by, "dropped"], ["kept"], "y", False)
     stat = F.greatest(F.col("low_deviance") - F.col("full"), F.lit(0.0))
     return (reduced.join(full, by).select(*by, "dropped", stat.alias("chi2"))
-            .withColumn("signif", chi2_interval(F.col("chi2"))))
+            .withColumns({"p": chi2_upper_1("chi2"), "signif": chi2_interval(F.col("chi2"))}))
 
 
 def profile_limits(rows: DataFrame, fits: DataFrame, by: list[str]) -> DataFrame:

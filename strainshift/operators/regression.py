@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainshift.functions import control as C
-from strainshift.functions.tail import Z_975, t_quantile_975
+from strainshift.functions.labels import significance_code
+from strainshift.functions.tail import Z_975, f_upper, t_quantile_975, t_two_sided
 from strainshift.operators.expand import ARRAY_ROWS, expand_by
 from strainshift.operators.integral import prefix_integrals, segment_weights
 from strainshift.operators.summaries import pearson
@@ -161,18 +162,34 @@ def nested_f_test(groups: DataFrame, by: list[str], x: str, y: str) -> DataFrame
     zero, none = F.lit(0.0), F.lit(0)
     df_12 = F.when(gx > 0, 1).otherwise(0)
     df_2, df_23, df_3 = n - g - df_12, gx - df_12, n - g - gx
-    return s.select(
+    test = s.select(
         *by, "n", "g", "rss1", "rss2", "rss3",
         df_12.alias("df_12"), df_2.alias("df_2"), df_23.alias("df_23"), df_3.alias("df_3"),
         F.try_divide((r1 - r2) / F.nullif(df_12, none), F.nullif(r2 / F.nullif(df_2, none), zero)).alias("f_12"),
         F.try_divide((r2 - r3) / F.nullif(df_23, none), F.nullif(r3 / F.nullif(df_3, none), zero)).alias("f_23"))
+    return test.withColumns({"p_12": f_upper("f_12", "df_12", "df_2"), "p_23": f_upper("f_23", "df_23", "df_3")})
 
 
 def slopes_by_group(groups: DataFrame, by: list[str], group: str, x: str, y: str) -> DataFrame:
-    """Line per group, the coefficients of the full interaction model."""
-    slope = F.try_divide(F.col(f"c_{x}_{y}"), F.nullif(f"c_{x}_{x}", F.lit(0.0)))
-    return groups.select(*by, group, "n", slope.alias("slope"),
-                         (F.col(f"m_{y}") - slope * F.col(f"m_{x}")).alias("intercept"))
+    """Line per group, the coefficients of the full interaction model, with error, t and p.
+
+    The residual variance is that of all groups of a model together.
+    """
+    sxx, sxy, syy, mean, n = (F.col(c) for c in (f"c_{x}_{x}", f"c_{x}_{y}", f"c_{y}_{y}", f"m_{x}", "n"))
+    model = W.partitionBy(*by)  # a row per group
+    varied = sxx > RANK_TOLERANCE * (sxx + n * mean * mean)
+    slope = F.when(varied, sxy / sxx)
+    lines = groups.withColumns({"slope": slope, "_own": syy - F.coalesce(slope * sxy, F.lit(0.0))}).withColumns({
+        "intercept": F.col(f"m_{y}") - F.col("slope") * mean,
+        "df": (F.sum("n").over(model) - F.count(F.lit(1)).over(model) - F.count("slope").over(model)).cast("long"),
+        "_rss": F.sum("_own").over(model)})
+    lines = lines.withColumn("_var", F.when(F.col("df") > 0, F.col("_rss") / F.col("df"))).withColumns({
+        "se_slope": F.sqrt(F.col("_var") / F.when(varied, sxx)),
+        "se_intercept": F.sqrt(F.col("_var") * (1 / n + mean * mean / F.when(varied, sxx)))})
+    for c in ("slope", "intercept"):
+        lines = lines.withColumn(f"t_{c}", F.try_divide(F.col(c), F.nullif(F.col(f"se_{c}"), F.lit(0.0))))
+        lines = lines.withColumn(f"p_{c}", t_two_sided(f"t_{c}", "df"))
+    return lines.select(*by, group, "n", "df", "slope", "intercept", *[f"{k}_{c}" for k in ("se", "t", "p") for c in ("slope", "intercept")])
 
 
 def atanh(r: Column) -> Column:
@@ -184,7 +201,7 @@ def tanh(z: Column) -> Column:
 
 
 def corr_test(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation per group with Fisher limits and t statistic.
+    """Pearson correlation per group with Fisher limits, t statistic, p-value and its code.
 
     Fewer than four pairs give no limits; a perfect correlation gives no statistic.
     """
@@ -194,10 +211,11 @@ def corr_test(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     usable = (n >= 4) & (F.abs(r) < 1)
     z = F.when(usable, atanh(r))
     half = Z_975 / F.sqrt(F.when(n >= 4, n - 3))
+    s = s.withColumn("t_stat", F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r))))
+    s = s.withColumn("p", t_two_sided("t_stat", n - 2))
     return s.select(
         *by, "n", "r", tanh(z - half).alias("ci_lower"), tanh(z + half).alias("ci_upper"),
-        F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r))).alias("t_stat"),
-        F.when(n > 2, n - 2).alias("df"))
+        "t_stat", F.when(n > 2, n - 2).alias("df"), "p", significance_code(F.col("p")).alias("code"))
 
 
 def national_trend(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

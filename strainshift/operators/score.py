@@ -61,15 +61,21 @@ def wls_by_series(losses: DataFrame, by: list[str], series: str = "series") -> D
 
 
 def score_candidates(candidates: DataFrame, obs: DataFrame, expected: Callable[[], Column], key: str = "candidate",
-                     loss: Loss = weighted_square) -> DataFrame:
+                     loss: Loss = weighted_square, by: list[str] = ()) -> DataFrame:
     """Score candidates whose expected values are an expression of their parameters.
 
-    Candidates are spread once by their key, which is unique; the observation points
-    are expanded in place, so one narrow row per candidate is all that is shuffled.
+    Candidates are spread once by their key, which is unique (within ``by``); the
+    observation points are expanded in place, so one narrow row per candidate is all that
+    is shuffled. Observations that carry the ``by`` columns are joined on them instead, and
+    the divisor's floor is that of their own data set.
     """
-    floor = divisor_floor(obs)
-    spread = candidates.repartition(task_count(candidates.sparkSession), key)
-    points = expand_by(spread, obs)
+    by = list(by)
+    if by and set(by) <= set(obs.columns):
+        floors = obs.groupBy(*by).agg(F.greatest(F.lit(SMALLEST_DIVISOR), F.min(F.col("value").cast("double"))).alias("_floor"))
+        points, floor = candidates.join(obs.join(floors, by), by), F.col("_floor")
+    else:
+        floor = divisor_floor(obs)
+        points = expand_by(candidates.repartition(task_count(candidates.sparkSession), *by, key), obs)
     losses = points.withColumn("loss", loss(F.col("value").cast("double"), expected(), floor))
     # all columns of a candidate are keys: a key of any type is hashed, a text buffer is sorted
     return losses.groupBy(*candidates.columns).agg(guarded_sum("loss").alias("score"))
@@ -85,23 +91,33 @@ def uniform_starts(ids: DataFrame, key: str, seed: int | str, boxes: dict[str, t
 
 def candidate_search(ids: DataFrame, obs: DataFrame, boxes: dict[str, tuple[float, float]],
                      expected: Callable[[], Column], keep: int = 10, rounds: int = 3, seed: int = 1234,
-                     key: str = "candidate", loss: Loss = weighted_square) -> DataFrame:
+                     key: str = "candidate", loss: Loss = weighted_square, by: list[str] = ()) -> DataFrame:
     """Multi-start search: score a table of starts, shrink the boxes around the best, repeat.
 
     Each round is one distributed job over all starts. Between rounds only the
     ``keep`` best rows are kept, in the shared folder; the next boxes are their
-    extremes, read by the next round as scalars.
+    extremes. With ``by``, every key has a search of its own, with boxes from its own best
+    rows, and all keys share the job of a round; observations that carry the ``by``
+    columns are those of their key.
     """
-    obs = materialise(obs)
+    obs, by = materialise(obs), list(by)
     names = list(boxes)
-    rows = None
+    rows = spans = None
     for number in range(1, rounds + 1):
-        starts = uniform_starts(ids.select(key), key, f"{seed}-{number}", boxes)
-        scored = score_candidates(starts, obs, expected, key, loss).filter(F.col("score").isNotNull())
-        best = top_k(scored, [], [F.col("score"), F.col(key)], keep).withColumn("round", F.lit(number))
+        starts = ids.select(*by, key)
+        if by and spans is not None:
+            starts = starts.join(spans, by)
+            boxes = {n: (F.col(f"_{n}_low"), F.col(f"_{n}_high")) for n in names}
+        name = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, key)]) if by else F.col(key)
+        starts = uniform_starts(starts.withColumn("_name", name), "_name", f"{seed}-{number}", boxes).select(*by, key, *names)
+        scored = score_candidates(starts, obs, expected, key, loss, by).filter(F.col("score").isNotNull())
+        best = top_k(scored, by, [F.col("score"), F.col(key)], keep).withColumn("round", F.lit(number))
         best = materialise(best)
         rows = best if rows is None else rows.unionByName(best)
-        boxes = {n: (best.agg(F.min(n)).scalar(), best.agg(F.max(n)).scalar()) for n in names}
+        if by:
+            spans = best.groupBy(*by).agg(*[f(n).alias(f"_{n}_{end}") for n in names for f, end in ((F.min, "low"), (F.max, "high"))])
+        else:
+            boxes = {n: (best.agg(F.min(n)).scalar(), best.agg(F.max(n)).scalar()) for n in names}
     return rows
 
 

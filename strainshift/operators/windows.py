@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 from strainshift.session import materialise, task_count
 
 
-def flow_from_cumulative(df: DataFrame, by: list[str], order: str, column: str, out: str) -> DataFrame:
-    """Differences of a cumulative column; the first row of each group drops out."""
+def flow_from_cumulative(df: DataFrame, by: list[str], order: str, column: str | list[str], out: str | list[str]) -> DataFrame:
+    """Differences of one or several cumulative columns; the first row of each group drops out."""
+    columns, names = ([x] if isinstance(x, str) else list(x) for x in (column, out))
     w = W.partitionBy(*by).orderBy(order)
-    return (df.withColumn("_prev", F.lag(column).over(w)).withColumn("_n", F.row_number().over(w))
-            .filter("_n > 1").withColumn(out, F.col(column) - F.col("_prev")).drop("_prev", "_n"))
+    flows = {n: F.col(c) - F.lag(c).over(w) for c, n in zip(columns, names)}
+    return df.withColumns({**flows, "_n": F.row_number().over(w)}).filter("_n > 1").drop("_n")
+
+
+def observables(trajectories: DataFrame, by: list[str], order: str, rate: Column) -> DataFrame:
+    """Negative tests, positive tests and deaths of trajectories with S, IA, IS_cumul and D.
+
+    ``rate`` is the daily share of the untested that are tested. The first day of a
+    trajectory has no flows and drops out.
+    """
+    rows = flow_from_cumulative(trajectories, by, order, ["IS_cumul", "D"], ["_cases", "deaths"])
+    return rows.select(*by, order, (rate * F.col("S")).alias("negative"),
+                       (F.col("_cases") + rate * F.col("IA")).alias("positive"), "deaths")
 
 
 def selection_coef_diff(df: DataFrame, by: list[str], period: str, logit: str,

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from strainshift.functions import control as C
 from strainshift.functions import labels as L
+from strainshift.functions.tail import chi2_upper_1
 from strainshift.operators import mixed as X
 from strainshift.operators import regression as G
 from strainshift.operators import score as S
 from strainshift.operators import summaries as M
 from strainshift.operators import windows as O
+from strainshift.operators.expand import expand_range
 from strainshift.operators.resample import wild_replicates
 from strainshift.operators.rows import cross_sweep
 from strainshift.plans import views as V
@@ -28,6 +30,41 @@ from strainshift.session import materialise
 X1Z = ["x1", "z"]
 
 
+def quadrature_sql(upper: str, integrand: str, n: int) -> str:
+    """Simpson's rule from 0 to upper; the integrand is SQL in the angle {u}."""
+    weight = f"(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return (f"(({upper}) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * "
+            + integrand.replace("{u}", f"(({upper}) * i / {n})") + ")))")
+
+
+def share_sql(x: str, d1: str, d2: str, n: int = 2000) -> str:
+    """I_x(d1 / 2, d2 / 2) as a ratio of integrals of sin^(d1 - 1) cos^(d2 - 1)."""
+    f = f"pow(sin({{u}}), {d1} - 1) * pow(cos({{u}}), {d2} - 1)"
+    return f"({quadrature_sql(f'asin(sqrt({x}))', f, n)} / {quadrature_sql('pi() / 2', f, n)})"
+
+
+def t_sql(t: str, df: str, n: int = 2000) -> str:
+    return f"CASE WHEN {df} > 0 THEN {share_sql(f'{df} / ({df} + {t} * {t})', df, '1', n)} END"
+
+
+def f_sql(f: str, d1: str, d2: str) -> str:
+    return f"CASE WHEN {d1} > 0 AND {d2} > 0 AND {f} >= 0 THEN {share_sql(f'{d2} / ({d2} + {d1} * {f})', d2, d1)} END"
+
+
+def chi2_sql(x: str, n: int = 2000) -> str:
+    return f"({quadrature_sql('pi() / 2', f'exp(-({x}) / (2 * greatest(pow(sin({{u}}), 2), 1e-300)))', n)} * 2 / pi())"
+
+
+def signif_sql(p: str, digits: int = 3) -> str:
+    scale = f"pow(10, {digits - 1} - floor(log10(abs({p}))))"
+    return f"CASE WHEN {p} = 0 THEN 0 ELSE round({p} * {scale}, 0) / {scale} END"
+
+
+def code_sql(p: str) -> str:
+    cuts = " ".join(f"WHEN {p} <= {cut} THEN '{code}'" for cut, code in L.SIGNIFICANCE_CODES)
+    return f"CASE WHEN {p} > 0 THEN CASE {cuts} END END"
+
+
 # --- designs -----------------------------------------------------------------
 
 def design_rows(spark, sf, models):
@@ -262,11 +299,12 @@ def random_intercept_effects(spark, sf):
     {lambda_sql('only_x2', ['x2'], False)}, {lambda_sql('only_x1', ['x1'], False)},
     both_tests AS (SELECT r.model_id, 'x1' AS dropped, greatest(r.low - f.low, 0) AS chi2 FROM only_x2 r JOIN full_ml f USING (model_id)
     UNION ALL SELECT r.model_id, 'x2', greatest(r.low - f.low, 0) FROM only_x1 r JOIN full_ml f USING (model_id))
-    SELECT model_id, dropped, round(chi2, 4) AS chi2, CASE WHEN chi2 > 10.827566170662733 THEN 'p < 0.001 (***)' WHEN chi2 > 6.634896601021213
+    SELECT model_id, dropped, round(chi2, 4) AS chi2, round(""" + chi2_sql("round(chi2, 4)") + """, 4) AS p, CASE WHEN chi2 > 10.827566170662733 THEN 'p < 0.001 (***)' WHEN chi2 > 6.634896601021213
            THEN '0.001 < p < 0.01 (**)' WHEN chi2 > 3.841458820694124 THEN '0.01 < p < 0.05 (*)' ELSE 'p > 0.05 ( )' END AS signif FROM both_tests""")
 def nested_lrt(spark, sf):
     tests = X.selection_lrt(centred(part_groups(spark, sf)), ["model_id"])
-    return tests.select("model_id", "dropped", F.round("chi2", 4).alias("chi2"), "signif")
+    chi2 = F.round("chi2", 4)  # p of the statistic as it is shown
+    return tests.select("model_id", "dropped", chi2.alias("chi2"), F.round(chi2_upper_1(chi2), 4).alias("p"), "signif")
 
 
 # --- sweeps ----------------------------------------------------------------------
@@ -364,7 +402,9 @@ NATIONAL_SQL = (
     "nat_p AS (SELECT period, CAST(n_variant AS DOUBLE) / n_total AS fm FROM (SELECT period, sum(n_variant) AS n_variant, sum(n_total) AS n_total FROM counts GROUP BY 1))"
     ", nat_s AS (SELECT period, (lead(ln(fm / (1 - fm))) OVER w - lag(ln(fm / (1 - fm))) OVER w) / 2 AS s FROM nat_p"
     " WHERE fm > 0.1 AND fm < 1 WINDOW w AS (ORDER BY period)), nat AS (SELECT * FROM nat_s WHERE s IS NOT NULL)")
-TEST_COLUMNS_SQL = """n, round(r, 6) AS r,
+WITH_P_SQL = (", t AS (SELECT *, CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t_raw, CAST(n - 2 AS DOUBLE) AS v FROM c)"
+              f", tp AS (SELECT *, {t_sql('t_raw', 'v')} AS p_raw FROM t)")
+TEST_COLUMNS_SQL = f"""{signif_sql('p_raw')} AS p, {code_sql('p_raw')} AS code, n, round(r, 6) AS r,
     CASE WHEN n >= 4 AND abs(r) < 1 THEN round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) END AS ci_lower,
     CASE WHEN n >= 4 AND abs(r) < 1 THEN round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) END AS ci_upper,
     CASE WHEN n > 2 AND abs(r) < 1 THEN round(r * sqrt((n - 2) / (1 - r * r)), 6) END AS t_stat,
@@ -386,34 +426,43 @@ def place_pairs(spark, sf):
 
 
 @query("selection_vs_control", f"""
-    WITH {RESIDUAL_SQL}, {NATIONAL_SQL}, {CORR_SQL} SELECT place, {TEST_COLUMNS_SQL} FROM c""")
+    WITH {RESIDUAL_SQL}, {NATIONAL_SQL}, {CORR_SQL}{WITH_P_SQL} SELECT place, {TEST_COLUMNS_SQL} FROM tp""")
 def selection_vs_control(spark, sf):
     """Correlation of the selection coefficient with the control index, by place."""
-    tests = G.corr_test(place_pairs(spark, sf), ["place"], "x", "s")
-    return tests.withColumns({c: F.round(c, 6) for c in ("r", "ci_lower", "ci_upper", "t_stat")})
+    return rounded_tests(G.corr_test(place_pairs(spark, sf), ["place"], "x", "s"))
+
+
+def rounded_tests(tests):
+    return tests.withColumns({**{c: F.round(c, 6) for c in ("r", "ci_lower", "ci_upper", "t_stat")}, "p": L.signif(F.col("p"), 3)})
 
 
 @query("corr_test", """
     WITH c AS (SELECT l_partkey AS place, COUNT(*) AS n, covar_pop(l_extendedprice, l_quantity)
-    / nullif(sqrt(var_pop(l_extendedprice) * var_pop(l_quantity)), 0) AS r FROM lineitem GROUP BY 1)
-    SELECT place, """ + TEST_COLUMNS_SQL + " FROM c")
+    / nullif(sqrt(var_pop(l_extendedprice) * var_pop(l_quantity)), 0) AS r FROM lineitem GROUP BY 1)""" + WITH_P_SQL + """
+    SELECT place, """ + TEST_COLUMNS_SQL + " FROM tp")
 def corr_test(spark, sf):
     """Price against quantity for each part, with Fisher limits."""
     lines = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("place"), "l_quantity", "l_extendedprice")
-    tests = G.corr_test(lines, ["place"], "l_quantity", "l_extendedprice")
-    return tests.withColumns({c: F.round(c, 6) for c in ("r", "ci_lower", "ci_upper", "t_stat")})
+    return rounded_tests(G.corr_test(lines, ["place"], "l_quantity", "l_extendedprice"))
 
 
-@query("nested_f_test", f"""
-    WITH {RESIDUAL_SQL}, {groups_sql('xs', "'all' AS tag", ['x'], 's').replace("GROUP BY 'all' AS tag, region", 'GROUP BY region')},
+NESTED_SQL = f"""{groups_sql('xs', "'all' AS tag", ['x'], 's').replace("GROUP BY 'all' AS tag, region", 'GROUP BY region')},
     tot AS (SELECT sum(n) AS n, COUNT(*) AS g, sum(c_s_s) AS rss1, sum(c_x_x) AS xx, sum(c_x_s) AS xy,
         sum(c_s_s - CASE WHEN c_x_x > 0 THEN c_x_s * c_x_s / c_x_x ELSE 0 END) AS rss3 FROM g),
     varied AS (SELECT COUNT(*) AS gx FROM (SELECT region FROM xs GROUP BY 1 HAVING COUNT(DISTINCT x) > 1)),
-    r AS (SELECT *, rss1 - CASE WHEN gx > 0 THEN xy * xy / xx ELSE 0 END AS rss2 FROM tot, varied)
-    SELECT CAST(n AS BIGINT) AS n, g, round(rss1, 6) AS rss1, round(rss2, 6) AS rss2, round(rss3, 6) AS rss3, CAST(least(gx, 1) AS INTEGER) AS df_12, CAST(n - g - least(gx, 1) AS BIGINT) AS df_2,
+    r AS (SELECT *, rss1 - CASE WHEN gx > 0 THEN xy * xy / xx ELSE 0 END AS rss2 FROM tot, varied),
+    ft AS (SELECT *, (rss1 - rss2) / nullif(rss2 / (n - g - 1), 0) AS f_12,
+        ((rss2 - rss3) / (gx - 1)) / nullif(rss3 / (n - g - gx), 0) AS f_23 FROM r),
+    fp AS (SELECT *, {f_sql('f_12', '1.0', 'CAST(n - g - 1 AS DOUBLE)')} AS p_12,
+        {f_sql('f_23', 'CAST(gx - 1 AS DOUBLE)', 'CAST(n - g - gx AS DOUBLE)')} AS p_23 FROM ft)"""
+
+
+@query("nested_f_test", f"""
+    WITH {RESIDUAL_SQL}, {NESTED_SQL}
+    SELECT CAST(n AS BIGINT) AS n, g, round(rss1, 6) AS rss1, round(rss2, 6) AS rss2, round(rss3, 6) AS rss3,
+           CAST(least(gx, 1) AS INTEGER) AS df_12, CAST(n - g - least(gx, 1) AS BIGINT) AS df_2,
            CAST(gx - least(gx, 1) AS BIGINT) AS df_23, CAST(n - g - gx AS BIGINT) AS df_3,
-           round((rss1 - rss2) / nullif(rss2 / (n - g - 1), 0), 6) AS f_12,
-           round(((rss2 - rss3) / (gx - 1)) / nullif(rss3 / (n - g - gx), 0), 6) AS f_23 FROM r""")
+           round(f_12, 6) AS f_12, round(f_23, 6) AS f_23, round(p_12, 6) AS p_12, round(p_23, 6) AS p_23 FROM fp""")
 def nested_f_test(spark, sf):
     groups = G.group_sums(selection_with_control(spark, sf), [], "region", ["x"], "s")
     test = G.nested_f_test(groups, [], "x", "s")
@@ -422,12 +471,17 @@ def nested_f_test(spark, sf):
 
 @query("interaction_lines", f"""
     WITH {RESIDUAL_SQL}, g AS (SELECT region, COUNT(*) AS n, covar_pop(x, s) / nullif(var_pop(x), 0) AS b, avg(s) AS ms, avg(x) AS mx FROM xs GROUP BY 1)
-    SELECT region, n, round(b, 6) AS slope, round(ms - b * mx, 6) AS intercept FROM g""")
+    , m AS (SELECT region, var_pop(x) * COUNT(*) AS xx, sum(power(s, 2)) - COUNT(*) * power(avg(s), 2) AS yy, covar_pop(x, s) * COUNT(*) AS xy FROM xs GROUP BY 1)
+    , v AS (SELECT sum(yy - coalesce(xy * xy / nullif(xx, 0), 0)) / (sum(n) - COUNT(*) - COUNT(b)) AS var, CAST(sum(n) - COUNT(*) - COUNT(b) AS BIGINT) AS df FROM g JOIN m USING (region))
+    , e AS (SELECT region, n, df, b AS slope, ms - b * mx AS intercept, sqrt(var / xx) AS se_slope, sqrt(var * (1.0 / n + mx * mx / xx)) AS se_intercept FROM g JOIN m USING (region), v)
+    SELECT region, n, df, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(se_slope, 6) AS se_slope, round(se_intercept, 6) AS se_intercept,
+           round(slope / se_slope, 5) AS t_slope, round(intercept / se_intercept, 5) AS t_intercept,
+           round({t_sql('(slope / se_slope)', 'df')}, 5) AS p_slope, round({t_sql('(intercept / se_intercept)', 'df')}, 5) AS p_intercept FROM e""")
 def interaction_lines(spark, sf):
     """Coefficients of the full interaction model, a line per region."""
     groups = G.group_sums(selection_with_control(spark, sf), [], "region", ["x"], "s")
     lines = G.slopes_by_group(groups, [], "region", "x", "s")
-    return lines.withColumns({c: F.round(c, 6) for c in ("slope", "intercept")})
+    return lines.withColumns({c: F.round(c, 5 if c[:2] in ("t_", "p_") else 6) for c, t in lines.dtypes if t == "double"})
 
 
 @query("national_trend", f"""
@@ -473,9 +527,41 @@ def candidate_search(spark, sf):
                        F.round("score", 4).alias("score"))
 
 
+def _keyed_search_sql() -> str:
+    """Rounds per fixed value g of mu, each with its own box of eta."""
+    parts, last = [], PROFILE_POINTS - 1
+    for i in range(1, SEARCH_ROUNDS + 1):
+        if i == 1:
+            e0, e1 = SEARCH_BOXES["eta"]
+            parts.append(f"box1 AS (SELECT DISTINCT g, {e0}::DOUBLE AS e0, {e1}::DOUBLE AS e1 FROM ids)")
+        else:
+            parts.append(f"box{i} AS (SELECT g, min(eta) AS e0, max(eta) AS e1 FROM best{i - 1} GROUP BY 1)")
+        seed = f"'1234-{i}'"
+        parts.append(f"start{i} AS (SELECT g, candidate, e0 + (e1 - e0) * {uniform_sql(seed, 'g', 'candidate', repr('eta'))} AS eta FROM ids JOIN box{i} USING (g))")
+        parts.append(f"score{i} AS (SELECT g, candidate, any_value(eta) AS eta, sum(power(value - base * (0.5::DOUBLE + 1.0::DOUBLE * g / {last} + eta * t), 2)"
+                     f" / greatest(base * (0.5::DOUBLE + 1.0::DOUBLE * g / {last} + eta * t), greatest(0.001, (SELECT min(value) FROM obs)))) AS score FROM start{i}, points GROUP BY 1, 2)")
+        parts.append(f"best{i} AS (SELECT * FROM score{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY score, candidate) <= {SEARCH_KEEP // 2})")
+    return (f"WITH {OBS_SQL}, ids AS (SELECT p_partkey AS candidate, CAST(p_partkey % {PROFILE_POINTS} AS INTEGER) AS g FROM part), {', '.join(parts)}"
+            f" SELECT g, round(min(score), 4) AS wls FROM best{SEARCH_ROUNDS} GROUP BY 1")
+
+
 PROFILE_POINTS = 100
 
 
+@query("profile_search", _keyed_search_sql())
+def profile_search(spark, sf):
+    """Profile of mu: at each of its fixed values eta is searched in rounds, all values in one job per round."""
+    ids = V.table(spark, sf, "part").select(F.col("p_partkey").alias("candidate"),
+                                            (F.col("p_partkey") % PROFILE_POINTS).cast("int").alias("g"))
+
+    def line():
+        mu = 0.5 + 1.0 * F.col("g") / (PROFILE_POINTS - 1)
+        return F.col("base") * (mu + F.col("eta") * F.col("t"))
+
+    best = S.candidate_search(ids, observations(spark, sf), {"eta": SEARCH_BOXES["eta"]}, line, SEARCH_KEEP // 2, SEARCH_ROUNDS, by=["g"])
+    return best.filter(F.col("round") == SEARCH_ROUNDS).groupBy("g").agg(F.round(F.min("score"), 4).alias("wls"))
+
+
 @query("profile_scan", f"""
     WITH {OBS_SQL}, raw AS (SELECT p_partkey AS candidate, p_partkey % {PROFILE_POINTS} AS g, p_partkey % 3 AS code, 0.5 + p_size / 51.0::DOUBLE AS mu0,
         (p_retailprice - 950) / 5000 AS eta0 FROM part),
@@ -496,6 +582,35 @@ def profile_scan(spark, sf):
     return S.profile_scan(scored, "g", "score", F.col("code") == 0, ["parm"]).withColumn("wls", F.round("wls", 4))
 
 
+TRAJECTORY_DAYS = 30
+
+
+@query("trajectory_score", f"""
+    WITH {OBS_SQL}, {V.PARAMS_SQL}, o AS (SELECT series, t, value FROM obs WHERE t <= {TRAJECTORY_DAYS}),
+    traj AS (SELECT brand, model_id AS candidate, t, 40000 * exp(-0.01::DOUBLE * k * t) AS s, 100 * a * t AS ia, 30 * k * t AS ic, 20 * a * t AS d
+        FROM params, (SELECT unnest(generate_series(0, {TRAJECTORY_DAYS})) AS t)),
+    f AS (SELECT brand, candidate, t, (0.0021937::DOUBLE + 0.000031741::DOUBLE * t) * s AS negative,
+        ic - lag(ic) OVER w + (0.0021937::DOUBLE + 0.000031741::DOUBLE * t) * ia AS positive, d - lag(d) OVER w AS deaths
+        FROM traj WINDOW w AS (PARTITION BY candidate ORDER BY t)),
+    long AS (SELECT brand, candidate, t, 'negative' AS series, negative AS expected FROM f UNION ALL SELECT brand, candidate, t, 'positive', positive FROM f
+        UNION ALL SELECT brand, candidate, t, 'deaths', deaths FROM f),
+    sc AS (SELECT brand, candidate, sum(power(value - expected, 2) / greatest(expected, greatest(0.001, (SELECT min(value) FROM o)))) AS score
+        FROM long JOIN o USING (series, t) GROUP BY 1, 2)
+    SELECT brand, arg_min(candidate, (score, candidate)) AS candidate, round(min(score), 4) AS score FROM sc GROUP BY 1""")
+def trajectory_score(spark, sf):
+    """Trajectories of daily states, their observables, the loss per point, and the best candidate of each brand."""
+    k, a, t = F.col("k"), F.col("a"), F.col("t")
+    days = expand_range(V.model_params(spark, sf).select("brand", F.col("model_id").alias("candidate"), "k", "a"), "t", 0, TRAJECTORY_DAYS)
+    states = days.select("brand", "candidate", "t", (40000 * F.exp(-0.01 * k * t)).alias("S"), (100 * a * t).alias("IA"),
+                         (30 * k * t).alias("IS_cumul"), (20 * a * t).alias("D"))
+    seen = O.observables(states, ["brand", "candidate"], "t", C.reporting_rate(t, None, 0.0021937, 0.000031741))
+    expected = seen.unpivot(["brand", "candidate", "t"], ["negative", "positive", "deaths"], "series", "expected")
+    obs = materialise(observations(spark, sf).filter(t <= TRAJECTORY_DAYS).select("series", "t", "value"))
+    scores = S.wls_score(S.point_losses(obs, expected, ["series", "t"]), ["brand", "candidate"])
+    best = S.best_candidate(scores, ["brand"], "score", "candidate", F.lit(True))
+    return best.select("brand", "candidate", F.round("score", 4).alias("score"))
+
+
 # --- bootstrap of the second step -----------------------------------------------------------
 
 BOOT_LAWS = {"Rademacher": "CASE WHEN u < 0.5 THEN 1.0 ELSE -1.0 END", "Mammen2": MAMMEN_SQL}

@@ -13,7 +13,7 @@ from strainshift.operators.align import day_index
 from strainshift.operators.expand import expand_calendar, expand_range, expand_values
 from strainshift.operators.integral import daily_integrands
 from strainshift.operators.score import uniform_starts as draw_starts
-from strainshift.operators.windows import flow_from_cumulative
+from strainshift.operators.windows import observables as observed_of
 from strainshift.plans import views as V
 from strainshift.plans.q_joins import GRID, param_grid
 from strainshift.plans.q_reshape import LAWS, uniform_sql
@@ -167,13 +167,9 @@ def trajectories(spark, sf):
            round(ds + (0.0021937::DOUBLE + 0.000031741::DOUBLE * t) * ia, 6) AS positive, CAST(dd AS BIGINT) AS deaths FROM f WHERE i > 1""")
 def observables(spark, sf):
     """Negative tests, positive tests and deaths from a trajectory table."""
-    rows = trajectories(spark, sf)
-    flows = flow_from_cumulative(rows, ["candidate"], "t", "IS_cumul", "new_cases")
-    deaths = flow_from_cumulative(rows, ["candidate"], "t", "D", "deaths").select("candidate", "t", "deaths")
     rho = C.reporting_rate(F.col("t"), None, 0.0021937, 0.000031741)
-    return flows.join(deaths, ["candidate", "t"]).select(
-        "candidate", "t", F.round(rho * F.col("S"), 6).alias("negative"),
-        F.round(F.col("new_cases") + rho * F.col("IA"), 6).alias("positive"), "deaths")
+    rows = observed_of(trajectories(spark, sf), ["candidate"], "t", rho)
+    return rows.withColumns({c: F.round(c, 6) for c in ("negative", "positive")})
 
 
 @query("final_state_share", f"""

@@ -12,8 +12,8 @@ from strainshift.operators import reshape as S
 from strainshift.operators import score
 from strainshift.plans import views as V
 from strainshift.plans.q_aggregates import CANDIDATES_SQL, OBS_SQL, candidates, observations
-from strainshift.plans.q_models import place_pairs
-from strainshift.plans.q_windows import S_SQL, selection_with_control
+from strainshift.plans.q_models import CORR_SQL, NATIONAL_SQL, NESTED_SQL, WITH_P_SQL, chi2_sql, code_sql, place_pairs, signif_sql
+from strainshift.plans.q_windows import RESIDUAL_SQL, S_SQL, selection_with_control
 from strainshift.plans.registry import query
 from strainshift.session import materialise
 
@@ -57,7 +57,15 @@ def pluggable_score(spark, sf):
     return scored.select("candidate", F.round("score", 4).alias("score"))
 
 
-@query("tail_prob")
+TAIL_SQL = f"""
+    WITH {RESIDUAL_SQL}, {NATIONAL_SQL}, {CORR_SQL}{WITH_P_SQL}, {NESTED_SQL},
+    tests AS (SELECT 'corr ' || place AS test, t_raw AS stat, p_raw AS p FROM tp
+    UNION ALL SELECT '+ x', f_12, p_12 FROM fp UNION ALL SELECT 'x by region', f_23, p_23 FROM fp
+    UNION ALL SELECT 'square of corr ' || place, t_raw * t_raw, {chi2_sql('t_raw * t_raw')} FROM tp)
+    SELECT test, round(stat, 6) AS stat, {signif_sql('p')} AS p, {code_sql('p')} AS code FROM tests"""
+
+
+@query("tail_prob", TAIL_SQL)
 def tail_prob(spark, sf):
     """p-values of the correlation and nested-model tests, with their codes."""
     corr = G.corr_test(place_pairs(spark, sf), ["place"], "x", "s").select(

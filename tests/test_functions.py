@@ -163,3 +163,21 @@ def test_t_quantiles_invert_the_tail(spark):
     df = spark.range(1, 400).select(F.col("id").cast("double").alias("v"))
     rows = df.withColumn("q", tail.t_quantile_975(F.col("v"))).withColumn("p", tail.t_two_sided("q", "v")).collect()
     assert max(abs(r["p"] - 0.05) for r in rows) < 5e-9
+
+
+def test_tails_against_quadrature(spark):
+    rows = [(t, v) for v in (1.0, 3.0, 28.0, 400.0, 5000.0) for t in (0.01, 0.7, 2.5, 6.0)]
+    df = spark.createDataFrame(rows, "t double, v double")
+    u = np.linspace(0, 1, 200_001)
+
+    def share(top, p):  # integral of sin^p up to top over that up to pi / 2
+        def area(hi):
+            y = np.sin(hi * u) ** p
+            return hi * np.trapezoid(y, u)
+        return area(top) / area(math.pi / 2)
+
+    for r in df.withColumn("p", tail.t_two_sided("t", "v")).collect():
+        assert r["p"] == pytest.approx(share(math.asin(math.sqrt(r["v"] / (r["v"] + r["t"] ** 2))), r["v"] - 1), rel=1e-5)
+    chi = spark.createDataFrame([(x,) for x in (0.0, 1e-8, 0.5, 5.999, 6.0, 6.001, 30.0, 500.0)], "x double")
+    for r in chi.withColumn("p", tail.chi2_upper_1("x")).collect():
+        assert r["p"] == pytest.approx(math.erfc(math.sqrt(r["x"] / 2)), rel=1e-9)

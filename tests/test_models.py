@@ -293,3 +293,21 @@ def test_groups_far_apart_are_within_the_grid(spark):
     groups = X.centred_groups(G.group_sums(df, ["model_id"], "region", ["x1"], "y"), ["model_id"], ["x1"], "y")
     fit = X.random_intercept_fit(groups, ["model_id"], ["x1"], "y").first()
     assert fit["lam"] > 1e8 and fit["sigma2"] == pytest.approx(1e-4, rel=0.6) and fit["b_x1"] == pytest.approx(0.5, abs=0.01)
+
+
+def test_interaction_coefficients_equal_least_squares(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, float(x), float(0.3 * x + rng.normal())) for g, n in (("a", 6), ("b", 9)) for x in rng.normal(50, 5, n)] + [("c", 50.0, 15.0)]
+    df = spark.createDataFrame(rows, "region string, x double, s double")
+    got = {r["region"]: r for r in G.slopes_by_group(G.group_sums(df, [], "region", ["x"], "s"), [], "region", "x", "s").collect()}
+    m = np.array([[r[0] == "a", r[0] == "b", r[0] == "c", (r[0] == "a") * r[1], (r[0] == "b") * r[1]] for r in rows], float)
+    y = np.array([r[2] for r in rows])
+    b = np.linalg.lstsq(m, y, rcond=None)[0]
+    df_left = len(y) - 5
+    se = np.sqrt(np.diag(np.linalg.inv(m.T @ m)) * ((y - m @ b) ** 2).sum() / df_left)
+    for k, g in enumerate("ab"):
+        r = got[g]
+        assert (r["intercept"], r["slope"]) == pytest.approx((b[k], b[3 + k]), rel=1e-7)
+        assert (r["se_intercept"], r["se_slope"]) == pytest.approx((se[k], se[3 + k]), rel=1e-7)
+        assert r["t_slope"] == pytest.approx(b[3 + k] / se[3 + k], rel=1e-7) and 0 <= r["p_slope"] <= 1 and r["df"] == df_left
+    assert got["c"]["slope"] is None and got["c"]["p_slope"] is None

@@ -221,6 +221,19 @@ def test_search_finds_a_line(spark):
     assert last["mu"] == pytest.approx(1.0, abs=5e-3) and last["eta"] == pytest.approx(0.03, abs=5e-4)
 
 
+def test_keyed_search_has_boxes_per_key(spark):
+    obs = spark.createDataFrame([(g, "a", t, 100 + s * t, 100.0) for g, s in (("up", 4.0), ("down", -3.0)) for t in range(1, 20)],
+                                "g string, series string, t int, value double, base double")
+    ids = spark.range(2000).selectExpr("id AS candidate", "IF(id % 2 = 0, 'up', 'down') AS g")
+    line = lambda: F.col("base") * (F.col("mu") + F.col("eta") * F.col("t"))
+    best = K.candidate_search(ids, obs, {"mu": (0.5, 1.5), "eta": (-.1, .1)}, line, keep=8, rounds=5, by=["g"])
+    rows = best.collect()
+    assert len(rows) == 2 * 8 * 5
+    for g, slope in (("up", 0.04), ("down", -0.03)):
+        last = min((r["score"], r["mu"], r["eta"]) for r in rows if r["g"] == g and r["round"] == 5)
+        assert last[1] == pytest.approx(1.0, abs=0.01) and last[2] == pytest.approx(slope, abs=1e-3)
+
+
 def test_best_start_keeps_failed_replicates(spark):
     df = spark.createDataFrame([(1, 5.0, 0, 1), (1, 4.0, 1, 2), (1, 6.0, 0, 3), (2, 1.0, 10, 4)], "b int, value double, code int, start int")
     got = {r["b"]: tuple(r)[1:] for r in K.best_start(df, "b", "value", "code", ["start"]).collect()}

@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from strainshift.llm import huffman
 from strainshift.llm.wordhash import WordHasher, batches_of, mix
+from strainshift.llm.worker import kept
 from strainshift.session import shared_folder
 
 END_ID = 0
@@ -30,8 +31,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 17
 #: Texts of about so many bytes are encoded at a time.
 BATCH_BYTES = 1 << 20
-#: Words whose ids a task remembers, at some 40 bytes each.
-CACHE_WORDS = 2_000_000
+#: Words whose ids a worker remembers, at some 40 bytes each, and how many of them stay apart as the latest.
+CACHE_WORDS, LATEST_WORDS = 2_000_000, 1 << 17
 #: Bytes that are a plain gap, other white space, or may begin white space beyond ASCII.
 KINDS = np.zeros(256, np.uint8)
 GAP, ODD, ASK = 1, 2, 3
@@ -61,8 +62,24 @@ class WordEncoder:
         self.forget()
 
     def forget(self):
-        """Keys of words, sorted, with the place and number of their ids in one array."""
-        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2")
+        """Sorted keys of words, with the place and number of their ids; the latest words apart."""
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.levels, self.ids, self.used = [empty, empty], np.zeros(1 << 16, "<u2"), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each key; -1 for words not met yet."""
+        at, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, places, sizes in self.levels:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                at[hit], size[hit] = places[i[hit]], sizes[i[hit]]
+        return at, size
+
+    def _keep(self, level: int, new) -> None:
+        merged = [np.r_[a, b] for a, b in zip(self.levels[level], new)]
+        order = np.argsort(merged[0], kind="stable")
+        self.levels[level] = tuple(x[order] for x in merged)
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,13 +100,18 @@ class WordEncoder:
             sizes[group] = np.diff(np.r_[at, len(ids)])
             parts[group[0]] = ids
         order = np.array(first + inside, np.int64)  # as the ids are put down
-        ends = np.cumsum(sizes[order]) + len(self.ids)
+        ends = np.cumsum(sizes[order]) + self.used
         at = np.empty(len(words), np.int64)
         at[order] = ends - sizes[order]
-        self.ids = np.concatenate([self.ids, *(parts[i] for i in order if parts[i] is not None)])
-        keys, at, sizes = np.r_[self.keys, keys], np.r_[self.at, at], np.r_[self.size, sizes]
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], sizes[order]
+        ids = np.concatenate([parts[i] for i in order if parts[i] is not None])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, (self.used + len(ids)) * 3 // 2)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self._keep(1, (keys, at, sizes))
+        if len(self.levels[1][0]) > LATEST_WORDS:
+            self._keep(0, self.levels[1])
+            self.levels[1] = tuple(x[:0] for x in self.levels[1])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """16-bit ids of each text."""
@@ -108,20 +130,18 @@ class WordEncoder:
         before[heads[counts > 0]] = 0
         use = np.repeat(~whole, counts)
         keys, first, back = np.unique(mix(hashes[use] + before[use]), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
+        if len(self.levels[0][0]) > CACHE_WORDS:
             self.forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
+        at, size = self._find(keys)
+        new = at < 0
         if new.any():
             first = first[new]
             start, stop = places[use][first], places[use][first] + lengths[use][first]
             start = start - (before[use][first] > 0)
             raw = buffer.tobytes()
             self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start.tolist(), stop.tolist())])
-            at = np.searchsorted(self.keys, keys)
-        at, size = self.at[at][back], self.size[at][back]
+            at[new], size[new] = self._find(keys[new])
+        at, size = at[back], size[back]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
         cuts = np.r_[0, total][np.cumsum(np.where(whole, 0, counts))]
@@ -137,7 +157,7 @@ def stage_ids(docs: DataFrame, tokenizer: str, doc: str, text: str) -> DataFrame
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, squeeze, block = WordEncoder(tokenizer), zstandard.ZstdCompressor(level=1), 0
+        encoder, squeeze, block = kept(f"words of {tokenizer}", lambda: WordEncoder(tokenizer)), zstandard.ZstdCompressor(level=1), 0
         names, sizes, data, held = [], [], [], 0
 
         def close():

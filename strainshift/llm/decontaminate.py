@@ -110,19 +110,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
 def drop_contaminated(docs: DataFrame, report: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that the report does not call contaminated, all columns as they were."""
     bad = report.where("contaminated").select(F.col(doc).alias("bad_doc"), F.col("text_hash").alias("bad_hash"))
-    return docs.join(bad, docs[doc].eqNullSafe(F.col("bad_doc"))
-                     & (F.xxhash64(docs[text]) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs[doc].eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs[text]) == bad["bad_hash"]), "left_anti")
 
 
 def cut_spans(docs: DataFrame, report: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with the hit words, and the gaps after them, cut out of the text."""
     spans = report.where("n_hit > 0").select(F.col(doc).alias("hit_doc"), F.col("text_hash").alias("hit_hash"),
                                              F.col("spans").alias("hit_spans"))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
-    shift = F.when(F.regexp_like(F.col(text), F.lit(r"\A" + CASED_GAP)), 1).otherwise(0)
+    pieces = F.regexp_extract_all(docs[text], F.lit(PIECE), F.lit(0))
+    shift = F.when(F.regexp_like(docs[text], F.lit(r"\A" + CASED_GAP)), 1).otherwise(0)
     kept = F.filter(pieces, lambda p, i: ~F.exists(
-        F.col("hit_spans"), lambda s: (i >= s["s"] * 2 + shift) & (i < s["e"] * 2 + shift)))
-    joined = docs.join(spans, docs[doc].eqNullSafe(F.col("hit_doc"))
-                       & (F.xxhash64(docs[text]) == F.col("hit_hash")), "left")
-    cut = F.when(F.col("hit_spans").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
-    return joined.withColumn(text, cut).drop("hit_doc", "hit_hash", "hit_spans")
+        spans["hit_spans"], lambda s: (i >= s["s"] * 2 + shift) & (i < s["e"] * 2 + shift)))
+    joined = docs.join(spans, docs[doc].eqNullSafe(spans["hit_doc"]) & (F.xxhash64(docs[text]) == spans["hit_hash"]), "left")
+    cut = F.when(spans["hit_spans"].isNull(), docs[text]).otherwise(F.array_join(kept, "")).alias(text)
+    return joined.select(*[cut if c == text else docs[c] for c in docs.columns])

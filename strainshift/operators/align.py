@@ -35,6 +35,12 @@ def multi_series_align(days: DataFrame, series: dict[str, DataFrame], day: str)
     return out
 
 
+def series_counts(df: DataFrame, day: str, kind: str, names: dict[str, object]) -> DataFrame:
+    """Rows per day of each named kind side by side, from one pass; none is NULL."""
+    return df.filter(F.col(kind).isin(*names.values())).groupBy(day).agg(*[
+        F.nullif(F.count_if(F.col(kind) == value), F.lit(0)).alias(name) for name, value in names.items()])
+
+
 def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Attach the columns of a dimension with unique keys; no match gives NULL."""
     return df.join(dim, key, "left")

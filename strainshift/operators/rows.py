@@ -36,6 +36,13 @@ def threshold_filter(df: DataFrame, column: str, threshold: float, inclusive: bo
     return df.filter(c >= threshold if inclusive else c > threshold)
 
 
+def threshold_modes(df: DataFrame, column: str, threshold: float) -> DataFrame:
+    """Rows that reach the threshold ('at least') and rows that exceed it ('above'), from one pass."""
+    c = F.col(column)
+    modes = F.array_compact(F.array(F.when(c >= threshold, "at least"), F.when(c > threshold, "above")))
+    return df.withColumn("mode", F.explode(modes))
+
+
 def converged_filter(df: DataFrame, label: str = "convergence", value: str = "value",
                      success: str = "Successful completion") -> DataFrame:
     return df.filter((F.col(label) == success) & F.col(value).isNotNull())

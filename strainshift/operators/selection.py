@@ -12,7 +12,7 @@ ESTIMATES = ["delta_beta", "delta_beta_lower", "delta_beta_upper", "delta_gamma"
 
 
 def fit_selection_models(models: DataFrame, panel: DataFrame, control: DataFrame, method: str = "lmer",
-                         interval: str = "wald") -> dict[str, DataFrame]:
+                         interval: str = "profile") -> dict[str, DataFrame]:
     """Fit every (k, a) row of ``models``; returns the tables ``design``, ``estimates`` and ``fitted``.
 
     ``method`` is 'lm' (a level per region) or 'lmer' (a random level per region).

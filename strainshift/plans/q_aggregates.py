@@ -156,7 +156,7 @@ def first_crossing(spark, sf):
     SELECT region, COUNT(*) AS n_weeks, (SELECT COUNT(DISTINCT region) FROM counts) AS n_regions FROM counts GROUP BY 1""")
 def distinct_regions(spark, sf):
     regions = V.counts(spark, sf, "week").groupBy("region").agg(F.count(F.lit(1)).alias("n_weeks"))
-    return regions.select("*", regions.agg(F.count_distinct("region")).scalar().alias("n_regions"))
+    return regions.withColumn("n_regions", F.count("region").over(W.partitionBy(F.lit(0))))  # a row per region
 
 
 @query("quantile_ci", """

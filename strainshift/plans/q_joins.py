@@ -55,9 +55,8 @@ def calendar_align(spark, sf):
     FROM days LEFT JOIN s USING (day)""")
 def multi_series_align(spark, sf):
     orders = V.table(spark, sf, "orders").select(_day("o_orderdate").alias("day"), "o_orderstatus")
-    series = {name: orders.filter(F.col("o_orderstatus") == status).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-              for name, status in (("negative_tests", "F"), ("positive_tests", "O"), ("deaths", "P"))}
-    return A.multi_series_align(_order_days(spark, sf), series, "day")
+    counts = A.series_counts(orders, "day", "o_orderstatus", {"negative_tests": "F", "positive_tests": "O", "deaths": "P"})
+    return A.lookup(_order_days(spark, sf), counts, "day")
 
 
 WEEK_CONTROL_SQL = (V.CONTROL_SQL + ", week_control AS (SELECT CAST(date_trunc('week', day) AS DATE) AS period,"

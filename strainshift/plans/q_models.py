@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strainshift.functions import control as C
 from strainshift.functions import labels as L
-from strainshift.functions.tail import chi2_upper_1
+from strainshift.functions.tail import Z_975, chi2_upper_1
 from strainshift.operators import mixed as X
 from strainshift.operators import regression as G
 from strainshift.operators import score as S
@@ -363,21 +363,47 @@ SWEEP_DESIGN_SQL = (
 
 @query("many_model_sweep", f"""
     WITH {SWEEP_DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}
-    SELECT model_id, n_rows, round(delta_beta, 4) AS delta_beta, round(delta_gamma, 4) AS delta_gamma, round(se_beta, 4) AS se_beta, round(se_gamma, 4) AS se_gamma FROM fit""")
+    SELECT model_id, n_rows, round(delta_beta, 4) AS delta_beta, round(delta_gamma, 4) AS delta_gamma, round(se_beta, 4) AS se_beta, round(se_gamma, 4) AS se_gamma,
+           round(delta_beta - {Z_975!r} * se_beta, 4) AS delta_beta_lower, round(delta_beta + {Z_975!r} * se_beta, 4) AS delta_beta_upper,
+           round(delta_gamma - {Z_975!r} * se_gamma, 4) AS delta_gamma_lower, round(delta_gamma + {Z_975!r} * se_gamma, 4) AS delta_gamma_upper FROM fit""")
 def many_model_sweep(spark, sf):
     rows = design_rows(spark, sf, sweep_models(spark, sf))
     fits = X.selection_fit(centred(G.model_groups(rows)), ["model_id"])
     return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in (
-        "delta_beta", "delta_gamma", "se_beta", "se_gamma")])
-
-
-@query("random_intercept_profile_ci")
+        "delta_beta", "delta_gamma", "se_beta", "se_gamma", "delta_beta_lower", "delta_beta_upper", "delta_gamma_lower", "delta_gamma_upper")])
+
+
+PROFILE_SQL = (
+    f"WITH {V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL.replace('params AS', 'raw AS')}"
+    ", params AS (SELECT brand AS model_id, arg_min(k, (value, model_id)) AS k, arg_min(a, (value, model_id)) AS a FROM raw WHERE code = 0 GROUP BY brand)"
+    f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {lambda_sql('full_ml', X1Z, False)}"
+    ", est AS (SELECT model_id, delta_beta, delta_gamma, se_beta, se_gamma FROM fit), two AS ("
+    + " UNION ALL ".join(
+        f"SELECT model_id, region, n, n_rows, d_y, w_y_y, w_x1_z + rho * w_x1_x1 AS w_x1_x2, '{e}' AS effect, delta_{e} AS est, se_{e} AS se, {X.KEPT[x]}"
+        " FROM cg JOIN est USING (model_id)" for e, x in (("beta", "x1"), ("gamma", "x2")))
+    + "), steps AS (SELECT two.*, g, est + g / 4.0::DOUBLE * se AS b FROM two, (SELECT CAST(unnest(generate_series(-24, 24)) AS INTEGER) AS g))"
+    ", pcg AS (SELECT model_id, effect, g, b, region, n, n_rows, d_kept, w_kept_kept, d_y - b * d_other AS d_y, w_kept_y - b * w_x1_x2 AS w_kept_y,"
+    " w_y_y - 2 * b * w_other_y + b * b * w_other_other AS w_y_y FROM steps)"
+    f", {lambda_sql('pl', ['kept'], False, 'model_id, effect, g', 'pcg')}"
+    ", rises AS (SELECT pl.model_id, pl.effect, b, sqrt(greatest(pl.low - f.low, 0)) AS rise FROM pl"
+    " JOIN (SELECT DISTINCT model_id, effect, g, b FROM pcg) USING (model_id, effect, g) JOIN full_ml f ON f.model_id = pl.model_id)"
+    ", least AS (SELECT *, arg_min(b, (rise, b)) OVER (PARTITION BY model_id, effect) AS lowest FROM rises)"
+    ", signed AS (SELECT *, CASE WHEN b < lowest THEN -rise ELSE rise END AS z FROM least)"
+    ", steps_z AS (SELECT *, lag(z) OVER w AS zp, lag(b) OVER w AS bp FROM signed WINDOW w AS (PARTITION BY model_id, effect ORDER BY b))"
+    ", ends AS (SELECT model_id, effect, " + ", ".join(
+        f"min(CASE WHEN zp <= {z} AND z > {z} THEN bp + ({z} - zp) / (z - zp) * (b - bp) END) AS {side}" for side, z in (("lower", -Z_975), ("upper", Z_975)))
+    + " FROM steps_z GROUP BY 1, 2)"
+    " SELECT model_id, effect, round(lower, 2) AS lower, round(upper, 2) AS upper, 'profile' AS ci_method,"
+    " CASE WHEN lower IS NULL OR upper IS NULL THEN 'open beyond 6 standard errors' ELSE 'bracketed' END AS status FROM ends")
+
+
+@query("random_intercept_profile_ci", PROFILE_SQL)
 def random_intercept_profile_ci(spark, sf):
     """Profile-likelihood limits of both slopes for the best parameters of each brand."""
     models = brand_models(spark, sf).withColumnRenamed("brand", "model_id")
     rows = centred(G.model_groups(design_rows(spark, sf, models)))
     fits = materialise(X.selection_fit(rows, ["model_id"]))
-    return X.profile_limits(rows, fits, ["model_id"])
+    return X.profile_limits(rows, fits, ["model_id"]).withColumns({c: F.round(c, 2) for c in ("lower", "upper")})
 
 
 @query("coord_table", f"""

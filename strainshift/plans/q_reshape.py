@@ -147,6 +147,15 @@ def ensemble_curves(spark, sf):
     return out.withColumns({c: F.round(c, 5) for c in ("lower", "median", "upper")})
 
 
+@query("replicate_first_day", f"""
+    WITH {REPLICATES_SQL}
+    SELECT replicate, series, min(day) AS day, round(arg_min(value, day), 6) AS first_value FROM reps GROUP BY 1, 2""")
+def replicate_first_day(spark, sf):
+    """The first day's value of every replicate of every series, from which its trajectory starts."""
+    rows = replicates(spark, sf).groupBy("replicate", "series").agg(F.min("day").alias("day"), F.min_by("value", "day").alias("first_value"))
+    return rows.withColumn("first_value", F.round("first_value", 6))
+
+
 LAWS = {"Rademacher": "CASE WHEN u < 0.5 THEN 1.0 ELSE -1.0 END", "Mammen2": MAMMEN_SQL,
         "Standard normal": "sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v)"}
 

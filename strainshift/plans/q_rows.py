@@ -10,6 +10,7 @@ from strainshift.functions.transforms import canonical_order
 from strainshift.operators import rows as R
 from strainshift.plans import views as V
 from strainshift.plans.registry import query
+from strainshift.session import materialise
 
 LABEL_SQL = ("CASE code WHEN 0 THEN 'Successful completion' WHEN 1 THEN 'iteration limit had been reached' "
              "ELSE 'Degeneracy of the Nelder-Mead simplex' END")
@@ -54,9 +55,7 @@ def date_window_filter(spark, sf):
     UNION ALL SELECT 'above', region, period, round(fm, 6) FROM panel WHERE fm > 0.35""")
 def threshold_filter(spark, sf):
     cells = V.panel(spark, sf).select("region", "period", "fm")
-    both = [R.threshold_filter(cells, "fm", 0.35, inclusive).withColumn("mode", F.lit(mode))
-            for mode, inclusive in (("at least", True), ("above", False))]
-    return both[0].unionByName(both[1]).withColumn("fm", F.round("fm", 6))
+    return R.threshold_modes(cells, "fm", 0.35).withColumn("fm", F.round("fm", 6))
 
 
 @query("converged_filter", f"""
@@ -88,8 +87,9 @@ def split_origin(spark, sf):
     tagged = V.table(spark, sf, "orders").select(
         F.when(F.col("o_orderstatus") == "O", "observed").when(F.col("o_orderstatus") == "P", "best")
         .otherwise("replicate").alias("origin"), F.col("o_orderpriority").alias("series"), "o_totalprice")
-    parts = [df.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total"))
-             .withColumn("part", F.lit(name)) for name, df in R.split_origin(tagged).items()]
+    sums = materialise(tagged.groupBy("origin", "series").agg(  # orders are read once, the parts from their sums
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 1).alias("total")))
+    parts = [df.drop("origin").withColumn("part", F.lit(name)) for name, df in R.split_origin(sums).items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

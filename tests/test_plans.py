@@ -16,6 +16,14 @@ def test_filter_and_columns_reach_the_scan(spark, sf):
     assert "ReadSchema: struct<l_discount:double,l_shipdate:timestamp_ntz>" in plan
 
 
+def test_one_scan_where_one_is_enough(spark, sf):
+    for name, table in (("threshold_filter", "lineitem"), ("multi_series_align", "orders"), ("distinct_regions", "orders"), ("observables", "orders"),
+                        ("split_origin", "orders")):
+        plan = plan_of(catalog.QUERIES[name](spark, sf)).split("Subquery")[0]
+        scans = [line for line in plan.splitlines() if "FileScan" in line and f"/{table}.parquet" in line]
+        assert len(scans) <= (2 if name == "multi_series_align" else 1), (name, len(scans))
+
+
 def test_date_window_reads_the_shipdate_bounds(spark, sf):
     plan = plan_of(catalog.QUERIES["date_window_filter"](spark, sf))
     scan = [line for line in plan.splitlines() if "lineitem" in line][0]

@@ -11,7 +11,7 @@ import check  # noqa: E402
 import __spark_entry__ as entry_point  # noqa: E402
 from strainshift.plans import catalog  # noqa: E402
 
-WITHOUT_SQL = {"random_intercept_profile_ci"}
+WITHOUT_SQL = set()
 PYTHON = {"udf_grouped_map", "udf_row_map"}
 
 

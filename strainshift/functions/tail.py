@@ -56,10 +56,10 @@ def _let(body, **named: Column) -> Column:
     return F.element_at(F.transform(F.array(row), body), 1)
 
 
-def beta_share(x: Column, a: Column, b: Column, steps: int = 240) -> Column:
+def beta_share(x: Column, a: Column, b: Column) -> Column:
     """Regularised incomplete beta function for a, b > 0, by its continued fraction.
 
-    The fraction is taken on the side of the mean where it converges fast; a number of
+    The fraction is taken on the side of the mean where it converges fast: a number of
     steps of a few times the root of the larger parameter is enough there.
     """
     def sided(v):
@@ -77,12 +77,14 @@ def beta_share(x: Column, a: Column, b: Column, steps: int = 240) -> Column:
             m = F.floor((k + 1) / 2)
             add = F.when(k % 2 == 1, m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))).otherwise(
                 -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)))
-            return _let(lambda n: F.struct(n["c"].alias("c"), n["d"].alias("d"), (n["h"] * n["d"] * n["c"]).alias("h")),
-                        c=1 + F.try_divide(add, state["c"]), d=F.try_divide(F.lit(1.0), 1 + add * state["d"]), h=state["h"])
+            # h is the product up to the step before, so that each new factor is computed once
+            return F.struct((1 + F.try_divide(add, state["c"])).alias("c"), F.try_divide(F.lit(1.0), 1 + add * state["d"]).alias("d"),
+                            (state["h"] * state["c"] * state["d"]).alias("h"))
 
         first = F.try_divide(F.lit(1.0), 1 - (p + q) * y / (p + 1))
-        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
-        value = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda state: state["h"])
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), F.lit(1.0).alias("h"))
+        steps = (40 + 8 * F.sqrt(F.greatest(p, q))).cast("int")
+        value = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda state: state["h"] * state["c"] * state["d"])
         front = ln_gamma(p + q) - ln_gamma(p) - ln_gamma(q) + p * F.ln(y) + q * F.ln(1 - y)
         return F.exp(front) * value / p
 

@@ -212,6 +212,8 @@ def corr_test(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     z = F.when(usable, atanh(r))
     half = Z_975 / F.sqrt(F.when(n >= 4, n - 3))
     s = s.withColumn("t_stat", F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (1 - r * r))))
+    if by:  # a row per group is few bytes but some hundred steps of a fraction
+        s = s.repartition(task_count(df.sparkSession), *by)
     s = s.withColumn("p", t_two_sided("t_stat", n - 2))
     return s.select(
         *by, "n", "r", tanh(z - half).alias("ci_lower"), tanh(z + half).alias("ci_upper"),

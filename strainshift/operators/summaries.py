@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,76 +11,66 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainshift.operators.expand import expand_range
+from strainshift.session import materialise
 
-# The built-in percentile keeps the distinct values of a group in one task.
-PERCENTILE_VALUES = 1_000_000
 # Rank error of the bracket sketch is at most one part in this many.
 SKETCH_ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                    group_rows: int | None = None, limit: int = PERCENTILE_VALUES) -> DataFrame:
-    """Linearly interpolated quantiles (type 7) as an array column ``q``.
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], small_groups: bool = False) -> DataFrame:
+    """Linearly interpolated quantiles (type 7) as an array column ``q``; NULL and NaN do not count.
 
-    Groups of at most ``limit`` distinct values use the built-in percentile. The
-    size is taken from ``group_rows`` if the caller knows it, else measured. Larger
-    groups first narrow each quantile to a bracket, see ``_bracket_quantiles``.
+    A sketch of fixed size brackets both order statistics of each quantile. A second pass
+    counts what lies below each bracket and finds the values next to it; only the few
+    values inside are shuffled and ranked, so no task holds a group, whatever its size.
+    A caller who knows that groups are small (replicates, say) may ask for the built-in
+    percentile, which keeps a group's distinct values in one task.
     """
     if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, group_rows, limit).drop("_all")
-    clean = df.select(*by, value).filter(F.col(value).isNotNull() & ~F.isnan(value))
-    counted = clean.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    if group_rows is None:
-        sizes = clean.groupBy(*by).agg(F.approx_count_distinct(value, 0.05).alias("_d"))
-        group_rows = 1.25 * (sizes.agg(F.max("_d")).first()[0] or 0)
-    if group_rows <= max(limit, SKETCH_ACCURACY):
-        q = F.percentile(value, F.array(*[F.lit(p) for p in probs]), F.col("_n"))
-        return counted.groupBy(*by).agg(q.alias("q"))
-    return _bracket_quantiles(clean, counted, by, value, probs)
-
-
-def _bracket_quantiles(clean: DataFrame, counted: DataFrame, by: list[str], value: str,
-                       probs: list[float]) -> DataFrame:
-    """Exact quantiles of large groups without one task per group.
-
-    A sketch of fixed size brackets both order statistics of each quantile. Rows
-    below the bracket are only counted, rows above only give their minimum, and
-    the few rows inside are ranked. A rank outside its bracket stops the job.
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, small_groups).drop("_all")
+    clean = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if small_groups:
+        return clean.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
+    return _bracket_quantiles(clean, by, probs)
+
+
+def _bracket_quantiles(clean: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles of groups of any size.
+
+    The sketch is off by one part in SKETCH_ACCURACY, brackets reach four; ranks of
+    quantiles by interpolation differ by one at most from those of the sketch, which the
+    value next to the bracket covers.
     """
-    v, n = F.col(value), F.col("_n")
-    slack = 4 / SKETCH_ACCURACY
+    v, slack, size = F.col("_v"), 4 / SKETCH_ACCURACY, len(probs)
     marks = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
     frame = clean.groupBy(*by).agg(
-        F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("_m"),
-        F.count(F.lit(1)).alias("_total"))
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"),
-                 F.element_at("_m", 2 * i + 1).alias("_lo"), F.element_at("_m", 2 * i + 2).alias("_hi"))
-        for i, p in enumerate(probs)])
-    targets = frame.select(*by, "_total", F.inline(ranks))
-    placed = counted.join(targets, by)
-    key = [*by, "_i"]
-    inside = placed.filter((v >= F.col("_lo")) & (v <= F.col("_hi")))
-    ends = placed.groupBy(*key).agg(
-        F.coalesce(F.sum(F.when(v < F.col("_lo"), n)), F.lit(0)).alias("_below"),
-        F.min(F.when(v > F.col("_hi"), v)).alias("_next"),
-        F.first("_total").alias("_total"), F.first("_p").alias("_p"))
-    cum = F.sum("_n").over(W.partitionBy(*key).orderBy(value))
-    ranked = inside.select(*key, v.alias("_v"), cum.alias("_cum")).join(ends, key)
-    h = (F.col("_total") - 1) * F.col("_p")
+        F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("_m"), F.count(F.lit(1)).alias("_total"))
+    lo, hi = ([F.element_at("_m", 2 * i + k) for i in range(size)] for k in (1, 2))
+
+    other = [f"_by_{c}" for c in by]  # a NULL group is a group
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(by, other)])
+    rows = clean.join(frame.withColumnsRenamed(dict(zip(by, other))), same).drop(*other)
+    ends = rows.groupBy(*by).agg(F.first("_total").alias("_total"), *[x for i in range(size) for x in (
+        F.count_if(v < lo[i]).alias(f"_below{i}"), F.max(F.when(v < lo[i], v)).alias(f"_prev{i}"), F.min(F.when(v > hi[i], v)).alias(f"_next{i}"))])
+    ends = ends.select(*by, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("_i"), ((F.col("_total") - 1) * F.lit(float(p))).alias("_h"), F.col(f"_below{i}").alias("_below"),
+        F.col(f"_prev{i}").alias("_prev"), F.col(f"_next{i}").alias("_next")) for i, p in enumerate(probs)])))
+    within = F.array_compact(F.array(*[F.when((v >= lo[i]) & (v <= hi[i]), i) for i in range(size)]))
+    inside = rows.select(*by, "_v", F.explode(within).alias("_i")).groupBy(*by, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = inside.withColumn("_cum", F.sum("_n").over(W.partitionBy(*by, "_i").orderBy("_v")))
+    ends = ends.withColumnsRenamed(dict(zip(by, other)))
+    ranked = inside.withColumnRenamed("_i", "_j").join(ends, same & (F.col("_i") == F.col("_j"))).drop(*other)
     reached = F.col("_below") + F.col("_cum")
-    pair = ranked.groupBy(*key).agg(
-        F.first("_next").alias("_next"), F.first(h).alias("_h"), F.first("_below").alias("_below"),
-        F.min(F.when(reached > F.floor(h), F.col("_v"))).alias("_v0"),
-        F.min(F.when(reached > F.floor(h) + 1, F.col("_v"))).alias("_v1"))
-    found = F.col("_v0").isNotNull() & (F.col("_below") <= F.floor("_h"))
-    low = F.when(found, F.col("_v0")).otherwise(
-        F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-    high = F.coalesce("_v1", "_next", "_v0")
+    pair = ranked.groupBy(*by, "_i").agg(
+        F.first("_h").alias("_h"), F.first("_below").alias("_below"), F.first("_prev").alias("_prev"), F.first("_next").alias("_next"),
+        F.min(F.when(reached > F.floor("_h"), v)).alias("_v0"), F.min(F.when(reached > F.floor("_h") + 1, v)).alias("_v1"), F.min(v).alias("_first"))
+    before = F.col("_below") > F.floor("_h")  # the lower statistic is the value just below the bracket
+    low = F.when(before & (F.col("_below") == F.floor("_h") + 1), F.col("_prev")).when(~before, F.col("_v0"))
+    low = F.coalesce(low, F.raise_error(F.lit("the sketch broke its bound")).cast("double"))
+    high = F.when(before, F.col("_first")).otherwise(F.coalesce("_v1", "_next", "_v0"))
     q = low + (F.col("_h") - F.floor("_h")) * (high - low)
     return (pair.withColumn("_q", q).groupBy(*by)
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))),
-                             lambda s: s["_q"]).alias("q")))
+            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q")))
 
 
 def moments(value: str) -> list[Column]:
@@ -87,14 +78,14 @@ def moments(value: str) -> list[Column]:
             F.max(value).alias("max"), F.stddev_samp(value).alias("sd")]
 
 
-def five_number_summary(df: DataFrame, by: list[str], value: str, group_rows: int | None = None) -> DataFrame:
+def five_number_summary(df: DataFrame, by: list[str], value: str, small_groups: bool = False) -> DataFrame:
     """Minimum, quartiles, mean, maximum and standard deviation per group."""
-    return summary_with_quantiles(df, by, value, {"q1": .25, "median": .5, "q3": .75}, group_rows)
+    return summary_with_quantiles(df, by, value, {"q1": .25, "median": .5, "q3": .75}, small_groups)
 
 
 def summary_with_quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float],
-                           group_rows: int | None = None) -> DataFrame:
-    q = exact_quantiles(df, by, value, list(named.values()), group_rows)
+                           small_groups: bool = False) -> DataFrame:
+    q = exact_quantiles(df, by, value, list(named.values()), small_groups)
     base = df.groupBy(*by).agg(*moments(value))
     out = base.join(q, by, "left") if by else base.select("*", q.scalar().alias("q"))
     return out.select("*", *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(named)]).drop("q")
@@ -118,7 +109,7 @@ def corr_matrix(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05, points: int = 512,
-                  group_rows: int | None = None) -> DataFrame:
+                  small_groups: bool = False) -> DataFrame:
     """Gaussian kernel density on a grid between the tail/2 quantiles.
 
     Only values between the quantiles count. Equal values are counted before they
@@ -128,12 +119,12 @@ def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05,
     if not 0 <= tail < 1:
         raise ValueError(f"the share of both tails is at least 0 and below 1, not {tail}")
     if not by:
-        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, tail, points, group_rows).drop("_all")
-    cut = exact_quantiles(df, by, value, [tail / 2, 1 - tail / 2], group_rows)
+        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, tail, points, small_groups).drop("_all")
+    cut = materialise(exact_quantiles(df, by, value, [tail / 2, 1 - tail / 2], small_groups))
     x = F.col(value)
-    kept = (df.join(cut, by).filter((x >= F.element_at("q", 1)) & (x <= F.element_at("q", 2)))
-            .select(*by, x.alias("_x")))
-    quart = exact_quantiles(kept, by, "_x", [.25, .75], group_rows)
+    kept = materialise(df.join(cut, by).filter((x >= F.element_at("q", 1)) & (x <= F.element_at("q", 2)))
+                       .select(*by, x.alias("_x")))
+    quart = exact_quantiles(kept, by, "_x", [.25, .75], small_groups)
     counted = kept.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
     size = kept.groupBy(*by).agg(F.count("_x").alias("n"), F.stddev_samp("_x").alias("_sd"))
     iqr = (F.element_at("q", 2) - F.element_at("q", 1)) / 1.34
@@ -151,7 +142,7 @@ def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05,
                     (F.col("_w") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density")))
 
 
-def ensemble_curves(df: DataFrame, by: list[str], value: str, group_rows: int | None = None) -> DataFrame:
+def ensemble_curves(df: DataFrame, by: list[str], value: str, small_groups: bool = False) -> DataFrame:
     """Median and 95 % envelope by day and series across replicates."""
-    q = exact_quantiles(df, by, value, [.025, .5, .975], group_rows)
+    q = exact_quantiles(df, by, value, [.025, .5, .975], small_groups)
     return q.select(*by, *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(("lower", "median", "upper"))])

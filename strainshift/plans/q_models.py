@@ -698,7 +698,7 @@ def bootstrap_summary(spark, sf):
     wide = fits.select("law", "delta_beta", "delta_gamma", s.alias("s_day"), (7 * s).alias("s_week"))
     long = wide.unpivot(["law"], ["delta_beta", "delta_gamma", "s_day", "s_week"], "param", "x")
     named = {"lower": .025, "q1": .25, "median": .5, "q3": .75, "upper": .975}
-    out = M.summary_with_quantiles(long, ["law", "param"], "x", named, group_rows=BOOT_REPLICATES)
+    out = M.summary_with_quantiles(long, ["law", "param"], "x", named, small_groups=True)
     return out.withColumns({c: F.round(c, 5) for c, t in out.dtypes if t == "double"})
 
 

@@ -137,13 +137,26 @@ def test_bracketed_quantiles_of_a_hot_group(spark):
     rows = [("hot", float(x)) for x in hot] + [("tied", float(x)) for x in tied]
     df = spark.createDataFrame(rows, "g string, x double").repartition(8)
     probs = [0.0, .025, .25, .5, .975, 1.0]
-    got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs, limit=0).collect()}
+    got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs).collect()}
     assert got["hot"] == pytest.approx(list(np.quantile(hot, probs)), rel=1e-12)
     assert got["tied"] == pytest.approx(list(np.quantile(tied, probs)), rel=1e-12)
-    whole = M.exact_quantiles(df, [], "x", probs, limit=0).first()["q"]
+    whole = M.exact_quantiles(df, [], "x", probs).first()["q"]
     assert whole == pytest.approx(list(np.quantile(np.concatenate([hot, tied]), probs)), rel=1e-12)
 
 
+def test_quantiles_of_small_and_null_groups(spark):
+    rng = np.random.default_rng(11)
+    groups = {f"g{n}": rng.normal(size=n).round(1) for n in (1, 2, 3, 4, 7, 40, 999, 2600)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    probs = [0.0, .025, .25, .3, .5, .77, .975, 1.0]
+    for small in (False, True):
+        got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs, small).collect()}
+        assert got[None] == pytest.approx(list(np.quantile([1.0, 4.0], probs)))
+        for g, xs in groups.items():
+            assert got[g] == pytest.approx(list(np.quantile(xs, probs)), abs=1e-12), (g, small)
+
+
 def test_density_against_brute_force(spark):
     rng = np.random.default_rng(9)
     xs = np.round(rng.gamma(3, 2, 400), 2)

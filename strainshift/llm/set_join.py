@@ -42,7 +42,7 @@ from strainshift.session import materialise
 
 WIDTH, PERCENT = 5, 80
 #: Hashes a task packs at a time, and how often one must be among them to be frequent.
-PACK, FREQUENT = 1 << 21, 64
+PACK, FREQUENT = 1 << 20, 64
 #: Shared hashes of one verification task, about; components with more are cut into chunks.
 CHUNK = 1 << 21
 OFTEN = np.int32(2 ** 31 - 1)

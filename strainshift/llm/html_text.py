@@ -27,11 +27,15 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt s samp
 small span strike strong sub sup time tt u var wbr img label""".split())
+#: Inline elements that go on when an element around them ends.
+FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
 #: Elements that an opening tag of the named kind closes.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 BLOCKS_END_P = frozenset("""address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3
 h4 h5 h6 header hr main menu nav ol p pre section table ul""".split())
+#: Elements whose own end, not that of an inline element around them, closes them.
+CLOSED_ALONE = BLOCKS_END_P | frozenset("li dt dd td th tr tbody thead tfoot caption button center".split())
 #: Elements that are never main text.
 NEVER = frozenset("""head title script style noscript template nav footer aside form button select option textarea input
 iframe object svg canvas audio video menu dialog map datalist noembed noframes xmp""".split())
@@ -72,8 +76,9 @@ def _unwanted(name: str, attributes: str) -> bool:
 def blocks_of(page: str):
     """Blocks in page order: (text, linked characters, path, element ids of the path, kept)."""
     stack, ids, out = [], [], []  # stack: (name, unwanted)
+    inline = []  # open inline elements: (name, depth of the stack, unwanted); text in an unwanted one is left out
     piece, linked, links, at, made = [], 0, 0, 0, 0
-    bad = 0
+    bad = mute = 0
 
     def close_block():
         nonlocal linked
@@ -85,9 +90,28 @@ def blocks_of(page: str):
         linked = 0
 
     def pop():
-        nonlocal bad
+        nonlocal bad, mute
         bad -= stack.pop()[1]
         ids.pop()
+        while inline and inline[-1][1] > len(stack):
+            mute -= inline.pop()[2]
+
+    def end_inline(name):
+        """Close the last open inline element of the name; formatting opened in it goes on."""
+        nonlocal mute
+        for k in range(len(inline) - 1, -1, -1):
+            if inline[k][0] == name:
+                break
+        else:
+            return
+        _, depth, unwanted = inline[k]
+        if unwanted and len(stack) > depth and not any(n in CLOSED_ALONE for n, _ in stack[depth:]):
+            close_block()
+            while len(stack) > depth:
+                pop()
+        stay = [x for x in inline[k + 1:] if x[0] in FORMATTING]
+        mute -= sum(x[2] for x in inline[k:]) - sum(x[2] for x in stay)
+        inline[k:] = stay
 
     size = len(page)
     while at < size:
@@ -97,7 +121,7 @@ def blocks_of(page: str):
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0][0] != "<" or m[0] == "<":
+            if (m[0][0] != "<" or m[0] == "<") and not mute:
                 piece.append(m[0])
                 linked += len(m[0]) if links else 0
             continue
@@ -105,8 +129,8 @@ def blocks_of(page: str):
         if m[1]:
             if name == "a":
                 links = 0
-            elif name in INLINE:
-                pass
+            if name in INLINE:
+                end_inline(name)
             elif name == "p" and all(n != "p" for n, _ in stack) or name == "br":
                 close_block()
             elif any(n == name for n, _ in stack):
@@ -117,21 +141,31 @@ def blocks_of(page: str):
             continue
         attributes = m[3] or ""
         if name in RAW:
-            close_block()
+            if not mute:
+                close_block()
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if name in INLINE and not _unwanted(name, attributes):
-            links = 1 if name == "a" else links
+        if name in INLINE and name not in VOID:
+            if name == "a":  # a link ends the one before it
+                end_inline(name)
+                links = 1
+            unwanted = _unwanted(name, attributes)
+            inline.append((name, len(stack), unwanted))
+            mute += unwanted
             continue
         if name in VOID:
-            if name not in ("img", "input", "wbr"):
+            if name not in ("img", "input", "wbr") and not mute:
                 close_block()
             continue
         close_block()
         links = 0
         if name in BLOCKS_END_P and stack and stack[-1][0] == "p":
+            depth = len(stack)
+            carried = [(n, depth - 1, u) for n, d, u in inline if d == depth and n in FORMATTING]
             pop()
+            inline.extend(carried)
+            mute += sum(u for *_, u in carried)
         if name in CLOSES:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES[name]:

@@ -25,6 +25,25 @@ def test_main_text(page, text):
     assert main_text(page) == " ".join(text.split())
 
 
+@pytest.mark.parametrize("out", ["<a class='skip-link' href=#m>Out</a>", "<span class=ad>Out <span>of</span> it</span>", "<a class=share href=x>Out <b>now</b></a>",
+                                 "<small class='social-icon'>Out<br>of</small>", "<span hidden>Out</span>", "<a class=share><div>Out</div></a>",
+                                 "<span class=ad>Out <a class=share>of</span></a>", "<a class=share>Out <a class=share>of</a>"])
+def test_inline_elements_out_end_at_their_end_tag(out):
+    kept = f"{LONG}{LONG}second {LONG}".strip()
+    paragraphs = f"<p>{LONG}</p><p>{LONG}</p><p>second {LONG}</p>"
+    assert main_text(f"<body>{out}{paragraphs}</body>") == kept
+    assert main_text(f"<body><article><div>{out}{paragraphs}</div></article></body>") == kept
+    assert main_text(f"<body><div><p>{LONG}</p>{out}<p>{LONG}</p><p>second {LONG}</p></div></body>") == kept
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG} {out} second {LONG}</p></div>") == kept
+
+
+def test_inline_elements_out_without_end_tag():
+    assert main_text(f"<body><span class=ad><div>Out</span></div><p>{LONG}</p><p>next, {LONG}</p>") == f"{LONG}next, {LONG}".strip()
+    assert main_text(f"<div><p>{LONG}<span class=ad>Out<p>next</p></div><p>end") == f"{LONG}next"
+    assert main_text(f"<div><div>{LONG}<a class=share>Out</div><p>next, {LONG}</p></div>") == f"{LONG}next, {LONG}".strip()
+    assert main_text(f"<p>{LONG}wo<span class=ad>Out</span>rd") == f"{LONG}word"
+
+
 def test_path_sums():
     blocks = blocks_of("<div><p>aaaa, bb.</p><p>cc</p><ul><li><a href=x>dddd</a></li></ul></div>")
     assert [(b[0], b[1], b[2]) for b in blocks] == [("aaaa, bb.", 0, "div/p"), ("cc", 0, "div/p"), ("dddd", 4, "div/ul/li")]

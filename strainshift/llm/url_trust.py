@@ -12,6 +12,8 @@ third of all pages costs one row per neighbour. Each round is written to the sha
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +56,14 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30,
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None,
            tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust): personalised PageRank and its reverse, from the seeds' mass.
 
     seeds has host, good, bad. Mass at a host without (reversed) links leaves the walk.
-    Stops after `rounds`, or when no value moved by more than `tolerance` of all mass.
+    Values only grow. Stops when none grew by more than `tolerance` of itself, so not while a
+    host is reached for the first time, however much mass other hosts have; `rounds` can end
+    it before. Mass thins out on its way: below about 1e-308 it is 0.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
     into = edges.groupBy("dst").agg(F.count("*").alias("n_in"))
@@ -73,24 +77,22 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: in
                          (F.col("bad") * (1 - damping)).alias("distrust"))
     if edges.isEmpty():
         return ranks.select("host", "trust", "distrust")
-    mass = nodes.agg(F.greatest(F.sum("good"), F.sum("bad"), F.lit(1.0))).first()[0]
     ranks = materialise(ranks)
-    for _ in range(rounds):
+    grown = lambda new, old: F.when(new > old, (new - old) / new).otherwise(0.0)
+    for _ in itertools.count() if rounds is None else range(rounds):
         forward = edges.join(ranks, F.col("src") == F.col("host")).select(
             F.col("dst").alias("host"), (F.col("trust") * F.col("w_out")).alias("t"), F.lit(0.0).alias("d"))
         backward = edges.join(ranks, F.col("dst") == F.col("host")).select(
             F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("w_in")).alias("d"))
         flow = forward.unionByName(backward).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        new = ranks.join(flow, "host", "left").select(
-            "host", "good", "bad",
-            (F.col("good") * (1 - damping) + F.coalesce("t", F.lit(0.0))).alias("trust"),
-            (F.col("bad") * (1 - damping) + F.coalesce("d", F.lit(0.0))).alias("distrust"),
-            F.greatest(F.abs(F.col("good") * (1 - damping) + F.coalesce("t", F.lit(0.0)) - F.col("trust")),
-                       F.abs(F.col("bad") * (1 - damping) + F.coalesce("d", F.lit(0.0)) - F.col("distrust"))).alias("moved"))
-        new = materialise(new)
-        moved = new.agg(F.max("moved")).first()[0]
-        ranks = new.drop("moved")
-        if moved <= tolerance * mass:
+        trust = F.col("good") * (1 - damping) + F.coalesce("t", F.lit(0.0))
+        distrust = F.col("bad") * (1 - damping) + F.coalesce("d", F.lit(0.0))
+        new = materialise(ranks.join(flow, "host", "left").select(
+            "host", "good", "bad", trust.alias("trust"), distrust.alias("distrust"),
+            F.greatest(grown(trust, F.col("trust")), grown(distrust, F.col("distrust"))).alias("grown")))
+        moved = new.agg(F.max("grown")).first()[0]
+        ranks = new.drop("grown")
+        if moved <= tolerance:
             break
     return ranks.select("host", "trust", "distrust")
 

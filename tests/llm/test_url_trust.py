@@ -63,3 +63,24 @@ def test_spread_equals_dense_iteration(spark):
                 {h: .15 * bad[h] + .85 * sum(d[e] / sum(y == e for _, y in edges) for s, e in edges if s == h) for h in nodes})
     for h in nodes:
         assert abs(got[h][0] - t[h]) < 1e-6 and abs(got[h][1] - d[h]) < 1e-6
+
+
+def test_defaults_reach_the_end_of_a_chain_beside_much_mass(spark):
+    n = 33  # more hops than 30; the mass of a host without links changes nothing
+    chain = [f"h{i}" for i in range(n + 1)]
+    edges = spark.createDataFrame(list(zip(chain, chain[1:])), "src string, dst string").coalesce(1)
+    for heavy in (0.0, 1e9):
+        seeds = spark.createDataFrame([("h0", 50.0, 0.0), (f"h{n}", 0.0, 50.0), ("alone.net", heavy, heavy)], "host string, good double, bad double")
+        got = {r.host: (r.trust, r.distrust) for r in spread(seeds, edges).collect()}
+        for i, h in enumerate(chain):
+            assert abs(got[h][0] / (7.5 * .85 ** i) - 1) < 1e-9 and abs(got[h][1] / (7.5 * .85 ** (n - i)) - 1) < 1e-9
+        assert abs(got["alone.net"][0] - .15 * heavy) <= 1e-6 * heavy
+
+
+def test_verdicts_do_not_depend_on_other_pages(spark):
+    pages = [("http://far.net/", "http://near.net/"), ("http://near.net/", "http://linker.net/"), ("http://linker.net/", "http://bad.com/")]
+    rows = [(u, f"<a href={to}>x</a>") for u, to in pages] + [("http://bad.com/de/1", None)] * 50
+    df = spark.createDataFrame(rows, "url string, html string").unionByName(
+        spark.range(10000000, numPartitions=2).selectExpr("'http://alone.org/' AS url", "CAST(NULL AS string) AS html"))
+    got = judge_urls(df.selectExpr("1 AS page_id", "url", "html")).where("host <> 'alone.org'").select("host", "verdict").distinct().collect()
+    assert {tuple(r) for r in got} == {(h, "block") for h in ("far.net", "near.net", "linker.net", "bad.com")}

@@ -608,7 +608,7 @@ def profile_scan(spark, sf):
     return S.profile_scan(scored, "g", "score", F.col("code") == 0, ["parm"]).withColumn("wls", F.round("wls", 4))
 
 
-TRAJECTORY_DAYS = 30
+TRAJECTORY_DAYS = 30  # the span of the given events, for the SQL only
 
 
 @query("trajectory_score", f"""
@@ -626,12 +626,13 @@ TRAJECTORY_DAYS = 30
 def trajectory_score(spark, sf):
     """Trajectories of daily states, their observables, the loss per point, and the best candidate of each brand."""
     k, a, t = F.col("k"), F.col("a"), F.col("t")
-    days = expand_range(V.model_params(spark, sf).select("brand", F.col("model_id").alias("candidate"), "k", "a"), "t", 0, TRAJECTORY_DAYS)
+    obs = materialise(observations(spark, sf).select("series", "t", "value"))
+    last = obs.agg(F.max("t")).scalar()
+    days = expand_range(V.model_params(spark, sf).select("brand", F.col("model_id").alias("candidate"), "k", "a"), "t", 0, last)
     states = days.select("brand", "candidate", "t", (40000 * F.exp(-0.01 * k * t)).alias("S"), (100 * a * t).alias("IA"),
                          (30 * k * t).alias("IS_cumul"), (20 * a * t).alias("D"))
     seen = O.observables(states, ["brand", "candidate"], "t", C.reporting_rate(t, None, 0.0021937, 0.000031741))
     expected = seen.unpivot(["brand", "candidate", "t"], ["negative", "positive", "deaths"], "series", "expected")
-    obs = materialise(observations(spark, sf).filter(t <= TRAJECTORY_DAYS).select("series", "t", "value"))
     scores = S.wls_score(S.point_losses(obs, expected, ["series", "t"]), ["brand", "candidate"])
     best = S.best_candidate(scores, ["brand"], "score", "candidate", F.lit(True))
     return best.select("brand", "candidate", F.round("score", 4).alias("score"))

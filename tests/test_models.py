@@ -1,5 +1,7 @@
 """Regressions against dense matrices."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from strainshift.functions.tail import T_975
 from strainshift.operators import mixed as X
 from strainshift.operators import regression as G
 from strainshift.operators.selection import fit_selection_models
+from strainshift.plans import catalog
 
 SIZES = {"a": 4, "b": 6, "c": 7, "d": 5, "e": 8}
 LAMBDAS = (0.0, 0.5, 3.0)
@@ -311,3 +314,25 @@ def test_interaction_coefficients_equal_least_squares(spark):
         assert (r["se_intercept"], r["se_slope"]) == pytest.approx((se[k], se[3 + k]), rel=1e-7)
         assert r["t_slope"] == pytest.approx(b[3 + k] / se[3 + k], rel=1e-7) and 0 <= r["p_slope"] <= 1 and r["df"] == df_left
     assert got["c"]["slope"] is None and got["c"]["p_slope"] is None
+
+
+def test_trajectories_reach_the_last_observation(spark, tmp_path):
+    """Events over 45 days: every observed point counts."""
+    counts = {(d, k): 3 + (d * i * 7) % 11 for d in range(1, 46) for i, k in enumerate(("view", "click", "error"), 2)}
+    spark.createDataFrame([(f"2024-01-{1:02d}", d, k) for (d, k), n in counts.items() for _ in range(n)], "day string, d int, event_type string").selectExpr(
+        "monotonically_increasing_id() AS event_id", "CAST(date_add(day, d - 1) AS timestamp) AS ts", "1L AS user_id", "event_type", "1.0D AS value",
+        "'' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(40)
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    best = {}
+    for r in spark.read.parquet(f"{tmp_path}/part.parquet").collect():
+        k, a, score = r.p_size / 51, 1 + r.p_partkey % 5 + (r.p_retailprice - 900) / 100, 0.0
+        for (d, kind), n in counts.items():
+            rate = 0.0021937 + 0.000031741 * d
+            expected = {"view": rate * 40000 * math.exp(-0.01 * k * d), "click": 30 * k + rate * 100 * a * d, "error": 20 * a}[kind]
+            score += (n - expected) ** 2 / max(expected, max(0.001, min(counts.values())))
+        best[r.p_brand] = min(best.get(r.p_brand, (math.inf, 0)), (score, r.p_partkey))
+    got = {r.brand: (r.score, r.candidate) for r in catalog.QUERIES["trajectory_score"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(best)
+    for brand, (score, candidate) in best.items():
+        assert got[brand][1] == candidate and abs(got[brand][0] - score) < 1e-3

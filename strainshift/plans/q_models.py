@@ -373,10 +373,12 @@ def many_model_sweep(spark, sf):
         "delta_beta", "delta_gamma", "se_beta", "se_gamma", "delta_beta_lower", "delta_beta_upper", "delta_gamma_lower", "delta_gamma_upper")])
 
 
-PROFILE_SQL = (
-    f"WITH {V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL.replace('params AS', 'raw AS')}"
+PROFILE_DESIGN_SQL = (
+    f"{V.RETAINED_SQL}, {V.CONTROL_INDEX_SQL}, {V.PARAMS_SQL.replace('params AS', 'raw AS')}"
     ", params AS (SELECT brand AS model_id, arg_min(k, (value, model_id)) AS k, arg_min(a, (value, model_id)) AS a FROM raw WHERE code = 0 GROUP BY brand)"
-    f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {lambda_sql('full_ml', X1Z, False)}"
+    f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}")
+PROFILE_TAIL_SQL = (
+    f"{groups_sql('design')}, {centred_sql()}, {fit_sql()}, {lambda_sql('full_ml', X1Z, False)}"
     ", est AS (SELECT model_id, delta_beta, delta_gamma, se_beta, se_gamma FROM fit), two AS ("
     + " UNION ALL ".join(
         f"SELECT model_id, region, n, n_rows, d_y, w_y_y, w_x1_z + rho * w_x1_x1 AS w_x1_x2, '{e}' AS effect, delta_{e} AS est, se_{e} AS se, {X.KEPT[x]}"
@@ -397,13 +399,31 @@ PROFILE_SQL = (
     " CASE WHEN lower IS NULL OR upper IS NULL THEN 'open beyond 6 standard errors' ELSE 'bracketed' END AS status FROM ends")
 
 
+PROFILE_SQL = f"WITH {PROFILE_DESIGN_SQL}, {PROFILE_TAIL_SQL}"
+
+
+def profiled(spark, sf, models):
+    rows = centred(materialise(G.model_groups(design_rows(spark, sf, models))))
+    fits = materialise(X.selection_fit(rows, ["model_id"]))
+    return X.profile_limits(rows, fits, ["model_id"]).withColumns({c: F.round(c, 2) for c in ("lower", "upper")})
+
+
 @query("random_intercept_profile_ci", PROFILE_SQL)
 def random_intercept_profile_ci(spark, sf):
     """Profile-likelihood limits of both slopes for the best parameters of each brand."""
-    models = brand_models(spark, sf).withColumnRenamed("brand", "model_id")
-    rows = centred(G.model_groups(design_rows(spark, sf, models)))
-    fits = materialise(X.selection_fit(rows, ["model_id"]))
-    return X.profile_limits(rows, fits, ["model_id"]).withColumns({c: F.round(c, 2) for c in ("lower", "upper")})
+    return profiled(spark, sf, brand_models(spark, sf).withColumnRenamed("brand", "model_id"))
+
+
+@query("part_profile_ci", f"WITH {DESIGN_SQL}, {PROFILE_TAIL_SQL}")
+def part_profile_ci(spark, sf):
+    """The same for the parameters of every part."""
+    return profiled(spark, sf, part_models(spark, sf))
+
+
+@query("sweep_profile_ci", f"WITH {SWEEP_DESIGN_SQL}, {PROFILE_TAIL_SQL}")
+def sweep_profile_ci(spark, sf):
+    """The same for every model of the sweep."""
+    return profiled(spark, sf, sweep_models(spark, sf))
 
 
 @query("coord_table", f"""

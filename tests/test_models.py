@@ -336,3 +336,13 @@ def test_trajectories_reach_the_last_observation(spark, tmp_path):
     assert set(got) == set(best)
     for brand, (score, candidate) in best.items():
         assert got[brand][1] == candidate and abs(got[brand][0] - score) < 1e-3
+
+
+def test_profile_limits_of_every_part_and_sweep_model(spark, sf):
+    """Not only of the best part of each brand."""
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    got = [(r.model_id, r.effect) for r in catalog.QUERIES["part_profile_ci"](spark, sf).collect()]
+    assert sorted(got) == sorted((p, e) for p in parts for e in ("beta", "gamma"))
+    fits = {r.model_id for r in catalog.QUERIES["many_model_sweep"](spark, sf).select("model_id").collect()}
+    got = [(r.model_id, r.effect) for r in catalog.QUERIES["sweep_profile_ci"](spark, sf).collect()]
+    assert sorted(got) == sorted((m, e) for m in fits for e in ("beta", "gamma"))

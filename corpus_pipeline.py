@@ -7,8 +7,8 @@
 5. pieces: sampled SentencePiece segmentations of every text, with their ids.
 
 All but the last return the columns of documents. Each stage's result is written to the
-shared folder and read again. Rows without a doc_id take part; of rows that repeat a
-doc_id, one stays at stage 2.
+shared folder and read again. Rows without a doc_id take part and are the last of their
+group; of rows that repeat a doc_id and its text, one stays at stage 2.
 """
 
 from __future__ import annotations
@@ -34,12 +34,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row without an id goes by a number of its text, larger than ids."""
-    number = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    keyed = docs.withColumn("copy_key", F.coalesce(F.col("doc_id").cast("long"), number))
-    groups = jaccard_components(keyed, doc="copy_key")
-    stay = groups.where("copy_key = component").select("copy_key").distinct()
-    return keyed.join(stay, "copy_key", "left_semi").dropDuplicates(["copy_key"]).select(*docs.columns)
+    """Rows go by a hash of id and text, so rows that share an id are judged by their own texts.
+
+    Of equal ids and texts the row with the least other columns stays.
+    """
+    key = ["doc_id", "text"]
+    keyed = docs.withColumn("copy_key", F.xxhash64(*key, *[F.col(c).isNull() for c in key]))
+    groups = jaccard_components(keyed, doc="copy_key").join(keyed.select("copy_key", "doc_id").distinct(), "copy_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy_key"))
+    stay = groups.groupBy("component").agg(least.alias("first")).select("first.copy_key")
+    rows = keyed.join(stay, "copy_key", "left_semi").groupBy("copy_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rows.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

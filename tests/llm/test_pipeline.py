@@ -41,3 +41,13 @@ def test_stages_on_odd_rows(spark):
     clean = {r.doc_id: r for r in corpus_pipeline.secrets(spark, docs, sf).collect() if r.doc_id == 5}[5]
     assert clean.text.endswith(" [SECRET]") and clean.n_chars == len(clean.text)
     assert corpus_pipeline.pieces(spark, docs.limit(0), sf).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    text, other = " ".join(f"word{i}" for i in range(60)), " ".join(f"term{i}" for i in range(60))
+    rows = [(5, text + " end", "en", "s", 1), (3, text, "en", "s", 1), (5, other, "en", "s", 2), (5, other, "de", "s", 2), (7, other, "en", "s", 2),
+            (None, other, "en", "s", 2), (9, None, "en", "s", 0), (9, "", "en", "s", 0)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+        kept = {tuple(r) for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+        assert kept == {(3, text, "en", "s", 1), (5, other, "de", "s", 2), (9, None, "en", "s", 0), (9, "", "en", "s", 0)}

@@ -46,16 +46,19 @@ class WordEncoder:
     A byte-level BPE with the usual splitting never joins across a space or newline that
     has no white space beside it. So a text whose white space is all of that kind is cut
     before each of it, and its words are looked up by a 64-bit hash; other texts are
-    encoded whole. New words are encoded many at a time, as texts; the ids that begin with
+    encoded whole, and so are texts that hold the string of an added token. With
+    ``special`` off such strings of special tokens are ordinary text. New words are encoded many at a time, as texts; the ids that begin with
     the space or newline tell them apart.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = not special
+        # an added token found in a text is cut out before words are
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values() if special or not t.special]
         self.head = np.zeros(1 << 16, bool)
         self.head[[i for token, i in self.tok.get_vocab().items() if token[0] in "\u0120\u010a"]] = True
         self.hasher = WordHasher(fold=False)
@@ -122,6 +125,8 @@ class WordEncoder:
         ends = np.cumsum([len(t) + 1 for t in texts])
         whole = np.zeros(len(texts), bool)
         whole[np.searchsorted(ends, np.flatnonzero(odd), "right")] = True
+        for token in self.added:
+            whole |= np.array([token in t for t in texts], bool)
         for i in np.unique(np.searchsorted(ends, np.flatnonzero(kind == ASK), "right")):
             whole[i] |= " ".join((t := texts[i].decode()).split()) != t.replace("\n", " ")
         # What stands before a word: nothing, a space, or a newline.

@@ -13,8 +13,11 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def direct(text):
-    return Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("counts", [[], [0, 5], [1, 1], [0, 3, 0, 9, 1], [2 ** k for k in range(40)], [1] * 1000,
@@ -43,16 +46,18 @@ def test_words_equal_whole_texts():
     rng = random.Random(1)
     parts = ["a", "Ab", "été", "it's", "12", " ", " ", " ", "\n", "\n", "\t", " ", "　", "!?", "x.", "'ll", "\x1c", "日本", "<|endoftext|>", "\r", "😀"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)] + ["", " ", "\n", "a b c\nd e"]
-    tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in WordEncoder(PATH).encode([t.encode() for t in texts])] == want
+    for special in (False, True):
+        tok = Tokenizer.from_file(PATH)  # as it comes, it knows the strings of its special tokens
+        tok.encode_special_tokens = not special
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in WordEncoder(PATH, special).encode([t.encode() for t in texts])] == want
     one = WordEncoder(PATH)
+    assert one.encode([b"end <|endoftext|> start"])[0].tolist() == [437, 220, 50256, 923]
     assert [one.encode([t.encode()])[0].tolist() for t in texts[:500]] == want[:500]
 
 
 def test_file_round_trip(spark):
-    texts = {5: "b a.\nC", 1: None, 2: "", 9: "word " * 60000 + "end", 7: "b a.\nC", 8: "  two  spaces "}
+    texts = {5: "b a.\nC", 1: None, 2: "", 9: "word " * 60000 + "end", 7: "b a.\nC", 8: "  two  spaces ", 10: "end <|endoftext|> start"}
     df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id bigint, text string, ids string")
     path = new_file(spark)
     write_tokens(df, path, PATH)

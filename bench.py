@@ -19,7 +19,7 @@ from strainshift.session import local_session  # noqa: E402
 HEADLINE = [
     "selection_vs_control", "selection_coef_diff", "weekly_mean_blocks", "multi_series_align",
     "control_interval_join", "control_prefix_integral", "logit_regressors", "ancova_fit",
-    "random_intercept_fit", "nested_lrt", "many_model_sweep", "nested_f_test", "corr_test",
+    "random_intercept_fit", "nested_lrt", "many_model_sweep", "part_profile_ci", "sweep_profile_ci", "nested_f_test", "corr_test",
     "wls_score", "candidate_search", "profile_scan", "wild_replicates", "wild_refit",
     "bootstrap_summary", "ensemble_curves", "quantile_ci", "density_table", "corr_matrix",
     "cross_ensemble", "cross_sweep", "uniform_starts",

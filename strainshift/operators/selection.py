@@ -31,16 +31,10 @@ def fit_selection_models(models: DataFrame, panel: DataFrame, control: DataFrame
         levels = regression.ancova_intercepts(groups, fits, by, "region")
     else:
         rows = materialise(mixed.selection_groups(groups, by))
-        fits = materialise(mixed.selection_fit(rows, by))
+        fits = materialise((mixed.selection_fit_profiled if interval == "profile" else mixed.selection_fit)(rows, by))
         effects = mixed.group_effects(rows, fits, by, ["x1", "z"], "y")
         levels = effects.select("model_id", "region", (F.col("b_x1") - F.col("rho") * F.col("b_z")).alias("delta_beta"),
                                 F.col("b_z").alias("delta_gamma"), "intercept", "effect")
         fits = fits.join(mixed.mixed_rss(effects, by, ["x1", "z"], "y"), by)
-        if interval == "profile":
-            limits = mixed.profile_limits(rows, fits, by).groupBy(*by).pivot("effect", ["beta", "gamma"]).agg(
-                F.first("lower").alias("lower"), F.first("upper").alias("upper"))
-            names = [f"delta_{e}_{side}" for e in ("beta", "gamma") for side in ("lower", "upper")]
-            fits = fits.drop(*names).join(
-                limits.select(*by, *[F.col(n.removeprefix("delta_")).alias(n) for n in names]), by)
     return {"design": design, "estimates": fits.select(*by, *ESTIMATES),
             "fitted": regression.fitted_rows(design, levels, by, "region")}

@@ -199,7 +199,13 @@ def evaluate_sql(source: str, name: str, x: list[str], reml: bool, by: str = "mo
     pairs = list(combinations_with_replacement(cols, 2))
     sums = [f"sum(v * d_{c}) AS s_{c}" for c in cols] + [f"sum(v * d_{a} * d_{b}) AS s_{a}_{b}" for a, b in pairs]
     sums += [f"any_value(w_{a}_{b}) AS w_{a}_{b}" for a, b in pairs]
-    full = ", ".join(f"w_{a}_{b} + s_{a}_{b} - s_{a} * s_{b} / sv AS a_{a}_{b}" for a, b in pairs)
+    sums += ["sum(v * v) AS tv"] + [f"sum(v * v * d_{c}) AS t_{c}" for c in cols] + [f"sum(v * v * d_{a} * d_{b}) AS t_{a}_{b}" for a, b in pairs]
+    full = ", ".join([f"w_{a}_{b} + s_{a}_{b} - s_{a} * s_{b} / sv AS a_{a}_{b}" for a, b in pairs]
+                     + [f"(t_{a} * s_{b} + s_{a} * t_{b}) / sv - t_{a}_{b} - s_{a} * s_{b} * tv / (sv * sv) AS h_{a}_{b}" for a, b in pairs])
+    dq = "h_y_y" + "".join(f" - 2 * b_{c} * h_{c}_y" for c in x) + "".join(
+        f" + {1 if a == b else 2} * b_{a} * b_{b} * h_{a}_{b}" for a, b in combinations_with_replacement(x, 2))
+    trace = (f"h_{x[0]}_{x[0]} / det" if len(x) == 1 else
+             f"(a_{x[1]}_{x[1]} * h_{x[0]}_{x[0]} - 2 * a_{x[0]}_{x[1]} * h_{x[0]}_{x[1]} + a_{x[0]}_{x[0]} * h_{x[1]}_{x[1]}) / det")
     if len(x) == 1:
         (p,) = x
         solve = f"a_{p}_{p} AS det, a_{p}_y / nullif(a_{p}_{p}, 0) AS b_{p}, a_y_y - a_{p}_y * a_{p}_y / nullif(a_{p}_{p}, 0) AS q, 1 / nullif(a_{p}_{p}, 0) AS i_{p}"
@@ -220,27 +226,65 @@ def evaluate_sql(source: str, name: str, x: list[str], reml: bool, by: str = "mo
         f" FROM (SELECT *, n / (1 + n * lam) AS v FROM {source}) GROUP BY {by}, lam)"
         f", {name}_1 AS (SELECT *, {full} FROM {name}_0), {inner}"
         f", {name} AS (SELECT {by}, lam, n_rows, n_groups, {free} * ln(2 * pi() * q / {free}) + {free} + slog{extra} AS deviance, q / {free} AS sigma2,"
-        f" {level} AS level, {', '.join(f'b_{c}' for c in x)}, {', '.join(f'q / {free} * i_{c} AS var_{c}' for c in inverse)}"
+        f" {free} * ({dq}) / q + sv{f' - tv / sv + {trace}' if reml else ''} AS slope, {level} AS level, {', '.join(f'b_{c}' for c in x)}, {', '.join(f'q / {free} * i_{c} AS var_{c}' for c in inverse)}"
         f" FROM {name}_2 WHERE q > 0)")
 
 
-def lambda_sql(name: str, x: list[str], reml: bool, by: str = "model_id", cg: str = "cg") -> str:
-    """Coarse grid, fine grid and vertex, as the operator searches."""
+POINTS = 32
+
+
+def coarse_sql(name: str, x: list[str], reml: bool, by: str, cg: str) -> str:
+    """The likelihood on the grid, as {name}_ce."""
     grid = ", ".join(f"({v!r}::DOUBLE)" for v in X.COARSE)
-    return (
-        f"{name}_grid(lam) AS (VALUES {grid}), {name}_c AS (SELECT * FROM {cg}, {name}_grid), "
-        + evaluate_sql(f"{name}_c", f"{name}_ce", x, reml, by)
-        + f", {name}_l0 AS (SELECT {by}, arg_min(lam, (deviance, lam)) AS lam0 FROM {name}_ce WHERE deviance IS NOT NULL GROUP BY {by})"
-        f", {name}_f AS (SELECT {cg}.*, step, CASE WHEN lam0 > 0 THEN lam0 * power(10.0::DOUBLE, step * {X.FINE_STEP}) ELSE {X.SMALLEST!r} * (step + 10) / 20 END AS lam"
-        f" FROM {cg} JOIN {name}_l0 USING ({by}), (SELECT CAST(unnest(generate_series(-10, 10)) AS INTEGER) AS step)), "
-        + evaluate_sql(f"{name}_f", f"{name}_fe", x, reml, f"{by}, step")
-        + f", {name}_n AS (SELECT *, lag(deviance) OVER w AS dm, lead(deviance) OVER w AS dp FROM {name}_fe WINDOW w AS (PARTITION BY {by} ORDER BY step))"
-        f", {name}_v AS (SELECT *, dm - 2 * deviance + dp AS bend FROM {name}_n)"
-        f", {name}_u AS (SELECT {by}, lam, deviance, CASE WHEN bend > 0 THEN (dm - dp) / (2 * bend) ELSE 0 END AS shift,"
-        f" deviance - CASE WHEN bend > 0 THEN power(dm - dp, 2) / (8 * bend) ELSE 0 END AS low FROM {name}_v)"
-        f", {name}_r AS (SELECT {by}, arg_min({{'lam': lam, 'shift': shift, 'low': low}}, (deviance, lam)) AS r FROM {name}_u WHERE deviance IS NOT NULL GROUP BY {by})"
-        f", {name} AS (SELECT {by}, CASE WHEN lam0 > 0 THEN r.lam * power(10.0::DOUBLE, r.shift * {X.FINE_STEP})"
-        f" ELSE greatest(0, r.lam + r.shift * {X.SMALLEST!r} / 20) END AS lam, r.low AS low FROM {name}_r JOIN {name}_l0 USING ({by}))")
+    return f"{name}_grid(lam) AS (VALUES {grid}), {name}_c AS (SELECT * FROM {cg}, {name}_grid), " + evaluate_sql(f"{name}_c", f"{name}_ce", x, reml, by)
+
+
+def bracket_sql(name: str, source: str, value: str, by: str) -> str:
+    """{name}: the grid's neighbours of the least value."""
+    lam = "[" + ", ".join(f"{v!r}::DOUBLE" for v in X.COARSE) + "]"
+    return (f"{name}_i AS (SELECT {by}, list_position({lam}, arg_min(lam, ({value}, lam))) AS i FROM {source} WHERE {value} IS NOT NULL GROUP BY ALL)"
+            f", {name} AS MATERIALIZED (SELECT {by}, {lam}[greatest(i - 1, 1)] AS lo, {lam}[least(i + 1, {len(X.COARSE)})] AS hi FROM {name}_i)")
+
+
+def zoom_sql(name: str, r: int, x: list[str], reml: bool, by: str, cg: str, pick: str, on: str = "", extra: str = "") -> str:
+    """Round r: POINTS steps inside the bracket {name}_{r - 1}, and the next bracket beside the one that is picked."""
+    e = f"{name}_e{r}"
+    first, last = ("k", "k + 1") if "slope" in pick else ("greatest(k - 1, 0)", f"least(k + 1, {POINTS})")
+    return (f"{name}_p{r} AS (SELECT {cg}.*{extra}, step, lo + (hi - lo) * step / {POINTS} AS lam FROM {cg} JOIN {name}_{r - 1} b USING (model_id){on},"
+            f" (SELECT CAST(unnest(generate_series(0, {POINTS})) AS INTEGER) AS step)), "
+            + evaluate_sql(f"{name}_p{r}", e, x, reml, f"{by}, step")
+            + f", {name}_k{r} AS ({pick.format(e=e)})"
+            f", {name}_{r} AS MATERIALIZED (SELECT {by}, lo + (hi - lo) * ({first}) / {POINTS} AS lo, lo + (hi - lo) * ({last}) / {POINTS} AS hi, {name}_k{r}.best"
+            f" FROM {name}_k{r} JOIN {name}_{r - 1} USING ({by}))")
+
+
+def lambda_sql(name: str, x: list[str], reml: bool, by: str = "model_id", cg: str = "cg") -> str:
+    """Grid, then finer and finer steps: to the change of sign of the slope (REML), or about the least deviance (ML)."""
+    slope = f"SELECT {by}, coalesce(max(step) FILTER (WHERE NOT slope > 0 AND step < {POINTS}), 0) AS k, NULL::DOUBLE AS best FROM {{e}} GROUP BY ALL"
+    least = f"SELECT {by}, arg_min(step, (deviance, step)) AS k, min(deviance) AS best FROM {{e}} GROUP BY {by}"
+    rounds = 10 if reml else 6
+    out = f"{coarse_sql(name, x, reml, by, cg)}, {bracket_sql(f'{name}_0', f'{name}_ce', 'deviance', by)}, "
+    out += ", ".join(zoom_sql(name, r, x, reml, by, cg, slope if reml else least) for r in range(1, rounds + 1))
+    return out + f", {name} AS (SELECT {by}, CASE WHEN lo > 0 THEN (lo + hi) / 2 ELSE lo END AS lam, best AS low FROM {name}_{rounds})"
+
+
+def limits_sql(name: str = "lim") -> str:
+    """Profile limits: the outermost end, over all lambda, of the effects that keep the deviance below the level."""
+    sides = ", ".join(f"('{e}', '{side}', {sign})" for e in ("beta", "gamma") for side, sign in (("lower", -1), ("upper", 1)))
+    est = "CASE WHEN effect = 'beta' THEN b_x1 - rho * b_z ELSE b_z END"
+    var = "CASE WHEN effect = 'beta' THEN var_x1 - 2 * rho * var_cross + rho * rho * var_z ELSE var_z END"
+    reach = (f"CASE WHEN deviance <= bar THEN -sign * ({est}) - sqrt(({var}) * n_rows * (exp((bar - deviance) / n_rows) - 1))"
+             " ELSE 1e30 * (deviance - bar) END AS reach")
+    pick = (f"SELECT model_id, effect, side, arg_min(step, (reach, step)) AS k, min(reach) AS best FROM (SELECT e.*, {reach} FROM {{e}} e"
+            " JOIN lim_level USING (model_id) JOIN lim_v USING (effect, side)) GROUP BY 1, 2, 3")
+    by, rounds = "model_id, effect, side", 6
+    return (f"{lambda_sql('lim_full', X1Z, False)}, lim_v(effect, side, sign) AS (VALUES {sides})"
+            f", lim_level AS (SELECT model_id, low + {Z_975!r} * {Z_975!r} AS bar, any_value(rho) AS rho FROM lim_full JOIN cg USING (model_id) GROUP BY 1, 2)"
+            f", lim_c AS (SELECT c.*, effect, side, {reach} FROM lim_full_ce c JOIN lim_level USING (model_id), lim_v)"
+            f", {bracket_sql(f'{name}_0', 'lim_c', 'reach', by)}, "
+            + ", ".join(zoom_sql(name, r, X1Z, False, by, "cg", pick, extra=", effect, side") for r in range(1, rounds + 1))
+            + f", {name} AS (SELECT model_id, effect, max(CASE WHEN side = 'lower' THEN best END) AS lower, max(CASE WHEN side = 'upper' THEN -best END) AS upper"
+            f" FROM {name}_{rounds} GROUP BY 1, 2)")
 
 
 def fit_sql(name: str = "fit", by: str = "model_id") -> str:
@@ -361,16 +405,19 @@ SWEEP_DESIGN_SQL = (
     ", design AS (SELECT *, x2 - rho * x1 AS z FROM raw_design JOIN rhos USING (model_id))")
 
 
+SWEEP_COLUMNS = [f"delta_{e}{end}" for end in ("", "_lower", "_upper") for e in ("beta", "gamma")] + ["se_beta", "se_gamma"]
+
+
 @query("many_model_sweep", f"""
-    WITH {SWEEP_DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}
-    SELECT model_id, n_rows, round(delta_beta, 4) AS delta_beta, round(delta_gamma, 4) AS delta_gamma, round(se_beta, 4) AS se_beta, round(se_gamma, 4) AS se_gamma,
-           round(delta_beta - {Z_975!r} * se_beta, 4) AS delta_beta_lower, round(delta_beta + {Z_975!r} * se_beta, 4) AS delta_beta_upper,
-           round(delta_gamma - {Z_975!r} * se_gamma, 4) AS delta_gamma_lower, round(delta_gamma + {Z_975!r} * se_gamma, 4) AS delta_gamma_upper FROM fit""")
+    WITH {SWEEP_DESIGN_SQL}, {groups_sql('design')}, {centred_sql()}, {fit_sql()}, {limits_sql()},
+    ends AS (SELECT model_id, {', '.join(f"max(CASE WHEN effect = '{e}' THEN {side} END) AS delta_{e}_{side}" for e in ('beta', 'gamma') for side in ('lower', 'upper'))}
+    FROM lim GROUP BY 1)
+    SELECT model_id, n_rows, {', '.join(f'round({c}, 4) AS {c}' for c in SWEEP_COLUMNS)} FROM fit JOIN ends USING (model_id)""")
 def many_model_sweep(spark, sf):
-    rows = design_rows(spark, sf, sweep_models(spark, sf))
-    fits = X.selection_fit(centred(G.model_groups(rows)), ["model_id"])
-    return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in (
-        "delta_beta", "delta_gamma", "se_beta", "se_gamma", "delta_beta_lower", "delta_beta_upper", "delta_gamma_lower", "delta_gamma_upper")])
+    """All models of the sweep by REML, with profile limits."""
+    groups = G.model_groups(design_rows(spark, sf, sweep_models(spark, sf)))
+    fits = X.selection_fit_profiled(X.selection_groups(groups, ["model_id"]), ["model_id"])
+    return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in SWEEP_COLUMNS])
 
 
 PROFILE_DESIGN_SQL = (
@@ -378,34 +425,18 @@ PROFILE_DESIGN_SQL = (
     ", params AS (SELECT brand AS model_id, arg_min(k, (value, model_id)) AS k, arg_min(a, (value, model_id)) AS a FROM raw WHERE code = 0 GROUP BY brand)"
     f", {MODEL_DAYS_SQL}, {DESIGN_TAIL_SQL}")
 PROFILE_TAIL_SQL = (
-    f"{groups_sql('design')}, {centred_sql()}, {fit_sql()}, {lambda_sql('full_ml', X1Z, False)}"
-    ", est AS (SELECT model_id, delta_beta, delta_gamma, se_beta, se_gamma FROM fit), two AS ("
-    + " UNION ALL ".join(
-        f"SELECT model_id, region, n, n_rows, d_y, w_y_y, w_x1_z + rho * w_x1_x1 AS w_x1_x2, '{e}' AS effect, delta_{e} AS est, se_{e} AS se, {X.KEPT[x]}"
-        " FROM cg JOIN est USING (model_id)" for e, x in (("beta", "x1"), ("gamma", "x2")))
-    + "), steps AS (SELECT two.*, g, est + g / 4.0::DOUBLE * se AS b FROM two, (SELECT CAST(unnest(generate_series(-24, 24)) AS INTEGER) AS g))"
-    ", pcg AS (SELECT model_id, effect, g, b, region, n, n_rows, d_kept, w_kept_kept, d_y - b * d_other AS d_y, w_kept_y - b * w_x1_x2 AS w_kept_y,"
-    " w_y_y - 2 * b * w_other_y + b * b * w_other_other AS w_y_y FROM steps)"
-    f", {lambda_sql('pl', ['kept'], False, 'model_id, effect, g', 'pcg')}"
-    ", rises AS (SELECT pl.model_id, pl.effect, b, sqrt(greatest(pl.low - f.low, 0)) AS rise FROM pl"
-    " JOIN (SELECT DISTINCT model_id, effect, g, b FROM pcg) USING (model_id, effect, g) JOIN full_ml f ON f.model_id = pl.model_id)"
-    ", least AS (SELECT *, arg_min(b, (rise, b)) OVER (PARTITION BY model_id, effect) AS lowest FROM rises)"
-    ", signed AS (SELECT *, CASE WHEN b < lowest THEN -rise ELSE rise END AS z FROM least)"
-    ", steps_z AS (SELECT *, lag(z) OVER w AS zp, lag(b) OVER w AS bp FROM signed WINDOW w AS (PARTITION BY model_id, effect ORDER BY b))"
-    ", ends AS (SELECT model_id, effect, " + ", ".join(
-        f"min(CASE WHEN zp <= {z} AND z > {z} THEN bp + ({z} - zp) / (z - zp) * (b - bp) END) AS {side}" for side, z in (("lower", -Z_975), ("upper", Z_975)))
-    + " FROM steps_z GROUP BY 1, 2)"
-    " SELECT model_id, effect, round(lower, 2) AS lower, round(upper, 2) AS upper, 'profile' AS ci_method,"
-    " CASE WHEN lower IS NULL OR upper IS NULL THEN 'open beyond 6 standard errors' ELSE 'bracketed' END AS status FROM ends")
+    f"{groups_sql('design')}, {centred_sql()}, {limits_sql()}"
+    " SELECT model_id, effect, round(lower, 3) AS lower, round(upper, 3) AS upper, 'profile' AS ci_method,"
+    " CASE WHEN lower IS NULL OR upper IS NULL THEN 'no fit' ELSE 'bracketed' END AS status FROM lim")
 
 
 PROFILE_SQL = f"WITH {PROFILE_DESIGN_SQL}, {PROFILE_TAIL_SQL}"
 
 
-def profiled(spark, sf, models):
-    rows = centred(materialise(G.model_groups(design_rows(spark, sf, models))))
-    fits = materialise(X.selection_fit(rows, ["model_id"]))
-    return X.profile_limits(rows, fits, ["model_id"]).withColumns({c: F.round(c, 2) for c in ("lower", "upper")})
+def profiled(spark, sf, models, digits=3):
+    groups = G.model_groups(design_rows(spark, sf, models))
+    limits = X.profile_limits(X.selection_groups(groups, ["model_id"]), ["model_id"])
+    return limits.withColumns({c: F.round(c, digits) for c in ("lower", "upper")})
 
 
 @query("random_intercept_profile_ci", PROFILE_SQL)

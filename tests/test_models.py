@@ -1,6 +1,8 @@
 """Regressions against dense matrices."""
 
 import math
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,6 +13,10 @@ from strainshift.operators import mixed as X
 from strainshift.operators import regression as G
 from strainshift.operators.selection import fit_selection_models
 from strainshift.plans import catalog
+from strainshift.plans.q_models import part_models, profiled
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
+from check import connect  # noqa: E402
 
 SIZES = {"a": 4, "b": 6, "c": 7, "d": 5, "e": 8}
 LAMBDAS = (0.0, 0.5, 3.0)
@@ -136,7 +142,7 @@ def test_profile_limits_equal_brute_force(spark):
     fits = X.selection_fit(groups, ["model_id"])
     full = minimise(lambda v: dense_deviance(rows, v, False)[0])[0]
     est = fits.first()
-    limits = {r["effect"]: r for r in X.profile_limits(groups, fits, ["model_id"]).collect()}
+    limits = {r["effect"]: r for r in X.profile_limits(groups, ["model_id"]).collect()}
     for effect, column, other in (("beta", 5, "x2"), ("gamma", 6, "x1")):
         row = limits[effect]
 
@@ -346,3 +352,15 @@ def test_profile_limits_of_every_part_and_sweep_model(spark, sf):
     fits = {r.model_id for r in catalog.QUERIES["many_model_sweep"](spark, sf).select("model_id").collect()}
     got = [(r.model_id, r.effect) for r in catalog.QUERIES["sweep_profile_ci"](spark, sf).collect()]
     assert sorted(got) == sorted((m, e) for m in fits for e in ("beta", "gamma"))
+
+
+def test_limits_equal_sql_before_rounding(spark, sf):
+    """Converged values, so engines agree far below the digits shown."""
+    sql = catalog.ORACLES["part_profile_ci"].replace("round(lower, 3)", "lower").replace("round(upper, 3)", "upper")
+    cur = connect(sf).execute(sql)
+    at = [[d[0] for d in cur.description].index(c) for c in ("model_id", "effect", "lower", "upper")]
+    want = {(r[at[0]], r[at[1]]): (r[at[2]], r[at[3]]) for r in cur.fetchall()}
+    got = {(r.model_id, r.effect): (r.lower, r.upper) for r in profiled(spark, sf, part_models(spark, sf), 12).collect()}
+    assert set(got) == set(want)
+    for key, limits in want.items():
+        assert got[key] == pytest.approx(limits, abs=1e-6)

@@ -12,7 +12,9 @@ import __spark_entry__ as entry_point  # noqa: E402
 from strainshift.plans import catalog  # noqa: E402
 
 WITHOUT_SQL = set()
-PYTHON = {"udf_grouped_map", "udf_row_map"}
+#: Grouped UDFs, and the mixed models, which are minimised in numpy for many models at a time.
+PYTHON = {"udf_grouped_map", "udf_row_map", "random_intercept_fit", "random_intercept_effects", "nested_lrt", "many_model_sweep",
+          "random_intercept_profile_ci", "part_profile_ci", "sweep_profile_ci"}
 
 
 @pytest.fixture(scope="module")

@@ -20,6 +20,10 @@ def direct(text):
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def direct_all(texts):
+    return [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("counts", [[], [0, 5], [1, 1], [0, 3, 0, 9, 1], [2 ** k for k in range(40)], [1] * 1000,
                                     [1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584, 4181, 6765, 10946, 17711, 28657]])
 def test_codes_are_prefix_free_and_short(counts):
@@ -51,6 +55,9 @@ def test_words_equal_whole_texts():
         tok.encode_special_tokens = not special
         want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in WordEncoder(PATH, special).encode([t.encode() for t in texts])] == want
+        want = [e.ids for e in tok.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in WordEncoder(PATH, special).encode([t.encode() for t in texts], spaced=True)] == want
+    want = direct_all(texts)
     one = WordEncoder(PATH)
     assert one.encode([b"end <|endoftext|> start"])[0].tolist() == [437, 220, 50256, 923]
     assert [one.encode([t.encode()])[0].tolist() for t in texts[:500]] == want[:500]

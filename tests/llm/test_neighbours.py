@@ -1,7 +1,10 @@
 import math
 import random
 
-from strainshift.llm.collision_search import nearest_neighbours
+import numpy as np
+import pytest
+
+from strainshift.llm.collision_search import CollisionIndex, nearest_neighbours
 from strainshift.llm.q_neighbours import op3_collision_search
 
 
@@ -49,3 +52,34 @@ def test_recall_on_the_table(spark):
     want, got = brute(rows), op3_collision_search(spark, sf).collect()
     assert len(got) == sum(map(len, want.values()))
     assert sum(r.score <= want[r.query_id][-1][0] + 1e-9 for r in got) >= 0.9 * len(got)
+
+
+def test_repeated_queries_have_neighbours_of_their_own(spark):
+    rows = [(i, [math.cos(i), math.sin(i)]) for i in range(1, 40)] + [(100, [1.0, 0.1]), (100, [0.5, 2.0]), (100, [1.0, 0.1])]
+    got = {}
+    for r in nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect():
+        got.setdefault(r.query_row, []).append((r["rank"], r.vec_id, r.score))
+    assert len(got) == 3 and all(len(x) == 10 and len({i for _, i, _ in x}) == 10 for x in got.values())
+    want = sorted([sorted((math.dist(v, w), i) for i, w in rows if i != 100)[:10] for k, v in rows if k == 100])
+    assert sorted([[(d, i) for _, i, d in sorted(x)] for x in got.values()]) == [[(pytest.approx(d), i) for d, i in x] for x in want]
+
+
+def test_the_largest_doubles_end(spark):
+    rows = [(0, [1e307, -1e307]), (1, [1e307, 1e307]), (2, [1.0, 2.0]), (3, [-1e308, 1e308]), (100, [1e-300, 0.0])]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    by = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    assert by[0] == [2, 100, 1, 3] or by[0] == [100, 2, 1, 3]
+    assert by[100] == [2, 0, 1, 3] or by[100][0] == 2
+
+
+def test_the_verified_share_falls_with_the_table():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(400, 32))
+    share = []
+    for n in (1000, 8000):
+        vectors = centres[rng.integers(0, 400, n)] + rng.normal(0, 0.3, (n, 32))
+        index, ids = CollisionIndex(vectors), np.arange(n)
+        for q in range(20):
+            index.nearest(vectors[q], 10, ids == q, ids)
+        share.append(index.verified / 20 / n)
+    assert share[1] < share[0] < 0.5

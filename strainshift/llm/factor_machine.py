@@ -5,8 +5,8 @@ pairs of features interact at a cost linear in the features a text has. Features
 square-rooted shares of hashed words and statistics of the whole text's structure. Labels,
 language, source and ids are no inputs.
 
-The model is fitted on at most TRAIN_ROWS labelled texts, those of the smallest hashed id,
-whose features (not texts) come to the driver; its size is fixed. Scoring is one pass over
+The model is fitted on at most TRAIN_ROWS labelled texts (rows, not labels), those of the
+smallest hashed id, whose features (not texts) come to the driver; its size is fixed. Scoring is one pass over
 the texts without a shuffle.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from strainshift.llm.wordhash import WordHasher, batches_of
+from strainshift.session import materialise
 
 #: The documented bound of the sample that the model is fitted on.
 TRAIN_ROWS = 6000
@@ -166,14 +167,19 @@ def _as_bytes(column) -> list[bytes]:
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality",
           most: int = TRAIN_ROWS) -> Model:
-    """Fit on the `most` labelled rows of the smallest hashed id that are not held out.
+    """Fit on the `most` labelled texts of the smallest hashed id that are not held out.
 
     Rows with a null id or a label other than 0 and 1 are not used; an id that has several
-    labels counts with each. Without usable rows every score is 0.5.
+    labels counts with each, one that has several texts with each of these, and equal rows
+    count once. All of them together are at most `most`. Without usable rows every score is 0.5.
     """
     known = labels.select(F.col(doc).alias("doc"), F.col(label).cast("int").alias("y")).where("doc IS NOT NULL AND y IN (0, 1)")
     known = known.where(~held_out(F.col("doc"))).orderBy(F.xxhash64("doc"), "doc", "y").limit(most)
-    sample = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(F.broadcast(known), "doc")  # at most `most` rows
+    texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("of"))
+    # labels are at most `most`, but each may have any number of rows: those are told apart by a hash before any text moves
+    keys = texts.join(F.broadcast(known), "doc").select("doc", "y", "of").distinct()
+    keys = materialise(keys.orderBy(F.xxhash64("doc"), "doc", "y", "of").limit(most))
+    sample = texts.join(F.broadcast(keys), ["doc", "of"]).groupBy("doc", "y", "of").agg(F.first("text").alias("text"))
 
     def run(batches):
         hasher = WordHasher()

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from strainshift.llm import factor_machine
 from strainshift.llm.factor_machine import RANK, SLOTS, STATS, WORD_SLOTS, Model, features, fit, held_out, score_documents, train
 from strainshift.llm.wordhash import WordHasher, batches_of
 
@@ -76,3 +77,18 @@ def test_held_out_accuracy(spark):
     labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
     judged = [(rows[d].predicted, q) for d, q in labels if rows[d].held_out]
     assert sum(p == q for p, q in judged) / len(judged) >= 0.95
+
+
+def test_the_bound_holds_for_rows(spark):
+    """One label whose id has very many rows."""
+    docs = spark.range(3000).selectExpr("3L AS doc_id", "concat('text ', id % 500, ' words') AS text")
+    labels = spark.createDataFrame([(3, 1)], "doc_id bigint, quality int")
+    seen = []
+    original = factor_machine.fit
+    factor_machine.fit = lambda entries, *rest, **more: (seen.append(len(entries)), original(entries, *rest, **more))[1]
+    try:
+        train(docs, labels, most=10)
+        train(docs, labels)
+    finally:
+        factor_machine.fit = original
+    assert seen == [10, 500]

@@ -44,6 +44,7 @@ WIDTH, PERCENT = 5, 80
 #: Hashes a task packs at a time, and how often one must be among them to be frequent.
 PACK, FREQUENT = 1 << 20, 64
 #: Shared hashes of one verification task, about; components with more are cut into chunks.
+HOT_SHARES = 1000
 CHUNK = 1 << 21
 OFTEN = np.int32(2 ** 31 - 1)
 U = np.uint64
@@ -418,7 +419,11 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     labels = components(candidate_edges(firsts, boundary, percent))
     links = verified_links(sets, labels, percent, chunk)
     roots = components(links.unionByName(again.select(F.col("row").alias("u"), F.col("first").alias("v"))))
-    rows = sets.select("doc", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left").select(
-        "doc", "n", F.coalesce("root", "rep").alias("class"))
-    least = rows.groupBy("class").agg(F.min("doc").alias("component"))
-    return rows.join(least, "class").select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), "component")
+    rows = materialise(sets.select("doc", "n", "rep").join(roots, F.col("rep") == F.col("node"), "left").select(
+        "doc", "n", F.coalesce("root", "rep").alias("class")))
+    least = rows.groupBy("class").agg(F.min("doc").alias("component"), F.count(F.lit(1)).alias("size"))
+    # classes that hold a share of all rows: no more than HOT_SHARES of them, so they travel to their rows
+    hot = least.where(F.col("size") * HOT_SHARES > rows.agg(F.count(F.lit(1))).scalar()).drop("size")
+    cold = rows.join(F.broadcast(hot.select("class")), "class", "left_anti").join(least.drop("size"), "class")
+    both = rows.join(F.broadcast(hot), "class").unionByName(cold)
+    return both.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), "component")

@@ -36,14 +36,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows go by a hash of id and text, so rows that share an id are judged by their own texts.
 
-    Of equal ids and texts the row with the least other columns stays.
+    Of equal ids and texts the row with the least other columns stays. Rows are told apart by
+    the id and a 128-bit digest of the text besides, so a clash of hashes loses none.
     """
     key = ["doc_id", "text"]
     keyed = docs.withColumn("copy_key", F.xxhash64(*key, *[F.col(c).isNull() for c in key]))
     groups = jaccard_components(keyed, doc="copy_key").join(keyed.select("copy_key", "doc_id").distinct(), "copy_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy_key"))
     stay = groups.groupBy("component").agg(least.alias("first")).select("first.copy_key")
-    rows = keyed.join(stay, "copy_key", "left_semi").groupBy("copy_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    rows = keyed.join(stay, "copy_key", "left_semi").groupBy("copy_key", "doc_id", F.md5("text").alias("copy_text"))
+    rows = rows.agg(F.min(F.struct(*docs.columns)).alias("row"))
     return rows.select("row.*")
 
 

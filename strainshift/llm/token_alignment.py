@@ -90,7 +90,7 @@ class Pair:
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both sides; none for texts that either does not give back."""
         want = [b" " + t for t in texts]
-        a = self.a.encode(want)
+        a = self.a.encode(texts, spaced=True)
         b = [np.array(x, np.int64) for x in self.b.encode([t.decode() for t in texts], num_threads=1)]
         none = np.zeros(0, np.int64)
         for i, (text, whole) in enumerate(zip(texts, want)):

@@ -116,8 +116,8 @@ class WordEncoder:
             self._keep(0, self.levels[1])
             self.levels[1] = tuple(x[:0] for x in self.levels[1])
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """16-bit ids of each text."""
+    def encode(self, texts: list[bytes], spaced: bool = False) -> list[np.ndarray]:
+        """16-bit ids of each text, or of a space and the text."""
         hashes, lengths, counts, places, buffer = self.hasher.placed_words(texts)
         kind = KINDS[buffer]
         gap = kind == GAP
@@ -125,6 +125,8 @@ class WordEncoder:
         ends = np.cumsum([len(t) + 1 for t in texts])
         whole = np.zeros(len(texts), bool)
         whole[np.searchsorted(ends, np.flatnonzero(odd), "right")] = True
+        if spaced:
+            whole |= np.array([not t for t in texts], bool)
         for token in self.added:
             whole |= np.array([token in t for t in texts], bool)
         for i in np.unique(np.searchsorted(ends, np.flatnonzero(kind == ASK), "right")):
@@ -132,7 +134,7 @@ class WordEncoder:
         # What stands before a word: nothing, a space, or a newline.
         before = np.where(buffer[places - 1] == 10, np.uint64(2), np.uint64(1))
         heads = np.cumsum(counts) - counts
-        before[heads[counts > 0]] = 0
+        before[heads[counts > 0]] = int(spaced)
         use = np.repeat(~whole, counts)
         keys, first, back = np.unique(mix(hashes[use] + before[use]), return_index=True, return_inverse=True)
         if len(self.levels[0][0]) > CACHE_WORDS:
@@ -142,15 +144,14 @@ class WordEncoder:
         if new.any():
             first = first[new]
             start, stop = places[use][first], places[use][first] + lengths[use][first]
-            start = start - (before[use][first] > 0)
-            raw = buffer.tobytes()
-            self._learn(keys[new], [raw[a:b].decode() for a, b in zip(start.tolist(), stop.tolist())])
+            raw, head = buffer.tobytes(), ("", " ", "\n")
+            self._learn(keys[new], [head[k] + raw[a:b].decode() for k, a, b in zip(before[use][first].tolist(), start.tolist(), stop.tolist())])
             at[new], size[new] = self._find(keys[new])
         at, size = at[back], size[back]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
         cuts = np.r_[0, total][np.cumsum(np.where(whole, 0, counts))]
-        alone = iter(self.plain([texts[i].decode() for i in np.flatnonzero(whole)]))
+        alone = iter(self.plain([" " * spaced + texts[i].decode() for i in np.flatnonzero(whole)]))
         return [next(alone) if w else part for w, part in zip(whole, np.split(ids, cuts[:-1]))]
 
 

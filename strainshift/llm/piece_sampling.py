@@ -37,7 +37,7 @@ LONGEST = 64
 #: Weights grow by this per byte; all paths of a unit have its bytes, so none is favoured.
 PER_BYTE = 20.0
 #: Lattice edges a task keeps, and bytes of text it works on at a time.
-KEEP_EDGES, BATCH_BYTES = 2_000_000, 1 << 19
+KEEP_EDGES, BATCH_BYTES = 1_000_000, 1 << 19
 SHIFTS = (U(44), U(20))
 UNIT = re.compile(rb"\n[^ \n]*| *[^ \n]+| +")
 SPLIT = np.zeros(256, np.uint8)

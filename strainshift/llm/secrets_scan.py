@@ -2,8 +2,8 @@
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every
 match must hold. Every block of documents (an Arrow batch of one Spark task) is indexed:
-for each trigram that some rule asks for, the numbers of the block's documents that hold
-it. A rule's query intersects and unites these postings, and only the documents that are
+the trigrams of its lower-cased bytes are read once, and each that some rule asks for gets
+the numbers of the documents that hold it. A rule's query intersects and unites these postings, and only the documents that are
 left are searched with the expression itself. Rules without a mandatory trigram (runs of
 hex digits) search every document. A block lives and dies in its task: no shuffle, nothing
 on disk, and a lost executor costs a re-read.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as sre_parser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,21 @@ from pyspark.sql import functions as F
 MAX_STRINGS = 64
 #: Starts a run whose left side is not known.
 CUT = "\0"
+#: Between the documents of a block; no byte of UTF-8.
+BETWEEN = b"\xff\xff"
+#: Bytes of a block that are turned into trigrams at a time.
+STEP = 1 << 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret; `least` characters of `group` make a match count."""
+    """A kind of secret; `least` characters of `group` make a match count, group `span` is the secret."""
     kind: str
     pattern: str
     flags: int = 0
     group: int = 0
     least: int = 0
+    span: int = 0
 
 
 #: The three kinds the contract names.
@@ -48,7 +54,8 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", re.ASCII),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]+", re.ASCII, 0, 40),
     Rule("chat", r"xox[abprs]-[0-9A-Za-z-]+", re.ASCII, 0, 15),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", re.ASCII),
+    # From the first head of a run of its characters: where that leads to no match, no later head of the run does.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+)", re.ASCII, span=1),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -131,19 +138,49 @@ def candidates(query, postings: dict[str, set[int]], everything: set[int]) -> se
     return set.intersection(*sets) if query[0] == "and" else set.union(*sets)
 
 
+def index_block(texts: list[str], asked: set[str]) -> dict[str, set[int]]:
+    """Postings: for each trigram asked for, the places of the texts that hold it, lower-cased.
+
+    The index is over bytes of UTF-8; a trigram of longer characters is held by the texts that
+    hold all trigrams of its bytes, which may be a few more.
+    """
+    parts = {g: [int.from_bytes(w[i:i + 3], "big") for i in range(len(w) - 2)] for g in asked for w in [g.encode("utf-8", "surrogatepass")]}
+    codes = np.array(sorted({c for p in parts.values() for c in p}), np.uint32)
+    if not len(codes):
+        return {g: set() for g in asked}
+    slot = lambda c: (c * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    wanted = np.zeros(1 << 16, bool)
+    wanted[slot(codes)] = True
+    folded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(f) + len(BETWEEN) for f in folded])
+    data = np.frombuffer(BETWEEN.join(folded), np.uint8)
+    del folded
+    pairs = []
+    for a in range(0, len(data) - 2, STEP):
+        w = data[a:a + STEP + 2].astype(np.uint32)
+        grams = w[:-2] << np.uint32(16) | w[1:-1] << np.uint32(8) | w[2:]
+        at = np.flatnonzero(wanted[slot(grams)])
+        place = np.minimum(np.searchsorted(codes, grams[at]), len(codes) - 1)
+        hit = codes[place] == grams[at]
+        pairs.append(np.unique(place[hit] * len(texts) + np.searchsorted(ends, a + at[hit], "right")))
+    pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    cuts = np.searchsorted(pairs, np.arange(len(codes) + 1) * len(texts))
+    lists = {int(c): set((pairs[i:j] % len(texts)).tolist()) for c, i, j in zip(codes, cuts, cuts[1:])}
+    return {g: set.intersection(*(lists[c] for c in p)) for g, p in parts.items()}
+
+
 def find_spans(texts: list[str], rules=RULES) -> list[list[tuple[int, int, int]]]:
     """For each text of a block, (start, place of the rule, end) of every secret, sorted."""
     found = [[] for _ in texts]
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
-    folded = [t.lower() for t in texts]  # ASCII letters, which rules ask for, fold one by one
     everything = set(range(len(texts)))
-    postings = {g: {i for i, t in enumerate(folded) if g in t} for g in set().union(*map(trigrams_of, queries))}
+    postings = index_block(texts, set().union(*map(trigrams_of, queries)))
     for place, (rule, query) in enumerate(zip(rules, queries)):
         search = re.compile(rule.pattern, rule.flags).finditer
         for i in candidates(query, postings, everything):
             for m in search(texts[i]):
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                    found[i].append((m.start(), place, m.end()))
+                    found[i].append((m.start(rule.span), place, m.end(rule.span)))
     for spans in found:
         spans.sort()
     return found

@@ -24,7 +24,9 @@ from strainshift.session import materialise
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
          ("com/fr/", "allow"), ("com/de/", "block"))
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?\s*([^"'\s>]+)"""
+#: Comments and scripts, to the end of the page where nothing ends them, hold no links.
+NO_LINKS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)"
+LINK = r"""(?is)<a\s(?:[^<>]*?[\s"'])?href\s*=\s*["']?\s*([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -48,9 +50,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Distinct (src, dst) pairs of different hosts that a link of a page connects."""
+    """Distinct (src, dst) pairs of different hosts that a link of a page connects.
+
+    Links are href attributes of `a` outside comments and scripts.
+    """
     links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(
-        F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1)))).alias("href"))
+        F.regexp_replace(F.coalesce(F.col(html), F.lit("")), NO_LINKS, " "), F.lit(LINK), F.lit(1)))).alias("href"))
     full = F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href"))
     links = links.select("src", host_of(full).alias("dst"))
     return links.where("src <> '' AND dst <> '' AND src <> dst").distinct()

@@ -84,3 +84,33 @@ def test_verdicts_do_not_depend_on_other_pages(spark):
         spark.range(10000000, numPartitions=2).selectExpr("'http://alone.org/' AS url", "CAST(NULL AS string) AS html"))
     got = judge_urls(df.selectExpr("1 AS page_id", "url", "html")).where("host <> 'alone.org'").select("host", "verdict").distinct().collect()
     assert {tuple(r) for r in got} == {(h, "block") for h in ("far.net", "near.net", "linker.net", "bad.com")}
+
+
+def test_links_are_href_attributes_outside_comments_and_scripts(spark):
+    pages = ["<a data-href='http://no.org/'>x</a><a id=b href=http://a.org/>", "<!-- <a href='http://no.org/'> --><a title=''href='http://b.org/x'>",
+             "<script>'<a href=\"http://no.org/\">'</script ><A\nHREF = 'http://c.org'>", "<a x <b href='http://no.org/'>", "<a href='http://d.org'><!-- <a href=http://no.org/>",
+             "<a href='//e.org/'><script><a href='http://no.org/'>", "<a>href=http://no.org/</a>", "<!--" * 20000, "<a " * 50000]
+    df = spark.createDataFrame([("http://src.net/", p) for p in pages], "url string, html string")
+    assert {r.dst for r in host_edges(df).collect()} == {"a.org", "b.org", "c.org", "d.org", "e.org"}
+
+
+def test_registered_query_on_hosts_with_edges(spark, tmp_path):
+    from strainshift.llm.q_url_trust import op2_url_trust
+    pages = [(1, "http://good.com/fr/1", "<a href='http://friend.net/'>f</a>"), (2, "http://friend.net/x", "<a href='http://far.net/'>f</a>"), (3, "http://far.net/", None),
+             (4, "http://spam.net/", "<a href='http://bad.com/de/1'>b</a><a href='http://friend.net/'>f</a>"), (5, "http://farm.net/", "<a href='http://spam.net/'>s</a>"),
+             (6, "http://bad.com/de/1", None), (7, "http://bad.com/x", None), (8, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = {r.page_id: r for r in op2_url_trust(spark, str(tmp_path)).collect()}
+    edges = [("good.com", "friend.net"), ("friend.net", "far.net"), ("spam.net", "bad.com"), ("spam.net", "friend.net"), ("farm.net", "spam.net")]
+    hosts = {h for e in edges for h in e}
+    good, bad = {"good.com": 1.0}, {"bad.com": 1.0}
+    t, d = dict.fromkeys(hosts, 0.0), dict.fromkeys(hosts, 0.0)
+    for _ in range(50):
+        t, d = ({h: .15 * good.get(h, 0) + .85 * sum(t[s] / sum(x == s for x, _ in edges) for s, e in edges if e == h) for h in hosts},
+                {h: .15 * bad.get(h, 0) + .85 * sum(d[e] / sum(y == e for _, y in edges) for s, e in edges if s == h) for h in hosts})
+    for i, u, _ in pages:
+        host, path = split(u)
+        fit = rule(host, path)
+        assert (rows[i].host, rows[i].path, rows[i]["rule"]) == (host, path, fit and fit[0])
+        assert rows[i].verdict == (fit[1] if fit else "block" if d.get(host, 0) > t.get(host, 0) else "allow")
+    assert {i for i, r in rows.items() if r.verdict == "block"} == {4, 5, 6, 7}

@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -482,10 +483,10 @@ def sample_segmentations(docs: DataFrame, model: str, doc: str = "doc_id", text:
         sampler = Sampler(model, k, seed)
         for batch in batches:
             names, noise = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [x or b"" for x in batch.column(2).cast(pa.binary()).to_pylist()]
-            for a, b in batches_of([len(t) for t in texts], BATCH_BYTES):
-                rows = []
-                for name, t, got in zip(names[a:b], texts[a:b], sampler.sample(noise[a:b], texts[a:b])):
+            column = batch.column(2).cast(pa.binary())
+            for a, b in batches_of(pc.fill_null(pc.binary_length(column), 0).to_pylist(), BATCH_BYTES):
+                rows, texts = [], [x or b"" for x in column.slice(a, b - a).to_pylist()]
+                for name, t, got in zip(names[a:b], texts, sampler.sample(noise[a:b], texts)):
                     for s, (ids, logp, value, inclusion) in enumerate(got):
                         same = sampler.v.decode(ids) == (b" " + t if t else b"")
                         row = (name, s + 1, len(ids), float(logp), float(value), inclusion, same, zlib.crc32(ids.astype("<u4").tobytes()))

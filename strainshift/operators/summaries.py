@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -11,44 +12,61 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainshift.operators.expand import expand_range
+from strainshift.operators.windows import repeat_index
 from strainshift.session import materialise
 
 # Rank error of the bracket sketch is at most one part in this many.
 SKETCH_ACCURACY = 10_000
+# Brackets reach this many times the sketch's error to both sides, and a missed one so many times further.
+REACH, WIDEN = 4, 8
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], small_groups: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], accuracy: int = SKETCH_ACCURACY,
+                    reach: float = REACH) -> DataFrame:
     """Linearly interpolated quantiles (type 7) as an array column ``q``; NULL and NaN do not count.
 
+    Between an infinite and a finite value a quantile is NaN.
+
     A sketch of fixed size brackets both order statistics of each quantile. A second pass
     counts what lies below each bracket and finds the values next to it; only the few
     values inside are shuffled and ranked, so no task holds a group, whatever its size.
-    A caller who knows that groups are small (replicates, say) may ask for the built-in
-    percentile, which keeps a group's distinct values in one task.
+    The counts tell whether a bracket holds its ranks. Groups where one does not are asked
+    again with wider brackets, at last from the least to the greatest value, which holds
+    every rank; usually there are none, and one look at the written result shows it.
     """
     if not by:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, small_groups).drop("_all")
-    clean = df.select(*by, F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if small_groups:
-        return clean.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("q"))
-    return _bracket_quantiles(clean, by, probs)
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy, reach).drop("_all")
+    clean = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows, slack, found = clean, reach / accuracy, []
+    while True:
+        asked = materialise(_bracket_quantiles(rows, by, probs, slack, accuracy))
+        found.append(asked.filter("_hit").select(*by, "q"))
+        missed = asked.filter("NOT _hit").select(*by)
+        if missed.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows = clean.join(missed.withColumnsRenamed({c: f"_by_{c}" for c in by}), _same_group(by), "left_semi")
+        slack = WIDEN * max(slack, 1 / accuracy)
+
 
+def _same_group(by: list[str]) -> Column:
+    """A group and its copy under ``_by_`` names; NULL is a group."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
 
-def _bracket_quantiles(clean: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles of groups of any size.
 
-    The sketch is off by one part in SKETCH_ACCURACY, brackets reach four; ranks of
-    quantiles by interpolation differ by one at most from those of the sketch, which the
-    value next to the bracket covers.
+def _bracket_quantiles(clean: DataFrame, by: list[str], probs: list[float], slack: float, accuracy: int) -> DataFrame:
+    """``q`` per group from brackets that reach ``slack`` in rank to both sides, and whether they held every rank.
+
+    The value next to a bracket counts as held where the counts prove that it is the one.
     """
-    v, slack, size = F.col("_v"), 4 / SKETCH_ACCURACY, len(probs)
-    marks = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)]
-    frame = clean.groupBy(*by).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("_m"), F.count(F.lit(1)).alias("_total"))
-    lo, hi = ([F.element_at("_m", 2 * i + k) for i in range(size)] for k in (1, 2))
-
-    other = [f"_by_{c}" for c in by]  # a NULL group is a group
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(by, other)])
+    v, size = F.col("_v"), len(probs)
+    marks = [p + s for p in probs for s in (-slack, slack)]
+    sketched = F.percentile_approx("_v", F.array(*[F.lit(min(max(m, 0.0), 1.0)) for m in marks]), accuracy)
+    frame = clean.groupBy(*by).agg(sketched.alias("_m"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count(F.lit(1)).alias("_total"))
+    ends = [F.col("_min") if m <= 0 else F.col("_max") if m >= 1 else F.element_at("_m", i + 1) for i, m in enumerate(marks)]
+    lo, hi = ends[::2], ends[1::2]
+
+    other = [f"_by_{c}" for c in by]
+    same = _same_group(by)
     rows = clean.join(frame.withColumnsRenamed(dict(zip(by, other))), same).drop(*other)
     ends = rows.groupBy(*by).agg(F.first("_total").alias("_total"), *[x for i in range(size) for x in (
         F.count_if(v < lo[i]).alias(f"_below{i}"), F.max(F.when(v < lo[i], v)).alias(f"_prev{i}"), F.min(F.when(v > hi[i], v)).alias(f"_next{i}"))])
@@ -66,11 +84,11 @@ def _bracket_quantiles(clean: DataFrame, by: list[str], probs: list[float]) -> D
         F.min(F.when(reached > F.floor("_h"), v)).alias("_v0"), F.min(F.when(reached > F.floor("_h") + 1, v)).alias("_v1"), F.min(v).alias("_first"))
     before = F.col("_below") > F.floor("_h")  # the lower statistic is the value just below the bracket
     low = F.when(before & (F.col("_below") == F.floor("_h") + 1), F.col("_prev")).when(~before, F.col("_v0"))
-    low = F.coalesce(low, F.raise_error(F.lit("the sketch broke its bound")).cast("double"))
     high = F.when(before, F.col("_first")).otherwise(F.coalesce("_v1", "_next", "_v0"))
-    q = low + (F.col("_h") - F.floor("_h")) * (high - low)
-    return (pair.withColumn("_q", q).groupBy(*by)
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q")))
+    part = F.col("_h") - F.floor("_h")
+    q = low + F.when(part > 0, part * (high - low)).otherwise(F.lit(0.0))
+    return (pair.withColumns({"_low": low, "_q": q}).groupBy(*by)
+            .agg((F.count("_low") == size).alias("_hit"), F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q")))
 
 
 def moments(value: str) -> list[Column]:
@@ -78,14 +96,13 @@ def moments(value: str) -> list[Column]:
             F.max(value).alias("max"), F.stddev_samp(value).alias("sd")]
 
 
-def five_number_summary(df: DataFrame, by: list[str], value: str, small_groups: bool = False) -> DataFrame:
+def five_number_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Minimum, quartiles, mean, maximum and standard deviation per group."""
-    return summary_with_quantiles(df, by, value, {"q1": .25, "median": .5, "q3": .75}, small_groups)
+    return summary_with_quantiles(df, by, value, {"q1": .25, "median": .5, "q3": .75})
 
 
-def summary_with_quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float],
-                           small_groups: bool = False) -> DataFrame:
-    q = exact_quantiles(df, by, value, list(named.values()), small_groups)
+def summary_with_quantiles(df: DataFrame, by: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    q = exact_quantiles(df, by, value, list(named.values()))
     base = df.groupBy(*by).agg(*moments(value))
     out = base.join(q, by, "left") if by else base.select("*", q.scalar().alias("q"))
     return out.select("*", *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(named)]).drop("q")
@@ -108,41 +125,71 @@ def corr_matrix(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05, points: int = 512,
-                  small_groups: bool = False) -> DataFrame:
-    """Gaussian kernel density on a grid between the tail/2 quantiles.
+# A bin is at most the bandwidth over this; the kernel is cut where it is below 1e-15 of its peak.
+BINS_PER_BANDWIDTH, KERNEL_REACH = 64, 8.5
+
 
-    Only values between the quantiles count. Equal values are counted before they
-    meet the grid, and the grid is expanded in place, so the largest shuffle is the
-    one that counts values.
+def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05, points: int = 512) -> DataFrame:
+    """Gaussian kernel density on a grid between the tail/2 quantiles, by linear binning.
+
+    Only values between the quantiles count. A value gives its weight to the two ends of its
+    bin, in proportion; bins divide the steps of the grid evenly and are at most 1/64 of the
+    bandwidth, so each term is off by no more than a linear interpolation of the kernel:
+    density by at most (bin / bw)^2 / 8 of the kernel's peak, 1 / (bw sqrt(2 pi)). Bins are
+    summed before they are shuffled, and each meets the grid points that the kernel reaches
+    from it, so the work after the scan is bins times kernel width, whatever the number of values.
+    Groups of zero bandwidth have no rows.
     """
     if not 0 <= tail < 1:
         raise ValueError(f"the share of both tails is at least 0 and below 1, not {tail}")
     if not by:
-        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, tail, points, small_groups).drop("_all")
-    cut = materialise(exact_quantiles(df, by, value, [tail / 2, 1 - tail / 2], small_groups))
+        return density_table(df.withColumn("_all", F.lit(1)), ["_all"], value, tail, points).drop("_all")
+    cut = exact_quantiles(df, by, value, [tail / 2, 1 - tail / 2])
     x = F.col(value)
     kept = materialise(df.join(cut, by).filter((x >= F.element_at("q", 1)) & (x <= F.element_at("q", 2)))
                        .select(*by, x.alias("_x")))
-    quart = exact_quantiles(kept, by, "_x", [.25, .75], small_groups)
-    counted = kept.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    quart = exact_quantiles(kept, by, "_x", [.25, .75])
     size = kept.groupBy(*by).agg(F.count("_x").alias("n"), F.stddev_samp("_x").alias("_sd"))
     iqr = (F.element_at("q", 2) - F.element_at("q", 1)) / 1.34
-    spread = (size.join(quart, by)
-              .withColumn("bw", 0.9 * F.least("_sd", iqr) * F.pow(F.col("n"), F.lit(-0.2))))
-    frame = (spread.drop("q", "_sd").join(cut, by)
-             .select(*by, "n", "bw", F.element_at("q", 1).alias("_lo"), F.element_at("q", 2).alias("_hi"))
-             .filter("bw > 0"))
-    at = F.col("_lo") + F.col("g") * (F.col("_hi") - F.col("_lo")) / (points - 1)
-    z = (F.col("_x") - F.col("x")) / F.col("bw")
-    grid = expand_range(counted.join(frame, by), "g", 0, points - 1).withColumn("x", at)
-    weight = F.sum(F.col("_c") * F.exp(-z * z / 2))
-    return (grid.groupBy(*by, "g", "x", "n", "bw").agg(weight.alias("_w"))
-            .select(*by, "g", "x", "bw",
-                    (F.col("_w") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density")))
-
-
-def ensemble_curves(df: DataFrame, by: list[str], value: str, small_groups: bool = False) -> DataFrame:
+    bandwidth = 0.9 * F.least("_sd", iqr) * F.pow(F.col("n"), F.lit(-0.2))
+    spread = size.join(quart, by).withColumn("bw", bandwidth).drop("q", "_sd")
+    lo, hi = F.element_at("q", 1), F.element_at("q", 2)
+    frame = spread.join(cut, by).select(*by, "n", "bw", lo.alias("_lo"), ((hi - lo) / (points - 1)).alias("_step")).filter("bw > 0")
+    frame = materialise(frame.withColumn("_per", F.ceil(F.col("_step") * BINS_PER_BANDWIDTH / F.col("bw"))).withColumn("_bin", F.col("_step") / F.col("_per")))
+
+    place = (F.col("_x") - F.col("_lo")) / F.col("_bin")
+    dealt = kept.join(frame, by).select(*by, F.floor(place).alias("_j"), (place - F.floor(place)).alias("_part"))
+    dealt = dealt.groupBy(*by, "_j").agg(F.sum(1 - F.col("_part")).alias("_left"), F.sum("_part").alias("_right"))
+    halves = F.array(F.struct(F.col("_j"), F.col("_left").alias("_c")), F.struct((F.col("_j") + 1).alias("_j"), F.col("_right").alias("_c")))
+    bins = dealt.select(*by, F.inline(halves)).groupBy(*by, "_j").agg(F.sum("_c").alias("_c")).join(frame, by)
+    reach = F.floor(KERNEL_REACH * F.col("bw") / F.col("_bin"))
+    first = F.greatest(F.ceil((F.col("_j") - reach) / F.col("_per")), F.lit(0))
+    last = F.least(F.floor((F.col("_j") + reach) / F.col("_per")), F.lit(points - 1))
+    near = bins.filter(first <= last).withColumn("g", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    z = (F.col("_j") - F.col("g") * F.col("_per")) * F.col("_bin") / F.col("bw")
+    near = near.select(*by, "g", (F.col("_c") * F.exp(-z * z / 2)).alias("_w"))
+    none = expand_range(frame, "g", 0, points - 1).select(*by, "g", F.lit(0.0).alias("_w"))  # points that no value reaches
+    sums = near.unionByName(none).groupBy(*by, "g").agg(F.sum("_w").alias("_w")).join(frame, by)
+    return sums.select(*by, "g", (F.col("_lo") + F.col("g") * F.col("_step")).alias("x"), "bw",
+                       (F.col("_w") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def normal_scores(df: DataFrame, by: list[str], value: str, order: list[str], score: Callable[[Column], Column]) -> DataFrame:
+    """Squared correlation of a value with the normal scores of its ranks in the group: by, n, w.
+
+    Rows are ranked by ``value`` and then ``order``; ranks come from ranges of that key, so a
+    group of any size spans as many tasks as its rows need. ``score`` gives the normal
+    quantile of a share. w is NULL where a variance is zero; NULL values have no rank.
+    """
+    ranked = repeat_index(df.filter(F.col(value).isNotNull()).select(*by, value, *order), by, [value, *order], "_rank")
+    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    share = (F.col("_rank") - 0.375) / (F.col("_size") + 0.25)
+    scored = ranked.join(sizes, _same_group(by)).withColumn("_z", score(share))
+    w = F.pow(F.covar_pop(value, "_z"), F.lit(2.0)) / F.nullif(F.var_pop(value) * F.var_pop("_z"), F.lit(0.0))
+    return scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
+
+
+def ensemble_curves(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and 95 % envelope by day and series across replicates."""
-    q = exact_quantiles(df, by, value, [.025, .5, .975], small_groups)
+    q = exact_quantiles(df, by, value, [.025, .5, .975])
     return q.select(*by, *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(("lower", "median", "upper"))])

@@ -143,7 +143,8 @@ def long_to_wide(spark, sf):
     SELECT series, day, round(quantile_cont(value, 0.025), 5) AS lower, round(quantile_cont(value, 0.5), 5) AS median,
            round(quantile_cont(value, 0.975), 5) AS upper FROM reps GROUP BY 1, 2""")
 def ensemble_curves(spark, sf):
-    out = envelope(replicates(spark, sf), ["series", "day"], "value", small_groups=True)
+    drawn = materialise(replicates(spark, sf).select("series", "day", "value"))  # drawn once, read by every pass
+    out = envelope(drawn, ["series", "day"], "value")
     return out.withColumns({c: F.round(c, 5) for c in ("lower", "median", "upper")})
 
 

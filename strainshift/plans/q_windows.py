@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strainshift.operators import integral as I
 from strainshift.operators import regression as G
+from strainshift.operators import summaries as M
 from strainshift.operators import windows as O
 from strainshift.operators.align import lookup
 from strainshift.plans import views as V
@@ -148,6 +149,14 @@ def _normal_score_sql(p: str) -> str:
     return f"(CASE WHEN {p} < 0.5 THEN -1 ELSE 1 END * ({t} - {num} / {den}))"
 
 
+def normal_score(p):
+    """Normal quantile of a share, from the rational approximation."""
+    t = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    num = sum((c * F.pow(t, F.lit(float(i))) for i, c in enumerate(NORMAL_NUM)), F.lit(0.0))
+    den = sum((c * F.pow(t, F.lit(float(i))) for i, c in enumerate(NORMAL_DEN)), F.lit(0.0))
+    return F.when(p < 0.5, -1.0).otherwise(1.0) * (t - num / den)
+
+
 @query("normal_scores", f"""
     WITH {RESIDUAL_SQL},
     r AS (SELECT region, e, (row_number() OVER (PARTITION BY region ORDER BY e, period) - 0.375)::DOUBLE
@@ -156,17 +165,8 @@ def _normal_score_sql(p: str) -> str:
     SELECT region, COUNT(*) AS n, round(power(covar_pop(e, z), 2) / nullif(var_pop(e) * var_pop(z), 0), 6) AS w FROM z GROUP BY 1""")
 def normal_scores(spark, sf):
     """Squared correlation of ordered residuals with normal scores, per region."""
-    w = W.partitionBy("region")
-    p = ((F.row_number().over(w.orderBy("e", "period")) - 0.375) / (F.count(F.lit(1)).over(w) + 0.25))
-    rows = interaction_residuals(spark, sf).withColumn("p", p)
-    t = F.sqrt(-2 * F.ln(F.least(F.col("p"), 1 - F.col("p"))))
-    num = sum((c * F.pow(t, F.lit(float(i))) for i, c in enumerate(NORMAL_NUM)), F.lit(0.0))
-    den = sum((c * F.pow(t, F.lit(float(i))) for i, c in enumerate(NORMAL_DEN)), F.lit(0.0))
-    z = F.when(F.col("p") < 0.5, -1.0).otherwise(1.0) * (t - num / den)
-    s = rows.withColumn("z", z).groupBy("region").agg(
-        F.count(F.lit(1)).alias("n"), F.covar_pop("e", "z").alias("c"),
-        (F.var_pop("e") * F.var_pop("z")).alias("v"))
-    return s.select("region", "n", F.round(F.col("c") * F.col("c") / F.nullif("v", F.lit(0.0)), 6).alias("w"))
+    out = M.normal_scores(interaction_residuals(spark, sf), ["region"], "e", ["period"], normal_score)
+    return out.withColumn("w", F.round("w", 6))
 
 
 @query("order_results", f"""

@@ -1,4 +1,5 @@
 import datetime as dt
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from strainshift.operators import score as K
 from strainshift.operators import summaries as M
 from strainshift.operators import windows as O
 from strainshift.operators.resample import wild_replicates
+from strainshift.plans.q_windows import normal_score
 from strainshift.sources import sinks, tables
 from strainshift.session import scratch_path
 
@@ -150,32 +152,83 @@ def test_quantiles_of_small_and_null_groups(spark):
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(None, 1.0), (None, 4.0)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(5)
     probs = [0.0, .025, .25, .3, .5, .77, .975, 1.0]
-    for small in (False, True):
-        got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs, small).collect()}
-        assert got[None] == pytest.approx(list(np.quantile([1.0, 4.0], probs)))
-        for g, xs in groups.items():
-            assert got[g] == pytest.approx(list(np.quantile(xs, probs)), abs=1e-12), (g, small)
+    got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs).collect()}
+    assert got[None] == pytest.approx(list(np.quantile([1.0, 4.0], probs)))
+    for g, xs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(xs, probs)), abs=1e-12), g
+    assert M.exact_quantiles(df.limit(0), ["g"], "x", probs).count() == 0
 
 
-def test_density_against_brute_force(spark):
-    rng = np.random.default_rng(9)
-    xs = np.round(rng.gamma(3, 2, 400), 2)
-    df = spark.createDataFrame([("a", float(x)) for x in xs], "name string, v double")
-    df = df.withColumnRenamed("v", "x")
-    out = M.density_table(df, ["name"], "x", points=64).orderBy("g").collect()
+def test_quantiles_refine_missed_brackets(spark, monkeypatch):
+    """Brackets of no width from a sketch of five marks miss; ties pile up right beside the ranks."""
+    rng = np.random.default_rng(3)
+    step = np.repeat(np.arange(7.0), [1, 4000, 1, 2, 4000, 3, 1])  # nearly all rows on two values
+    groups = {"normal": rng.normal(size=9000), "step": step, "heavy": rng.standard_cauchy(7001), "ends": np.array([-np.inf, 1.0, 2.0, 2.0, np.inf]),
+              None: rng.exponential(size=5000)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in rng.permutation(xs)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    probs, slacks = [.025, .25, .5, .75, .975], []
+    plain = M._bracket_quantiles
+    monkeypatch.setattr(M, "_bracket_quantiles", lambda *args: (slacks.append(args[3]), plain(*args))[1])
+    got = {r["g"]: r["q"] for r in M.exact_quantiles(df, ["g"], "x", probs, accuracy=5, reach=0.0).collect()}
+    assert len(slacks) > 1 and slacks[0] == 0.0
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        if g != "ends":
+            assert got[g] == pytest.approx(list(np.quantile(xs, probs)), rel=1e-12, abs=1e-12), g
+    assert got["ends"][1:4] == [1.0, 2.0, 2.0]
+
+
+def density_case(xs, points):
+    """Grid, bandwidth and the exact sums over all values."""
     lo, hi = np.quantile(xs, [.025, .975])
     kept = xs[(xs >= lo) & (xs <= hi)]
     q1, q3 = np.quantile(kept, [.25, .75])
     bw = 0.9 * min(kept.std(ddof=1), (q3 - q1) / 1.34) * len(kept) ** -0.2
-    grid = np.linspace(lo, hi, 64)
-    want = np.exp(-((kept[None, :] - grid[:, None]) / bw) ** 2 / 2).sum(1) / (len(kept) * bw * np.sqrt(2 * np.pi))
-    assert [r["density"] for r in out] == pytest.approx(list(want), rel=1e-9)
-    whole = M.density_table(df, [], "x", points=64).orderBy("g").collect()
-    assert [r["density"] for r in whole] == pytest.approx(list(want), rel=1e-9)
+    grid = np.linspace(lo, hi, points)
+    peak = 1 / (bw * np.sqrt(2 * np.pi))
+    return grid, bw, peak, np.exp(-((kept[None, :] - grid[:, None]) / bw) ** 2 / 2).mean(1) * peak
+
+
+def test_density_is_within_its_bound_of_the_exact_sum(spark):
+    rng = np.random.default_rng(9)
+    cases = {"gamma": np.round(rng.gamma(3, 2, 400), 2), "two": np.concatenate([rng.normal(0, .01, 3000), rng.normal(50, .01, 2000)]),
+             "few": np.array([1.0, 2.0, 4.0, 8.0, 16.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in cases.items() for x in xs] + [("flat", 3.0)] * 5 + [("gamma", None)], "name string, x double")
+    for points in (64, 512):
+        out = M.density_table(df, ["name"], "x", points=points).orderBy("name", "g").collect()
+        assert {r["name"] for r in out} == set(cases)  # equal values have no bandwidth
+        for name, xs in cases.items():
+            rows = [r for r in out if r["name"] == name]
+            grid, bw, peak, want = density_case(xs, points)
+            assert [r["g"] for r in rows] == list(range(points))
+            assert [r["x"] for r in rows] == pytest.approx(list(grid), rel=1e-12)
+            assert rows[0]["bw"] == pytest.approx(bw, rel=1e-12)
+            bound = (1 / 64) ** 2 / 8 * peak
+            assert np.abs(np.array([r["density"] for r in rows]) - want).max() <= bound * (1 + 1e-9), name
+    whole = M.density_table(df.filter("name = 'gamma'"), [], "x", points=64).count()
+    assert whole == 64
     with pytest.raises(ValueError):
         M.density_table(df, [], "x", tail=1.0)
 
 
+def test_normal_scores_of_a_hot_group(spark):
+    """One group holds nearly all rows; its ranks come from ranges in several tasks, and no window spans it."""
+    rng = np.random.default_rng(21)
+    groups = {"hot": np.round(rng.normal(size=40000), 2), "small": rng.exponential(size=50), None: rng.normal(size=9), "flat": np.full(4, 2.0)}
+    rows = [(g, float(x), i) for g, xs in groups.items() for i, x in enumerate(xs)] + [("small", None, 99)]
+    df = spark.createDataFrame(rows, "g string, e double, i int").repartition(6)
+    got = {r["g"]: (r["n"], r["w"]) for r in M.normal_scores(df, ["g"], "e", ["i"], normal_score).collect()}
+    quantile = NormalDist().inv_cdf
+    for g, xs in groups.items():
+        z = np.array([quantile((k + .625) / (len(xs) + .25)) for k in range(len(xs))])
+        assert got[g][0] == len(xs)
+        if g == "flat":
+            assert got[g][1] is None
+        else:
+            assert got[g][1] == pytest.approx(np.corrcoef(np.sort(xs), z)[0, 1] ** 2, abs=2e-4), g
+
+
 def test_expand_beyond_one_array_is_whole(spark):
     df = spark.range(3).withColumnRenamed("id", "m")
     dim = spark.range(1000).selectExpr("id AS d", "id * 2 AS w")

@@ -11,6 +11,8 @@ from strainshift.session import materialise
 
 # A dimension up to this many rows travels as one array inside the plan.
 ARRAY_ROWS = 200_000
+# Rows of a block that meets other rows as one array.
+BLOCK_ROWS = 4096
 
 
 def as_array(dim: DataFrame, limit: int = ARRAY_ROWS) -> Column:
@@ -51,6 +53,29 @@ def expand_by(df: DataFrame, dim: DataFrame, rows: int | None = None, limit: int
                   [expand_calendar(df, dealt.filter(F.col("_part") == i).drop("_part")) for i in range(parts)])
 
 
+def row_blocks(dim: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``dim`` in arrays ``_rows`` of at most ``rows`` rows with a key ``_block``, written once.
+
+    Blocks are dealt within a task, so none is gathered from elsewhere and the table is not counted.
+    """
+    dealt = dim.hint("rebalance").withColumn("_block", F.floor(F.monotonically_increasing_id() / rows))
+    return materialise(dealt.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct(*dim.columns))).alias("_rows")))
+
+
+def expand_blocks(df: DataFrame, dim: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Expand each row of ``df`` by each row of ``dim``, of any size, in one scan of ``df`` (block nested).
+
+    A row is copied once per block, which is all that is joined; the plan holds no more of
+    ``dim`` than the keys of its blocks. Spark broadcasts the blocks as long as they are
+    below its own threshold (the partitioning of ``df`` then stays), and else joins them by
+    shuffle, where a block is one row of its side and AQE splits the other.
+    """
+    blocks = row_blocks(dim, rows)
+    keys = blocks.agg(F.collect_list("_block")).scalar()
+    paired = df.withColumn("_block", F.explode(keys)).join(blocks, "_block")
+    return paired.select(*df.columns, F.inline("_rows"))
+
+
 def expand_values(df: DataFrame, name: str, values) -> DataFrame:
     """Expand by literal values."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strainshift.functions.hashing import hash_uniform
-from strainshift.operators.expand import expand_by
+from strainshift.operators.expand import expand_blocks
 from strainshift.operators.score import SMALLEST_DIVISOR, divisor_floor, weighted_square
 from strainshift.operators.windows import top_k
 from strainshift.session import materialise, task_count
@@ -51,7 +51,7 @@ def raced(starts: DataFrame, blocks: list[DataFrame], by: list[str], expected: C
         if set(by) <= set(block.columns):
             points = alive.join(block.withColumn("_there", F.lit(1)), by, "left")  # a data set may have no point in a block
         else:
-            points = expand_by(alive, block).withColumn("_there", F.lit(1))
+            points = expand_blocks(alive, block).withColumn("_there", F.lit(1))
         points = points.withColumn("_loss", loss(F.col("value"), expected(), F.col("_floor")))
         whole = F.count("_loss") == F.count("_there")
         alive = (points.groupBy(*columns, "score").agg(F.when(whole, F.coalesce(F.sum("_loss"), F.lit(0.0))).alias("_more"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strainshift.functions.hashing import hash_uniform
-from strainshift.operators.expand import expand_by
+from strainshift.operators.expand import expand_blocks
 from strainshift.operators.windows import top_k
 from strainshift.session import materialise, task_count
 
@@ -64,9 +64,9 @@ def score_candidates(candidates: DataFrame, obs: DataFrame, expected: Callable[[
                      loss: Loss = weighted_square, by: list[str] = ()) -> DataFrame:
     """Score candidates whose expected values are an expression of their parameters.
 
-    Candidates are spread once by their key, which is unique (within ``by``); the
-    observation points are expanded in place, so one narrow row per candidate is all that
-    is shuffled. Observations that carry the ``by`` columns are joined on them instead, and
+    Candidates are spread once by their key, which is unique (within ``by``), and meet the
+    observation points block by block; few points are one block that is expanded in place,
+    so one narrow row per candidate is all that is shuffled. Observations that carry the ``by`` columns are joined on them instead, and
     the divisor's floor is that of their own data set.
     """
     by = list(by)
@@ -75,7 +75,7 @@ def score_candidates(candidates: DataFrame, obs: DataFrame, expected: Callable[[
         points, floor = candidates.join(obs.join(floors, by), by), F.col("_floor")
     else:
         floor = divisor_floor(obs)
-        points = expand_by(candidates.repartition(task_count(candidates.sparkSession), *by, key), obs)
+        points = expand_blocks(candidates.repartition(task_count(candidates.sparkSession), *by, key), obs)
     losses = points.withColumn("loss", loss(F.col("value").cast("double"), expected(), floor))
     # all columns of a candidate are keys: a key of any type is hashed, a text buffer is sorted
     return losses.groupBy(*candidates.columns).agg(guarded_sum("loss").alias("score"))

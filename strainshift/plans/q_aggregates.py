@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strainshift.operators import align as A
 from strainshift.operators import score as S
 from strainshift.operators import summaries as M
-from strainshift.operators.expand import expand_by
+from strainshift.operators.expand import expand_blocks
 from strainshift.plans import views as V
 from strainshift.plans.registry import query
 from strainshift.session import materialise, task_count
@@ -57,7 +57,7 @@ def predictions(spark, sf):
     """Expected value per candidate, day and series, as a trajectory table would give it."""
     obs = materialise(observations(spark, sf))
     ids = candidates(spark, sf).repartition(task_count(spark), "candidate")
-    spread = expand_by(ids, obs.select("series", "day", "t", "base"))
+    spread = expand_blocks(ids, obs.select("series", "day", "t", "base"))
     return obs.select("series", "day", "value"), spread.select(
         "candidate", "series", "day", expected_line().alias("expected"))
 

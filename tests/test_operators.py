@@ -238,6 +238,41 @@ def test_expand_beyond_one_array_is_whole(spark):
         df.select(F.explode(E.as_array(dim, limit=10))).collect()
 
 
+def test_blocks_give_every_pair_by_either_join(spark):
+    df = spark.range(4).withColumnRenamed("id", "m").withColumn("k", F.lit(None).cast("string"))
+    dim = spark.range(0, 1000, 1, 3).selectExpr("id AS d", "id * 2.0D AS w", "IF(id % 7 = 0, NULL, 'x') AS note")
+    blocks = E.row_blocks(dim, 100)
+    assert blocks.agg(F.max(F.size("_rows"))).first()[0] <= 100 and blocks.count() >= 10
+    whole = E.expand_blocks(df, dim)
+    assert whole.columns == ["m", "k", "d", "w", "note"]
+    for threshold in ("10m", "-1"):  # broadcast, shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            out = E.expand_blocks(df, dim, 100)
+            assert out.count() == 4000 and out.distinct().count() == 4000
+            assert out.exceptAll(whole).isEmpty()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert E.expand_blocks(df, dim.limit(0)).count() == 0 and E.expand_blocks(df.limit(0), dim).count() == 0
+
+
+def test_scores_over_many_blocks_scan_candidates_once(spark, monkeypatch):
+    """Points of many blocks: scores equal the plain sum, and the plan reads the candidates in one place."""
+    rng = np.random.default_rng(8)
+    obs_rows = [(float(t), float(x)) for t, x in enumerate(rng.uniform(5, 9, 300))]
+    cand_rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(4, 9, 40), rng.uniform(-.001, .01, 40)))]
+    obs = spark.createDataFrame(obs_rows, "t double, value double")
+    folder = scratch_path(spark, "candidates")
+    spark.createDataFrame(cand_rows, "candidate int, a double, b double").write.parquet(folder)
+    monkeypatch.setattr(K, "expand_blocks", lambda df, dim: E.expand_blocks(df, dim, 32))
+    scored = K.score_candidates(spark.read.parquet(folder), obs, lambda: F.col("a") + F.col("b") * F.col("t"))
+    t, x = np.array(obs_rows).T
+    want = {i: float((((x - a - b * t) ** 2) / np.maximum(a + b * t, max(1e-3, x.min()))).sum()) for i, a, b in cand_rows}
+    assert {r["candidate"]: r["score"] for r in scored.collect()} == pytest.approx(want, rel=1e-12)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "candidate#" in line for line in plan.splitlines()) == 1
+
+
 def test_index_of_a_hot_group(spark):
     df = spark.range(0, 5000).selectExpr("id AS key", "IF(id % 3 = 0, 'hot', concat('g', id % 40)) AS g").repartition(8)
     got = sorted((r["key"], r["repeat"]) for r in O.repeat_index(df, [], ["key"]).collect())

@@ -13,6 +13,8 @@ from strainshift.session import materialise
 ARRAY_ROWS = 200_000
 # Rows of a block that meets other rows as one array.
 BLOCK_ROWS = 4096
+# So many blocks are broadcast at most.
+BROADCAST_BLOCKS = 64
 
 
 def as_array(dim: DataFrame, limit: int = ARRAY_ROWS) -> Column:
@@ -62,17 +64,18 @@ def row_blocks(dim: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return materialise(dealt.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct(*dim.columns))).alias("_rows")))
 
 
-def expand_blocks(df: DataFrame, dim: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+def expand_blocks(df: DataFrame, dim: DataFrame, rows: int = BLOCK_ROWS, most: int = BROADCAST_BLOCKS) -> DataFrame:
     """Expand each row of ``df`` by each row of ``dim``, of any size, in one scan of ``df`` (block nested).
 
     A row is copied once per block, which is all that is joined; the plan holds no more of
-    ``dim`` than the keys of its blocks. Spark broadcasts the blocks as long as they are
-    below its own threshold (the partitioning of ``df`` then stays), and else joins them by
-    shuffle, where a block is one row of its side and AQE splits the other.
+    ``dim`` than the keys of its blocks. Up to ``most`` written blocks are broadcast, and
+    the partitioning of ``df`` stays; more are joined by shuffle, where a block is one row
+    of its side and AQE splits the other.
     """
     blocks = row_blocks(dim, rows)
     keys = blocks.agg(F.collect_list("_block")).scalar()
-    paired = df.withColumn("_block", F.explode(keys)).join(blocks, "_block")
+    side = F.broadcast(blocks) if blocks.count() <= most else blocks
+    paired = df.withColumn("_block", F.explode(keys)).join(side, "_block")
     return paired.select(*df.columns, F.inline("_rows"))
 
 

@@ -245,14 +245,10 @@ def test_blocks_give_every_pair_by_either_join(spark):
     assert blocks.agg(F.max(F.size("_rows"))).first()[0] <= 100 and blocks.count() >= 10
     whole = E.expand_blocks(df, dim)
     assert whole.columns == ["m", "k", "d", "w", "note"]
-    for threshold in ("10m", "-1"):  # broadcast, shuffled
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        try:
-            out = E.expand_blocks(df, dim, 100)
-            assert out.count() == 4000 and out.distinct().count() == 4000
-            assert out.exceptAll(whole).isEmpty()
-        finally:
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for most in (64, 1):  # broadcast, joined as Spark sees fit
+        out = E.expand_blocks(df, dim, 100, most)
+        assert out.count() == 4000 and out.distinct().count() == 4000
+        assert out.exceptAll(whole).isEmpty()
     assert E.expand_blocks(df, dim.limit(0)).count() == 0 and E.expand_blocks(df.limit(0), dim).count() == 0
 
 

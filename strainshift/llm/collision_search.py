@@ -25,6 +25,8 @@ PROJECTIONS, THRESHOLD, GROWTH = 128, 0.7, 1.1
 #: above THRESHOLD for the farthest of the k, more for the nearer ones.
 SURE = 1.15
 CHUNK_ROWS = QUERY_ROWS = 1 << 13
+#: Windows whose ends are searched in one call per line.
+STEPS = 8
 
 
 class CollisionIndex:
@@ -56,15 +58,19 @@ class CollisionIndex:
         centre, need = self.lines @ scaled, int(np.ceil(THRESHOLD * PROJECTIONS))
         met, known = np.zeros(n, np.int64), skip.copy()
         low = [int(np.searchsorted(s, c)) for s, c in zip(self.sorted, centre)]
-        high, radius = list(low), self.step
+        high, radius, reach = list(low), self.step, []
         found, away = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            rings = []
-            for j, (s, c) in enumerate(zip(self.sorted, centre)):
-                a, b = np.searchsorted(s, (c - radius, c + radius))
-                a, b = min(int(a), low[j]), max(int(b), high[j])
-                rings += [self.order[j, a:low[j]], self.order[j, high[j]:b]]
-                low[j], high[j] = a, b
+            if not reach:  # the ends of the next windows on every line, searched at once
+                reach = [radius]
+                while len(reach) < STEPS:
+                    reach.append(reach[-1] * GROWTH)
+                ends_at = np.array(reach)
+                below = np.stack([s.searchsorted(c - ends_at) for s, c in zip(self.sorted, centre)], 1).tolist()
+                above = np.stack([s.searchsorted(c + ends_at) for s, c in zip(self.sorted, centre)], 1).tolist()
+            radius, starts, ends = reach.pop(0), below.pop(0), above.pop(0)
+            rings = [part for order, a, b, c, d in zip(self.order, starts, low, high, ends) for part in (order[a:b], order[c:d])]
+            low, high = starts, ends
             met += np.bincount(np.concatenate(rings), minlength=n)
             new = np.flatnonzero((met >= need) & ~known)
             if len(new):
@@ -75,8 +81,10 @@ class CollisionIndex:
             if known.all() or (len(away) >= k and np.partition(away, k - 1)[k - 1] <= sure):
                 best = np.lexsort((ids[found], away))[:k]
                 return found[best], away[best]
-            # a window that no vector has entered yet grows faster
-            radius *= GROWTH if met.any() else 2.0
+            if met.any():
+                radius *= GROWTH
+            else:  # windows that no vector has entered yet grow faster
+                radius, reach = radius * 2.0, []
 
 
 def usable(column):

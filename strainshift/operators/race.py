@@ -42,13 +42,15 @@ def raced(starts: DataFrame, blocks: list[DataFrame], by: list[str], expected: C
           loss: Callable[[Column, Column, Column], Column] = positive_loss) -> DataFrame:
     """Starts (with ``_bound``, NULL for none) that no block put beyond their bound, with their score.
 
-    Starts are spread by the key once and stay there; a block that carries the key is joined
-    on it, another one is expanded in place. A start that lacks a loss at a point leaves.
+    Starts are spread once and stay there: by the key, if blocks carry it and are joined on
+    it, else by key and candidate, and blocks are expanded in place. A start that lacks a
+    loss at a point leaves.
     """
     columns = starts.columns
-    alive = starts.repartition(task_count(starts.sparkSession), *by).withColumn("score", F.lit(0.0))
+    own = set(by) <= set(blocks[0].columns)
+    alive = starts.repartition(task_count(starts.sparkSession), *by, *([] if own else ["candidate"])).withColumn("score", F.lit(0.0))
     for block in blocks:
-        if set(by) <= set(block.columns):
+        if own:
             points = alive.join(block.withColumn("_there", F.lit(1)), by, "left")  # a data set may have no point in a block
         else:
             points = expand_blocks(alive, block).withColumn("_there", F.lit(1))

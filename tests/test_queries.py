@@ -14,7 +14,7 @@ from strainshift.plans import catalog  # noqa: E402
 WITHOUT_SQL = set()
 #: Grouped UDFs, and the mixed models, which are minimised in numpy for many models at a time.
 PYTHON = {"udf_grouped_map", "udf_row_map", "random_intercept_fit", "random_intercept_effects", "nested_lrt", "many_model_sweep",
-          "random_intercept_profile_ci", "part_profile_ci", "sweep_profile_ci"}
+          "random_intercept_profile_ci", "part_profile_ci", "sweep_profile_ci", "bootstrap_second_step"}
 
 
 @pytest.fixture(scope="module")

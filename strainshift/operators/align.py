@@ -47,7 +47,12 @@ def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def composite_key_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys, "inner")
+    """Pair the rows of two tables of like size by all keys.
+
+    Both are shuffled and sorted: the plan knows the bytes of a file, not how many rows an
+    expansion makes of them, and would gather the expanded side on the driver for a broadcast.
+    """
+    return left.join(right.hint("merge"), keys, "inner")
 
 
 def first_crossing(df: DataFrame, period: str, share: str, threshold: float, by: list[str] = ()) -> DataFrame:

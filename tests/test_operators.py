@@ -109,6 +109,18 @@ def test_sweep_drops_inadmissible_shares(spark):
     assert {round(r["SN0"], 3) for r in out.collect()} == {0.72, 0.81, 0.9, 0.99}
 
 
+def test_composite_join_of_an_expanded_table_is_no_broadcast(spark, tmp_path):
+    """A file of few bytes may expand to any number of rows: no side goes through the driver."""
+    spark.createDataFrame([(1, 2.0), (1, 3.0), (None, 4.0)], "id int, v double").write.parquet(f"{tmp_path}/few")
+    few = spark.read.parquet(f"{tmp_path}/few")
+    wide = R.cross_sweep(few, {"p": F.lit(1.0)}, {}).select("id", "fixed_parm", "multiplier", "v")
+    keys = ["id", "fixed_parm", "multiplier"]
+    out = A.composite_key_join(wide, wide.withColumnRenamed("v", "w"), keys)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["multiplier"], r["v"], r["w"]) for r in out.collect()) == [
+        (m, v, w) for m in R.SWEEP_MULTIPLIERS for v in (2.0, 3.0) for w in (2.0, 3.0)]
+
+
 def test_ensemble_with_an_empty_category(spark):
     base = spark.createDataFrame([(1, 2.0)], "t int, value double")
     none = base.limit(0).withColumn("replicate", F.lit(1))

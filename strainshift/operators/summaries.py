@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strainshift.operators.expand import expand_range
 from strainshift.operators.windows import repeat_index
-from strainshift.session import materialise
+from strainshift.session import materialise, task_count
 
 # Rank error of the bracket sketch is at most one part in this many.
 SKETCH_ACCURACY = 10_000
@@ -125,19 +125,12 @@ def corr_matrix(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-# A bin is at most the bandwidth over this; the kernel is cut where it is below 1e-15 of its peak.
-BINS_PER_BANDWIDTH, KERNEL_REACH = 64, 8.5
-
-
 def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05, points: int = 512) -> DataFrame:
-    """Gaussian kernel density on a grid between the tail/2 quantiles, by linear binning.
-
-    Only values between the quantiles count. A value gives its weight to the two ends of its
-    bin, in proportion; bins divide the steps of the grid evenly and are at most 1/64 of the
-    bandwidth, so each term is off by no more than a linear interpolation of the kernel:
-    density by at most (bin / bw)^2 / 8 of the kernel's peak, 1 / (bw sqrt(2 pi)). Bins are
-    summed before they are shuffled, and each meets the grid points that the kernel reaches
-    from it, so the work after the scan is bins times kernel width, whatever the number of values.
+    """Gaussian kernel density on a grid between the tail/2 quantiles: the exact sum over all values.
+
+    Only values between the quantiles count. Equal values are counted before they meet the
+    grid, and the grid is expanded in place; its sums are combined within a task, so that no
+    more than a row per task and grid point is shuffled. The work is distinct values times points.
     Groups of zero bandwidth have no rows.
     """
     if not 0 <= tail < 1:
@@ -154,22 +147,14 @@ def density_table(df: DataFrame, by: list[str], value: str, tail: float = 0.05,
     bandwidth = 0.9 * F.least("_sd", iqr) * F.pow(F.col("n"), F.lit(-0.2))
     spread = size.join(quart, by).withColumn("bw", bandwidth).drop("q", "_sd")
     lo, hi = F.element_at("q", 1), F.element_at("q", 2)
-    frame = spread.join(cut, by).select(*by, "n", "bw", lo.alias("_lo"), ((hi - lo) / (points - 1)).alias("_step")).filter("bw > 0")
-    frame = materialise(frame.withColumn("_per", F.ceil(F.col("_step") * BINS_PER_BANDWIDTH / F.col("bw"))).withColumn("_bin", F.col("_step") / F.col("_per")))
-
-    place = (F.col("_x") - F.col("_lo")) / F.col("_bin")
-    dealt = kept.join(frame, by).select(*by, F.floor(place).alias("_j"), (place - F.floor(place)).alias("_part"))
-    dealt = dealt.groupBy(*by, "_j").agg(F.sum(1 - F.col("_part")).alias("_left"), F.sum("_part").alias("_right"))
-    halves = F.array(F.struct(F.col("_j"), F.col("_left").alias("_c")), F.struct((F.col("_j") + 1).alias("_j"), F.col("_right").alias("_c")))
-    bins = dealt.select(*by, F.inline(halves)).groupBy(*by, "_j").agg(F.sum("_c").alias("_c")).join(frame, by)
-    reach = F.floor(KERNEL_REACH * F.col("bw") / F.col("_bin"))
-    first = F.greatest(F.ceil((F.col("_j") - reach) / F.col("_per")), F.lit(0))
-    last = F.least(F.floor((F.col("_j") + reach) / F.col("_per")), F.lit(points - 1))
-    near = bins.filter(first <= last).withColumn("g", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    z = (F.col("_j") - F.col("g") * F.col("_per")) * F.col("_bin") / F.col("bw")
-    near = near.select(*by, "g", (F.col("_c") * F.exp(-z * z / 2)).alias("_w"))
-    none = expand_range(frame, "g", 0, points - 1).select(*by, "g", F.lit(0.0).alias("_w"))  # points that no value reaches
-    sums = near.unionByName(none).groupBy(*by, "g").agg(F.sum("_w").alias("_w")).join(frame, by)
+    frame = spread.join(cut, by).select(*by, "n", "bw", lo.alias("_lo"), ((hi - lo) / (points - 1)).alias("_step"))
+    frame = materialise(frame.filter("bw > 0"))
+
+    # counts are few bytes but grow by the grid, so they are spread by an explicit number of tasks
+    counted = kept.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")).repartition(task_count(df.sparkSession))
+    grid = expand_range(counted.join(frame, by), "g", 0, points - 1)
+    z = (F.col("_x") - (F.col("_lo") + F.col("g") * F.col("_step"))) / F.col("bw")
+    sums = grid.groupBy(*by, "g").agg(F.sum(F.col("_c") * F.exp(-z * z / 2)).alias("_w")).join(frame, by)
     return sums.select(*by, "g", (F.col("_lo") + F.col("g") * F.col("_step")).alias("x"), "bw",
                        (F.col("_w") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density"))
 

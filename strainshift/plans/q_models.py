@@ -759,14 +759,9 @@ def bootstrap_summary(spark, sf):
     kept AS (SELECT event_type, value, lo, hi FROM events JOIN cut USING (event_type) WHERE value BETWEEN lo AND hi),
     bw AS (SELECT event_type, COUNT(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi, 0.9 * least(stddev_samp(value),
         (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34) * power(COUNT(*), -0.2::DOUBLE) AS bw FROM kept GROUP BY 1),
-    frame AS (SELECT *, (hi - lo) / 511 AS step, ceil((hi - lo) / 511 * 64 / bw) AS per, (hi - lo) / 511 / ceil((hi - lo) / 511 * 64 / bw) AS bin FROM bw WHERE bw > 0),
-    placed AS (SELECT event_type, (value - lo) / bin AS pos FROM kept JOIN (SELECT event_type, bin FROM frame) USING (event_type)),
-    dealt AS (SELECT event_type, floor(pos) AS j, sum(1 - (pos - floor(pos))) AS here, sum(pos - floor(pos)) AS beyond FROM placed GROUP BY 1, 2),
-    bins AS (SELECT event_type, j, sum(c) AS c FROM (SELECT event_type, j, here AS c FROM dealt UNION ALL SELECT event_type, j + 1, beyond FROM dealt) GROUP BY 1, 2),
-    grid AS (SELECT *, lo + g * step AS x FROM frame, (SELECT CAST(unnest(generate_series(0, 511)) AS INTEGER) AS g))
-    SELECT event_type, g, round(x, 6) AS x, round(bw, 6) AS bw, round(coalesce(sum(c * exp(-power((j - g * per) * bin / bw, 2) / 2))
-        FILTER (WHERE abs(j - g * per) <= floor(8.5 * bw / bin)), 0) / any_value(n * bw * sqrt(2 * pi())), 6) AS density
-    FROM grid JOIN bins USING (event_type) GROUP BY event_type, g, x, bw""")
+    grid AS (SELECT event_type, n, bw, g, lo + g * (hi - lo) / 511 AS x FROM bw, (SELECT CAST(unnest(generate_series(0, 511)) AS INTEGER) AS g) WHERE bw > 0)
+    SELECT event_type, g, round(x, 6) AS x, round(bw, 6) AS bw, round(sum(exp(-power((value - x) / bw, 2) / 2)) / any_value(n * bw * sqrt(2 * pi())), 6) AS density
+    FROM grid JOIN kept USING (event_type) GROUP BY event_type, g, x, bw""")
 def density_table(spark, sf):
     events = V.table(spark, sf, "events").select("event_type", "value")
     out = M.density_table(events, ["event_type"], "value")

@@ -224,6 +224,17 @@ def test_density_is_within_its_bound_of_the_exact_sum(spark):
         M.density_table(df, [], "x", tail=1.0)
 
 
+def test_density_is_the_exact_sum(spark):
+    """No term is binned or cut, also of points between two clusters that most values are far from."""
+    rng = np.random.default_rng(10)
+    cases = {"gamma": np.round(rng.gamma(3, 2, 400), 2), "two": np.concatenate([rng.normal(0, 1, 300), rng.normal(30, 1, 200)])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in cases.items() for x in xs], "name string, x double").repartition(3)
+    out = M.density_table(df, ["name"], "x", points=64).orderBy("name", "g").collect()
+    for name, xs in cases.items():
+        want = density_case(xs, 64)[3]
+        assert [r["density"] for r in out if r["name"] == name] == pytest.approx(list(want), rel=1e-9, abs=0), name
+
+
 def test_normal_scores_of_a_hot_group(spark):
     """One group holds nearly all rows; its ranks come from ranges in several tasks, and no window spans it."""
     rng = np.random.default_rng(21)

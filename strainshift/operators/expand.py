@@ -30,6 +30,14 @@ def as_array(dim: DataFrame, limit: int = ARRAY_ROWS) -> Column:
                    .otherwise(F.raise_error(message).cast(_array_type(dim)))).scalar()
 
 
+def small_table(dim: DataFrame, limit: int = ARRAY_ROWS):
+    """A whole small table in Arrow, to go with a function; a larger one than ``as_array`` takes stops the job as well."""
+    rows = dim.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        raise ValueError(f"more rows than fit in one array of {limit}")
+    return rows
+
+
 def _array_type(dim: DataFrame) -> str:
     return f"array<{dim.schema.simpleString()}>"
 

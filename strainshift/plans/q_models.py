@@ -82,8 +82,14 @@ def brand_models(spark, sf):
     return S.best_candidate(fits, ["brand"], "value", "model_id", F.col("code") == 0).select("brand", "k", "a")
 
 
+def design_groups(spark, sf, models):
+    """Group sums of the design of all models, from its nested form."""
+    panel = materialise(V.retained_panel(spark, sf))
+    return G.model_groups(G.logit_regressors(models, panel, V.control_index(spark, sf), nested=True), panel=panel)
+
+
 def part_groups(spark, sf):
-    return G.model_groups(design_rows(spark, sf, part_models(spark, sf)))
+    return design_groups(spark, sf, part_models(spark, sf))
 
 
 DESIGN_TAIL_SQL = (
@@ -177,7 +183,7 @@ def rank_deficiency_guard(spark, sf):
     """Without control both integrals are straight lines in time: such models get no estimates."""
     k = F.when(F.col("code") == 10, 0.0).otherwise(F.col("k"))
     models = V.model_params(spark, sf).select("model_id", k.alias("k"), "a")
-    groups = G.model_groups(design_rows(spark, sf, models))
+    groups = design_groups(spark, sf, models)
     return G.ancova_fit(groups, ["model_id"]).select(
         "model_id", "rank_deficient", F.col("delta_beta").isNull().alias("no_estimate"))
 
@@ -415,7 +421,7 @@ SWEEP_COLUMNS = [f"delta_{e}{end}" for end in ("", "_lower", "_upper") for e in
     SELECT model_id, n_rows, {', '.join(f'round({c}, 4) AS {c}' for c in SWEEP_COLUMNS)} FROM fit JOIN ends USING (model_id)""")
 def many_model_sweep(spark, sf):
     """All models of the sweep by REML, with profile limits."""
-    groups = G.model_groups(design_rows(spark, sf, sweep_models(spark, sf)))
+    groups = design_groups(spark, sf, sweep_models(spark, sf))
     fits = X.selection_fit_profiled(X.selection_groups(groups, ["model_id"]), ["model_id"])
     return fits.select("model_id", "n_rows", *[F.round(c, 4).alias(c) for c in SWEEP_COLUMNS])
 
@@ -434,7 +440,7 @@ PROFILE_SQL = f"WITH {PROFILE_DESIGN_SQL}, {PROFILE_TAIL_SQL}"
 
 
 def profiled(spark, sf, models, digits=3):
-    groups = G.model_groups(design_rows(spark, sf, models))
+    groups = design_groups(spark, sf, models)
     limits = X.profile_limits(X.selection_groups(groups, ["model_id"]), ["model_id"])
     return limits.withColumns({c: F.round(c, digits) for c in ("lower", "upper")})
 

@@ -63,7 +63,7 @@ def logit_regressors(models: DataFrame, panel: DataFrame, control: DataFrame,
     spread = (models.select("model_id", "k", "a", *[c.alias(n) for n, c in given.items()])
               .repartition(task_count(models.sparkSession), "model_id"))
     if nested:
-        return nested_integrals(spread, evaluation_points(panel.filter("t IS NOT NULL")), control)
+        return nested_integrals(spread, evaluation_points(panel), control)
     points, cells = evaluation_points(panel), panel_cells(panel)
     fixed = {n: F.col(n) for n in FIXED_DEFAULTS}
     kappa, gap = F.col("kappa"), F.col("kappa") - F.col("gamma_w")

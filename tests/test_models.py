@@ -247,12 +247,20 @@ def test_regressors_do_not_depend_on_rho_rotation(spark):
             assert r["z"] == pytest.approx(r["x2"] - r["rho"] * r["x1"], abs=1e-12)
 
 
-@pytest.mark.parametrize("values", [30, 100_000])
-def test_nested_design_gives_the_sums_of_its_rows(spark, monkeypatch, values):
+def test_queries_of_sums_make_no_row_per_cell(spark, sf, monkeypatch):
+    def refused(*args, **more):
+        raise AssertionError("a row per model and cell")
+
+    monkeypatch.setattr(G, "expand_by", refused)
+    for name in ("coord_table", "ancova_effects", "nested_lrt"):
+        assert "model_id" in catalog.QUERIES[name](spark, sf).columns, name
+
+
+def test_nested_design_gives_the_sums_of_its_rows(spark, monkeypatch):
     """One row per model in place of one per model and cell: repeated, null and unknown parameters included."""
-    monkeypatch.setattr(G, "STEP_VALUES", values)  # small: the rows of a model fall into several steps
+    monkeypatch.setattr(G, "STEP_VALUES", 80)  # the rows of a model fall into several steps
     rng = np.random.default_rng(4)
-    cells = [(g, 3.5 + 7 * i, float(rng.normal())) for g, n in (("a", 6), ("b", 4), ("c", 1)) for i in range(6 - n, 6)]
+    cells = [(g, 3.5 + 7 * i, float(rng.normal())) for g, n in (("a", 6), ("b", 4), ("c", 1)) for i in range(6 - n, 6)] + [("a", None, 0.3)]
     panel = spark.createDataFrame(cells, "region string, t double, y double")
     control = spark.createDataFrame([(i, None if i == 9 else float(p)) for i, p in enumerate(rng.uniform(20, 80, 35))], "day_idx int, psi double")
     fixed = (0.2, 0.25, 0.1, 0.75)
@@ -265,16 +273,16 @@ def test_nested_design_gives_the_sums_of_its_rows(spark, monkeypatch, values):
     def of(df):
         return {(r["model_id"], r["region"]): r.asDict() for r in df.collect()}
 
-    for cells_seen in (panel, panel.withColumn("y", F.when(F.col("t") > 4, F.col("y"))), panel.limit(0)):
+    for cells_seen in (panel, panel.withColumn("y", F.when(F.col("t") > 4, F.col("y")))):
         rows = of(G.model_groups(G.logit_regressors(models, cells_seen, control)))
         nested = G.logit_regressors(models, cells_seen, control, nested=True)
-        for got in (of(G.model_groups(nested, panel=cells_seen)), of(G.model_groups(nested, panel=cells_seen, panel_rows=2))):
-            assert set(got) == set(rows)
-            for key, want in rows.items():
-                assert list(got[key]) == list(want)
-                assert {c: v is None for c, v in got[key].items()} == {c: v is None for c, v in want.items()}, key
-                assert [got[key][c] or 0.0 for c in list(want)[2:]] == pytest.approx(
-                    [want[c] or 0.0 for c in list(want)[2:]], rel=1e-9, abs=1e-11, nan_ok=True), key
+        got = of(G.model_groups(nested, panel=cells_seen))
+        assert set(got) == set(rows)
+        for key, want in rows.items():
+            assert list(got[key]) == list(want)
+            assert {c: v is None for c, v in got[key].items()} == {c: v is None for c, v in want.items()}, key
+            assert [got[key][c] or 0.0 for c in list(want)[2:]] == pytest.approx(
+                [want[c] or 0.0 for c in list(want)[2:]], rel=1e-9, abs=1e-11, nan_ok=True), key
 
 
 @pytest.mark.parametrize("method,interval", [("lm", "wald"), ("lmer", "wald"), ("lmer", "profile")])

@@ -15,11 +15,12 @@
     is the size with the least total of subsets written and list entries written and scanned.
     Copies met in different tasks are found first, by their digest, and take no part again.
 3.  Sets that meet are connected (each key's sets to their least); these candidate
-    components are verified exactly, by counting intersections from inverted lists in the task.
-    A component too large for one task is cut into chunks: each chunk is verified and
-    covered by leaders; leaders are compared across chunks, and clusters whose leaders are
-    so close that members may match (the Jaccard distance obeys the triangle inequality) and
-    that are still unconnected are compared member by member.
+    components are verified exactly.
+    Intersections are counted for many sets at once: hashes that a sixteenth of the sets hold
+    as a product of matrices, the others from inverted lists. Central sets gather their
+    surroundings first, then only sets outside the largest component are compared.
+    A component too large for one task is cut into chunks, and each two chunks are compared
+    in a task of their own, starting from the components inside them.
 4.  The links found give the components.
 
 Hashes keep 48 bits and the range's bits, 54 or more. Two different shingles of a pair of
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from strainshift.llm.components import components
 from strainshift.llm.wordhash import WordHasher, batches_of, mix
-from strainshift.session import materialise
+from strainshift.session import materialise, task_count
 
 WIDTH, PERCENT = 5, 80
 #: Hashes a task packs at a time, and how often one must be among them to be frequent.
@@ -46,6 +47,8 @@ PACK, FREQUENT = 1 << 20, 64
 #: Shared hashes of one verification task, about; components with more are cut into chunks.
 HOT_SHARES = 1000
 CHUNK = 1 << 21
+#: Cells of a task's matrix, cells and list entries of a batch of intersections, and the sets from which central ones go first.
+DENSE, CELLS, HUB_LEAST = 1 << 24, 1 << 21, 64
 OFTEN = np.int32(2 ** 31 - 1)
 U = np.uint64
 LOW = U((1 << 48) - 1)
@@ -283,93 +286,115 @@ def candidate_edges(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 
 class _Block:
-    """Sets of one task, as inverted lists."""
+    """Sets of one task, as inverted lists of the hashes that two of them share."""
 
     def __init__(self, sizes, hashes):
         self.n = np.asarray(sizes, np.int64)
-        parts = [np.frombuffer(x, np.uint64) for x in hashes]
-        self.cuts = np.cumsum([len(p) for p in parts])[:-1]
-        values, self.ids = np.unique(np.concatenate(parts), return_inverse=True)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.argsort(self.ids, kind="stable")
-        self.lists = owner[order]
-        self.start = np.searchsorted(self.ids[order], np.arange(len(values) + 1))
-        self.sets = np.split(self.ids, self.cuts)
-
-    def overlaps(self, k: int) -> np.ndarray:
-        """Intersections of set k with all."""
-        mine = self.sets[k]
-        at, upto = self.start[mine], self.start[mine + 1]
-        size = upto - at
-        places = np.repeat(at - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        return np.bincount(self.lists[places], minlength=len(self.n))
-
-    def linked(self, k: int, percent: int) -> np.ndarray:
-        c = self.overlaps(k)
-        return np.flatnonzero(100 * c >= percent * (self.n[k] + self.n - c))
-
-    def distance(self, k: int) -> np.ndarray:
-        c = self.overlaps(k)
-        return 1 - c / (self.n[k] + self.n - c)
+        k, parts = len(self.n), [np.frombuffer(x, np.uint64) for x in hashes]
+        owner = np.repeat(np.arange(k, dtype=np.int32), [len(p) for p in parts])
+        _, ids, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = count > 1
+        keep = shared[ids]
+        self.ids, self.owner, self.count = (np.cumsum(shared, dtype=np.int32) - 1)[ids[keep]], owner[keep], count[shared]
+        self.lists = self.owner[np.argsort(self.ids, kind="stable")]
+        self.start = np.r_[0, np.cumsum(self.count)]
+        self.first = np.searchsorted(self.owner, np.arange(k + 1))
+        #: Whether all pairs of sets have cells, or only those that lists name.
+        self.cells = 4 * (self.count ** 2).sum() > k * k
+        most = np.argsort(-self.count, kind="stable")[:DENSE // k if self.cells else 0]
+        most = most[self.count[most] * 16 >= k]
+        column = np.full(len(self.count), -1, np.int32)
+        column[most] = np.arange(len(most))
+        place = column[self.ids]
+        self.rare = place < 0
+        self.matrix = np.zeros((k, len(most)), np.float32)  # 2 ** 24 columns at most, so sums are exact
+        self.matrix[self.owner[~self.rare], place[~self.rare]] = 1
+
+    def linked(self, rows: np.ndarray, percent: int) -> list[np.ndarray]:
+        """For each of the sets `rows` the sets similar to it, itself included."""
+        k = len(self.n)
+        at, size = self.first[rows], self.first[rows + 1] - self.first[rows]
+        mine = np.repeat(at - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        line = np.repeat(np.arange(len(rows)), size)
+        mine, line = mine[self.rare[mine]], line[self.rare[mine]]
+        upto, size = self.start[self.ids[mine]], self.count[self.ids[mine]]
+        places = np.repeat(upto - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        codes = np.repeat(line * k, size) + self.lists[places]
+        if self.cells:
+            both = (self.matrix[rows] @ self.matrix.T).astype(np.float64)
+            if len(codes):
+                both += np.bincount(codes, minlength=both.size).reshape(both.shape)
+            both *= 100 + percent
+            same = both >= percent * (self.n[rows][:, None] + self.n)
+            same[np.arange(len(rows)), rows] = True
+            line, other = np.nonzero(same)
+        else:
+            codes, both = np.unique(np.r_[codes, np.arange(len(rows)) * k + rows], return_counts=True)
+            line, other = codes // k, codes % k
+            same = ((100 + percent) * both >= percent * (self.n[rows[line]] + self.n[other])) | (rows[line] == other)
+            line, other = line[same], other[same]
+        return np.split(other, np.searchsorted(line, np.arange(1, len(rows))))
 
+    def batches(self, rows: np.ndarray):
+        """Runs of `rows` whose intersections have about `CELLS` cells and list entries."""
+        cost = np.bincount(self.owner, np.where(self.rare, self.count[self.ids], 1), len(self.n))[rows] + (len(self.n) if self.cells else 1)
+        return np.split(rows, np.flatnonzero(np.diff((np.cumsum(cost) / CELLS).astype(np.int64))) + 1) if len(rows) else []
 
-def _verifier(percent: int):
-    """Inside a chunk: links that connect what is connected, and leaders that cover it.
 
-    Out: kind 0, a link (u, v); kind 1, a member u and its leader v at a distance.
+def _connect(block: _Block, root: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what links connect; `root` holds known components and is kept up to date.
+
+    Of two sets in different components one is outside the largest, so once central sets have
+    gathered their surroundings, only those outside the largest are compared, with all. A
+    set that shares less than `percent` of its hashes with all others has no link.
     """
-    def run(df):
-        block, rows, cut = _Block(df.n, df.hashes), df.row.to_numpy(), bool(df.chunks.iloc[0] > 1)
-        root = np.arange(len(rows))
-        out = []
-        for k in range(len(rows)):
-            same = block.linked(k, percent)
+    k, out = len(root), []
+
+    def join(rows):
+        for u, same in zip(rows.tolist(), block.linked(rows, percent)):
             found, where = np.unique(root[same], return_index=True)
             if len(found) > 1:
-                out += [(0, rows[k], rows[x], 0.0) for x in same[where] if x != k]
+                out.extend((u, v) for v in same[where].tolist() if root[v] != root[u])
                 root[np.isin(root, found)] = found[0]
-        if cut:
-            free = np.ones(len(rows), bool)
-            for k in range(len(rows)):
-                if free[k]:
-                    away = block.distance(k)
-                    take = np.flatnonzero(free & (away <= 1 - percent / 100))
-                    take = take if len(take) else np.array([k])
-                    out += [(1, rows[x], rows[k], away[x]) for x in take]
-                    free[take] = False
-        return pd.DataFrame(out, columns=["kind", "u", "v", "far"])
 
-    return run
+    able = np.diff(block.first) * 100 >= percent * block.n
+    free, central = able.copy(), np.bincount(block.owner, block.count[block.ids], k) / block.n
+    gained = k
+    while k >= HUB_LEAST and gained * 16 > k and free.any():
+        hub, before = int(np.argmax(np.where(free, central, -1))), np.bincount(root).max()
+        join(np.array([hub]))
+        free &= root != root[hub]
+        gained = np.bincount(root).max() - before
+    for rows in block.batches(np.flatnonzero(able & (root != np.argmax(np.bincount(root))))):
+        join(rows)
+    return out
 
 
-def _across(percent: int):
-    """A tile of leaders from two chunks. Kind 0: linked; kind 1: members may be linked."""
+def _verifier(percent: int):
+    """Whole components, or the chunks of a large one: links that connect what is connected.
+
+    Out: kind 0, a link (u, v); kind 1, a member u of a chunk and its component v inside it.
+    """
     def run(df):
-        df = df.sort_values("side", kind="stable").drop_duplicates("row") if df.tile_i.iloc[0] == df.tile_j.iloc[0] else df
-        block, rows, side, far = _Block(df.n, df.hashes), df.row.to_numpy(), df.side.to_numpy(), df.radius.to_numpy()
-        same_tile = df.tile_i.iloc[0] == df.tile_j.iloc[0]
+        df = df.sort_values(["root", "chunk"], kind="stable")
+        keys, row, n, hashes, cut = df[["root", "chunk"]].to_numpy(), df.row.to_numpy(), df.n.to_numpy(), df.hashes.to_numpy(), df.chunks.to_numpy() > 1
+        at = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(df)].tolist()
         out = []
-        for k in np.flatnonzero(side == 0):
-            others = np.arange(len(rows)) > k if same_tile else side == 1
-            away = block.distance(k)
-            linked = np.isin(np.arange(len(rows)), block.linked(k, percent))
-            near = away <= (1 - percent / 100) + far[k] + far + 1e-9
-            out += [(0, rows[k], rows[x]) for x in np.flatnonzero(others & linked)]
-            out += [(1, rows[k], rows[x]) for x in np.flatnonzero(others & near & ~linked)]
+        for a, b in zip(at, at[1:]):
+            rows, root = row[a:b], np.arange(b - a)
+            out += [(0, rows[u], rows[v]) for u, v in _connect(_Block(n[a:b], hashes[a:b]), root, percent)]
+            if cut[a]:
+                out += zip([1] * len(rows), rows, rows[root])
         return pd.DataFrame(out, columns=["kind", "u", "v"])
 
     return run
 
 
-def _members(percent: int):
-    """Two clusters, member by member: the links between them."""
+def _across(percent: int):
+    """Two chunks whose own components are known: links that connect these."""
     def run(df):
-        block, rows, side = _Block(df.n, df.hashes), df.row.to_numpy(), df.side.to_numpy()
-        out = []
-        for k in np.flatnonzero(side == 0):
-            same = block.linked(k, percent)
-            out += [(rows[k], rows[x]) for x in same[side[same] == 1]]
-        return pd.DataFrame(out, columns=["u", "v"])
+        rows, root = df.row.to_numpy(), np.unique(df.label, return_inverse=True)[1]
+        return pd.DataFrame([(rows[u], rows[v]) for u, v in _connect(_Block(df.n, df.hashes), root, percent)], columns=["u", "v"])
 
     return run
 
@@ -377,31 +402,19 @@ def _members(percent: int):
 def verified_links(sets: DataFrame, labels: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
     """(u, v): links of similar sets that connect all that similar sets connect."""
     weight = sets.select("row", "n", "m", "hashes").join(labels.withColumnRenamed("node", "row"), "row")
-    blocks = weight.groupBy("root").agg(F.ceil(F.sum("m") / chunk).cast("int").alias("chunks"))
+    blocks = weight.groupBy("root").agg(F.ceil(F.sum(F.col("m") + 32) / chunk).cast("int").alias("chunks"))
     placed = materialise(weight.join(blocks, "root").withColumn("chunk", F.expr("CAST(pmod(xxhash64(row), chunks) AS INT)")))
-    found = materialise(placed.groupBy("root", "chunk").applyInPandas(_verifier(percent), "kind int, u bigint, v bigint, far double"))
+    # small components share a call: one each would cost more than their work
+    shares = max(4 * task_count(sets.sparkSession), int(4 * (placed.agg(F.sum("m")).first()[0] or 0) / chunk))
+    part = F.when(F.col("chunks") > 1, F.xxhash64("root", "chunk")).otherwise(F.expr(f"pmod(xxhash64(root), {shares})"))
+    found = materialise(placed.withColumn("part", part).groupBy("part").applyInPandas(_verifier(percent), "kind int, u bigint, v bigint"))
     links = found.where("kind = 0").select("u", "v")
-    cover = found.where("kind = 1")
-    if cover.isEmpty():
+    cut = found.where("kind = 1").select(F.col("u").alias("row"), F.col("v").alias("label"))
+    if cut.isEmpty():
         return links
-    leaders = cover.groupBy(F.col("v").alias("row")).agg(F.max("far").alias("radius")).join(
-        placed.select("root", "row", "n", "m", "hashes"), "row")
-    tiles = leaders.groupBy("root").agg(F.ceil(F.sum("m") / chunk).cast("int").alias("tiles"))
-    leaders = leaders.join(tiles, "root").withColumn("tile", F.expr("CAST(pmod(xxhash64(row, 1), tiles) AS INT)"))
-    tiled = leaders.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "root", "row", "n", "hashes", "radius", F.least("tile", "other").alias("tile_i"), F.greatest("tile", "other").alias("tile_j"),
-        F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"))
-    pairs = materialise(tiled.groupBy("root", "tile_i", "tile_j").applyInPandas(_across(percent), "kind int, u bigint, v bigint"))
-    links = materialise(links.unionByName(cover.where("u <> v").select("u", "v")).unionByName(pairs.where("kind = 0").select("u", "v")))
-    roots = components(links)
-    root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    open_pairs = pairs.where("kind = 1").join(root_of("u"), "u", "left").join(root_of("v"), "v", "left").where(
-        "coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v")
-    sides = open_pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), F.explode(F.array(
-        F.struct(F.col("u").alias("leader"), F.lit(0).alias("side")), F.struct(F.col("v").alias("leader"), F.lit(1).alias("side")))).alias("s"))
-    sides = sides.select("a", "b", "s.leader", "s.side").join(
-        cover.select(F.col("u").alias("row"), F.col("v").alias("leader")), "leader").join(placed.select("row", "n", "hashes"), "row")
-    return links.unionByName(sides.groupBy("a", "b").applyInPandas(_members(percent), "u bigint, v bigint"))
+    members = placed.join(cut, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> other")
+    tiles = members.groupBy("root", F.least("chunk", "other").alias("tile_i"), F.greatest("chunk", "other").alias("tile_j"))
+    return links.unionByName(tiles.applyInPandas(_across(percent), "u bigint, v bigint"))
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH,

@@ -1,5 +1,8 @@
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from strainshift.llm import set_join
@@ -79,3 +82,76 @@ def test_components_of_graphs(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def near_copies(rng, sets, edits, apart):
+    """Sets of 120 hashes: copies of one with a few new hashes, and some of which a quarter is new."""
+    base = rng.integers(1, 2 ** 63, 120, dtype=np.uint64)
+    some = rng.integers(1, 2 ** 63, 2000, dtype=np.uint64)  # what is new is met again here and there
+    out = []
+    for i in range(sets):
+        new = 30 if i % apart == 0 else rng.integers(0, edits)
+        out.append(np.unique(np.r_[rng.permutation(base)[new:], rng.choice(some, new)]))
+    return out
+
+
+def partition(links, rows):
+    root = {x: x for x in rows}
+    for u, v in links:
+        while root[u] != u:
+            u = root[u]
+        while root[v] != v:
+            v = root[v]
+        root[max(u, v)] = min(u, v)
+    out = {}
+    for x in rows:
+        r = x
+        while root[r] != r:
+            r = root[r]
+        out[x] = r
+    return out
+
+
+def all_links(sets, percent=80):
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros((len(sets), len(values)), np.float32)
+    held[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), ids] = 1
+    both, n = held @ held.T, np.array([len(s) for s in sets])
+    return np.argwhere(100 * both >= percent * (n[:, None] + n - both)).tolist()
+
+
+def test_most_sets_of_a_large_component_are_not_compared_with_all(monkeypatch):
+    sets = near_copies(np.random.default_rng(8), 3000, 12, 5)
+    df = pd.DataFrame({"root": 7, "chunk": 0, "chunks": 1, "row": np.arange(3000) + 50, "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+    compared, linked = [], set_join._Block.linked
+    monkeypatch.setattr(set_join._Block, "linked", lambda self, rows, percent: compared.append(np.size(rows)) or linked(self, rows, percent))
+    found = set_join._verifier(80)(df)
+    assert 600 <= sum(compared) < 1200
+    want = {k + 50: r + 50 for k, r in partition(all_links(sets), range(3000)).items()}
+    assert partition(found[["u", "v"]].to_numpy().tolist(), range(50, 3050)) == want
+
+
+@pytest.mark.parametrize("sizes", [(3, 200), (90, 9), (40, 40)])
+def test_intersections_by_matrix_and_by_lists(monkeypatch, sizes):
+    """Random sets, of which few or many share a hash, in one block and from components known before."""
+    rng = np.random.default_rng(sum(sizes))
+    pool = rng.integers(1, 2 ** 63, sizes[1] * 3, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[i % 7:i % 7 + sizes[0] + 9], sizes[0])) for i in range(sizes[1])]
+    n, blobs = [len(s) + (i % 3 == 0) for i, s in enumerate(sets)], [s.tobytes() for s in sets]
+    values = [set(s.tolist()) for s in sets]
+    same = lambda i, j: i == j or 100 * len(values[i] & values[j]) >= 80 * (n[i] + n[j] - len(values[i] & values[j]))
+    want = [[j for j in range(len(n)) if same(i, j)] for i in range(len(n))]
+    for dense, cells, least in ((1 << 24, 1 << 21, 64), (50, 30, 2), (1, 400, 2)):
+        monkeypatch.setattr(set_join, "DENSE", dense)
+        monkeypatch.setattr(set_join, "CELLS", cells)
+        monkeypatch.setattr(set_join, "HUB_LEAST", least)
+        block = set_join._Block(n, blobs)
+        for block.cells in {True, block.cells} if block.matrix.size else {True, False}:
+            got = [x.tolist() for rows in block.batches(np.arange(len(n))) for x in block.linked(rows, 80)]
+            assert got == want
+        links = [(i, j) for i in range(len(n)) for j in want[i]]
+        for known in (np.arange(len(n)), np.unique([partition(links[::2], range(len(n)))[i] for i in range(len(n))], return_inverse=True)[1]):
+            before = [(i, int(np.flatnonzero(known == known[i])[0])) for i in range(len(n))]
+            found = set_join._connect(block, known.copy(), 80)
+            assert set(found) <= set(links)
+            assert partition(before + found, range(len(n))) == partition(links, range(len(n)))

@@ -155,3 +155,18 @@ def test_intersections_by_matrix_and_by_lists(monkeypatch, sizes):
             found = set_join._connect(block, known.copy(), 80)
             assert set(found) <= set(links)
             assert partition(before + found, range(len(n))) == partition(links, range(len(n)))
+
+
+def test_chunks_of_a_large_component_are_compared_in_pairs(spark):
+    """A fifth of the sets are too far from all for a link and too near to be told apart by a central set alone."""
+    rng = np.random.default_rng(9)
+    sets = near_copies(rng, 4000, 12, 4000)
+    base = sets[1]
+    sets += [np.unique(np.r_[base[23:], rng.choice(2 ** 40, 23 + i % 2).astype(np.uint64)]) for i in range(1500)]
+    rows = [(i, len(s), len(s), s.tobytes()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "row bigint, n bigint, m bigint, hashes binary").repartition(4)
+    labels = spark.range(len(rows)).selectExpr("id AS node", "0L AS root")
+    began = time.monotonic()
+    got = [tuple(r) for r in set_join.verified_links(frame, labels, 80, chunk=100_000).collect()]
+    assert time.monotonic() - began < 60  # member by member it takes over 90 s
+    assert partition(got, range(len(rows))) == partition(all_links(sets), range(len(rows)))
